@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -36,11 +38,12 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
-        with tempfile.TemporaryDirectory() as d:
-            archive = f"{d}/cairn.zip"
-            with zipfile.ZipFile(archive, "w") as z:
-                for p in sorted(root.rglob("*.py")):
-                    z.write(p, p.relative_to(root.parent))
-            spark.sparkContext.addPyFile(archive)
+        # the driver serves the file as long as it runs
+        d = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+        with zipfile.ZipFile(f"{d}/cairn.zip", "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(f"{d}/cairn.zip")
         _shipped.add(app)
     return spark
