@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm.common import table
 from cairn.llm.exact_dedup import exact_dedup
 from cairn.llm.fingerprint import document_fingerprints
+from cairn.llm.license_scan import license_digest, license_scan
 from cairn.llm.line_dedup import line_dedup
 from cairn.llm.mixing import mix_sources
+from cairn.llm.near_dedup import near_dedup
 from cairn.llm.packing import pack_documents
+from cairn.llm.quality import quality_scores
+from cairn.llm.secret_scan import secret_digest, secret_scan
 from cairn.llm.token_count import token_counts
 
 #: Tokenizer files of the production queries; operators take a path.
@@ -22,6 +26,10 @@ PIECE_TOKENIZER = "piece_bpe_32k.model"
 BOILERPLATE_SITES = 10
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(license_scan(table(spark, sf_dir, "documents")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,10 +50,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_TOKENIZER))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_line_dedup, op4_document_fingerprints, op5_packing, op6_token_counts, op8_mixing)
+    f.__name__: f
+    for f in (op1_license_scan, op2_exact_dedup, op3_line_dedup, op4_document_fingerprints, op5_packing, op6_token_counts, op7_secret_scan, op8_mixing, op9_near_dedup, op10_quality)
 }
