@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,14 +31,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a local one only where none is named."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if own is None:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        own = set_.get() if set_.isDefined() else None
+    if own is None:
+        own = tempfile.mkdtemp(prefix="cairn-shared-")
+        spark.sparkContext.setCheckpointDir(own)
+    return own.rstrip("/")
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; a local folder serves only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        # spark.checkpoint.dir reaches the context by itself since Spark 4; older sessions get it here
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared folder, so that lineage ends there and sizes are known to the planner.
+
+    A checkpoint would keep the estimated sizes of the plan before it, which compound from join to
+    join. The tables are deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cairn-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _tidied(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_tidy: set[str] = set()
+
+
+def _tidied(spark: SparkSession) -> None:
+    """Delete the session's tables when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app in _tidy:
+        return
+    _tidy.add(app)
+    folder = f"{shared_folder(spark)}/cairn-{app}"
+
+    def delete() -> None:
+        if spark.sparkContext._jsc is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(delete)
 
 
 def partitions(spark: SparkSession) -> int:
