@@ -21,8 +21,10 @@ from cairn.llm.common import SPACE, batches, column, mix64, partitions, saved, t
 
 #: Words of a block. Targets are met to within about half of it for each source.
 BLOCK_WORDS = 32
-#: Slots of an output shard.
-SHARD_SLOTS = 16_384
+#: Least slots of an output shard, and most shards: their counts are drawn at the driver, so larger mixes get larger shards.
+SHARD_SLOTS, SHARDS = 16_384, 4_096
+#: Slots that a task makes at a time.
+SLOT_ROWS = 65_536
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2.0
@@ -130,7 +132,7 @@ class Mix:
         self.sizes = [int(r["size"]) for r in found]
         self.targets = targets(self.sizes, weights, total, most)
         self.totals = slot_totals(self.sizes, self.targets, block, most)
-        self.shards = shard_counts(self.totals, seed, shard_slots)
+        self.shards = shard_counts(self.totals, seed, max(shard_slots, -(-sum(self.totals) // SHARDS)))
         self.documents = self._with_source(streams(rows, sum(r["n"] for r in found)))
 
     def _with_source(self, rows: DataFrame) -> DataFrame:
@@ -151,10 +153,11 @@ class Mix:
         def fill(parts):
             for part in parts:
                 for shard, s, first, n in zip(part["shard"], part["k"], part["first"], part["n"], strict=True):
-                    j = np.arange(first, first + n)
-                    rounds = j // n_blocks[s]
-                    at = permute(j % n_blocks[s], np.full(n, n_blocks[s]), mix64(rounds * 1009 + s, seed))
-                    yield pd.DataFrame({"shard": shard, "k": s, "block": at, "round": rounds})
+                    for low in range(first, first + n, SLOT_ROWS):
+                        j = np.arange(low, min(low + SLOT_ROWS, first + n))
+                        rounds = j // n_blocks[s]
+                        at = permute(j % n_blocks[s], np.full(len(j), n_blocks[s]), mix64(rounds * 1009 + s, seed))
+                        yield pd.DataFrame({"shard": shard, "k": s, "block": at, "round": rounds})
 
         return plan.mapInPandas(fill, "shard long, k int, block long, round long")
 
@@ -166,7 +169,8 @@ class Mix:
         low = F.greatest(F.col("start"), F.col("block") * b)
         high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
         blocks = blocks.select("doc_id", "k", "start", "block", (low - F.col("start")).alias("from_word"), (high - low).alias("words"))
-        return blocks.join(self.slots(), ["k", "block"])
+        # both sides grow with the corpus, which the planner can't see from the plan of a few shards
+        return blocks.join(self.slots().hint("merge"), ["k", "block"])
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
