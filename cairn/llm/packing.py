@@ -28,38 +28,62 @@ WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Rows of a chunk within which remainders are numbered in one task.
 CHUNK_ROWS = 20_000
 
 
-class WordIds:
-    """Ids of the tokenizer as bytes (little-endian, 32 bits), remembered by word.
+class WordIds(dict):
+    """Ids of the tokenizer as bytes (little-endian, 32 bits) by word, made when a word is first met.
 
     The tokenizer drops white space, and a space or line feed always ends a word, so a text's ids are
-    those of its words. A text that holds a special token's string is given to the tokenizer whole.
+    those of its words. It lowers case and parts letters from full stops and commas. So a word of Latin
+    letters, lowered, goes to the tokenizer's merges at once, without its normaliser and splitter; any
+    other word takes the whole way. A text that holds a special token's string is given to it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.bytes = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        # All below U+0250 is unchanged by NFC, and its lower case is that of each letter.
+        latin = word and max(word) < "\u0250"
+        low = word.lower() if latin else word
+        if latin and len(low) > 1 and low[-1] in ".," and low[-2].isalpha():
+            ids = self[low[:-1]] + self[low[-1]]
+        elif latin and low.isalpha() and max(low) < "\u0250":
+            ids = self[low] if low != word else self._merged(low)
+        else:
+            ids = self._whole(word)
+        if len(word) <= 64:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _merged(self, word: str) -> bytes:
+        own = [t.id for t in self.model.tokenize("".join(map(self.bytes.__getitem__, word.encode())))]
+        return struct.pack(f"<{len(own)}I", *own)
+
+    def _whole(self, text: str) -> bytes:
+        own = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(own)}I", *own)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > REMEMBERED:
-            memo.clear()
-        split = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split if words is not None for w in words if w not in memo})
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        memo.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-        get = lambda w: memo[w] if w in memo else fresh[w]
-        return [self._encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        return [self._whole(t) if any(s in t for s in self.special) else b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+def _byte_letters() -> list[str]:
+    """The printable character by which byte-level tokenizers write each byte: itself where printable in Latin-1, else from U+0100 on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
 @functools.lru_cache(maxsize=2)
