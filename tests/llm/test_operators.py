@@ -1,0 +1,291 @@
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+
+from cairn.llm import exact_dedup as ed
+from cairn.llm import fingerprint as fp
+from cairn.llm import license_scan as ls
+from cairn.llm import line_dedup as ld
+from cairn.llm import secret_scan as ss
+from cairn.llm.near_dedup import near_dedup, one_of_each
+from cairn.llm.packing import pack_documents
+from cairn.llm.token_count import token_counts
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+SPACE = "[\x20\x09-\x0d]"
+
+
+def collected(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def test_token_counts_equal_the_library(docs, rows, empty):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in collected(token_counts(docs, path)))
+    want = Counter()
+    for i, t, _ in rows:
+        n = len(library.encode(t or ""))
+        want[i, len((t or "").encode()), n, n > 4096] += 1
+    assert got == want
+    assert token_counts(empty, path).count() == 0
+
+
+def test_packing_round_trip(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    ids = defaultdict(list)
+    for i, t, _ in rows:
+        ids[i].append([*library.encode(t or "", add_special_tokens=False).ids, 1])
+    got = collected(pack_documents(docs, path))
+    assert sum(r["length"] for r in got) == sum(len(x) for own in ids.values() for x in own)
+    at = defaultdict(list)
+    for r in got:
+        own = ids[r["doc_id"]][0]  # repeated rows are equal
+        piece = own[r["start"] : r["start"] + r["length"]]
+        assert (r["length"], r["doc_tokens"]) == (len(piece), len(own))
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(piece)}I", *piece))
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in at.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(at) == max(at) + 1
+    assert pack_documents(empty, path).count() == 0
+
+
+def test_exact_dedup(docs, rows, empty):
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[re.sub(SPACE, "", t or "")].append((-len(t or ""), i is None, i))
+    want = Counter()
+    for i, t, _ in rows:
+        key = re.sub(SPACE, "", t or "")
+        keep = min(groups[key], key=lambda x: (x[0], x[1], x[2] or 0))[2]
+        want[i, keep, len(groups[key]), i == keep, hashlib.sha256(key.encode()).hexdigest()] += 1
+    assert Counter(tuple(r.values()) for r in collected(ed.exact_dedup(docs))) == want
+    assert ed.exact_dedup(empty).count() == 0
+    # a history takes part but gets no rows; nonmembers form their own groups
+    new, old = docs.filter("doc_id > 5"), docs.filter("doc_id <= 5")
+    got = {r["doc_id"]: r for r in collected(ed.exact_dedup(new, old))}
+    assert set(got) == {i for i, _, _ in rows if i is not None and i > 5}
+    assert got[6]["group_size"] == 3 and got[6]["keep_id"] == 6  # the longest of the blank ones
+    assert got[9]["group_size"] == 1 and got[9]["kept"]
+
+
+def test_perfect_hash_is_minimal_and_checks_bytes():
+    import numpy as np
+    import pandas as pd
+
+    keys = [hashlib.sha256(str(k).encode()).digest() for k in range(5000)]
+    shard = ed.Shard(pd.DataFrame({"digest": keys}))
+    slots = shard.hash.slots(np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(-1, 32))
+    assert sorted(slots) == list(range(5000))
+    assert list(shard.lookup(pd.Series(keys))) == list(range(5000))
+    others = [hashlib.sha256(f"-{k}".encode()).digest() for k in range(2000)]
+    assert set(shard.lookup(pd.Series(others))) == {-1}
+
+
+@pytest.mark.parametrize("broadcast_lines", [1_000_000, 0])
+def test_line_dedup(docs, rows, empty, broadcast_lines):
+    sites = defaultdict(set)
+    for _, t, s in rows:
+        for line in (t or "").split("\n"):
+            if x := line.strip(ld.ENDS):
+                sites[x].add(s or "")
+    bad = {x for x, s in sites.items() if len(s) >= 3}
+    assert bad == {"shared line"}
+    want = Counter()
+    for i, t, _ in rows:
+        lines = [] if t is None else t.split("\n")
+        kept = [x for x in lines if x.strip(ld.ENDS) not in bad]
+        want[i, None if t is None else "\n".join(kept), sum(bool(x.strip(ld.ENDS)) for x in lines), len(lines) - len(kept)] += 1
+    got = collected(ld.line_dedup(docs, 3, broadcast_lines=broadcast_lines))
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got) == want
+    assert all(r["lang"] == "en" and r["digest"] == "x" for r in got)
+    assert ld.line_dedup(empty, 3, broadcast_lines=broadcast_lines).count() == 0
+
+
+def test_near_threshold_lines_are_counted_exactly(spark):
+    rows = [(k, f"line of {n} sites", f"s{k}") for n in (5, 39, 40, 41, 200) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bad = {bytes(r[0]) for r in ld.boilerplate(docs, 40).collect()}
+    assert bad == {ld.digest(f"line of {n} sites") for n in (40, 41, 200)}
+
+
+def likeness(a, b):
+    x, y = Counter(fp.paragraphs(a)), Counter(fp.paragraphs(b))
+    union = sum((x | y).values())
+    return sum((x & y).values()) / union if union else 1.0
+
+
+def test_fingerprints(docs, rows, empty):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = Counter()
+    for k, (i, t, _) in enumerate(order):
+        own, after = t or "", order[(k + 1) % len(order)][1] or ""
+        changed = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        want[i, len(own), hashlib.sha256(changed.encode()).hexdigest(), round(likeness(own, changed), 9), round(likeness(own, after), 9)] += 1
+    got = collected(fp.document_fingerprints(docs))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    by = defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add(r["fingerprint"])
+    assert len(by[7]) == 1 and by[4] == by[5] and by[1] != by[3]
+    assert fp.document_fingerprints(empty).count() == 0
+    one = docs.filter("doc_id = 11")
+    assert collected(fp.document_fingerprints(one))[0]["near_next"] == 1.0
+
+
+def test_peeling_recovers_the_difference():
+    import numpy as np
+
+    a = fp.Digests.of(["\n".join(f"p{k}" for k in range(300)), "same", ""])
+    b = fp.Digests.of(["\n".join(f"p{k}" for k in range(100, 450)), "same", "new"])
+    only_a, only_b, found = fp.difference(a, b)
+    assert only_a.tolist() == [100, 0, 0] and only_b.tolist() == [150, 0, 1]
+    got = {(int(v), int(s)) for d, value, sign in found for k, v, s in zip(d, value, sign, strict=True) if k == 0}
+    mine, yours = set(a.value[a.doc == 0].tolist()), set(b.value[b.doc == 0].tolist())
+    assert got == {(v, 1) for v in mine - yours} | {(v, -1) for v in yours - mine}
+    assert isinstance(only_a, np.ndarray)
+
+
+def brute_secrets(t):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secrets(docs, rows, empty):
+    base = [r.kind for r in ss.BASE]
+    want = Counter()
+    for i, t, _ in rows:
+        found = brute_secrets(t or "")
+        said = ",".join(f"{base[k]}:{s}:{e}" for s, k, e in found)
+        want[(i, *[sum(k == n for _, k, _ in found) for n in range(3)], hashlib.sha256(said.encode()).hexdigest())] += 1
+    got = collected(ss.secret_digest(ss.secret_scan(docs)))
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == want
+    assert ss.secret_digest(ss.secret_scan(empty)).count() == 0
+
+
+def test_secrets_on_random_texts():
+    import random
+
+    draw, own = random.Random(3), ss.scanner()
+    parts = ["password", "passwd", "secret", "Token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "abcdef", "é", "日", "ab", "-", ".", "ſ", "K", "token="]
+    for _ in range(3000):
+        t = "".join(draw.choice(parts) for _ in range(draw.randint(1, 14)))
+        data = t.encode()
+        assert [x for x in ss.in_code_points(data, own.find(data)) if x[1] < 3] == brute_secrets(t), t
+
+
+def test_secrets_of_more_kinds():
+    own = ss.scanner()
+    t = b"ghp_" + b"a1B2" * 9 + b" xoxb-12345678901 -----BEGIN RSA PRIVATE KEY----- AIza" + b"x" * 35
+    assert [own.rules[k].kind for _, k, _ in own.find(t)] == ["github", "slack", "pem", "google"]
+
+
+def test_licenses(docs, rows, empty):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    phrases = [(t.text.split(), t.label) for t in ls.BASE]
+    want = Counter()
+    for i, t, _ in rows:
+        words = word.findall((t or "").translate(LOWER))
+        hits = [(k, label) for k in range(len(words)) for p, label in phrases if words[k : k + len(p)] == p]
+        at = [k for k, _ in hits]
+        want[i, len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))] += 1
+    got = collected(ls.license_digest(ls.license_scan(docs)))
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == want
+    assert ls.license_digest(ls.license_scan(empty)).count() == 0
+
+
+def test_licenses_of_more_kinds(spark):
+    texts = {
+        1: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software",
+        2: "Licensed under the Apache License, Version 2.0.",
+        3: "This work is licensed under the GNU General Public License, version 3.",
+        4: "hereby any person obtaining the software is associated with charge and restriction documentation",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in collected(ls.license_digest(ls.license_scan(docs)))}
+    assert got[1]["labels"] == "mit-text" and got[1]["base_labels"] == ""
+    assert got[2]["labels"] == "apache,apache-2.0" and got[3]["labels"] == "gpl,gpl-3.0"
+    assert got[4]["labels"] == "" and got[4]["score"] == 0.0 and got[2]["score"] > 0.9
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t, _ in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(i for i in sets if i is not None)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sets, {i: find(i) for i in sets}
+
+
+def test_near_dedup(docs, rows, empty):
+    sets, root = brute_components(rows)
+    got = Counter(tuple(r.values()) for r in collected(near_dedup(docs)))
+    want = Counter((i, len(sets[i]), None if i is None else root[i], i is None or root[i] == i) for i, _, _ in rows)
+    assert got == want
+    assert near_dedup(empty).count() == 0
+    kept = [r["doc_id"] for r in collected(one_of_each(docs))]
+    assert sorted(x for x in kept if x is not None) == sorted(i for i in root if i is not None and root[i] == i) and kept.count(None) == 1
+    assert one_of_each(empty).count() == 0
+
+
+def test_near_dedup_of_hubs_chains_and_shared_passages(spark):
+    import random
+
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    base = [draw.choice(words) for _ in range(200)]
+    rows = [(500, " ".join(base), "s")]
+    for k in range(60):  # copies that are near the hub, but hardly near each other
+        own = list(base)
+        for p in draw.sample(range(200), 5):
+            own[p] = f"v{k}_{p}"
+        rows.append((k, " ".join(own), "s"))
+    step = [draw.choice(words) for _ in range(150)]
+    for k in range(12):  # a chain: each near the next only
+        rows.append((1000 + k, " ".join(step), "s"))
+        step = step[12:] + [draw.choice(words) for _ in range(12)]
+    passage = [draw.choice(words) for _ in range(120)]
+    for k in range(80):  # a passage that many share, too little to link them
+        rows.append((2000 + k, " ".join(passage + [draw.choice(words) for _ in range(60)]), "s"))
+    draw.shuffle(rows)
+    _, root = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in collected(near_dedup(docs))} == root
+
+
+@pytest.mark.parametrize("name", ["op1_license_scan", "op4_document_fingerprints", "op7_secret_scan"])
+def test_queries_keep_every_document(spark, data, name):
+    from cairn.llm.queries import QUERIES
+
+    assert QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
