@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one per operator of the survey."""
 
-from cairn.plans import ingest, search
+from cairn.plans import graph, ingest, search
 from cairn.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "ingest", "search"]
+__all__ = ["ORACLE", "QUERIES", "graph", "ingest", "search"]
