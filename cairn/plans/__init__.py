@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one per operator of the survey."""
 
-from cairn.plans import graph, ingest, ops, search
+from cairn.plans import graph, ingest, ops, search, sources
 from cairn.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "graph", "ingest", "ops", "search"]
+__all__ = ["ORACLE", "QUERIES", "graph", "ingest", "ops", "search", "sources"]

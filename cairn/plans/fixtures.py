@@ -138,4 +138,17 @@ FIXTURES: dict[str, str] = {
             CAST(l_quantity AS BIGINT) AS confidence_pct, l_returnflag = 'R' AS deterministic, 'n' || CAST(l_suppkey % 9 AS STRING) AS alias, l_suppkey AS evidence_file, l_suppkey % 4 AS fingerprint
         FROM {lineitem}
     """,
+    "sources": """
+        SELECT p_partkey AS id, 'src/f' || CAST(p_partkey AS STRING) || '.ts' AS path,
+            'import Def' || CAST(p_partkey % 7 AS STRING) || ', ' || chr(123) || ' A as B, type C ' || chr(125) || ' from ' || chr(39) || './m' || CAST(p_partkey % 50 AS STRING) || chr(39) || ';' || chr(10)
+            || '@Injectable()' || chr(10) || 'export class K' || CAST(p_partkey AS STRING) || ' extends ns.Base' || CAST(p_size AS STRING) || ' ' || chr(123) || chr(10)
+            || '  constructor(private readonly repo: Repo' || CAST(p_size AS STRING) || ') ' || chr(123) || chr(125) || chr(10)
+            || '  /** Loads. */' || chr(10) || '  protected run(x: string): void ' || chr(123) || chr(10)
+            || '    if (user.role && x) ' || chr(123) || ' throw new Denied(x); ' || chr(125) || chr(10)
+            || '    this.repo.load' || CAST(p_partkey % 3 AS STRING) || '(x); this.status = S.Done; this.bus.emit(' || chr(39) || 'e' || CAST(p_partkey % 11 AS STRING) || chr(39) || ', x);' || chr(10)
+            || '  ' || chr(125) || chr(10) || chr(125) || chr(10)
+            || 'export enum S' || CAST(p_partkey AS STRING) || 'Status ' || chr(123) || ' On, Off ' || chr(125) || chr(10)
+            || CASE WHEN p_partkey % 10 = 0 THEN 'function open() ' || chr(123) ELSE 'export * from ' || chr(39) || './all' || chr(39) || '; ' END AS text
+        FROM {part}
+    """,
 }

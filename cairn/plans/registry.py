@@ -62,7 +62,7 @@ def query(sql: str | None = None):
         QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             # <L> and <N> stand for braces of regex classes, which would name fixtures
-            ORACLE[fn.__name__] = duckdb_sql(sql).replace("<L>", "{L}").replace("<N>", "{N}").replace("<32>", "{32}")
+            ORACLE[fn.__name__] = duckdb_sql(sql).replace("<L>", "{L}").replace("<N>", "{N}").replace("<32>", "{32}").replace("<o>", "{").replace("<c>", "}")
         return fn
 
     return register

@@ -5,6 +5,11 @@ Running the tool is the driver's business and outside Spark; these functions tak
 
 from __future__ import annotations
 
+import re
+import subprocess
+import threading
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +55,23 @@ def blobs(spark: SparkSession, path: str, most: int) -> DataFrame:
     own = spark.read.format("binaryFile").load(path)
     fine = F.coalesce((F.col("length") <= most) & F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
     return own.select("path", F.when(fine, F.col("content").cast("string")).alias("text"), (~fine).alias("refused"))
+
+
+_syncing: dict[str, threading.Lock] = {}
+
+
+def sync(url: str, root: str, organization: str, repository: int, timeout: float = 600) -> str:
+    """Clone a bare copy below root, or fetch into the one that is there; one at a time for each repository. Returns its path.
+
+    This runs on the driver, before Spark has anything to read.
+    """
+    if not re.fullmatch(r"[\w-]+", organization):
+        raise ValueError("the organisation is no folder name")
+    path = Path(root) / organization / f"{int(repository)}.git"
+    with _syncing.setdefault(str(path), threading.Lock()):
+        if path.exists():
+            subprocess.run(["git", "--git-dir", str(path), "fetch", "--prune", "--quiet", "origin", "+refs/heads/*:refs/heads/*"], check=True, capture_output=True, timeout=timeout)
+        else:
+            path.parent.mkdir(parents=True, exist_ok=True)
+            subprocess.run(["git", "clone", "--bare", "--quiet", "--", url, str(path)], check=True, capture_output=True, timeout=timeout)
+    return str(path)
