@@ -43,19 +43,47 @@ def shared_folder(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table written to the shared folder, so that lineage ends there and sizes are known to the planner.
 
     A checkpoint would keep the estimated sizes of the plan before it, which compound from join to
-    join. The tables are deleted when the driver ends.
+    join. The tables are deleted when the driver ends; Scratch deletes its own earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cairn-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = path or f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tidied(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation: a slot that is written again gives up its earlier table, and drop() ends them all once the result is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held, self.folder = spark, {}, f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, slot: str | None = None) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        out = saved(df, path)
+        if slot is not None:
+            if slot in self.held:
+                _delete(self.spark, self.held[slot])
+            self.held[slot] = path
+        return out
+
+    def drop(self) -> None:
+        _delete(self.spark, self.folder)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cairn-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _tidy: set[str] = set()
 
 
@@ -65,12 +93,11 @@ def _tidied(spark: SparkSession) -> None:
     if app in _tidy:
         return
     _tidy.add(app)
-    folder = f"{shared_folder(spark)}/cairn-{app}"
+    folder = _folder(spark)
 
     def delete() -> None:
         if spark.sparkContext._jsc is not None:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
 
     atexit.register(delete)
 
@@ -145,5 +172,15 @@ def crc(text: bytes) -> int:
     return zlib.crc32(text) & 0xFFFFFFFF
 
 
+#: Ids that may be broadcast for a semi join (some 24 bytes each in memory); more are met by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows whose id_col is in ids (one column of that name, distinct, stored): without a shuffle of rows while ids are few."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), id_col, "left_semi")
+
+
 def long_id(name: str = "doc_id") -> Column:
     return F.col(name).cast("long").alias(name)

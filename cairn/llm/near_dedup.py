@@ -5,12 +5,13 @@ keeping its smallest value; an empty bin copies a bin that its own pseudorandom
 (optimal densification). Bands of consecutive bins are bucket keys. Equal sets are one
 representative from the start, so copies cost nothing further.
 
-Within a bucket, candidate edges form stars: centres (the representatives that share the most
-buckets) are compared with the other members, so pairs are bounded by centres times members. Links
-are confirmed on full sets and contracted into components; then the centres leave their buckets,
-buckets whose members are one component are done, and the rest get further centres, twice as many a
-round. A bucket ends when no two members of different components are left uncompared, so the stars
-lose no link that a common bucket shows.
+Candidate edges form stars: each representative is compared with one centre, the most popular
+representative that shares a bucket with it. Links are confirmed on full sets and contracted into
+components. Buckets whose members are one component are done, which leaves little. In the rest,
+members of different components are compared: in small buckets pair by pair, in large ones tile by
+tile against the bucket's largest component, so that no link that a common bucket shows is lost.
+Large buckets may hold many documents that merely share a passage: before all that, their members
+are dealt anew by their rare shingles, which loses no link either.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batches, column, mix64, saved, texts
+from cairn.llm.common import Scratch, batches, column, mix64, saved, texts, with_ids
 
 WORDS = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -32,8 +33,10 @@ PERCENT = 75
 #: Bands of ROWS bins: a pair at similarity 0.75 shares no bucket with probability (1 - 0.75**5)**48 < 3e-6.
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
-#: Buckets of at most so many members have every member as a centre in the first round; larger ones begin with FIRST_CENTRES.
-SMALL, FIRST_CENTRES = 16, 2
+#: Members above which a band's bucket gives way to buckets by rare shingles, and members are compared in tiles.
+LARGE = 32
+#: Sets of a block; a tile compares two blocks.
+TILE = 256
 PROBES = 256
 #: Words whose hashes a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
@@ -129,7 +132,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
         return {"doc_id": column(part, "doc_id"), "set": [shingles(t).tobytes() for t in texts(part, "text_")]}
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text_"))
-    return batches(rows.join(ids, "doc_id", "left_semi"), build, "doc_id long, set binary")
+    return batches(with_ids(rows, ids, "doc_id"), build, "doc_id long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -149,27 +152,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return batches(both.select("a", "b", "set_a", "set_b"), check, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame | None:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame | None:
     """node, root (the smallest node of its component) of the nodes in edges (a, b); None if there are no edges.
 
     Every node points to its smallest neighbour, pointers are doubled, and edges are contracted onto
     what they point to, until none is left.
     """
-    roots: DataFrame | None = None
-    edges = saved(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch, roots = scratch or Scratch(edges.sparkSession), None
+    edges = scratch.save(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        up = _jumped(_jumped(up.withColumnRenamed("a", "node")))
-        up = saved(up)
+        up = scratch.save(_jumped(_jumped(up.withColumnRenamed("a", "node"))))
         if roots is None:
             roots = up.withColumnRenamed("to", "root")
         else:
             moved = up.select(F.col("node").alias("root"), "to")
-            old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            roots = saved(old)
+            roots = scratch.save(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         a, b = up.select(F.col("node").alias("a"), F.col("to").alias("x")), up.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = saved(edges.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = scratch.save(edges.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     return roots
 
 
@@ -178,46 +179,169 @@ def _jumped(up: DataFrame) -> DataFrame:
     return up.join(further, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
 
 
+def prefix_members(sets: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, rep, n_shingles, size: buckets by rare shingles for reps (rep, n_shingles), an exact way for large buckets.
+
+    Sets that are similar enough share one of their rarest shingles: of n in the order of how many of
+    reps hold them, the first n - ceil(percent * n / 100) + 1. A passage that many documents share is
+    frequent, so it comes last and makes no bucket unless it is nearly all of a document.
+    """
+
+    def spread(part: pa.RecordBatch) -> dict:
+        every = [np.frombuffer(x, dtype=np.int64) for x in column(part, "set").to_pylist()]
+        sizes = [len(x) for x in every]
+        return {"rep": np.repeat(column(part, "rep").to_numpy(), sizes), "n_shingles": np.repeat(sizes, sizes), "shingle": np.concatenate(every) if every else np.zeros(0, dtype=np.int64)}
+
+    own = sets.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "set")
+    rows = batches(own, spread, "rep long, n_shingles long, shingle long")
+    # shingles of one representative alone come first in its order, and meet nobody
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    met = rows.join(held, "shingle").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    need = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    first = F.greatest(F.lit(0), need - (F.col("n_shingles") - F.size("shared"))).cast("int")
+    keys = met.select("rep", "n_shingles", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.xxhash64(F.col("x.shingle")).alias("key"), "rep", "n_shingles")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return keys.join(sizes, "key").select("key", "rep", "n_shingles", "size")
+
+
 def linked(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """node, root of the representatives (rep, n_shingles, bands) that have links; None without any."""
+    scratch = Scratch(docs.sparkSession)
+    try:
+        roots = _stars(docs, reps, id_col, text_col, scratch)
+        return None if roots is None else saved(roots)
+    finally:
+        scratch.drop()
+
+
+def _stars(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame | None:
     rows = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = saved(rows.join(sizes, "key"))
+    members = scratch.save(rows.join(sizes, "key").select("key", "rep", "n_shingles", "size"))
     if members.isEmpty():
         return None
+    ids = scratch.save(members.select(F.col("rep").alias("doc_id")).distinct())
+    sets = scratch.save(shingle_sets(docs, ids, id_col, text_col))
+    crowded = members.filter(F.col("size") > LARGE)
+    if not crowded.isEmpty():
+        rare = prefix_members(sets, crowded.select("rep", "n_shingles").distinct())
+        members = scratch.save(members.filter(F.col("size") <= LARGE).unionByName(rare))
     popular = members.groupBy("rep").agg(F.sum("size").alias("popular"))
-    members = saved(members.join(popular, "rep").select("key", "rep", "n_shingles", "popular", F.col("rep").alias("label")))
-    sets = saved(shingle_sets(docs, popular.select(F.col("rep").alias("doc_id")), id_col, text_col))
-    tried: DataFrame | None = None
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    centres = FIRST_CENTRES
-    while True:
-        most = max(SMALL, centres)
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("popular"), "rep"))
-        # only the first few of a bucket are ranked, so a large bucket is cut down before it is sorted
-        stars = members.withColumn("rank", rank).filter(F.col("rank") <= most).join(sizes, "key").filter((F.col("size") <= SMALL) | (F.col("rank") <= centres))
-        stars = saved(stars.select("key", F.col("rep").alias("c"), F.col("n_shingles").alias("c_n"), F.col("label").alias("c_label")))
-        close = 100 * F.least("n_shingles", "c_n") >= PERCENT * F.greatest("n_shingles", "c_n")
-        pairs = members.join(stars, "key").filter((F.col("label") != F.col("c_label")) & close).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        found = saved(confirmed(pairs, sets))
-        links = found if links is None else saved(links.union(found))
-        roots = components(links)
-        left = members.join(stars.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti").drop("label")
-        if roots is not None:
-            left = left.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-        else:
-            left = left.withColumn("label", F.col("rep"))
-        mixed = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        members = saved(left.join(mixed, "key", "left_semi").select("key", "rep", "n_shingles", "popular", "label"))
-        if members.isEmpty():
-            return roots
-        centres *= 2
+    members = scratch.save(members.join(popular, "rep"), "members")
+    links = scratch.save(confirmed(scratch.save(best_centres(members)), sets))
+    roots = components(links, scratch)
+    members = scratch.save(_mixed(members, roots), "members")
+    if members.isEmpty():
+        return roots
+    few = scratch.save(confirmed(scratch.save(_pairs(members.filter(F.col("size") <= LARGE))), sets))
+    many = members.filter(F.col("size") > LARGE)
+    if not many.isEmpty():
+        few = few.union(scratch.save(family_links(many, roots, sets, scratch)))
+    return roots if few.isEmpty() else components(links.union(few), scratch)
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """Pairs of different labels in buckets of bounded size, each once: at most LARGE / 2 for each member of a bucket."""
+    other = members.select("key", F.col("rep").alias("c"), F.col("n_shingles").alias("c_n"), F.col("label").alias("c_label"))
+    met = members.join(other.hint("merge"), (members["key"] == other["key"]) & (F.col("rep") < F.col("c")) & (F.col("label") != F.col("c_label")) & _close())
+    return met.select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
+
+
+def family_links(members: DataFrame, roots: DataFrame | None, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between different labels in large buckets, compared in tiles.
+
+    A bucket's largest component is its family; the bucket's other members are attached to it. All that
+    are attached to a family are compared with its component and with each other: queries and the
+    family's members are dealt into blocks of TILE, and a tile is a block of each. So a set travels
+    once for each block it meets, not once for each pair, and no task holds more than two blocks.
+    """
+    spark = members.sparkSession
+    nodes = roots if roots is not None else spark.createDataFrame([], "node long, root long")
+    held = nodes.groupBy(F.col("root").alias("label")).agg(F.count(F.lit(1)).alias("held"))
+    sized = members.join(held, "label", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    family = sized.groupBy("key").agg(F.max(F.struct("held", "label")).alias("top")).select("key", F.col("top.label").alias("family"))
+    attached = scratch.save(members.join(family, "key").filter("label <> family").select("family", "rep", "label").distinct())
+    families = attached.select("family").distinct()
+    whole = nodes.join(families, nodes["root"] == families["family"]).select("family", F.col("node").alias("rep"), F.col("root").alias("label"))
+    alone = families.join(nodes.select(F.col("root").alias("family")).distinct(), "family", "left_anti").select("family", F.col("family").alias("rep"), F.col("family").alias("label"))
+    every = scratch.save(whole.union(alone).union(attached.select("family", "rep", "label")).distinct())
+    blocks = every.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    asked = attached.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("asks"))
+    grid = scratch.save(blocks.join(asked, "family"))
+    own, ask = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("asks")).cast("int")
+    of = sets.select(F.col("doc_id").alias("rep"), "set")
+    base = every.join(grid, "family").withColumn("block", own).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    queries = attached.join(grid, "family").withColumn("ask", ask).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = lambda df: df.select("family", "block", "ask", "rep", "label").join(of.hint("merge"), "rep")
+    left = tile(queries).select(*[F.col(c).alias(c + "_q") for c in ("family", "block", "ask", "rep", "label", "set")]).toDF("family", "block", "ask", "rep", "label", "set")
+
+    def compare(q: pa.Table, b: pa.Table) -> pa.Table:
+        return tile_links(q, b)
+
+    return left.groupBy("family", "block", "ask").cogroup(tile(base).groupBy("family", "block", "ask")).applyInArrow(compare, "a long, b long")
+
+
+def tile_links(q: pa.Table, b: pa.Table, percent: int = PERCENT) -> pa.Table:
+    """Links between the rows of two tables (rep, label, set) of different labels: one for each query and label, as any will do."""
+    out_a: list[int] = []
+    out_b: list[int] = []
+    if q.num_rows and b.num_rows:
+        sides = [[np.frombuffer(x, dtype=np.uint64) for x in t["set"].to_pylist()] for t in (q, b)]
+        sizes = [np.array([len(x) for x in side]) for side in sides]
+        both = overlaps(*sides)
+        similar = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+        reps, labels = [t["rep"].to_numpy() for t in (q, b)], [t["label"].to_numpy() for t in (q, b)]
+        similar &= labels[0][:, None] != labels[1][None, :]
+        for i in np.flatnonzero(similar.any(axis=1)):
+            hit = np.flatnonzero(similar[i])
+            first = np.unique(labels[1][hit], return_index=True)[1]
+            out_a += [int(reps[0][i])] * len(first)
+            out_b += reps[1][hit[first]].tolist()
+    return pa.table({"a": pa.array(out_a, type=pa.int64()), "b": pa.array(out_b, type=pa.int64())})
+
+
+def overlaps(q: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each pair of sets shares: products of 0/1 matrices, width columns of shared elements at a time."""
+    codes, counts = [], []
+    flat = [np.concatenate(side) for side in (q, b)]
+    shared = np.intersect1d(*flat)
+    for side, values in zip((q, b), flat, strict=True):
+        at = np.searchsorted(shared, values)
+        hit = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == values) if len(shared) else np.zeros(len(values), dtype=bool)
+        codes.append(at[hit])
+        counts.append(np.repeat(np.arange(len(side)), [len(x) for x in side])[hit])
+    out = np.zeros((len(q), len(b)), dtype=np.int64)
+    for low in range(0, len(shared), width):
+        ones = []
+        for code, row, n in zip(codes, counts, out.shape, strict=True):
+            now = (code >= low) & (code < low + width)
+            m = np.zeros((n, min(width, len(shared) - low)), dtype=np.float32)
+            m[row[now], code[now] - low] = 1
+            ones.append(m)
+        out += np.rint(ones[0] @ ones[1].T).astype(np.int64)
+    return out
+
+
+def _close():
+    """Sizes that a link allows."""
+    return 100 * F.least("n_shingles", "c_n") >= PERCENT * F.greatest("n_shingles", "c_n")
+
+
+def best_centres(members: DataFrame) -> DataFrame:
+    """One pair (a, b) for each member: with the most popular centre of all its buckets. A large group of copies around one document needs no more."""
+    tops = members.groupBy("key").agg(F.min(F.struct((-F.col("popular")).alias("less"), F.col("rep").alias("c"), F.col("n_shingles").alias("c_n"))).alias("top")).select("key", "top.*")
+    best = members.join(tops, "key").filter((F.col("rep") != F.col("c")) & _close()).groupBy("rep").agg(F.min(F.struct("less", "c")).alias("best"))
+    return best.select(F.least("rep", "best.c").alias("a"), F.greatest("rep", "best.c").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """members with label, the root of each, of the buckets only that hold several labels."""
+    if roots is None:
+        left = members.withColumn("label", F.col("rep"))
+    else:
+        left = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+    several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return left.join(several, "key", "left_semi").select("key", "rep", "n_shingles", "size", "label")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,8 +370,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that near_dedup keeps: one document of each group. Rows that repeat a doc_id are one document; rows without one stay."""
     kept = saved(near_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_")))
-    out = docs.join(kept.filter("kept_ is not null").distinct(), docs[id_col].cast("long") == F.col("kept_"), "left_semi")
-    if kept.groupBy("kept_").count().filter("kept_ is not null and count > 1").isEmpty():
-        return out.unionByName(docs.filter(docs[id_col].cast("long").isNull()))
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), text_col))
-    return out.withColumn("nth__", first).filter("nth__ = 1").drop("nth__").unionByName(docs.filter(docs[id_col].cast("long").isNull()))
+    nulls = docs.filter(docs[id_col].cast("long").isNull())
+    ids = saved(kept.filter("kept_ is not null").distinct())
+    out = with_ids(docs.withColumn("kept_", F.col(id_col).cast("long")), ids, "kept_").drop("kept_")
+    if kept.filter("kept_ is not null").count() > ids.count():
+        first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), text_col))
+        out = out.withColumn("nth__", first).filter("nth__ = 1").drop("nth__")
+    return out.unionByName(nulls)
