@@ -128,7 +128,16 @@ def heritage_targets(heritage: DataFrame, bindings: DataFrame) -> DataFrame:
     return met.select("id", F.col("b.module").alias("module"), target.alias("target_name"), F.col("target").alias("local"))
 
 
-def first_offender(df: DataFrame, amount: str, order: list[str], limit: int) -> DataFrame:
-    """The row at which a running total first passes limit; empty if it never does. Only rows with a total above the limit make the window matter, so the sum is checked first by callers."""
-    run = F.sum(amount).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", run).filter(F.col("running") > limit).orderBy(*order).limit(1)
+def first_offender(df: DataFrame, amount: str, key: str, limit: int, span: int = 4096) -> DataFrame:
+    """The row (with running) at which the total in the order of an integer key first passes limit; empty if it never does.
+
+    Spans of keys are summed first, so the ordered window over all sees a row per span, and only the
+    span that passes the limit is looked at row by row.
+    """
+    bucket = F.floor(F.col(key) / span)
+    sums = df.groupBy(bucket.alias("span_")).agg(F.sum(amount).alias("sum_"))
+    before = F.sum("sum_").over(Window.orderBy("span_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum_")
+    crossing = sums.withColumn("before_", before).filter(F.col("before_") + F.col("sum_") > limit).orderBy("span_").limit(1).select("span_", "before_")
+    inside = df.withColumn("span_", bucket).join(F.broadcast(crossing), "span_")
+    running = F.col("before_") + F.sum(amount).over(Window.partitionBy("span_").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("running", running).filter(F.col("running") > limit).orderBy(key).limit(1).drop("span_", "before_")

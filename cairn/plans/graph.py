@@ -213,7 +213,7 @@ def agg_budget(t: Tables) -> DataFrame:
     from cairn.operators.ingest import first_offender
 
     own = t.orders.select(F.col("o_orderkey").alias("id"), F.round("o_totalprice").cast("long").alias("amount"))
-    return first_offender(own, "amount", ["id"], 1_000_000).select("id", "running")
+    return first_offender(own, "amount", "id", 1_000_000).select("id", "running")
 
 
 @query("SELECT e.id FROM {edges} e WHERE NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.id = e.source_node_id AND n.snapshot_id = e.snapshot_id) OR NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.id = e.target_node_id AND n.snapshot_id = e.snapshot_id) GROUP BY ALL")
@@ -289,8 +289,8 @@ def kq_snapshots(t: Tables) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM {nodes} WHERE snapshot_id = 1) AS nodes, (SELECT count(*) FROM {edges} WHERE snapshot_id = 1) AS edges")
 def kq_current(t: Tables) -> DataFrame:
-    one = lambda df, n: df.filter("snapshot_id = 1").agg(rows().alias(n))  # noqa: E731  a row each
-    return one(t.nodes, "nodes").crossJoin(one(t.edges, "edges"))
+    one = lambda df, node: df.filter("snapshot_id = 1").select(F.lit(node).alias("node"))
+    return one(t.nodes, True).unionAll(one(t.edges, False)).agg(F.count_if("node").alias("nodes"), F.count_if(~F.col("node")).alias("edges"))
 
 
 @query("SELECT n.snapshot_id, n.nodes, e.edges FROM (SELECT snapshot_id, count(*) AS nodes FROM {nodes} GROUP BY 1) n JOIN (SELECT snapshot_id, count(*) AS edges FROM {edges} GROUP BY 1) e USING (snapshot_id)")
