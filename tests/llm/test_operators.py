@@ -289,3 +289,30 @@ def test_queries_keep_every_document(spark, data, name):
     from cairn.llm.queries import QUERIES
 
     assert QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_tiles_count_overlaps_and_give_one_link_a_label():
+    import numpy as np
+    import pyarrow as pa
+
+    from cairn.llm.near_dedup import overlaps, tile_links
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
+    got = overlaps(sets[:15], sets[15:], width=7)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[15:]] for a in sets[:15]]
+    assert overlaps([np.array([1], dtype=np.uint64)], [np.array([2], dtype=np.uint64)]).tolist() == [[0]]
+    table = lambda reps, labels, own: pa.table({"rep": reps, "label": labels, "set": [x.tobytes() for x in own]})
+    a = np.arange(100, dtype=np.uint64)
+    near, far = np.arange(10, 100, dtype=np.uint64), np.arange(60, 160, dtype=np.uint64)
+    links = tile_links(table([1, 2], [1, 7], [a, far]), table([7, 8, 9], [7, 7, 1], [near, near, a])).to_pydict()
+    assert links == {"a": [1], "b": [7]}
+
+
+def test_components_of_stars_chains_and_rings(spark):
+    from cairn.llm.near_dedup import components
+
+    edges = [(9, k) for k in range(10, 60)] + [(k, k + 1) for k in range(100, 140)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 9 for k in range(9, 60)} | {k: 100 for k in range(100, 141)} | {k: 200 for k in range(200, 203)}
+    assert components(spark.createDataFrame([], "a long, b long")) is None
