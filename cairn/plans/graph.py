@@ -208,7 +208,7 @@ def agg_state_merge(t: Tables) -> DataFrame:
     return a.most_confident(t.facts, ["kind", "identity_key"], ["confidence_pct", "ord"], "ord")
 
 
-@query("SELECT o_orderkey AS id, running FROM (SELECT o_orderkey, sum(CAST(o_totalprice AS BIGINT)) OVER (ORDER BY o_orderkey) AS running FROM orders) WHERE running > 1000000 ORDER BY o_orderkey LIMIT 1")
+@query("SELECT o_orderkey AS id, running FROM (SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS BIGINT)) OVER (ORDER BY o_orderkey) AS BIGINT) AS running FROM orders) WHERE running > 1000000 ORDER BY o_orderkey LIMIT 1")
 def agg_budget(t: Tables) -> DataFrame:
     from cairn.operators.ingest import first_offender
 
