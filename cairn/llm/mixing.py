@@ -11,6 +11,8 @@ in a join by source and block index, a key without hot values.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import SPACE, batches, column, mix64, partitions, saved, texts
 
-#: Words of a block. Targets are met to within about half of it for each source.
+#: Words of a block, unless the corpus makes it larger. Targets are met to within about half of it for each source.
 BLOCK_WORDS = 32
 #: Least slots of an output shard, and most shards: their counts are drawn at the driver, so larger mixes get larger shards.
 SHARD_SLOTS, SHARDS = 16_384, 4_096
+#: Most slots of a mix, above which blocks grow: exact draws without replacement need under 1e9.
+MOST_SLOTS = 500_000_000
+#: Most sources; each has a weight, a row at the driver and a draw in each shard.
+MOST_SOURCES = 100_000
 #: Slots that a task makes at a time.
 SLOT_ROWS = 65_536
 WEIGHTS = (5, 2, 1)
@@ -128,8 +134,11 @@ class Mix:
         # the list of sources is a parameter of a mix: it has a weight for each
         found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
         found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"{len(found)} sources; a mix weighs {MOST_SOURCES} at most")
         self.names = [r["source"] for r in found]
         self.sizes = [int(r["size"]) for r in found]
+        self.block = block = max(block, math.ceil(total * sum(self.sizes) / MOST_SLOTS))
         self.targets = targets(self.sizes, weights, total, most)
         self.totals = slot_totals(self.sizes, self.targets, block, most)
         self.shards = shard_counts(self.totals, seed, max(shard_slots, -(-sum(self.totals) // SHARDS)))
@@ -204,8 +213,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     own = batches(docs, tied, schema + ", t_ long").withColumn("d_", F.col(f"`{id_col}`").cast("long"))
-    own = own.withColumn("nth_", F.row_number().over(Window.partitionBy("d_", "t_").orderBy(F.col(f"`{source_col}`").asc_nulls_last())))
-    met = own.join(rows, own["d_"].eqNullSafe(rows["d_"]) & (own["t_"] == rows["t_"]) & (own["nth_"] == rows["nth_"]))
+    # texts are numbered only where a document repeats: that costs a shuffle of them
+    if mix.documents.groupBy("doc_id", "tie").count().filter("count > 1").isEmpty():
+        own = own.withColumn("nth_", F.lit(1))
+    else:
+        own = own.withColumn("nth_", F.row_number().over(Window.partitionBy("d_", "t_").orderBy(F.col(f"`{source_col}`").asc_nulls_last())))
+    met = own.hint("merge").join(rows, own["d_"].eqNullSafe(rows["d_"]) & (own["t_"] == rows["t_"]) & (own["nth_"] == rows["nth_"]))
 
     def rebuilt(part: pa.RecordBatch) -> dict:
         out = []
