@@ -106,16 +106,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, size: int = 4 << 20) -> DataFrame:
     """Map Arrow batches through fn, which returns columns (a dict of arrays or lists) or None.
 
-    A batch of more than BATCH_ROWS rows, or of many bytes, goes to fn in slices.
+    A batch of more than BATCH_ROWS rows, or of more than size bytes, goes to fn in slices.
     """
     out_schema = _arrow_schema(df.sparkSession, schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for piece in sliced(part):
+            for piece in sliced(part, size=size):
                 got = fn(piece)
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([_array(got[f.name], f.type) for f in out_schema], schema=out_schema)
@@ -123,7 +123,7 @@ def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
     return df.mapInArrow(run, schema)
 
 
-def sliced(part: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(part: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     if not part.num_rows:
         return
     step = max(1, min(rows, int(part.num_rows * size / max(part.nbytes, 1)) or 1))

@@ -28,7 +28,7 @@ WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Rows of a chunk within which remainders are numbered in one task.
 CHUNK_ROWS = 20_000
 
