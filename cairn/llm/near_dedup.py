@@ -35,11 +35,13 @@ BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 #: Members above which a band's bucket gives way to buckets by rare shingles, and members are compared in tiles.
 LARGE = 32
+#: Shared shingles of crowded representatives that may be broadcast (16 bytes each); more are met by a shuffle.
+BROADCAST_SHINGLES = 500_000
 #: Sets of a block; a tile compares two blocks.
 TILE = 256
 PROBES = 256
 #: Words whose hashes a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 60_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -122,7 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         }
 
     rows = docs.select(docs[id_col].cast("long").alias("id_"), docs[text_col].cast("string").alias("text_"))
-    return batches(rows, sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return batches(rows, sign, "doc_id long, n_shingles long, set_key binary, bands array<long>", size=4 << 20)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -149,7 +151,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    return batches(both.select("a", "b", "set_a", "set_b"), check, "a long, b long")
+    return batches(both.select("a", "b", "set_a", "set_b"), check, "a long, b long", size=4 << 20)
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame | None:
@@ -179,7 +181,7 @@ def _jumped(up: DataFrame) -> DataFrame:
     return up.join(further, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
 
 
-def prefix_members(sets: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+def prefix_members(sets: DataFrame, reps: DataFrame, scratch: Scratch, percent: int = PERCENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """key, rep, n_shingles, size: buckets by rare shingles for reps (rep, n_shingles), an exact way for large buckets.
 
     Sets that are similar enough share one of their rarest shingles: of n in the order of how many of
@@ -193,13 +195,35 @@ def prefix_members(sets: DataFrame, reps: DataFrame, percent: int = PERCENT) ->
         return {"rep": np.repeat(column(part, "rep").to_numpy(), sizes), "n_shingles": np.repeat(sizes, sizes), "shingle": np.concatenate(every) if every else np.zeros(0, dtype=np.int64)}
 
     own = sets.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "set")
-    rows = batches(own, spread, "rep long, n_shingles long, shingle long")
+    rows = batches(own, spread, "rep long, n_shingles long, shingle long", size=1 << 20)
     # shingles of one representative alone come first in its order, and meet nobody
-    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    met = rows.join(held, "shingle").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
-    need = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    first = F.greatest(F.lit(0), need - (F.col("n_shingles") - F.size("shared"))).cast("int")
-    keys = met.select("rep", "n_shingles", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.xxhash64(F.col("x.shingle")).alias("key"), "rep", "n_shingles")
+    held = scratch.save(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    if held.limit(broadcast_shingles + 1).count() <= broadcast_shingles:
+        few = held.toPandas().sort_values("shingle")  # of a checked size
+        sent = sets.sparkSession.sparkContext.broadcast((few["shingle"].to_numpy(), few["held"].to_numpy()))
+
+        def choose(part: pa.RecordBatch) -> dict:
+            shingle, count = sent.value
+            out_key, out_rep, out_n = [], [], []
+            for rep, x in zip(column(part, "rep").to_pylist(), column(part, "set").to_pylist(), strict=True):
+                own = np.frombuffer(x, dtype=np.int64)
+                at = np.minimum(np.searchsorted(shingle, own), max(len(shingle) - 1, 0))
+                shared = own[shingle[at] == own] if len(shingle) else own[:0]
+                first = len(own) + (-len(own) * percent // 100) + 1 - (len(own) - len(shared))
+                if first > 0 and len(shared):
+                    held_by = count[np.searchsorted(shingle, shared)]
+                    out_key.append(shared[np.lexsort((shared, held_by))[:first]])
+                    out_rep.append(np.full(len(out_key[-1]), rep))
+                    out_n.append(np.full(len(out_key[-1]), len(own)))
+            flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+            return {"key": flat(out_key), "rep": flat(out_rep), "n_shingles": flat(out_n)}
+
+        keys = batches(own, choose, "key long, rep long, n_shingles long").withColumn("key", F.xxhash64("key"))
+    else:
+        met = rows.join(held, "shingle").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+        need = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+        first = F.greatest(F.lit(0), need - (F.col("n_shingles") - F.size("shared"))).cast("int")
+        keys = met.select("rep", "n_shingles", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.xxhash64(F.col("x.shingle")).alias("key"), "rep", "n_shingles")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return keys.join(sizes, "key").select("key", "rep", "n_shingles", "size")
 
@@ -224,7 +248,7 @@ def _stars(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, scratch
     sets = scratch.save(shingle_sets(docs, ids, id_col, text_col))
     crowded = members.filter(F.col("size") > LARGE)
     if not crowded.isEmpty():
-        rare = prefix_members(sets, crowded.select("rep", "n_shingles").distinct())
+        rare = prefix_members(sets, crowded.select("rep", "n_shingles").distinct(), scratch)
         members = scratch.save(members.filter(F.col("size") <= LARGE).unionByName(rare))
     popular = members.groupBy("rep").agg(F.sum("size").alias("popular"))
     members = scratch.save(members.join(popular, "rep"), "members")

@@ -316,3 +316,25 @@ def test_components_of_stars_chains_and_rings(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 9 for k in range(9, 60)} | {k: 100 for k in range(100, 141)} | {k: 200 for k in range(200, 203)}
     assert components(spark.createDataFrame([], "a long, b long")) is None
+
+
+def test_rare_shingles_by_either_way(spark):
+    import numpy as np
+
+    from cairn.llm.common import Scratch
+    from cairn.llm.near_dedup import prefix_members
+
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 60))
+    own = {k: np.unique(np.r_[rng.choice(base, 50, replace=False), rng.integers(0, 2**63, 10)]) for k in range(40)}
+    sets = spark.createDataFrame([(k, bytearray(x.astype(np.uint64).tobytes())) for k, x in own.items()], "doc_id long, set binary")
+    reps = spark.createDataFrame([(k, len(x)) for k, x in own.items()], "rep long, n_shingles long")
+    scratch = Scratch(spark)
+    ways = [sorted(tuple(r) for r in prefix_members(sets, reps, scratch, broadcast_shingles=n).collect()) for n in (10**6, 0)]
+    scratch.drop()
+    assert ways[0] == ways[1] and ways[0]
+    held = Counter(x for s in own.values() for x in s.tolist())
+    want = Counter()
+    for s in own.values():
+        want.update(sorted(s.tolist(), key=lambda x: (held[x], x))[: len(s) - -(-3 * len(s) // 4) + 1])
+    assert Counter(Counter(r[0] for r in ways[0]).values()) == Counter(n for n in want.values() if n > 1)
