@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, batches, column, mix64, saved, texts, with_ids
+from cairn.llm.common import BROADCAST_IDS, Scratch, batches, column, mix64, saved, texts, with_ids
 
 WORDS = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -401,3 +401,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), text_col))
         out = out.withColumn("nth__", first).filter("nth__ = 1").drop("nth__")
     return out.unionByName(nulls)
+
+
+def with_group_sites(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """The rows of docs with name added: the site of the document that one_of_each keeps of their group, the own one outside groups.
+
+    So copies of one document, near ones included, stand in one site wherever they come from.
+    """
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df.hint("merge")
+    moved = saved(near_dedup(docs, id_col, text_col).filter("component_id <> doc_id").groupBy("doc_id").agg(F.min("component_id").alias("first_")))
+    firsts = saved(moved.select("first_").distinct())
+    own = docs.select(docs[id_col].cast("long").alias("first_"), docs[site_col].cast("string").alias("site_"))
+    sites = saved(own.join(small(firsts), "first_", "left_semi").groupBy("first_").agg(F.min("site_").alias("site_")))
+    by_id = saved(moved.join(small(sites), "first_").select(F.col("doc_id").alias("moved_"), "site_"))
+    met = docs.join(small(by_id), docs[id_col].cast("long") == F.col("moved_"), "left")
+    return met.withColumn(name, F.when(F.col("moved_").isNotNull(), F.col("site_")).otherwise(docs[site_col].cast("string"))).drop("moved_", "site_")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import saved, table
 from cairn.llm.line_dedup import line_dedup
 from cairn.llm.mixing import mixed_documents
-from cairn.llm.near_dedup import one_of_each
+from cairn.llm.near_dedup import one_of_each, with_group_sites
 from cairn.llm.packing import pack_documents
 from cairn.llm.quality import good_documents
 from cairn.llm.queries import BOILERPLATE_SITES, WORD_TOKENIZER
@@ -34,8 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go out of the texts."""
-    return _measured(line_dedup(docs, BOILERPLATE_SITES), docs.columns)
+    """Boilerplate lines go out of the texts. A group of near copies counts as one site, or its own text would be boilerplate."""
+    return _measured(line_dedup(with_group_sites(docs, "site__"), BOILERPLATE_SITES, site_col="site__"), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
