@@ -24,10 +24,14 @@ def failed(jobs: DataFrame, retryable: Column) -> DataFrame:
     return jobs.filter("status = 'running'").withColumn("next_status", after_failure(retryable))
 
 
+def expired(jobs: DataFrame, now: int) -> DataFrame:
+    """All running jobs whose lease has ended, with next_status."""
+    return jobs.filter((F.col("status") == "running") & (F.col("lease_expires") <= now)).withColumn("next_status", after_failure(F.lit(True)))
+
+
 def recovered(jobs: DataFrame, now: int, batch: int) -> DataFrame:
-    """Running jobs whose lease has ended, oldest lease first, with next_status."""
-    expired = jobs.filter((F.col("status") == "running") & (F.col("lease_expires") <= now)).orderBy("lease_expires", "id").limit(batch)
-    return expired.withColumn("next_status", after_failure(F.lit(True)))
+    """The batch of expired jobs that one pass recovers, oldest lease first."""
+    return expired(jobs, now).orderBy("lease_expires", "id").limit(batch)
 
 
 def balanced() -> Column:

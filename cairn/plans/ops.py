@@ -200,7 +200,7 @@ def job_active(t: Tables) -> DataFrame:
 
 @query("SELECT id AS retry_of, 'queued' AS status, CAST(0 AS BIGINT) AS attempt_count FROM {jobs} WHERE status = 'running' AND lease_expires <= 500 AND (cancel_requested OR attempt_count >= max_attempts)")
 def job_retry(t: Tables) -> DataFrame:
-    ended = j.recovered(t.jobs, NOW, 1_000_000).drop("status").withColumnRenamed("next_status", "status")
+    ended = j.expired(t.jobs, NOW).drop("status").withColumnRenamed("next_status", "status")
     return j.retried(ended).select("retry_of", "status", "attempt_count")
 
 
