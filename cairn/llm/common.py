@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that the word and normalisation rules name: U+0020 and U+0009 to U+000D.
@@ -182,5 +182,30 @@ def with_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids.hint("merge"), id_col, "left_semi")
 
 
+#: Rows of a range whose running totals one task makes.
+RANGE_ROWS = 100_000
+
+
+def summed_before(df: DataFrame, order: list[Column], columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with <c>_before for each of columns: the sum of c over all rows before the row in this order, which has no ties.
+
+    Rows are dealt into ranges of the order, a task for each; ranges are added up by their totals, one
+    row for each range. The table with its ranges is written, so the ranges stay as they are.
+    """
+    ranges = max(1, -(-df.count() // range_rows))
+    dealt = df.coalesce(1) if ranges == 1 else df.repartitionByRange(ranges, *order)
+    dealt = saved(dealt.withColumn("range_", F.spark_partition_id()))
+    earlier = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in columns})
+    if ranges == 1:
+        return own.drop("range_")
+    # a row for each range
+    sums = dealt.groupBy("range_").agg(*[F.sum(c).alias(f"{c}_sum_") for c in columns])
+    ahead = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("range_"), *[F.coalesce(F.sum(f"{c}_sum_").over(ahead), F.lit(0)).alias(f"{c}_base_") for c in columns])
+    out = own.join(F.broadcast(sums), "range_")
+    return out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_base_") for c in columns}).drop("range_", *[f"{c}_base_" for c in columns])
+
+
 def long_id(name: str = "doc_id") -> Column:
     return F.col(name).cast("long").alias(name)

@@ -1,60 +1,61 @@
 """Mixing sources to target weights (8): blocks, multinomial counts per shard, permuted indexes.
 
 The words of a source, its documents in a fixed order, are packed into blocks of a fixed number of
-words. The mix is a list of slots, dealt into output shards. Each shard draws how many of its slots
-go to each source: multinomial draws, conditional on each source's total, so that totals meet the
-targets exactly and shards vary. A source's j-th slot takes the block that a pseudorandom
-permutation of the source's block indexes gives for j; when all blocks are taken the next round uses
-another permutation, so none is taken more often than another by over one. Slots and blocks meet
-in a join by source and block index, a key without hot values.
+words. The mix is a list of slots, dealt into output shards: how many of a source's slots each shard
+gets is a multinomial draw with equal odds, made in the tasks that make the slots, a chunk of slots at
+a time. So each source's total meets its target, and shards vary as independent draws do. A source's
+j-th slot takes the block that a pseudorandom permutation of the source's block indexes gives for j;
+when all blocks are taken the next round uses another permutation, so none is taken more often than
+another by over one. Slots and blocks meet in a join by source and block index, a key without hot
+values. Sources are rows of a table throughout: their ranks and the level at which targets stop come
+from running totals over ranges of them, and nothing about a source reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE, batches, column, mix64, partitions, saved, texts
+from cairn.llm.common import SPACE, batches, column, mix64, partitions, saved, summed_before, texts
 
-#: Words of a block, unless the corpus makes it larger. Targets are met to within about half of it for each source.
+#: Words of a block. Targets are met to within about half of it for each source.
 BLOCK_WORDS = 32
-#: Least slots of an output shard, and most shards: their counts are drawn at the driver, so larger mixes get larger shards.
-SHARD_SLOTS, SHARDS = 16_384, 4_096
-#: Most slots of a mix, above which blocks grow: exact draws without replacement need under 1e9.
-MOST_SLOTS = 500_000_000
-#: Most sources; each has a weight, a row at the driver and a draw in each shard.
-MOST_SOURCES = 100_000
-#: Slots that a task makes at a time.
-SLOT_ROWS = 65_536
+#: Slots of an output shard, on average.
+SHARD_SLOTS = 16_384
+#: Slots of a chunk, whose counts by shard are one draw.
+CHUNK_SLOTS = 65_536
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2.0
 #: Rows of a source that are put in order in one task.
 CHUNK_ROWS = 20_000
+#: Sources that may be broadcast (some 100 bytes each); more are met by a shuffle, SALTS copies of each.
+BROADCAST_SOURCES, SALTS = 200_000, 64
+
 
+def weighed(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
+    """sources (source, size) with k (its rank by code point, null last), weight and target.
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> list[float]:
-    """Words each source gets: by weight (repeating), most times its size at most; the excess is shared again by weight until none is above."""
-    want, out = total * sum(sizes), [0.0] * len(sizes)
-    weight = [weights[k % len(weights)] for k in range(len(sizes))]
-    open_ = list(range(len(sizes)))
-    while open_:
-        share = want / sum(weight[k] for k in open_)
-        above = [k for k in open_ if share * weight[k] > most * sizes[k]]
-        if not above:
-            for k in open_:
-                out[k] = share * weight[k]
-            break
-        for k in above:
-            out[k] = most * sizes[k]
-            want -= out[k]
-        open_ = [k for k in open_ if k not in above]
-    return out
+    Targets share total times all sizes by weight (repeating in the order of k), most times its size at
+    most; the excess is shared again by weight until none is above. So a source gets level * weight or
+    most * size, whichever is less. Sources that stop have the least size for their weight: in that
+    order, level is what the sources from one on would share if all before it stopped, at the first
+    source that it doesn't fill.
+    """
+    odds = F.array(*[F.lit(w) for w in weights])
+    ranked = summed_before(sources.withColumn("one_", F.lit(1)), [F.col("source").asc_nulls_last()], ["one_"]).withColumnRenamed("one__before", "k")
+    ranked = ranked.withColumn("weight", F.element_at(odds, (F.col("k") % len(weights) + 1).cast("int"))).withColumn("full_", most * F.col("size") / F.col("weight"))
+    before = summed_before(ranked.select("k", "size", "weight", "full_"), [F.col("full_").asc(), F.col("k").asc()], ["size", "weight"])
+    whole = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    rounds, rest = divmod(whole["n"], len(weights))
+    share = (total * whole["size"] - most * F.col("size_before")) / (rounds * sum(weights) + sum(weights[:rest]) - F.col("weight_before"))
+    level = before.withColumn("share_", share).filter("share_ <= full_").agg(F.min_by("share_", F.struct("full_", "k")).alias("level")).first()["level"]
+    stop = most * F.col("size")
+    target = stop if level is None else F.least(F.lit(level) * F.col("weight"), stop)
+    return ranked.select("source", "k", "size", "weight", target.cast("double").alias("target"))
 
 
 def permute(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -73,31 +74,20 @@ def permute(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def slot_totals(sizes: list[int], want: list[float], block: int = BLOCK_WORDS, most: float = MOST) -> list[int]:
-    """Slots of each source: the words they take are as near the target as whole blocks get, each block at most `most` times."""
-    out = []
-    for size, t in zip(sizes, want, strict=True):
-        n = -(-size // block)
-        rounds, rest = divmod(t, size) if size else (0, 0.0)
-        out.append(min(int(rounds) * n + round(rest / block), int(most) * n))
-    return out
-
-
-def shard_counts(totals: list[int], seed: int, shard_slots: int = SHARD_SLOTS) -> list[np.ndarray]:
-    """Counts by source for each shard: the multinomial draw given each source's total (drawn without replacement from the slots that are left)."""
-    rng, left = np.random.default_rng(seed), np.array(totals, dtype=np.int64)
-    out = []
-    while left.sum() > 0:
-        k = int(min(shard_slots, left.sum()))
-        draw = np.zeros_like(left)
-        need, rest = k, int(left.sum())
-        for s in range(len(left)):  # one source after another, each against all that follow
-            rest -= int(left[s])
-            draw[s] = rng.hypergeometric(left[s], rest, need) if need and left[s] and rest else min(need, int(left[s]))
-            need -= int(draw[s])
-        left -= draw
-        out.append(draw)
-    return out
+def slot_count(block: int = BLOCK_WORDS, most: float = MOST) -> Column:
+    """Slots of a source (size, blocks, target): the words they take are as near the target as whole blocks get, each block at most `most` times."""
+    rounds = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(0))
+    rest = F.when(F.col("size") > 0, F.round((F.col("target") - rounds * F.col("size")) * F.col("blocks") / F.col("size"))).otherwise(F.lit(0.0))
+    return F.least(rounds * F.col("blocks") + rest.cast("long"), int(most) * F.col("blocks")).cast("long")
+
+
+def shard_counts(n: int, shards: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """How many of n slots go to each shard, a multinomial draw with equal odds: the shards that get any, and their counts."""
+    if shards > 4 * n:  # the same draw slot by slot, as most shards get none
+        return np.unique(rng.integers(shards, size=n), return_counts=True)
+    counts = rng.multinomial(n, np.full(shards, 1 / shards))
+    at = np.flatnonzero(counts)
+    return at, counts[at]
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -118,57 +108,70 @@ def streams(rows: DataFrame, n_rows: int) -> DataFrame:
     """rows with start: the words before the document in its source. A source's order is by hashed chunk, then id; chunks are summed first, so a hot source has many tasks."""
     chunks = max(1, -(-n_rows // CHUNK_ROWS), partitions(rows.sparkSession))
     keyed = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(chunks)))
-    per = keyed.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-    before = per.select(F.col("source").alias("s_"), F.col("chunk").alias("c_"), (F.sum("words").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before"))
-    within = F.sum("size").over(Window.partitionBy("source", "chunk").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = keyed.withColumn("within", within)
-    return placed.join(before, F.col("source").eqNullSafe(F.col("s_")) & (F.col("chunk") == F.col("c_"))).withColumn("start", F.col("before") + F.col("within")).drop("s_", "c_", "before", "within", "chunk")
+    per = keyed.groupBy("k", "chunk").agg(F.sum("size").alias("words"))
+    before = per.select("k", "chunk", (F.sum("words").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before"))
+    within = F.sum("size").over(Window.partitionBy("k", "chunk").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return keyed.withColumn("within", within).join(before, ["k", "chunk"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "chunk")
 
 
 class Mix:
-    """The outcome of a mix: sources (a row each, at the driver), documents and slots as DataFrames."""
+    """The outcome of a mix as DataFrames: sources, documents and slots."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, broadcast_sources: int = BROADCAST_SOURCES):
         self.spark, self.block, self.seed = docs.sparkSession, block, seed
         rows = saved(sized(docs, id_col, text_col, source_col))
-        # the list of sources is a parameter of a mix: it has a weight for each
-        found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-        found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"{len(found)} sources; a mix weighs {MOST_SOURCES} at most")
-        self.names = [r["source"] for r in found]
-        self.sizes = [int(r["size"]) for r in found]
-        self.block = block = max(block, math.ceil(total * sum(self.sizes) / MOST_SLOTS))
-        self.targets = targets(self.sizes, weights, total, most)
-        self.totals = slot_totals(self.sizes, self.targets, block, most)
-        self.shards = shard_counts(self.totals, seed, max(shard_slots, -(-sum(self.totals) // SHARDS)))
-        self.documents = self._with_source(streams(rows, sum(r["n"] for r in found)))
-
-    def _with_source(self, rows: DataFrame) -> DataFrame:
-        one = self.spark.createDataFrame(list(zip(self.names, range(len(self.names)), self.sizes, self.targets, strict=True)), "s_ string, k int, source_size long, target double")
-        return rows.join(F.broadcast(one), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
+        found = saved(rows.groupBy("source").agg(F.sum("size").alias("size")))
+        own = weighed(found, weights, total, most).withColumn("blocks", F.ceil(F.col("size") / block))
+        self.sources = saved(own.withColumn("slots", slot_count(block, most)))
+        few = found.count() <= broadcast_sources
+        self.total = self.sources.agg(F.sum("slots").alias("n")).first()["n"] or 0
+        self.shards = max(1, -(-self.total // shard_slots))
+        self.documents = streams(self._with_source(rows, few), rows.count())
+
+    def _with_source(self, rows: DataFrame, few: bool) -> DataFrame:
+        one = self.sources.select(F.col("source").alias("s_"), "k", F.col("size").alias("source_size"), "target")
+        same = F.col("source").eqNullSafe(F.col("s_"))
+        if few:
+            return rows.join(F.broadcast(one), same).drop("s_")
+        # the rows of a hot source are dealt over many tasks, each of which gets a copy of the source's row
+        many = one.withColumn("copy_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int")).join(many.hint("merge"), same & (F.col("salt_") == F.col("copy_"))).drop("s_", "salt_", "copy_")
 
     def slots(self) -> DataFrame:
         """One row per slot of the mix: shard, k (the source's number), block (its index) and round."""
-        k, seed, block = len(self.names), self.seed, self.block
-        n_blocks = np.array([-(-s // block) for s in self.sizes], dtype=np.int64)
-        done = np.zeros(k, dtype=np.int64)
-        rows = []
-        for shard, draw in enumerate(self.shards):  # a row per shard and source
-            rows += [(shard, s, int(done[s]), int(n)) for s, n in enumerate(draw) if n]
-            done += draw
-        plan = self.spark.createDataFrame(rows, "shard long, k int, first long, n long").repartition(max(1, min(len(rows), partitions(self.spark))), "shard", "k")
+        seed, shards = self.seed, self.shards
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK_SLOTS))).alias("chunk")
+        plan = self.sources.filter("slots > 0").select("k", "blocks", "slots", chunk)
+        plan = plan.repartition(max(partitions(self.spark), -(-self.total // (16 * CHUNK_SLOTS))), "k", "chunk")
+
+        def made(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
+            k, blocks, first, n, shard = [], [], [], [], []
+            for own, of, slots, at in rows:
+                n.append(min(CHUNK_SLOTS, slots - at * CHUNK_SLOTS))
+                to, counts = shard_counts(n[-1], shards, np.random.default_rng([seed, own, at]))
+                shard.append(np.repeat(to, counts))
+                k.append(own)
+                blocks.append(of)
+                first.append(at * CHUNK_SLOTS)
+            k, blocks, first = (np.repeat(np.array(x, dtype=np.int64), n) for x in (k, blocks, first))
+            j = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+            rounds = j // blocks
+            at = permute(j % blocks, blocks, mix64(rounds * 1009 + k, seed))
+            return pd.DataFrame({"shard": np.concatenate(shard), "k": k, "block": at, "round": rounds})
 
         def fill(parts):
+            held, size = [], 0
             for part in parts:
-                for shard, s, first, n in zip(part["shard"], part["k"], part["first"], part["n"], strict=True):
-                    for low in range(first, first + n, SLOT_ROWS):
-                        j = np.arange(low, min(low + SLOT_ROWS, first + n))
-                        rounds = j // n_blocks[s]
-                        at = permute(j % n_blocks[s], np.full(len(j), n_blocks[s]), mix64(rounds * 1009 + s, seed))
-                        yield pd.DataFrame({"shard": shard, "k": s, "block": at, "round": rounds})
+                for row in zip(part["k"], part["blocks"], part["slots"], part["chunk"], strict=True):
+                    held.append(row)
+                    size += min(CHUNK_SLOTS, row[2] - row[3] * CHUNK_SLOTS)
+                    if size >= CHUNK_SLOTS:
+                        yield made(held)
+                        held, size = [], 0
+            if held:
+                yield made(held)
 
-        return plan.mapInPandas(fill, "shard long, k int, block long, round long")
+        return plan.mapInPandas(fill, "shard long, k long, block long, round long")
 
     def spans(self) -> DataFrame:
         """Which words of which document each taken block holds: doc_id, tie, shard, round, k, block, from_word, words (word numbers within the document)."""
@@ -178,7 +181,7 @@ class Mix:
         low = F.greatest(F.col("start"), F.col("block") * b)
         high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
         blocks = blocks.select("doc_id", "k", "start", "block", (low - F.col("start")).alias("from_word"), (high - low).alias("words"))
-        # both sides grow with the corpus, which the planner can't see from the plan of a few shards
+        # both sides grow with the corpus, which the planner can't see from the plan of a few sources
         return blocks.join(self.slots().hint("merge"), ["k", "block"])
 
 

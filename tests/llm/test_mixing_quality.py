@@ -10,10 +10,38 @@ from cairn.llm import quality as q
 from cairn.llm.packing import CapacityTree, Plan, best_fit_plan
 
 
-def test_targets_by_hand():
-    assert mx.targets([100, 100, 100]) == pytest.approx([200, 500 / 3, 250 / 3])  # 450 by 5, 2, 1; the first stops at 200
-    assert sum(mx.targets([10, 0, 90, 7])) <= 1.5 * 107 + 1e-9
-    assert mx.targets([0, 0]) == [0, 0] and mx.targets([]) == []
+def brute_targets(sizes, weights=mx.WEIGHTS, total=mx.TOTAL, most=mx.MOST):
+    """Share by weight, stop those above, share the excess again, until none is above."""
+    want, out, weight = total * sum(sizes), [0.0] * len(sizes), [weights[k % len(weights)] for k in range(len(sizes))]
+    open_ = set(range(len(sizes)))
+    while open_:
+        share = want / sum(weight[k] for k in open_)
+        above = {k for k in open_ if share * weight[k] > most * sizes[k]}
+        for k in above or open_:
+            out[k] = most * sizes[k] if above else share * weight[k]
+            want -= out[k]
+        open_ -= above or open_
+    return out
+
+
+def test_brute_targets_by_hand():
+    assert brute_targets([100, 100, 100]) == pytest.approx([200, 500 / 3, 250 / 3])  # 450 by 5, 2, 1; the first stops at 200
+    assert brute_targets([0, 0]) == [0, 0] and brute_targets([]) == []
+
+
+@pytest.mark.parametrize("range_rows", [100_000, 7])
+def test_targets(spark, monkeypatch, range_rows):
+    from cairn.llm import common
+
+    monkeypatch.setattr(common.summed_before, "__defaults__", (range_rows,))
+    rng = np.random.default_rng(8)
+    for sizes in ([5], [0, 0], [10, 0, 90, 7], rng.integers(0, 1000, 40).tolist(), (10.0 ** rng.uniform(0, 6, 60)).astype(int).tolist()):
+        names = [f"s{k:03d}" for k in range(len(sizes) - 1)] + [None]
+        own = spark.createDataFrame(list(zip(names, sizes, strict=True))[::-1], "source string, size long").repartition(3)
+        got = sorted((r["k"], r["source"], r["size"], r["target"]) for r in mx.weighed(own).collect())
+        assert [r[:3] for r in got] == [(k, n, s) for k, (n, s) in enumerate(zip(names, sizes, strict=True))]
+        assert [r[3] for r in got] == pytest.approx(brute_targets(sizes))
+    assert mx.weighed(spark.createDataFrame([], "source string, size long")).count() == 0
 
 
 def test_permutation_is_one():
@@ -22,10 +50,75 @@ def test_permutation_is_one():
         assert sorted(got) == list(range(n))
 
 
-def test_shard_counts_meet_totals():
-    got = mx.shard_counts([500, 0, 33, 1200], 1, 100)
-    assert np.sum(got, axis=0).tolist() == [500, 0, 33, 1200] and all(x.sum() == 100 for x in got[:-1])
-    assert [x.tolist() for x in got] == [x.tolist() for x in mx.shard_counts([500, 0, 33, 1200], 1, 100)]
+def test_shard_counts_are_multinomial():
+    draw = lambda n, shards, seed: mx.shard_counts(n, shards, np.random.default_rng(seed))
+    for n, shards in ((1000, 7), (5, 1000), (1, 1)):
+        at, counts = draw(n, shards, [1, 2, 3])
+        assert counts.sum() == n and counts.min() > 0 and len(set(at)) == len(at) and at.max() < shards
+        assert [x.tolist() for x in draw(n, shards, [1, 2, 3])] == [at.tolist(), counts.tolist()]
+    own = np.zeros((400, 8))
+    for k in range(400):
+        at, counts = draw(800, 8, [k])
+        own[k, at] = counts
+    # mean n / shards, variance n p (1 - p)
+    assert np.allclose(own.mean(axis=0), 100, atol=2) and np.allclose(own.var(axis=0), 87.5, rtol=0.3)
+
+
+def brute_permuted(j, n, seed):
+    """The permutation's value at j by plain integers: Feistel rounds until inside."""
+    mask64 = (1 << 64) - 1
+
+    def mix(x, s):
+        x = (x + s * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & mask64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask64
+        return x ^ x >> 31
+
+    half = max(1, -(-(max(n, 2) - 1).bit_length() // 2))
+    while True:
+        left, right = j >> half, j & (1 << half) - 1
+        for k in range(4):
+            left, right = right, left ^ mix(right ^ mix(seed, 5), k) & (1 << half) - 1
+        j = left << half | right
+        if j < n:
+            return j
+
+
+def test_mix_against_brute_force(spark):
+    """Each source's slots one by one: block by the permutation of its round, words of the block in the source's order."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{x}" for x in range(rng.integers(0, 200))), f"s{min(rng.integers(0, 9), rng.integers(0, 9))}") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mix = mx.Mix(docs, shard_slots=16)
+    own = defaultdict(list)
+    for r in mix.documents.collect():
+        own[r["k"]].append((r["start"], r["size"], r["doc_id"]))
+    size = {k: sum(n for _, n, _ in x) for k, x in own.items()}
+    want, taken, slots = brute_targets([size[k] for k in sorted(size)]), defaultdict(int), defaultdict(int)
+    for k, docs_ in own.items():
+        end, words = 0, []
+        for start, n, i in sorted(docs_):
+            assert start == end
+            end += n
+            words += [i] * n
+        blocks = -(-end // 32)
+        rounds, rest = divmod(want[k], end)
+        for j in range(min(int(rounds) * blocks + round(rest * blocks / end), 2 * blocks)):
+            seed = int(mx.mix64(np.array([j // blocks * 1009 + k]), 17)[0])
+            at = brute_permuted(j % blocks, blocks, seed)
+            slots[k, at, j // blocks] += 1
+            for i in words[at * 32 : at * 32 + 32]:
+                taken[i] += 1
+    assert slots and {(r["k"], r["block"], r["round"]): 1 for r in mix.slots().collect()} == slots
+    assert 1 < len({r["shard"] for r in mix.slots().collect()}) <= mix.shards
+    assert {r["doc_id"]: r["taken"] for r in mx.mix_sources(docs, shard_slots=16).collect()} == {i: taken[i] for i, *_ in rows}
+
+
+def test_mix_of_many_sources_takes_either_way(spark):
+    rows = [(k, f"a{k} b c d e f g h", None if k % 50 == 0 else f"s{k % 50:03d}") for k in range(2000)] + [(9000, "x " * 3000, "s001")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    ways = [sorted(tuple(r) for r in mx.mix_sources(docs, broadcast_sources=n).collect()) for n in (200_000, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 2001
 
 
 def test_mix(spark, docs, rows, empty):
@@ -34,7 +127,7 @@ def test_mix(spark, docs, rows, empty):
     for _, t, s in rows:
         size[s] += len(re.findall("[^\x20\x09-\x0d]+", t or ""))
     names = sorted((s for s in size if s is not None), key=lambda s: s) + [None]
-    want = dict(zip(names, mx.targets([size[s] for s in names]), strict=True))
+    want = dict(zip(names, brute_targets([size[s] for s in names]), strict=True))
     assert len(got) == len(rows)
     taken = defaultdict(int)
     for r in got:
