@@ -168,10 +168,6 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def crc(text: bytes) -> int:
-    return zlib.crc32(text) & 0xFFFFFFFF
-
-
 #: Ids that may be broadcast for a semi join (some 24 bytes each in memory); more are met by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -182,30 +178,45 @@ def with_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids.hint("merge"), id_col, "left_semi")
 
 
+#: A key of more than one row in SHARE is dealt over several tasks (fewer than SHARE keys can be so large), and so is one of more than KEY_ROWS.
+SHARE, KEY_ROWS = 1_000, 64
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, size: str, deal: list[str], how: str = "inner", share: int = SHARE, key_rows: int = KEY_ROWS) -> DataFrame:
+    """rows joined with facts (stored; one row a key, size: how many rows have it), without a task that gets all rows of a large key.
+
+    Rows of a large key are dealt into salts by a hash of deal, and its fact is copied for each salt. The
+    keys to deal have more than a share of the rows that facts counts, so they are fewer than share and
+    may be broadcast. Rows with a null key are dealt too; they meet nothing.
+    """
+    most = max(key_rows, (facts.agg(F.sum(size).alias("n")).first()["n"] or 0) // share)
+    large = facts.filter(F.col(size) > most).select(key, F.ceil(F.col(size) / most).cast("int").alias("salts_"))
+    salted = facts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > most, F.ceil(F.col(size) / most).cast("int") - 1).otherwise(F.lit(0)))))
+    hashed = F.xxhash64(*deal)
+    salt = F.when(F.col(key).isNull(), F.pmod(hashed, F.lit(1 << 20))).when(F.col("salts_").isNotNull(), F.pmod(hashed, F.col("salts_"))).otherwise(F.lit(0))
+    return rows.join(F.broadcast(large), key, "left").withColumn("salt_", salt.cast("int")).drop("salts_").join(salted, [key, "salt_"], how).drop("salt_")
+
+
 #: Rows of a range whose running totals one task makes.
 RANGE_ROWS = 100_000
 
 
-def summed_before(df: DataFrame, order: list[Column], columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """df with <c>_before for each of columns: the sum of c over all rows before the row in this order, which has no ties.
+def summed_before(df: DataFrame, order: list[Column], columns: list[str], rows: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df, which has as many rows, with <c>_before for each of columns: the sum of c over all rows before the row in this order, which has no ties.
 
     Rows are dealt into ranges of the order, a task for each; ranges are added up by their totals, one
     row for each range. The table with its ranges is written, so the ranges stay as they are.
     """
-    ranges = max(1, -(-df.count() // range_rows))
-    dealt = df.coalesce(1) if ranges == 1 else df.repartitionByRange(ranges, *order)
-    dealt = saved(dealt.withColumn("range_", F.spark_partition_id()))
+    ranges = max(1, -(-rows // range_rows))
+    range_ = F.lit(0) if ranges == 1 else F.spark_partition_id()
+    dealt = (df if ranges == 1 else df.repartitionByRange(ranges, *order)).withColumn("range_", range_)
+    dealt = dealt if ranges == 1 else saved(dealt)
     earlier = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in columns})
     if ranges == 1:
         return own.drop("range_")
-    # a row for each range
     sums = dealt.groupBy("range_").agg(*[F.sum(c).alias(f"{c}_sum_") for c in columns])
-    ahead = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("range_"), *[F.coalesce(F.sum(f"{c}_sum_").over(ahead), F.lit(0)).alias(f"{c}_base_") for c in columns])
-    out = own.join(F.broadcast(sums), "range_")
+    out = own.join(F.broadcast(sums), "range_")  # a row for each range
     return out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_base_") for c in columns}).drop("range_", *[f"{c}_base_" for c in columns])
-
-
-def long_id(name: str = "doc_id") -> Column:
-    return F.col(name).cast("long").alias(name)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE, batches, column, mix64, partitions, saved, summed_before, texts
+from cairn.llm.common import batches, column, mix64, partitions, saved, summed_before, texts
 
 #: Words of a block. Targets are met to within about half of it for each source.
 BLOCK_WORDS = 32
@@ -46,10 +46,10 @@ def weighed(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float
     source that it doesn't fill.
     """
     odds = F.array(*[F.lit(w) for w in weights])
-    ranked = summed_before(sources.withColumn("one_", F.lit(1)), [F.col("source").asc_nulls_last()], ["one_"]).withColumnRenamed("one__before", "k")
-    ranked = ranked.withColumn("weight", F.element_at(odds, (F.col("k") % len(weights) + 1).cast("int"))).withColumn("full_", most * F.col("size") / F.col("weight"))
-    before = summed_before(ranked.select("k", "size", "weight", "full_"), [F.col("full_").asc(), F.col("k").asc()], ["size", "weight"])
     whole = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    ranked = summed_before(sources.withColumn("one_", F.lit(1)), [F.col("source").asc_nulls_last()], ["one_"], whole["n"]).withColumnRenamed("one__before", "k")
+    ranked = ranked.withColumn("weight", F.element_at(odds, (F.col("k") % len(weights) + 1).cast("int"))).withColumn("full_", most * F.col("size") / F.col("weight"))
+    before = summed_before(ranked.select("k", "size", "weight", "full_"), [F.col("full_").asc(), F.col("k").asc()], ["size", "weight"], whole["n"])
     rounds, rest = divmod(whole["n"], len(weights))
     share = (total * whole["size"] - most * F.col("size_before")) / (rounds * sum(weights) + sum(weights[:rest]) - F.col("weight_before"))
     level = before.withColumn("share_", share).filter("share_ <= full_").agg(F.min_by("share_", F.struct("full_", "k")).alias("level")).first()["level"]
@@ -123,8 +123,8 @@ class Mix:
         found = saved(rows.groupBy("source").agg(F.sum("size").alias("size")))
         own = weighed(found, weights, total, most).withColumn("blocks", F.ceil(F.col("size") / block))
         self.sources = saved(own.withColumn("slots", slot_count(block, most)))
-        few = found.count() <= broadcast_sources
-        self.total = self.sources.agg(F.sum("slots").alias("n")).first()["n"] or 0
+        whole = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"), F.count(F.lit(1)).alias("n")).first()
+        few, self.total = whole["n"] <= broadcast_sources, whole["slots"]
         self.shards = max(1, -(-self.total // shard_slots))
         self.documents = streams(self._with_source(rows, few), rows.count())
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_IDS, Scratch, batches, column, mix64, saved, texts, with_ids
+from cairn.llm.common import BROADCAST_IDS, Scratch, batches, column, dealt_join, mix64, saved, texts, with_ids
 
 WORDS = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -224,8 +224,9 @@ def prefix_members(sets: DataFrame, reps: DataFrame, scratch: Scratch, percent:
         need = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
         first = F.greatest(F.lit(0), need - (F.col("n_shingles") - F.size("shared"))).cast("int")
         keys = met.select("rep", "n_shingles", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.xxhash64(F.col("x.shingle")).alias("key"), "rep", "n_shingles")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return keys.join(sizes, "key").select("key", "rep", "n_shingles", "size")
+    keys = scratch.save(keys)
+    sizes = scratch.save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    return dealt_join(keys, sizes, "key", "size", ["rep"]).select("key", "rep", "n_shingles", "size")
 
 
 def linked(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
@@ -240,8 +241,8 @@ def linked(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> Data
 
 def _stars(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame | None:
     rows = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = scratch.save(rows.join(sizes, "key").select("key", "rep", "n_shingles", "size"))
+    sizes = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    members = scratch.save(dealt_join(rows, sizes, "key", "size", ["rep"]).select("key", "rep", "n_shingles", "size"))
     if members.isEmpty():
         return None
     ids = scratch.save(members.select(F.col("rep").alias("doc_id")).distinct())
@@ -252,9 +253,9 @@ def _stars(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, scratch
         members = scratch.save(members.filter(F.col("size") <= LARGE).unionByName(rare))
     popular = members.groupBy("rep").agg(F.sum("size").alias("popular"))
     members = scratch.save(members.join(popular, "rep"), "members")
-    links = scratch.save(confirmed(scratch.save(best_centres(members)), sets))
+    links = scratch.save(confirmed(scratch.save(best_centres(members, scratch)), sets))
     roots = components(links, scratch)
-    members = scratch.save(_mixed(members, roots), "members")
+    members = scratch.save(_mixed(members, roots, scratch), "members")
     if members.isEmpty():
         return roots
     few = scratch.save(confirmed(scratch.save(_pairs(members.filter(F.col("size") <= LARGE))), sets))
@@ -283,8 +284,8 @@ def family_links(members: DataFrame, roots: DataFrame | None, sets: DataFrame, s
     nodes = roots if roots is not None else spark.createDataFrame([], "node long, root long")
     held = nodes.groupBy(F.col("root").alias("label")).agg(F.count(F.lit(1)).alias("held"))
     sized = members.join(held, "label", "left").withColumn("held", F.coalesce("held", F.lit(1)))
-    family = sized.groupBy("key").agg(F.max(F.struct("held", "label")).alias("top")).select("key", F.col("top.label").alias("family"))
-    attached = scratch.save(members.join(family, "key").filter("label <> family").select("family", "rep", "label").distinct())
+    family = scratch.save(sized.groupBy("key").agg(F.max(F.struct("held", "label")).alias("top"), F.count(F.lit(1)).alias("own")).select("key", F.col("top.label").alias("family"), "own"))
+    attached = scratch.save(dealt_join(members, family, "key", "own", ["rep"]).filter("label <> family").select("family", "rep", "label").distinct())
     families = attached.select("family").distinct()
     whole = nodes.join(families, nodes["root"] == families["family"]).select("family", F.col("node").alias("rep"), F.col("root").alias("label"))
     alone = families.join(nodes.select(F.col("root").alias("family")).distinct(), "family", "left_anti").select("family", F.col("family").alias("rep"), F.col("family").alias("label"))
@@ -351,21 +352,23 @@ def _close():
     return 100 * F.least("n_shingles", "c_n") >= PERCENT * F.greatest("n_shingles", "c_n")
 
 
-def best_centres(members: DataFrame) -> DataFrame:
+def best_centres(members: DataFrame, scratch: Scratch) -> DataFrame:
     """One pair (a, b) for each member: with the most popular centre of all its buckets. A large group of copies around one document needs no more."""
-    tops = members.groupBy("key").agg(F.min(F.struct((-F.col("popular")).alias("less"), F.col("rep").alias("c"), F.col("n_shingles").alias("c_n"))).alias("top")).select("key", "top.*")
-    best = members.join(tops, "key").filter((F.col("rep") != F.col("c")) & _close()).groupBy("rep").agg(F.min(F.struct("less", "c")).alias("best"))
+    first = F.min(F.struct((-F.col("popular")).alias("less"), F.col("rep").alias("c"), F.col("n_shingles").alias("c_n"))).alias("top")
+    tops = scratch.save(members.groupBy("key").agg(first, F.count(F.lit(1)).alias("own")).select("key", "top.*", "own"))
+    met = dealt_join(members, tops, "key", "own", ["rep"]).filter((F.col("rep") != F.col("c")) & _close())
+    best = met.groupBy("rep").agg(F.min(F.struct("less", "c")).alias("best"))
     return best.select(F.least("rep", "best.c").alias("a"), F.greatest("rep", "best.c").alias("b")).distinct()
 
 
-def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _mixed(members: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
     """members with label, the root of each, of the buckets only that hold several labels."""
     if roots is None:
         left = members.withColumn("label", F.col("rep"))
     else:
-        left = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-    several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return left.join(several, "key", "left_semi").select("key", "rep", "n_shingles", "size", "label")
+        left = scratch.save(members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root"), "labelled")
+    several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("own")).filter("low < high")
+    return dealt_join(left, scratch.save(several), "key", "own", ["rep"]).select("key", "rep", "n_shingles", "size", "label")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,22 +376,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Words are runs without white space, A-Z in lower case; a text of fewer words than WORDS is one
     shingle; a text without words, or null, has none and is linked with nothing. Rows without a doc_id
-    are linked with nothing either: component_id is null and kept true. Rows that repeat a doc_id are
-    reduced to one text of it when links are confirmed (the rows' own sets decide the buckets), so
-    ids should be unique. Other columns are left out.
+    are linked with nothing either: component_id is null and kept true. Ids should be unique: each row
+    has the component of its own text, and of several texts with one id a link of one may count for
+    the others. Other columns are left out.
     """
-    own = saved(signatures(docs, id_col, text_col))
-    some = own.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = saved(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"), F.count(F.lit(1)).alias("copies")).select("set_key", "rep", "x.n_shingles", "x.bands", "copies"))
-    roots = linked(docs, reps.select("rep", "n_shingles", "bands"), id_col, text_col)
-    # only sets with copies or links travel to the rows
-    if roots is None:
-        moved = reps.filter("copies > 1").select("set_key", F.col("rep").alias("component"))
-    else:
-        moved = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").filter("copies > 1 or root is not null").select("set_key", F.coalesce("root", "rep").alias("component"))
-    to = F.coalesce("component", "doc_id")
-    known = F.when(F.col("doc_id").isNotNull(), to)
-    return own.select("doc_id", "n_shingles", "set_key").join(moved, "set_key", "left").select("doc_id", "n_shingles", known.alias("component_id"), known.eqNullSafe(F.col("doc_id")).alias("kept"))
+    scratch = Scratch(docs.sparkSession)
+    try:
+        own = scratch.save(signatures(docs, id_col, text_col))
+        some = own.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+        first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")
+        reps = scratch.save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), first, F.count(F.lit(1)).alias("copies")).select("set_key", "rep", "x.n_shingles", "x.bands", "copies"))
+        roots = linked(docs, reps.select("rep", "n_shingles", "bands"), id_col, text_col)
+        # only sets with copies or links travel to the rows
+        if roots is None:
+            moved = reps.filter("copies > 1").select("set_key", F.col("rep").alias("component"), "copies")
+        else:
+            moved = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").filter("copies > 1 or root is not null").select("set_key", F.coalesce("root", "rep").alias("component"), "copies")
+        known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        rows = dealt_join(own.select("doc_id", "n_shingles", "set_key"), scratch.save(moved), "set_key", "copies", ["doc_id"], "left")
+        return saved(rows.select("doc_id", "n_shingles", known.alias("component_id"), known.eqNullSafe(F.col("doc_id")).alias("kept")))
+    finally:
+        scratch.drop()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
