@@ -4,14 +4,20 @@ A text becomes pre-tokens (a word with the space before it). Pre-tokens not coun
 out together as one ragged numpy array of symbols; in every round each sequence applies its pair of
 lowest rank, all sequences at once, until no pair is left. The surviving symbols are counted.
 
-Null and empty texts have 0 tokens. Repeated rows are counted one by one. Very long pre-tokens go
-through the same rounds: where the places of a rank can be merged together without changing the
-order of merges, a round takes all of them.
+A round over whole arrays suits many short pre-tokens. Long ones, which need many rounds, are laid
+out together as linked arrays with their places kept by rank: a round takes the lowest rank of all,
+which is the lowest of each sequence that has it, and touches only the places that merge and their
+neighbours, so that it costs what it merges.
+
+Null and empty texts have 0 tokens. Repeated rows are counted one by one. Texts without any space,
+however long, are one pre-token.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +29,10 @@ MARK = "▁"
 #: Pre-tokens whose counts a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
 NO_RANK = np.iinfo(np.int64).max
+#: Characters from which a pre-token goes through the rounds by rank.
+LONG = 96
+#: Pre-tokens, and their characters, that are laid out together.
+TOGETHER, TOGETHER_CHARS = 20_000, 2_000_000
 
 
 class PieceBpe:
@@ -35,6 +45,8 @@ class PieceBpe:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         norm, train = model.normalizer_spec, model.trainer_spec
+        if any(p.type == 4 for p in model.pieces):
+            raise ValueError("pieces that the user defined are not covered")
         if train.model_type != 2 or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not (norm.add_dummy_prefix and norm.escape_whitespaces and train.byte_fallback):
             raise ValueError("only BPE models with byte fallback, identity normalisation and a dummy prefix are covered")
         score = {p.piece: p.score for p in model.pieces if p.type == 1}
@@ -65,17 +77,20 @@ class PieceBpe:
         hit = self.pair[at] == key
         return np.where(hit, self.rank[at], NO_RANK), np.where(hit, self.into[at], -1)
 
-    def merged(self, words: list[str]) -> list[tuple[int, int]]:
-        """(tokens, 1 if the leading mark stays alone) for each word, a mark put before it."""
-        sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    def _laid_out(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all words one after another, a mark put before each; the word of each symbol; what it costs if it stays alone."""
         flat = "".join(MARK + w for w in words)
         codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         uniq, back = np.unique(codes, return_inverse=True)
         # -2 and below: characters that no piece holds; they end as one token a byte
         width = [len(chr(c).encode("utf-8", "surrogatepass")) for c in uniq]
         as_id = np.array([self.char[chr(c)] if chr(c) in self.char else -1 - w for c, w in zip(uniq.tolist(), width, strict=True)], dtype=np.int64)
-        sym, seq = as_id[back], np.repeat(np.arange(len(words)), sizes)
-        cost = np.array([1 if chr(c) in self.char and self.char[chr(c)] in self.known else w for c, w in zip(uniq.tolist(), width, strict=True)], dtype=np.int64)[back]
+        alone = np.array([1 if chr(c) in self.char and self.char[chr(c)] in self.known else w for c, w in zip(uniq.tolist(), width, strict=True)], dtype=np.int64)
+        return as_id[back], np.repeat(np.arange(len(words)), [len(w) + 1 for w in words]), alone[back]
+
+    def merged(self, words: list[str]) -> list[tuple[int, int]]:
+        """(tokens, 1 if the leading mark stays alone) for each word, a mark put before it."""
+        sym, seq, cost = self._laid_out(words)
         done_count, done_lead = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
 
         def close(keep: np.ndarray) -> None:
@@ -128,6 +143,72 @@ class PieceBpe:
             close(active)
         return list(zip(done_count.tolist(), done_lead.tolist(), strict=True))
 
+    def merged_by_rank(self, words: list[str]) -> list[tuple[int, int]]:
+        """As merged(), for long words: places are kept by rank, and a round touches only what it merges."""
+        sym, seq, cost = self._laid_out(words)
+        n = len(sym)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, dtype=bool)
+        after[np.r_[seq[1:] != seq[:-1], True]] = n  # n: the sequence ends here
+        before[np.r_[True, seq[1:] != seq[:-1]]] = n
+        sym, seq = np.r_[sym, -1], np.r_[seq, -1]  # place n is beyond every end
+        rank, into = np.full(n + 1, NO_RANK), np.full(n + 1, -1)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Put the pairs that begin at these places where their ranks are."""
+            rank[at], into[at] = self._ranks(sym[at], sym[after[at]])
+            at = at[rank[at] < NO_RANK]
+            if not len(at):
+                return
+            own = rank[at]
+            order = np.argsort(own, kind="stable")
+            at, own = at[order], own[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            for r, part in zip(own[first].tolist(), np.split(at, first[1:]), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        note(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # of overlapping places of one pair, every second from the left
+            k = np.arange(len(at))
+            head = np.maximum.accumulate(np.where(np.r_[True, after[at[:-1]] != at[1:]], k, 0))
+            at = at[(k - head) % 2 == 0]
+            # From left to right, the neighbours of a place as they are when it merges. A pair that then
+            # arises and goes before this rank stops its sequence: what is left of the rank comes again.
+            new, right = into[at], after[after[at]]
+            left = before[at]
+            joined = np.r_[False, after[after[at[:-1]]] == at[1:]]
+            left_sym = np.where(joined, np.r_[-1, new[:-1]], sym[left])
+            early = np.minimum(self._ranks(new, sym[right])[0], self._ranks(left_sym, new)[0]) <= r
+            if early.any():
+                behind = np.cumsum(early) - early
+                start = np.flatnonzero(np.r_[True, seq[at[1:]] != seq[at[:-1]]])
+                held = behind > np.repeat(behind[start], np.diff(np.r_[start, len(at)]))
+                if held.any():
+                    places[r] = [at[held]]
+                    heapq.heappush(ranks, r)
+                    at = at[~held]
+            gone = after[at]
+            sym[at], cost[at] = into[at], 1
+            alive[gone] = False
+            rank[gone] = NO_RANK
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            note(np.unique(np.r_[at, before[at][before[at] < n]]))
+        counts = np.bincount(seq[:n][alive], weights=cost[alive], minlength=len(words)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, seq[1:n] != seq[: n - 1]])
+        return list(zip(counts.tolist(), (sym[first] == self.mark).astype(int).tolist(), strict=True))
+
     @functools.lru_cache(maxsize=4096)  # noqa: B019
     def run(self, n: int) -> int:
         """Tokens of n marks that no word takes: the leftmost pair that is a piece merges first."""
@@ -144,10 +225,11 @@ class PieceBpe:
         memo = self.memo
         if len(memo) > REMEMBERED:
             memo.clear()
-        new = list({w for words in split for w in words if w not in memo})
+        new = {w for words in split for w in words if w not in memo}
         fresh: dict[str, tuple[int, int]] = {}
-        for k in range(0, len(new), 20_000):
-            fresh.update(zip(new[k : k + 20_000], self.merged(new[k : k + 20_000]), strict=True))
+        for way, own in ((self.merged, [w for w in new if len(w) < LONG]), (self.merged_by_rank, [w for w in new if len(w) >= LONG])):
+            for part in _together(own):
+                fresh.update(zip(part, way(part), strict=True))
         memo.update((w, x) for w, x in fresh.items() if len(w) <= 64)
         out = []
         for words in split:
@@ -165,6 +247,18 @@ class PieceBpe:
         return out
 
 
+def _together(words: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for w in words:
+        held.append(w)
+        size += len(w)
+        if len(held) == TOGETHER or size >= TOGETHER_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @functools.lru_cache(maxsize=2)
 def piece_bpe(path: str) -> PieceBpe:
     return PieceBpe(path)

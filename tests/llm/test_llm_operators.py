@@ -38,6 +38,30 @@ def test_token_counts_equal_the_library(docs, rows, empty):
     assert token_counts(empty, path).count() == 0
 
 
+def test_long_pre_tokens_equal_the_library_and_cost_little():
+    import base64
+    import random
+    import time
+
+    import sentencepiece
+
+    from cairn.llm.token_count import LONG, PieceBpe
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own, draw = sentencepiece.SentencePieceProcessor(model_file=path), PieceBpe(path), random.Random(4)
+    letters = ["ab", "abc0123", "thequickbrownfoxjumpsoverit", "ABCxyz+/=", "日本語é😀a", "aA"]
+    texts = []
+    for _ in range(400):
+        a = draw.choice(letters)
+        texts.append("  ".join("".join(draw.choice(a) for _ in range(draw.randint(1, 3 * LONG))) for _ in range(draw.randint(1, 3))) + draw.choice(["", " "]))
+    assert own.counts(texts) == [len(library.encode(t)) for t in texts]
+    assert own.merged_by_rank(["a", "word", "x" * 7]) == own.merged(["a", "word", "x" * 7])
+    for t in (base64.b64encode(draw.randbytes(750_000)).decode(), "x" * 1_000_000, "eyJ" * 300_000):
+        began = time.process_time()
+        assert own.counts([t]) == [len(library.encode(t))]
+        assert time.process_time() - began < 10
+
+
 def test_packing_round_trip(docs, rows, empty):
     from tokenizers import Tokenizer
 
