@@ -1,9 +1,10 @@
 """Secret scans (7): one combined deterministic automaton over bytes.
 
-Each rule has a regex for what must be seen. All of them become one nondeterministic automaton that
-may start at any byte; subset construction and minimisation turn it into transition arrays, and one
-pass over a text's bytes tells which rules match and where matches become certain. At those places
-the rule's span is taken, leftmost and non-overlapping within the rule, and checked for its length.
+The rules' regexes become one nondeterministic automaton that reads texts from their end and may start
+at any byte. Subset construction and minimisation turn it into transition arrays, and one pass over a
+text's bytes tells, for all rules, at which bytes a match begins. From the leftmost of them on, a
+rule's own automaton runs forward to the longest match, and the next match is looked for behind it:
+leftmost, longest and without overlap, in time linear in the text. What is too short is dropped.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ from cairn.llm.common import batches, column, texts
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; seen: what the automaton looks for (each match of span that counts has one inside); span: the whole match; group and least: what must have least characters."""
+    """kind; span: a regex over bytes of the whole match; group and least: what must have least characters, else the match is dropped."""
 
     kind: str
-    seen: bytes
     span: bytes
     group: int = 0
     least: int = 0
@@ -33,24 +33,25 @@ class Rule:
 
 # The kinds and patterns that are asked for, in their order.
 BASE = (
-    Rule("assign", rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""", rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", rb"AKIA[A-Z0-9]{4}", rb"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", rb"[0-9a-f]{24}", rb"[0-9a-f]{24,}"),
+    Rule("assign", rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", rb"AKIA[A-Z0-9]+", 0, 20),
+    Rule("hex", rb"[0-9a-f]{24,}"),
 )
 # Public formats of credentials that the base kinds don't name.
 MORE = (
-    Rule("github", rb"gh[pousr]_[A-Za-z0-9]{4}", rb"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("google", rb"AIza[A-Za-z0-9_-]{4}", rb"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("slack", rb"xox[abprs]-[A-Za-z0-9]{4}", rb"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("stripe", rb"[rs]k_live_[A-Za-z0-9]{4}", rb"[rs]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("pem", rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("github", rb"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    Rule("google", rb"AIza[A-Za-z0-9_-]+", 0, 39),
+    Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    Rule("stripe", rb"[rs]k_live_[A-Za-z0-9]+", 0, 24),
+    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("pem", rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
 
 
 class _Nfa:
-    def __init__(self) -> None:
+    def __init__(self, back: bool) -> None:
+        self.back = back
         self.step: list[list[tuple[frozenset[int], int]]] = []
         self.free: list[list[int]] = []
 
@@ -59,9 +60,9 @@ class _Nfa:
         self.free.append([])
         return len(self.step) - 1
 
-    def add(self, tree, at: int, fold: bool) -> int:
-        """Append the parsed regex from state at on; its end state."""
-        for op, arg in tree:
+    def add(self, tree, at: int, fold: bool = False) -> int:
+        """Append the parsed regex from state at on, its last part first where texts are read from their end; its end state."""
+        for op, arg in reversed(list(tree)) if self.back else tree:
             name = str(op)
             if name in ("LITERAL", "IN", "ANY"):
                 to = self.state()
@@ -129,37 +130,54 @@ def _bytes(name: str, arg, fold: bool) -> frozenset[int]:
     return frozenset(got)
 
 
+def shortest(tree) -> list:
+    """The parsed regex with repeats at its end cut to their least number: it matches from the same places."""
+    out = list(tree)
+    while out:
+        name, arg = str(out[-1][0]), out[-1][1]
+        if name == "MAX_REPEAT":
+            low, high, inner = arg
+            if not low:
+                out.pop()
+                continue
+            out[-1] = (out[-1][0], (low, low, inner))
+        elif name == "SUBPATTERN":
+            out[-1] = (out[-1][0], (*arg[:3], shortest(arg[3])))
+        elif name == "BRANCH":
+            out[-1] = (out[-1][0], (arg[0], [shortest(x) for x in arg[1]]))
+        break
+    return out
+
+
 class Automaton:
-    """rows[state][byte] is the next state; accepting states are numbered last, from first_accept on; said[state - first_accept]: the rules' bits."""
+    """rows[state][byte] is the next state, the start is 0; accepting states are numbered last, from first_accept on; said[state - first_accept]: the bits of the patterns that have matched."""
 
-    def __init__(self, patterns: list[bytes]):
-        nfa = _Nfa()
+    def __init__(self, trees: list, back: bool, anywhere: bool):
+        """back: texts are read from their end; anywhere: a match may start at any byte, so the start is in every subset."""
+        nfa = _Nfa(back)
         start, ends = nfa.state(), {}
-        for k, p in enumerate(patterns):
+        for k, tree in enumerate(trees):
             own = nfa.state()
             nfa.free[start].append(own)
-            ends[nfa.add(sre.parse(p), own, False)] = k
-        # Subset construction; the start is in every subset, since a match may begin at any byte.
+            ends[nfa.add(tree, own)] = k
+        # bytes that no step tells apart are one column
+        sets = sorted({chars for own in nfa.step for chars, _ in own}, key=sorted)
+        groups: dict[tuple, list[int]] = {}
+        for b in range(256):
+            groups.setdefault(tuple(b in x for x in sets), []).append(b)
+        columns = list(groups.values())
         first = nfa.closure({start})
         number, todo, table, bits = {first: 0}, [first], [], []
         while todo:
             now = todo.pop(0)
-            to: list[set[int]] = [set() for _ in range(256)]
-            for s in now:
-                for chars, t in nfa.step[s]:
-                    for b in chars:
-                        to[b].add(t)
             row = []
-            seen: dict[frozenset[int], int] = {}
-            for b in range(256):
-                key = frozenset(to[b])
-                if key not in seen:
-                    nxt = nfa.closure(set(key) | {start})
-                    if nxt not in number:
-                        number[nxt] = len(number)
-                        todo.append(nxt)
-                    seen[key] = number[nxt]
-                row.append(seen[key])
+            for own in columns:
+                to = {t for s in now for chars, t in nfa.step[s] if own[0] in chars}
+                nxt = nfa.closure(to | {start} if anywhere else to)
+                if nxt not in number:
+                    number[nxt] = len(number)
+                    todo.append(nxt)
+                row.append(number[nxt])
             table.append(row)
             bits.append(sum(1 << ends[s] for s in now if s in ends))
         self.subset_states = len(table)
@@ -167,20 +185,34 @@ class Automaton:
         # Accepting states last, the start first.
         order = sorted(range(len(table)), key=lambda s: (bits[s] > 0, s != begin, s))
         to_new = {s: k for k, s in enumerate(order)}
-        self.rows = [[to_new[t] for t in table[s]] for s in order]
+        of = {b: c for c, own in enumerate(columns) for b in own}
+        self.rows = [[to_new[table[s][of[b]]] for b in range(256)] for s in order]
         self.first_accept = sum(1 for b in bits if not b)
         self.said = [bits[s] for s in order[self.first_accept :]]
+        # once there, nothing matches any more
+        self.dead = next((s for s in range(self.first_accept) if set(self.rows[s]) == {s}), -1)
 
-    def scan(self, data: bytes) -> list[tuple[int, int]]:
-        """(rules' bits, position after the byte) wherever a rule's match becomes certain or goes on being so."""
-        rows, accept, out, row = self.rows, self.first_accept, [], self.rows[0]
-        for at, b in enumerate(data):
+    def begins(self, data: bytes) -> list[tuple[int, int]]:
+        """(place, bits of the patterns of which a match begins there), from the last place to the first; for an automaton that reads back."""
+        rows, accept, out, row, last = self.rows, self.first_accept, [], self.rows[0], len(data) - 1
+        for k, b in enumerate(reversed(data)):
             s = row[b]
             row = rows[s]
             if s >= accept:
-                out.append((self.said[s - accept], at + 1))
+                out.append((last - k, self.said[s - accept]))
         return out
 
+    def longest(self, data: bytes, at: int) -> int:
+        """End of the longest match that begins at `at`, -1 for none; for an automaton that reads forward."""
+        rows, accept, dead, s, end = self.rows, self.first_accept, self.dead, 0, -1
+        for k in range(at, len(data)):
+            s = rows[s][data[k]]
+            if s == dead:
+                break
+            if s >= accept:
+                end = k + 1
+        return end
+
 
 def _minimised(table: list[list[int]], bits: list[int]) -> tuple[list[list[int]], list[int], int]:
     """Merge states that no input tells apart: split classes by what they accept and where each byte leads, until nothing splits."""
@@ -199,27 +231,22 @@ def _minimised(table: list[list[int]], bits: list[int]) -> tuple[list[list[int]]
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.automaton = Automaton([r.seen for r in rules])
-        self.spans = [re.compile(r.span) for r in rules]
+        trees = [sre.parse(r.span) for r in rules]
+        self.automaton = Automaton([shortest(t) for t in trees], True, True)
+        self.ends = [Automaton([t], False, False) for t in trees]
+        self.groups = [re.compile(r.span) if r.group else None for r in rules]
 
     def find(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes of all spans, by start, then rule."""
-        events = self.automaton.scan(data)
-        if not events:
-            return []
-        out = []
-        for k, rule in enumerate(self.rules):
-            at = 0
-            for said, where in events:
-                # a match that ends before here has been taken; one that is certain here has not
-                while said >> k & 1 and where > at:
-                    m = self.spans[k].search(data, at)
-                    if m is None:
-                        at = len(data)
-                        break
-                    at = m.end()
-                    if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        out.append((m.start(), k, m.end()))
+        out, free = [], [0] * len(self.rules)
+        for at, bits in reversed(self.automaton.begins(data)):
+            for k, rule in enumerate(self.rules):
+                if bits >> k & 1 and at >= free[k]:
+                    end = free[k] = self.ends[k].longest(data, at)
+                    # of a span that has been found, the regex only tells where its group stands
+                    low, high = self.groups[k].fullmatch(data, at, end).span(rule.group) if rule.group else (at, end)
+                    if high - low >= rule.least:
+                        out.append((at, k, end))
         return sorted(out)
 
 

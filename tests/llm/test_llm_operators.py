@@ -216,6 +216,27 @@ def test_secrets_on_random_texts():
         assert [x for x in ss.in_code_points(data, own.find(data)) if x[1] < 3] == brute_secrets(t), t
 
 
+def test_all_kinds_equal_their_regexes_on_random_texts():
+    import random
+
+    draw, own = random.Random(9), ss.scanner()
+    parts = ["eyJ", "eyJab", ".", ".eyJ", "-", "ghp_", "gho_a1", "AIza", "xoxb-", "sk_live_", "rk_live_9", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "a1B2c3D4", "token", "=", "é", " ", "0123456789abcdef01234567"]
+    for _ in range(3000):
+        data = "".join(draw.choice(parts) for _ in range(draw.randint(1, 24))).encode()
+        want = [(m.start(), k, m.end()) for k, r in enumerate(own.rules) for m in re.finditer(r.span, data) if m.end(r.group) - m.start(r.group) >= r.least]
+        assert own.find(data) == sorted(want), data
+
+
+def test_secrets_take_linear_time():
+    import time
+
+    own = ss.scanner()
+    for data, n in ((b"eyJ" * 350_000 + b".eyJ" + b"x" * 100, 0), (b"eyJ" * 350_000 + b".eyJ" + b"x" * 100 + b".y", 1), (b"0123456789abcdef" * 65_000, 1), (b"eyJa.eyJ" * 130_000, 0), (b"token=" * 170_000, 1)):
+        began = time.process_time()
+        assert len(own.find(data)) == n
+        assert time.process_time() - began < 10
+
+
 def test_secrets_of_more_kinds():
     own = ss.scanner()
     t = b"ghp_" + b"a1B2" * 9 + b" xoxb-12345678901 -----BEGIN RSA PRIVATE KEY----- AIza" + b"x" * 35
