@@ -1,7 +1,8 @@
 """Document fingerprints (4): an invertible Bloom lookup sketch of paragraph digests.
 
-A text's paragraphs (lines; sentences of long lines; windows of long sentences) are hashed to 64-bit
-digests, the k-th repeat of a paragraph to a digest of its own. Each digest is added to one cell in
+A text's paragraphs (lines; sentences of long lines; windows of long sentences; pieces of text with
+few spaces, cut where its characters say so) are hashed to 64-bit digests, the k-th repeat of a
+paragraph to a digest of its own. Each digest is added to one cell in
 each of three tables of cells (count, xor of digests, xor of checks). To compare two versions, cells
 are subtracted: what both share cancels. Peeling takes cells that hold a single digest, and so
 recovers the digests that differ and in which version they stand. Where peeling stalls, both are
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import mix64, partitions, sliced
@@ -29,6 +30,12 @@ TABLES = 3
 CELLS = 12
 #: Words of a line above which it is cut into sentences, and sentences into windows of as many words.
 LONG = 24
+#: Characters up to which a line is one paragraph; and characters a word above which a longer piece counts as text with few spaces.
+SHORT, SPARSE = 96, 16
+#: Text with few spaces is cut behind one of PIECE characters on average, by a hash of the last four; no piece is shorter or longer than these but the last.
+PIECE, LEAST_PIECE, MOST_PIECE = 24, 8, 256
+#: Rows of a range of ids.
+RANGE_ROWS = 20_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -37,14 +44,36 @@ def paragraphs(text: str) -> list[str]:
     out = []
     for line in text.split("\n"):
         line = line.strip()
-        if not line:
+        if len(line) <= SHORT:
+            if line:
+                out.append(line)
             continue
-        if len(line) <= LONG * 4 or line.count(" ") < LONG:
-            out.append(line)
-            continue
-        for sentence in _SENTENCE.split(line):
-            words = sentence.split()
-            out += [" ".join(words[k : k + LONG]) for k in range(0, len(words), LONG)]
+        parts = [line]
+        if line.count(" ") >= LONG:
+            split = (sentence.split() for sentence in _SENTENCE.split(line))
+            parts = [" ".join(words[k : k + LONG]) for words in split for k in range(0, len(words), LONG)]
+        for part in parts:
+            if len(part) > SHORT and len(part) > SPARSE * (part.count(" ") + 1):
+                out += pieces(part)
+            else:
+                out.append(part)
+    return out
+
+
+def pieces(part: str) -> list[str]:
+    """part cut at content-defined places, so that an edit changes the pieces about it only."""
+    codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        last = codes[3:] + np.uint64(1 << 21) * codes[2:-1] + np.uint64(1 << 42) * codes[1:-2]
+        cuts = np.flatnonzero(mix64(last ^ mix64(codes[:-3], 3), 5) % np.uint64(PIECE) == 0) + 4
+    out, begin = [], 0
+    for cut in [*cuts.tolist(), len(part)]:
+        while cut - begin > MOST_PIECE:
+            out.append(part[begin : begin + MOST_PIECE])
+            begin += MOST_PIECE
+        if cut - begin >= LEAST_PIECE or cut == len(part) > begin:
+            out.append(part[begin:cut])
+            begin = cut
     return out
 
 
@@ -185,6 +214,39 @@ def fingerprints(d: Digests) -> list[str]:
     return [r.tobytes().hex() for r in rows]
 
 
+def parsed(prints: list[str]) -> tuple[np.ndarray, Sketch]:
+    """Numbers of paragraphs and sketches of fingerprints."""
+    raw = np.frombuffer(bytes.fromhex("".join(prints)), dtype=np.uint8).reshape(len(prints), 4 + 20 * CELLS)
+    part = lambda low, high, kind: np.ascontiguousarray(raw[:, low:high]).view(kind)
+    c = 4 + 4 * CELLS
+    return part(0, 4, "<u4")[:, 0].astype(np.int64), Sketch(part(4, c, "<u4").astype(np.int64), part(c, c + 8 * CELLS, "<u8"), part(c + 8 * CELLS, c + 16 * CELLS, "<u8"))
+
+
+def compared(a: list[str], b: list[str]) -> np.ndarray:
+    """Likeness of the pairs of fingerprints; nan where they differ by more than their cells can tell, and the texts must be compared."""
+    if not a:
+        return np.zeros(0)
+    (size_a, mine), (size_b, yours) = parsed(a), parsed(b)
+    done, doc, _, sign = peel(mine, yours)
+    only_a, only_b = (np.bincount(doc[sign == x], minlength=len(a)) for x in (1, -1))
+    both = size_a - only_a
+    union = both + only_a + only_b
+    return np.where(done & (both == size_b - only_b), np.where(union == 0, 1.0, both / np.maximum(union, 1)), np.nan)
+
+
+def compare(rows: DataFrame, a_col: str, b_col: str, name: str = "likeness") -> DataFrame:
+    """rows (without null fingerprints) with the likeness of two columns of stored fingerprints; null where only the texts can tell (about a dozen paragraphs differ)."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != name]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            own = part.drop_columns([name]) if name in part.schema.names else part
+            like = compared(*[part.column(c).to_pylist() for c in (a_col, b_col)])
+            yield own.append_column(name, pa.array(like, type=pa.float64(), mask=np.isnan(like)))
+
+    return rows.mapInArrow(run, ", ".join([*kinds, f"`{name}` double"]))
+
+
 def in_order(docs: DataFrame, n: int) -> DataFrame:
     """docs (id_, text_) dealt into n ranges of ids, each range in one partition, sorted, with the first row of the next range after it (ghost_).
 
@@ -192,7 +254,7 @@ def in_order(docs: DataFrame, n: int) -> DataFrame:
     """
     ids = docs.select("id_")
     # a percentile for each range: n numbers
-    cuts = ids.agg(F.percentile_approx("id_", [k / n for k in range(1, n)], 100 * n).alias("cut")).first()["cut"] if n > 1 else None
+    cuts = ids.agg(F.percentile_approx("id_", [k / n for k in range(1, n)], 20 * n).alias("cut")).first()["cut"] if n > 1 else None
     cuts = sorted(set(cuts or []))
     # rows without an id come first
     bucket = F.when(F.col("id_").isNull(), F.lit(0)).otherwise(_bucket(cuts))
@@ -211,11 +273,14 @@ def in_order(docs: DataFrame, n: int) -> DataFrame:
     return out.repartitionById(max(n, 1), F.col("bucket_")).sortWithinPartitions("bucket_", "ghost_", F.col("id_").asc_nulls_first(), "text_")
 
 
-def _bucket(cuts: list[int]):
-    """Number of cuts that are at most id_, by binary search over a literal array."""
+def _bucket(cuts: list[int]) -> Column:
+    """Number of cuts that are at most id_, by binary search in a literal array."""
     if not cuts:
         return F.lit(0)
-    return F.expr("array_size(filter(array(%s), c -> c <= id_))" % ", ".join(f"{c}L" for c in cuts)).cast("int")
+    own = F.expr("array(%s)" % ", ".join(f"{c}L" for c in cuts))
+    steps = F.expr("array(%s)" % ", ".join(str(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+    # beyond the last cut get() is null, which is not at most anything
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(own, at + step - 1) <= F.col("id_"), at + step).otherwise(at))
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +295,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id_"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text_"))
-    ordered = in_order(rows, partitions(spark))
+    ordered = in_order(rows, max(partitions(spark), -(-rows.count() // RANGE_ROWS)))
     out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
