@@ -2,10 +2,11 @@
 
 The index maps each word of the templates to postings (template, position). How rare a word is comes
 from the corpus itself: one pass counts, for the words of the index, the documents that hold them.
-Each template is looked up by its highest-IDF words: where a file has one, its postings say where the
-template would begin; beginnings on which enough of a template's rare words agree are candidates, and
-a candidate counts when a mandatory key phrase of the template stands, word by word, near its place.
-The asked-for phrases are templates whose key phrase is the whole, so all their places are found.
+A file is looked up by the highest-IDF words that it has itself of a template: each of their places
+says, by the word's postings, where the template would begin; beginnings on which enough of these words
+agree are candidates, and a candidate counts when a mandatory key phrase of the template stands, word
+by word, near its place. Templates of which a file lacks all key phrases' words aren't looked up. The
+asked-for phrases are templates whose key phrase is the whole, so all their places are found.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from cairn.llm.common import batches, column, texts
 
 #: Words over bytes, A-Z already in lower case: digits, letters and all that isn't ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Rare words by which a template is looked up, and the share of them that must agree on its beginning.
+#: Rare words of a file by which a template is looked up, and the share of them that must agree on its beginning.
 ANCHORS, AGREE = 6, 0.5
 #: Words by which a place may be off, in templates longer than a phrase.
 SLACK = 4
@@ -70,45 +71,52 @@ TEMPLATES = BASE + MORE
 
 @dataclass
 class Index:
-    """Postings of the templates' rare words; words and idf of all of them."""
+    """Positions of each template's words, the words by falling IDF, and its key phrases."""
 
     templates: tuple[Template, ...]
     idf: dict[bytes, float]
     words: list[list[bytes]] = field(default_factory=list)
-    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
-    needed: list[int] = field(default_factory=list)
+    postings: list[dict[bytes, list[int]]] = field(default_factory=list)
+    rare: list[list[bytes]] = field(default_factory=list)
     keys: list[list[tuple[int, list[bytes]]]] = field(default_factory=list)
+    must: list[list[frozenset[bytes]]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        for t, template in enumerate(self.templates):
+        for template in self.templates:
             words = template.text.encode().split()
             self.words.append(words)
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[: 1 if template.phrase else ANCHORS]
-            # one place of each rare word serves; a phrase has no word twice at its rarest
-            for w in rare:
-                for p, x in enumerate(words):
-                    if x == w:
-                        self.postings[w].append((t, p))
-            self.needed.append(1 if template.phrase else math.ceil(len(rare) * AGREE))
+            self.postings.append({w: [p for p, x in enumerate(words) if x == w] for w in words})
+            self.rare.append(sorted(set(words), key=lambda w: (-self.idf[w], w)))
             own = [template.text] if template.phrase else list(template.keys)
             self.keys.append([(_at(words, k.encode().split()), k.encode().split()) for k in own])
-        self.vocabulary = {w for words in self.words for w in words}
+            self.must.append([frozenset(k) for _, k in self.keys[-1]])
+        self.vocabulary = frozenset(w for words in self.words for w in words)
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, coverage) of every place; start: the first word of the phrase, or of the key phrase."""
+        have = self.vocabulary.intersection(words)
+        anchors: dict[int, list[bytes]] = {}
+        for t, template in enumerate(self.templates):
+            if any(key <= have for key in self.must[t]):
+                # one word serves for a phrase, all of which must stand there
+                anchors[t] = [w for w in self.rare[t] if w in have][: 1 if template.phrase else ANCHORS]
+        if not anchors:
+            return []
+        of = {w: [t for t, own in anchors.items() if w in own] for own in anchors.values() for w in own}
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for at, w in enumerate(words):
-            if w in self.postings:
-                for t, p in self.postings[w]:
+            for t in of.get(w, ()):
+                for p in self.postings[t][w]:
                     votes[t, at - p].add(w)
         out: dict[tuple[int, int], float] = {}
         for (t, begin), mine in votes.items():
-            slack = 0 if self.templates[t].phrase else SLACK
+            phrase = self.templates[t].phrase
+            slack, needed = (0, 1) if phrase else (SLACK, math.ceil(min(ANCHORS, len(self.rare[t])) * AGREE))
             near = set(mine)
-            if len(near) < self.needed[t]:
+            if len(near) < needed:
                 for d in range(1, slack + 1):
                     near |= votes.get((t, begin + d), set()) | votes.get((t, begin - d), set())
-            if len(near) < self.needed[t]:
+            if len(near) < needed:
                 continue
             for p, key in self.keys[t]:
                 for d in range(-slack, slack + 1):
