@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import struct
 import zlib
 from dataclasses import dataclass
@@ -33,6 +34,17 @@ REMEMBERED = 300_000
 CHUNK_ROWS = 20_000
 
 
+# The set-up of a tokenizer whose words can be taken one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordIds(dict):
     """Ids of the tokenizer as bytes (little-endian, 32 bits) by word, made when a word is first met.
 
@@ -40,6 +52,7 @@ class WordIds(dict):
     those of its words. It lowers case and parts letters from full stops and commas. So a word of Latin
     letters, lowered, goes to the tokenizer's merges at once, without its normaliser and splitter; any
     other word takes the whole way. A text that holds a special token's string is given to it whole.
+    All this holds for a tokenizer set up as NORMALIZER and SPLITTER say; texts are given whole to any other.
     """
 
     def __init__(self, path: str):
@@ -47,9 +60,13 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = _byte_letters()
+        said = json.loads(self.tokenizer.to_str())
+        self.by_word = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == SPLITTER and said["model"]["type"] == "BPE" and not any(x["normalized"] or x["lstrip"] or x["rstrip"] for x in said["added_tokens"])
 
     def __missing__(self, word: str) -> bytes:
         # All below U+0250 is unchanged by NFC, and its lower case is that of each letter.
@@ -76,7 +93,7 @@ class WordIds(dict):
         return struct.pack(f"<{len(own)}I", *own)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._whole(t) if any(s in t for s in self.special) else b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        return [self._whole(t) if not self.by_word or any(s in t for s in self.special) else b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def _byte_letters() -> list[str]:
