@@ -89,6 +89,18 @@ def test_packing_round_trip(docs, rows, empty):
     assert pack_documents(empty, path).count() == 0
 
 
+def test_packing_takes_other_tokenizers_whole():
+    from tokenizers import Tokenizer
+
+    from cairn.llm.packing import WordIds
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), WordIds(path)
+    texts = ["Two words, AND more.", "  spaces   and\n\nlines", "", "日本語 é"]
+    assert not own.by_word and WordIds(public_tokenizers.path("word_bpe_49k.json")).by_word
+    assert own.encode(texts) == [struct.pack(f"<{len(x)}I", *x) for x in (library.encode(t, add_special_tokens=False).ids for t in texts)]
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = defaultdict(list)
     for i, t, _ in rows:
@@ -172,6 +184,43 @@ def test_fingerprints(docs, rows, empty):
     assert collected(fp.document_fingerprints(one))[0]["near_next"] == 1.0
 
 
+def test_paragraphs_of_all_kinds():
+    import random
+
+    assert fp.paragraphs("") == fp.paragraphs(" \n\t\n") == []
+    assert fp.paragraphs(" one \n\ntwo\r\nthree") == ["one", "two", "three"]
+    words = [f"word{k}" for k in range(60)]
+    first, second = " ".join(words[:30]) + ".", " ".join(words[30:])
+    assert fp.paragraphs(f"{first} {second}") == [" ".join(words[:24]), " ".join(words[24:30]) + ".", " ".join(words[30:54]), " ".join(words[54:])]
+    draw = random.Random(2)
+    text = "".join(chr(draw.randint(0x3041, 0x30FF)) for _ in range(2000))
+    own = fp.paragraphs(text)
+    assert "".join(own) == text and 30 < len(own) < 200 and max(map(len, own)) <= fp.MOST_PIECE
+    # an insertion changes the pieces about it only
+    other = fp.paragraphs(text[:1000] + "あいうえお" + text[1000:])
+    assert sum((Counter(own) - Counter(other)).values()) <= 3
+    half = text[:1000] + "".join(chr(draw.randint(0x3041, 0x30FF)) for _ in range(1000))
+    assert 0.25 < fp.likeness(fp.Digests.of([text]), fp.Digests.of([half]))[0] < 0.42
+    assert "".join(fp.paragraphs("x" * 3000)) == "x" * 3000
+
+
+def test_stored_fingerprints_compare(spark):
+    lines = [f"line number {k}" for k in range(40)]
+    texts = ["\n".join(lines), "\n".join([*lines[:38], "new"]), "", "\n".join(f"other {k}" for k in range(90))]
+    prints = fp.fingerprints(fp.Digests.of(texts))
+    pairs = [(a, b) for a in range(4) for b in range(4)]
+    rows = spark.createDataFrame([(a, b, prints[a], prints[b], 0.0) for a, b in pairs], "i long, j long, a string, b string, likeness double")
+    for r in fp.compare(rows, "a", "b").collect():
+        want = likeness(texts[r["i"]], texts[r["j"]])
+        assert r["likeness"] is None if 3 in (r["i"], r["j"]) and r["i"] != r["j"] or {r["i"], r["j"]} in ({0, 2}, {1, 2}) else r["likeness"] == pytest.approx(want)
+
+
+def test_ranges_of_ids_are_found_by_binary_search(spark):
+    for cuts in ([], [5], [1, 4, 9], list(range(0, 100, 7))):
+        got = spark.range(-3, 120).withColumnRenamed("id", "id_").select("id_", fp._bucket(cuts).alias("b")).collect()
+        assert all(r["b"] == sum(c <= r["id_"] for c in cuts) for r in got)
+
+
 def test_peeling_recovers_the_difference():
     import numpy as np
 
@@ -271,6 +320,17 @@ def test_licenses_of_more_kinds(spark):
     assert got[4]["labels"] == "" and got[4]["score"] == 0.0 and got[2]["score"] > 0.9
 
 
+def test_a_file_is_looked_up_by_its_own_rarest_words():
+    index = ls.Index(ls.TEMPLATES, {w: float(len(w)) for t in ls.TEMPLATES for w in t.text.encode().split()})
+    text = next(t for t in ls.TEMPLATES if t.label == "mit-text").text.split()
+    # without the rarest words of the template at large, its key phrase still finds it
+    rare = {w.decode() for w in index.rare[[t.label for t in ls.TEMPLATES].index("mit-text")][:2]}
+    kept = [w for w in text if w not in rare]
+    found = index.find([w.encode() for w in ["intro", *kept, "end"]])
+    assert [(ls.TEMPLATES[t].label, s) for t, s, _ in found] == [("mit-text", 1)] and 0 < found[0][2] < 1
+    assert index.find([]) == []
+
+
 def brute_components(rows):
     sets = {}
     for i, t, _ in rows:
