@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -38,24 +39,50 @@ def shared_folder(spark: SparkSession) -> str:
         set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
         own = set_.get() if set_.isDefined() else None
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="cairn-shared-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
 
 
-def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+def saved(df: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
     """df as a table written to the shared folder, so that lineage ends there and sizes are known to the planner.
 
     A checkpoint would keep the estimated sizes of the plan before it, which compound from join to
-    join. The tables are deleted when the driver ends; Scratch deletes its own earlier.
+    join. The table goes when the innermost scope ends (keep: the one around it), or else with the
+    driver; tables of a Scratch go with it.
     """
     spark = df.sparkSession
-    path = path or f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = path or fresh(spark)
     df.write.parquet(path)
     _tidied(spark)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new path for a table in the shared folder."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are saved inside are deleted at the end, when what was made of them must be stored."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.pop()
+        for path in own:
+            _delete(spark, path)
+
+
 class Scratch:
     """Tables of one computation: a slot that is written again gives up its earlier table, and drop() ends them all once the result is stored elsewhere."""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batches, column, saved, strings
+from cairn.llm.common import batches, column, saved, scope, strings
 
 #: log2 of the sketch's registers; its relative error is about 1.04 / sqrt(2 ** LG_K).
 LG_K = 11
@@ -67,7 +67,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", tex
     takes one line feed with it. Null texts stay null, with n_lines 0. Null sites count as one site.
     Repeated rows are cleaned alike. Columns of docs named n_lines or n_removed are replaced.
     """
-    bad = saved(boilerplate(docs, min_sites, text_col, site_col))
+    with scope(docs.sparkSession):
+        bad = saved(boilerplate(docs, min_sites, text_col, site_col), keep=True)
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*others)
     names = [f.name for f in docs.schema]
@@ -110,5 +111,3 @@ def _cleaned(part: pa.RecordBatch, names: list[str], text_col: str, bad: list) -
         n_lines.append(held)
         n_removed.append(len(lines) - len(kept))
     return {n: column(part, n) for n in names} | {text_col: out, "n_lines": n_lines, "n_removed": n_removed}
-
-

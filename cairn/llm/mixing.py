@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batches, column, mix64, partitions, saved, summed_before, texts
+from cairn.llm.common import batches, column, mix64, partitions, saved, scope, summed_before, texts
 
 #: Words of a block. Targets are met to within about half of it for each source.
 BLOCK_WORDS = 32
@@ -120,9 +120,10 @@ class Mix:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, broadcast_sources: int = BROADCAST_SOURCES):
         self.spark, self.block, self.seed = docs.sparkSession, block, seed
         rows = saved(sized(docs, id_col, text_col, source_col))
-        found = saved(rows.groupBy("source").agg(F.sum("size").alias("size")))
-        own = weighed(found, weights, total, most).withColumn("blocks", F.ceil(F.col("size") / block))
-        self.sources = saved(own.withColumn("slots", slot_count(block, most)))
+        with scope(self.spark):
+            found = saved(rows.groupBy("source").agg(F.sum("size").alias("size")))
+            own = weighed(found, weights, total, most).withColumn("blocks", F.ceil(F.col("size") / block))
+            self.sources = saved(own.withColumn("slots", slot_count(block, most)), keep=True)
         whole = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"), F.count(F.lit(1)).alias("n")).first()
         few, self.total = whole["n"] <= broadcast_sources, whole["slots"]
         self.shards = max(1, -(-self.total // shard_slots))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_IDS, Scratch, batches, column, dealt_join, mix64, saved, texts, with_ids
+from cairn.llm.common import BROADCAST_IDS, Scratch, batches, column, dealt_join, mix64, saved, scope, texts, with_ids
 
 WORDS = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -229,17 +229,8 @@ def prefix_members(sets: DataFrame, reps: DataFrame, scratch: Scratch, percent:
     return dealt_join(keys, sizes, "key", "size", ["rep"]).select("key", "rep", "n_shingles", "size")
 
 
-def linked(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+def linked(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame | None:
     """node, root of the representatives (rep, n_shingles, bands) that have links; None without any."""
-    scratch = Scratch(docs.sparkSession)
-    try:
-        roots = _stars(docs, reps, id_col, text_col, scratch)
-        return None if roots is None else saved(roots)
-    finally:
-        scratch.drop()
-
-
-def _stars(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame | None:
     rows = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
     sizes = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = scratch.save(dealt_join(rows, sizes, "key", "size", ["rep"]).select("key", "rep", "n_shingles", "size"))
@@ -386,7 +377,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         some = own.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
         first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")
         reps = scratch.save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), first, F.count(F.lit(1)).alias("copies")).select("set_key", "rep", "x.n_shingles", "x.bands", "copies"))
-        roots = linked(docs, reps.select("rep", "n_shingles", "bands"), id_col, text_col)
+        roots = linked(docs, reps.select("rep", "n_shingles", "bands"), id_col, text_col, scratch)
         # only sets with copies or links travel to the rows
         if roots is None:
             moved = reps.filter("copies > 1").select("set_key", F.col("rep").alias("component"), "copies")
@@ -401,11 +392,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that near_dedup keeps: one document of each group. Rows that repeat a doc_id are one document; rows without one stay."""
-    kept = saved(near_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_")))
+    with scope(docs.sparkSession):
+        kept = near_dedup(docs, id_col, text_col).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("kept_")).agg(F.count(F.lit(1)).alias("rows_"))
+        ids = saved(kept, keep=True)
     nulls = docs.filter(docs[id_col].cast("long").isNull())
-    ids = saved(kept.filter("kept_ is not null").distinct())
-    out = with_ids(docs.withColumn("kept_", F.col(id_col).cast("long")), ids, "kept_").drop("kept_")
-    if kept.filter("kept_ is not null").count() > ids.count():
+    out = with_ids(docs.withColumn("kept_", F.col(id_col).cast("long")), ids.select("kept_"), "kept_").drop("kept_")
+    if not ids.filter("rows_ > 1").isEmpty():
         first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), text_col))
         out = out.withColumn("nth__", first).filter("nth__ = 1").drop("nth__")
     return out.unionByName(nulls)
@@ -417,10 +409,12 @@ def with_group_sites(docs: DataFrame, name: str, id_col: str = "doc_id", text_co
     So copies of one document, near ones included, stand in one site wherever they come from.
     """
     small = lambda df: F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df.hint("merge")
-    moved = saved(near_dedup(docs, id_col, text_col).filter("component_id <> doc_id").groupBy("doc_id").agg(F.min("component_id").alias("first_")))
-    firsts = saved(moved.select("first_").distinct())
-    own = docs.select(docs[id_col].cast("long").alias("first_"), docs[site_col].cast("string").alias("site_"))
-    sites = saved(own.join(small(firsts), "first_", "left_semi").groupBy("first_").agg(F.min("site_").alias("site_")))
-    by_id = saved(moved.join(small(sites), "first_").select(F.col("doc_id").alias("moved_"), "site_"))
+    with scope(docs.sparkSession):
+        moved = saved(near_dedup(docs, id_col, text_col).filter("component_id <> doc_id").groupBy("doc_id").agg(F.min("component_id").alias("first_")))
+        firsts = saved(moved.groupBy("first_").agg(F.count(F.lit(1)).alias("members_")))
+        own = docs.select(docs[id_col].cast("long").alias("first_"), docs[site_col].cast("string").alias("site_"))
+        sites = own.join(small(firsts.select("first_")), "first_", "left_semi").groupBy("first_").agg(F.min("site_").alias("site_"))
+        sites = saved(sites.join(firsts, "first_"))
+        by_id = saved(dealt_join(moved, sites, "first_", "members_", ["doc_id"]).select(F.col("doc_id").alias("moved_"), "site_"), keep=True)
     met = docs.join(small(by_id), docs[id_col].cast("long") == F.col("moved_"), "left")
     return met.withColumn(name, F.when(F.col("moved_").isNotNull(), F.col("site_")).otherwise(docs[site_col].cast("string"))).drop("moved_", "site_")

@@ -249,3 +249,36 @@ def test_pipeline_stages(spark, data):
             assert docs.columns == columns and n <= before.count()
             assert docs.filter("n_chars <> length(text)").isEmpty()
     assert "sequence_id" in docs.columns
+
+
+def test_pipeline_of_odd_rows_leaves_no_scratch_behind(spark, docs, empty, tmp_path):
+    import corpus_pipeline as pipe
+    from cairn.llm.common import _folder
+
+    jvm, folder = spark.sparkContext._jvm, _folder(spark)
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+
+    def tables():
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return len(fs.listStatus(path)) if fs.exists(path) else 0
+
+    for name, own in (("odd", docs), ("empty", empty)):
+        own.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1), (9, 0), (11, 1), (12, 0), (None, 1), (3, None), (1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        before = tables()
+        got = pipe.run(spark, f"{tmp_path}/{name}").collect()
+        # the documents that the last stage reads, and its pieces
+        assert tables() <= before + 2
+        assert all(r["doc_tokens"] > 1 for r in got) and (name == "odd") == bool(got)
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from cairn.llm import common
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(SimpleNamespace(conf=conf, sparkContext=context))
