@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import saved, table
+from cairn.llm.common import fresh, saved, scope, table
 from cairn.llm.line_dedup import line_dedup
 from cairn.llm.mixing import mixed_documents
 from cairn.llm.near_dedup import one_of_each, with_group_sites
@@ -59,9 +59,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = saved(docs)
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        path = fresh(spark)
+        # a stage's own tables go when its outcome is stored, and so does the outcome before it
+        with scope(spark) as own:
+            own += before
+            docs = saved(stage(spark, docs, sf_dir), path, keep=True)
+        before = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)
