@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SOURCE_TYPES = ("file", "symbol", "knowledge_node")
-NODE_KINDS = ("component", "workflow", "workflow_step", "concept", "rule", "event", "state", "technology")
-EDGE_KINDS = ("contains", "depends_on", "calls", "precedes", "represents", "enforces", "transitions_to", "triggers", "handles")
+NODE_KINDS = ("architectural_component", "domain_concept", "business_rule", "workflow", "workflow_step", "state", "state_transition", "domain_event", "event_handler")
+EDGE_KINDS = ("contains", "depends_on", "calls", "handles", "represents", "enforces", "triggers", "precedes", "transitions_to")
 JOB_STATUSES = ("queued", "running", "succeeded", "failed", "cancelled")
 SOURCE_LANGUAGES = {"ts": ("typescript", "parser_supported"), "tsx": ("typescript", "parser_supported"), "js": ("javascript", "parser_supported"), "jsx": ("javascript", "parser_supported"), "json": ("json", "inventory_only"), "md": ("markdown", "inventory_only"), "yaml": ("yaml", "inventory_only"), "yml": ("yaml", "inventory_only")}
 IGNORED_DIRECTORIES = (".git", "build", "coverage", "dist", "node_modules")

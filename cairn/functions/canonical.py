@@ -36,6 +36,12 @@ def array_hash(*columns: str) -> Column:
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")), 256)
 
 
+def identity(prefix: str, *parts: str | Column) -> Column:
+    """A stable identity: the prefix and the SHA-256 of the parts as a JSON array of strings."""
+    own = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.concat(F.lit(prefix + ":"), F.sha2(F.to_json(F.array(*own)), 256))
+
+
 def with_fingerprint(df: DataFrame, column: str, name: str = "content_fingerprint") -> DataFrame:
     """df with the fingerprint of a column of JSON text, by Arrow batches; null for null or invalid JSON."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` string"

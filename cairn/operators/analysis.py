@@ -75,10 +75,45 @@ def by_name(references: DataFrame, tiers: list[DataFrame]) -> DataFrame:
     return out.withColumns({"status": F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved"), "target": F.when(F.col("n") == 1, F.col("one"))}).drop("n", "one")
 
 
+# Confidence of a relation by whether its target is named by an import or in the same file; relations of a module's fields.
+NAMED, ANYWHERE = 100, 75
+MODULE_RELATIONS = {"controllers": "contains", "providers": "contains", "imports": "depends_on"}
+ROUTES = ("All", "Delete", "Get", "Head", "Options", "Patch", "Post", "Put")
+ANALYSED = ("domain_concept", "business_rule", "state", "state_transition", "domain_event", "event_handler")
+
+
+def _outputs(references: DataFrame, relation: Column, diagnostic: Column) -> DataFrame:
+    """references with output (relationship or diagnostic), kind and confidence_pct; those with neither are left out."""
+    fine = F.col("status") == "resolved"
+    kind = F.when(fine, relation).otherwise(diagnostic)
+    out = references.withColumns({"output": F.when(fine, "relationship").otherwise("diagnostic"), "kind": kind})
+    return out.withColumn("confidence_pct", F.when(fine, F.when(F.col("tier") < 2, NAMED).otherwise(ANYWHERE)).cast("long")).filter("kind is not null")
+
+
+def injection_outputs(references: DataFrame) -> DataFrame:
+    """Outputs of injected parameters that by_name has resolved (tier, status): depends_on, or a diagnostic where several components have the name; none at all is silent."""
+    return _outputs(references, F.lit("depends_on"), F.when(F.col("status") == "ambiguous", "ambiguous_injection_target"))
+
+
+def module_outputs(references: DataFrame) -> DataFrame:
+    """Outputs of a module's references (field, tier, status): contains or depends_on by the field, or a diagnostic where no or several components have the name; other fields are ignored."""
+    relation = F.create_map(*[F.lit(x) for pair in MODULE_RELATIONS.items() for x in pair])
+    return _outputs(references.filter(F.col("field").isin(*MODULE_RELATIONS)), relation[F.col("field")], F.concat("status", F.lit("_module_reference")))
+
+
+def emitted(facts: DataFrame, components: DataFrame, outputs: list[DataFrame]) -> DataFrame:
+    """fact_id and kind of what an analysis yields: analysed facts, route decorators of methods, components, and outputs; raw calls, injections and other decorators stay inside."""
+    route = (F.col("kind") == "decorator") & (F.col("target_kind") == "method") & F.regexp_extract("name", r"([^.]*)$", 1).isin(*ROUTES)
+    out = facts.filter(F.col("kind").isin(*ANALYSED) | route).select("fact_id", "kind").unionByName(components.select("fact_id", "kind"))
+    for part in outputs:
+        out = out.unionByName(part.select("fact_id", "kind"))
+    return out
+
+
 def merged_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per identity: greatest confidence, deterministic if any is, sorted distinct aliases, distinct evidence, and whether fingerprints conflict."""
     return facts.groupBy(*keys).agg(
-        F.max("confidence_pct").alias("confidence_pct"), F.bool_or("deterministic").alias("deterministic"), F.array_sort(F.collect_set("alias")).alias("aliases"), F.count_distinct("evidence_file").alias("evidence"), (F.count_distinct("fingerprint") > 1).alias("conflict")
+        F.max("confidence_pct").alias("confidence_pct"), F.bool_or("deterministic").alias("deterministic"), F.array_sort(F.collect_set("alias")).alias("aliases"), F.count_distinct("evidence_file").alias("evidence"), (F.min("fingerprint") != F.max("fingerprint")).alias("conflict")
     )
 
 

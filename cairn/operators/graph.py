@@ -17,7 +17,7 @@ def merged_nodes(parts: list[DataFrame]) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("kind", "identity_key").agg(F.min("fingerprint").alias("fingerprint"), (F.count_distinct("fingerprint") > 1).alias("conflict"))
+    return every.groupBy("kind", "identity_key").agg(F.min("fingerprint").alias("fingerprint"), (F.min("fingerprint") != F.max("fingerprint")).alias("conflict"))
 
 
 def unknown_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:

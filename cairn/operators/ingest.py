@@ -96,15 +96,28 @@ def resolved_symbols(references: DataFrame, symbols: DataFrame) -> DataFrame:
     return joined.withColumn("target_symbol_id", F.when(F.col("target_name") == "default", F.col("only")).otherwise(F.col("by_name"))).drop("only", "by_name")
 
 
-def smallest_enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """points (id, file_id, at_offset) with the narrowest range (range_id) of the same file around them; of equal widths the smallest id.
+#: Width of the offset buckets by which ranges and what lies inside them meet.
+BUCKET = 4096
+
+
+def enclosing(items: DataFrame, ranges: DataFrame, keys: list[str], range_id: str) -> DataFrame:
+    """The narrowest range around each item that has one: keys of the item and range_id; of equal widths the smallest range_id.
 
-    The file is the equi key, the range test stays a residual predicate, and a map-side minimum picks the narrowest.
+    Both have file_id, start_offset and end_offset. File and offset bucket are the equi key, a range
+    being in each bucket that it touches, so a file of many ranges is many keys; the range test is a
+    residual predicate, and a map-side minimum picks the narrowest.
     """
+    bucket = F.floor(F.col("start_offset") / BUCKET)
+    of = ranges.select("file_id", range_id, F.col("start_offset").alias("from_"), F.col("end_offset").alias("to_"), F.explode(F.sequence(bucket, F.greatest(bucket, F.floor(F.col("end_offset") / BUCKET)))).alias("bucket_"))
+    met = items.select(*keys, "file_id", "start_offset", "end_offset", bucket.alias("bucket_")).join(of, ["file_id", "bucket_"]).filter((F.col("from_") <= F.col("start_offset")) & (F.col("end_offset") <= F.col("to_")))
+    return met.groupBy(*keys).agg(F.min_by(range_id, F.struct(F.col("to_") - F.col("from_"), F.col(range_id))).alias(range_id))
+
+
+def smallest_enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """points (id, file_id, at_offset) with the narrowest range (range_id) of the same file around them."""
     own = ranges.select(F.col("indexed_file_id").alias("file_id"), F.col("id").alias("range_id"), "start_offset", "end_offset")
-    met = points.select("id", "file_id", "at_offset").join(own, "file_id").filter((F.col("start_offset") <= F.col("at_offset")) & (F.col("at_offset") <= F.col("end_offset")))
-    best = met.groupBy("id").agg(F.min_by("range_id", F.struct(F.col("end_offset") - F.col("start_offset"), F.col("range_id"))).alias("range_id"))
-    return points.join(best, "id", "left")
+    items = points.select("id", "file_id", F.col("at_offset").alias("start_offset"), F.col("at_offset").alias("end_offset"))
+    return points.join(enclosing(items, own, ["id"], "range_id"), "id", "left")
 
 
 def normalized_imports(imports: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ FIXTURES: dict[str, str] = {
         UNION ALL
         SELECT page_id + 100000000, CAST(1 AS BIGINT), 'file', '', url, html, url, 'html', CAST(NULL AS STRING), page_id, page_id + 1000, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM {pages}
         UNION ALL
-        SELECT item_id + 200000000, CAST(1 AS BIGINT), 'knowledge_node', 'item' || CAST(item_id AS STRING), substr(text, 1, 24), text, CAST(NULL AS STRING), CAST(NULL AS STRING), 'concept',
+        SELECT item_id + 200000000, CAST(1 AS BIGINT), 'knowledge_node', 'item' || CAST(item_id AS STRING), substr(text, 1, 24), text, CAST(NULL AS STRING), CAST(NULL AS STRING), 'domain_concept',
             CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), item_id FROM {benchmark}
     """,
     "code_dependencies": """
@@ -37,7 +37,7 @@ FIXTURES: dict[str, str] = {
     """,
     "nodes": """
         SELECT p_partkey AS id, CAST(p_size % 5 AS BIGINT) AS snapshot_id, p_type || ':' || CAST(p_partkey AS STRING) AS identity_key, p_name AS name,
-            CASE p_size % 5 WHEN 0 THEN 'component' WHEN 1 THEN 'workflow' WHEN 2 THEN 'concept' WHEN 3 THEN 'rule' ELSE 'event' END AS kind,
+            CASE p_size % 5 WHEN 0 THEN 'architectural_component' WHEN 1 THEN 'workflow' WHEN 2 THEN 'domain_concept' WHEN 3 THEN 'business_rule' ELSE 'domain_event' END AS kind,
             p_size AS size, p_brand AS brand
         FROM {part}
     """,
@@ -134,10 +134,45 @@ FIXTURES: dict[str, str] = {
         SELECT 'branch-' || CAST(p_partkey AS STRING) AS name, md5(CAST(p_partkey + p_size % 2 AS STRING)) AS head FROM {part} WHERE p_partkey % 3 <> 1 AND p_partkey < 1000
     """,
     "facts": """
-        SELECT l_orderkey * 100 + l_linenumber AS ord, l_partkey % 300 AS identity_key, CASE l_linenumber % 3 WHEN 0 THEN 'business_concept' WHEN 1 THEN 'business_rule' ELSE 'event' END AS kind,
+        SELECT l_orderkey * 100 + l_linenumber AS ord, l_partkey % 300 AS identity_key, CASE l_linenumber % 3 WHEN 0 THEN 'domain_concept' WHEN 1 THEN 'business_rule' ELSE 'domain_event' END AS kind,
             CAST(l_quantity AS BIGINT) AS confidence_pct, l_returnflag = 'R' AS deterministic, 'n' || CAST(l_suppkey % 9 AS STRING) AS alias, l_suppkey AS evidence_file, l_suppkey % 4 AS fingerprint
         FROM {lineitem}
     """,
+    "graph_facts": """
+        SELECT p_partkey AS fact_id, 'architecture_component' AS kind, 'c' || CAST(p_partkey AS STRING) AS identity_key, p_name AS name, CAST(NULL AS STRING) AS value, CAST(NULL AS STRING) AS source_key, CAST(NULL AS STRING) AS target_key,
+            CAST(NULL AS STRING) AS relation, CAST(NULL AS STRING) AS container, CAST(NULL AS STRING) AS path, TRUE AS resolved, CAST(70 + p_size % 31 AS BIGINT) AS confidence_pct, p_size % 3 = 0 AS deterministic, 'f' || CAST(p_size AS STRING) AS fingerprint
+        FROM {part}
+        UNION ALL
+        SELECT 1000000000 + p_partkey, 'architecture_component', 'c' || CAST(p_partkey AS STRING), p_name, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), TRUE,
+            CAST(70 + p_size % 31 AS BIGINT), p_size % 3 = 0, 'f' || CAST(p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS STRING)
+        FROM {part} WHERE p_partkey % 101 = 0
+        UNION ALL
+        SELECT 2000000000 + o_orderkey, 'architecture_relationship', 'r' || CAST(o_orderkey AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'c' || CAST(o_custkey AS STRING), 'c' || CAST(o_custkey + o_orderkey % 600 AS STRING),
+            CASE o_orderkey % 3 WHEN 0 THEN 'contains' WHEN 1 THEN 'depends_on' ELSE 'calls' END, CAST(NULL AS STRING), CAST(NULL AS STRING), TRUE, CAST(60 + o_orderkey % 41 AS BIGINT), o_orderkey % 2 = 0, 'f' || CAST(o_orderkey % 9 AS STRING)
+        FROM {orders}
+        UNION ALL
+        SELECT 4000000000 + o_orderkey,
+            CASE o_orderkey % 6 WHEN 0 THEN 'domain_concept' WHEN 1 THEN 'business_rule' WHEN 2 THEN 'state' WHEN 3 THEN 'state_transition' WHEN 4 THEN 'domain_event' ELSE 'event_handler' END,
+            CASE o_orderkey % 6 WHEN 0 THEN 'd' || CAST(o_custkey % 97 AS STRING) WHEN 1 THEN 'rule' || CAST(o_orderkey AS STRING) WHEN 2 THEN 's' || CAST(o_custkey % 50 AS STRING) WHEN 3 THEN 't' || CAST(o_orderkey - CASE WHEN o_custkey % 500 = 0 THEN 6 ELSE 0 END AS STRING)
+                WHEN 4 THEN 'e' || CAST(o_custkey % 40 AS STRING) ELSE 'h' || CAST(o_orderkey AS STRING) END,
+            CASE o_orderkey % 6 WHEN 0 THEN 'Concept ' || CAST(o_custkey % 97 AS STRING) || CASE WHEN o_custkey % 971 = 0 THEN '!' ELSE '' END WHEN 1 THEN o_orderpriority WHEN 2 THEN 'S' || CAST(o_custkey % 50 AS STRING)
+                WHEN 3 THEN CASE WHEN o_custkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE 'S' || CAST(o_custkey % 53 AS STRING) END WHEN 4 THEN 'ev' || CAST(o_custkey % 40 AS STRING) ELSE 'on' || CAST(o_orderkey AS STRING) END,
+            CASE o_orderkey % 6 WHEN 0 THEN 'concept ' || CAST(o_custkey % 97 AS STRING) WHEN 1 THEN 'p' || CAST(o_custkey % 13 AS STRING) || o_orderpriority WHEN 2 THEN 'Set' || CAST(o_custkey % 5 AS STRING) WHEN 3 THEN 'S' || CAST(o_orderkey % 51 AS STRING)
+                WHEN 4 THEN 'key' || CAST(o_custkey % 40 AS STRING) ELSE CAST(NULL AS STRING) END,
+            CASE WHEN o_orderkey % 6 = 3 AND o_custkey % 4 <> 0 THEN 's' || CAST(o_custkey % 53 AS STRING) END,
+            CASE WHEN o_orderkey % 6 = 3 THEN 's' || CAST(o_orderkey % 51 AS STRING) WHEN o_orderkey % 6 = 5 AND o_custkey % 5 <> 0 THEN 'e' || CAST(o_custkey % 41 AS STRING) END,
+            CAST(NULL AS STRING), CASE WHEN o_custkey % 3 = 0 THEN 'fn' || CAST(o_custkey % 7 AS STRING) END, CASE WHEN o_custkey % 5 <> 1 THEN 'src/f' || CAST((o_custkey - o_custkey % 8) AS STRING) || '.ts' END,
+            o_custkey % 7 <> 0, CAST(50 + o_orderkey % 51 AS BIGINT), o_custkey % 4 = 1, 'f' || CAST(o_orderkey AS STRING)
+        FROM {orders}
+    """,
+    "graph_evidence": """
+        SELECT p_partkey AS fact_id, CAST(0 AS BIGINT) AS nth, CAST(p_partkey - p_partkey % 8 AS BIGINT) AS file_id, CAST(p_partkey % 8 * 100 AS BIGINT) AS start_offset, CAST(p_partkey % 8 * 100 + 50 + p_size * 40 AS BIGINT) AS end_offset, 'declaration' AS role FROM {part}
+        UNION ALL SELECT 1000000000 + p_partkey, CAST(0 AS BIGINT), CAST(p_partkey - p_partkey % 8 AS BIGINT), CAST(p_partkey % 8 * 100 AS BIGINT), CAST(p_partkey % 8 * 100 + 50 + p_size * 40 AS BIGINT), 'declaration' FROM {part} WHERE p_partkey % 101 = 0
+        UNION ALL SELECT 2000000000 + o_orderkey, CAST(0 AS BIGINT), CAST(o_custkey - o_custkey % 8 AS BIGINT), CAST(o_orderkey % 700 AS BIGINT), CAST(o_orderkey % 700 + 9 AS BIGINT), 'injection' FROM {orders}
+        UNION ALL SELECT 4000000000 + o_orderkey, CAST(0 AS BIGINT), CAST(o_custkey - o_custkey % 8 AS BIGINT), CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 7 % 5000 AS BIGINT) END, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 7 % 5000 + 20 AS BIGINT) END,
+            CASE WHEN o_orderkey % 12 = 4 THEN 'event_publication' ELSE 'call_site' END FROM {orders}
+        UNION ALL SELECT 4000000000 + o_orderkey, CAST(1 AS BIGINT), CAST(o_custkey - o_custkey % 8 AS BIGINT), CAST(o_orderkey * 3 % 1000 AS BIGINT), CAST(o_orderkey * 3 % 1000 + 5 AS BIGINT), 'call_site' FROM {orders} WHERE o_orderkey % 2 = 0
+    """,
     "sources": """
         SELECT p_partkey AS id, 'src/f' || CAST(p_partkey AS STRING) || '.ts' AS path,
             'import Def' || CAST(p_partkey % 7 AS STRING) || ', ' || chr(123) || ' A as B, type C ' || chr(125) || ' from ' || chr(39) || './m' || CAST(p_partkey % 50 AS STRING) || chr(39) || ';' || chr(10)

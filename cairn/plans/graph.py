@@ -92,7 +92,7 @@ def arch_classify(t: Tables) -> DataFrame:
 
 
 #: References by name: imported bindings first, then the same file, then anywhere.
-REFS = "SELECT s_suppkey AS id, s_suppkey % 50 + 1 AS file_id, n.name FROM supplier JOIN (SELECT p_partkey AS k, p_name AS name FROM part) n ON n.k = s_suppkey * 17 % 1900"
+REFS = "SELECT s_suppkey AS id, s_suppkey % 50 + 1 AS file_id, n.name FROM supplier JOIN (SELECT p_partkey AS k, p_name AS name FROM part) n ON n.k = s_suppkey * 19"
 IMPORTS = "SELECT p_size AS file_id, p_name AS name, p_partkey AS candidate FROM part WHERE p_partkey % 23 = 0"
 RESOLUTION = f"""WITH refs AS ({REFS}), c AS (
         SELECT r.id, i.candidate, 0 AS tier FROM refs r JOIN ({IMPORTS}) i ON i.file_id = r.file_id AND i.name = r.name
@@ -105,7 +105,7 @@ RESOLUTION = f"""WITH refs AS ({REFS}), c AS (
 
 def _resolution(t: Tables) -> DataFrame:
     parts = t.part.select(F.col("p_partkey").alias("candidate"), F.col("p_size").cast("long").alias("file_id"), F.col("p_name").alias("name"))
-    refs = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50 + 1).alias("file_id"), (F.col("s_suppkey") * 17 % 1900).alias("candidate")).join(parts.drop("file_id"), "candidate").select("id", "file_id", "name")
+    refs = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50 + 1).alias("file_id"), (F.col("s_suppkey") * 19).alias("candidate")).join(parts.drop("file_id"), "candidate").select("id", "file_id", "name")
     tiers = [refs.join(parts.filter("candidate % 23 = 0"), ["file_id", "name"]), refs.join(parts, ["file_id", "name"]), refs.drop("file_id").join(parts.filter("candidate % 5 = 0"), "name")]
     return a.by_name(refs, tiers).select("id", "tier", "status", "target")
 
@@ -115,18 +115,32 @@ def join_component_by_name(t: Tables) -> DataFrame:
     return _resolution(t)
 
 
-@query(f"SELECT id, target FROM ({RESOLUTION}) WHERE status = 'resolved'")
+SURE = "CASE WHEN tier < 2 THEN 100 ELSE 75 END"
+
+
+@query(
+    f"""SELECT id, 'relationship' AS output, 'depends_on' AS kind, target, CAST({SURE} AS BIGINT) AS confidence_pct FROM ({RESOLUTION}) WHERE status = 'resolved'
+    UNION ALL SELECT id, 'diagnostic', 'ambiguous_injection_target', NULL, NULL FROM ({RESOLUTION}) WHERE status = 'ambiguous'"""
+)
 def arch_injections(t: Tables) -> DataFrame:
-    return _resolution(t).filter("status = 'resolved'").select("id", "target")
+    return a.injection_outputs(_resolution(t)).select("id", "output", "kind", "target", "confidence_pct")
+
+
+FIELD = "CASE id % 3 WHEN 0 THEN 'controllers' WHEN 1 THEN 'providers' ELSE 'imports' END"
 
 
-@query(f"SELECT status, count(*) AS n FROM ({RESOLUTION}) GROUP BY status")
+@query(
+    f"""SELECT id, 'relationship' AS output, CASE {FIELD} WHEN 'imports' THEN 'depends_on' ELSE 'contains' END AS kind, target, CAST({SURE} AS BIGINT) AS confidence_pct FROM ({RESOLUTION}) WHERE status = 'resolved'
+    UNION ALL SELECT id, 'diagnostic', status || '_module_reference', NULL, NULL FROM ({RESOLUTION}) WHERE status <> 'resolved'"""
+)
 def arch_modules(t: Tables) -> DataFrame:
-    return _resolution(t).groupBy("status").agg(rows().alias("n"))
+    n = F.col("id") % 3
+    references = _resolution(t).withColumn("field", F.when(n == 0, "controllers").when(n == 1, "providers").otherwise("imports"))
+    return a.module_outputs(references).select("id", "output", "kind", "target", "confidence_pct")
 
 
 @query(
-    """WITH calls AS (SELECT o_orderkey AS id, o_custkey % 50 + 1 AS file_id, o_orderkey % 3 AS receiver, p_name AS member FROM orders JOIN part ON p_partkey = o_orderkey % 1999), c AS (
+    """WITH calls AS (SELECT o_orderkey AS id, o_custkey % 50 + 1 AS file_id, o_orderkey % 3 AS receiver, p_name AS member FROM orders JOIN part ON p_partkey = o_custkey), c AS (
         SELECT id, p_partkey AS s FROM calls JOIN part ON receiver = 0 AND p_size = file_id AND p_name = member
         UNION SELECT id, p_partkey FROM calls JOIN part ON receiver = 1 AND p_name = member AND p_partkey % 29 = 0)
     SELECT calls.id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN one END AS target
@@ -134,17 +148,30 @@ def arch_modules(t: Tables) -> DataFrame:
 )
 def arch_calls(t: Tables) -> DataFrame:
     parts = t.part.select(F.col("p_partkey").alias("candidate"), F.col("p_size").cast("long").alias("file_id"), F.col("p_name").alias("member"))
-    calls = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50 + 1).alias("file_id"), (F.col("o_orderkey") % 3).alias("receiver"), (F.col("o_orderkey") % 1999).alias("candidate")).join(parts.drop("file_id"), "candidate").drop("candidate")
+    calls = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50 + 1).alias("file_id"), (F.col("o_orderkey") % 3).alias("receiver"), F.col("o_custkey").alias("candidate")).join(parts.drop("file_id"), "candidate").drop("candidate")
     own = calls.filter("receiver = 0").join(parts, ["file_id", "member"])
     named = calls.filter("receiver = 1").drop("file_id").join(parts.filter("candidate % 29 = 0"), "member")
     # the kinds of receiver exclude each other, so their candidates are one tier
     return a.by_name(calls, [own.select("id", "candidate").unionByName(named.select("id", "candidate"))]).select("id", "status", "target")
 
 
-@query("SELECT kind, count(*) AS n FROM {facts} WHERE kind <> 'event' GROUP BY kind UNION ALL SELECT 'component', count(*) FROM {nodes} WHERE kind = 'component'")
+#: Raw facts of methods and classes beside the analysed ones: decorators, some of them routes, call sites and injections.
+RAW = """SELECT l_orderkey * 100 + l_linenumber AS fact_id, CASE l_linenumber WHEN 1 THEN 'call_site' WHEN 2 THEN 'constructor_injection' ELSE 'decorator' END AS kind,
+    CASE l_suppkey % 4 WHEN 0 THEN 'Get' WHEN 1 THEN 'web.Post' WHEN 2 THEN 'Injectable' ELSE 'Getter' END AS name, CASE WHEN l_linenumber % 2 = 1 THEN 'method' ELSE 'class' END AS target_kind FROM {lineitem}"""
+
+
+@query(
+    f"""SELECT fact_id, kind FROM {{graph_facts}} WHERE kind <> 'architecture_relationship'
+    UNION ALL SELECT fact_id, kind FROM ({RAW.replace("{lineitem}", "lineitem")}) WHERE kind = 'decorator' AND target_kind = 'method' AND name IN ('Get', 'web.Post')
+    UNION ALL SELECT id, 'depends_on' FROM ({RESOLUTION}) WHERE status = 'resolved'
+    UNION ALL SELECT id, 'ambiguous_injection_target' FROM ({RESOLUTION}) WHERE status = 'ambiguous'"""
+)
 def arch_emit(t: Tables) -> DataFrame:
-    kept = t.facts.filter("kind <> 'event'").select("kind").unionAll(t.nodes.filter("kind = 'component'").select("kind"))
-    return kept.groupBy("kind").agg(rows().alias("n"))
+    raw = t.spark.sql(RAW, lineitem=t.lineitem)
+    analysed = t.graph_facts.select("fact_id", "kind", "name", F.lit(None).cast("string").alias("target_kind"))
+    components = analysed.filter("kind = 'architecture_component'")
+    outputs = a.injection_outputs(_resolution(t)).select(F.col("id").alias("fact_id"), "kind")
+    return a.emitted(raw.unionByName(analysed), components, [outputs])
 
 
 STEPS = "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS step, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, text) AS next_turn FROM conversations"
@@ -216,20 +243,9 @@ def agg_budget(t: Tables) -> DataFrame:
     return first_offender(own, "amount", "id", 1_000_000).select("id", "running")
 
 
-@query("SELECT e.id FROM {edges} e WHERE NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.id = e.source_node_id AND n.snapshot_id = e.snapshot_id) OR NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.id = e.target_node_id AND n.snapshot_id = e.snapshot_id) GROUP BY ALL")
-def kg_arch(t: Tables) -> DataFrame:
-    return k.unknown_endpoints(t.edges, t.nodes).select("id").distinct()
-
-
-@query("SELECT f.identity_key, count(DISTINCT n.id) AS represented FROM {facts} f JOIN {nodes} n ON n.id = f.identity_key AND n.kind = 'concept' WHERE f.kind = 'business_concept' GROUP BY ALL")
-def kg_business(t: Tables) -> DataFrame:
-    concepts = t.nodes.filter("kind = 'concept'").select(F.col("id").alias("identity_key"), F.col("id").alias("node"))
-    return t.facts.filter("kind = 'business_concept'").join(concepts, "identity_key").groupBy("identity_key").agg(F.count_distinct("node").alias("represented"))
-
-
-@query("SELECT f.ord, coalesce(CAST(n.id AS STRING), 'file:' || CAST(f.evidence_file AS STRING)) AS anchor, CASE WHEN n.id IS NULL THEN 75 ELSE 90 END AS confidence_pct FROM (SELECT DISTINCT ord, identity_key, evidence_file FROM {facts}) f LEFT JOIN {nodes} n ON n.id = f.identity_key AND n.kind = 'component'")
+@query("SELECT f.ord, coalesce(CAST(n.id AS STRING), 'file:' || CAST(f.evidence_file AS STRING)) AS anchor, CASE WHEN n.id IS NULL THEN 75 ELSE 90 END AS confidence_pct FROM (SELECT DISTINCT ord, identity_key, evidence_file FROM {facts}) f LEFT JOIN {nodes} n ON n.id = f.identity_key AND n.kind = 'architectural_component'")
 def kg_fallback(t: Tables) -> DataFrame:
-    own = t.nodes.filter("kind = 'component'").select(F.col("id").alias("identity_key"), F.col("id").alias("node"))
+    own = t.nodes.filter("kind = 'architectural_component'").select(F.col("id").alias("identity_key"), F.col("id").alias("node"))
     facts = t.facts.select("ord", "identity_key", "evidence_file").distinct()
     return facts.join(own, "identity_key", "left").select("ord", F.coalesce(F.col("node").cast("string"), F.concat(F.lit("file:"), F.col("evidence_file").cast("string"))).alias("anchor"), F.when(F.col("node").isNull(), 75).otherwise(90).alias("confidence_pct"))
 
@@ -239,24 +255,6 @@ def kg_rule_text(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), F.left(a.humanized(F.col("o_orderpriority")), F.lit(512)).alias("name"))
 
 
-@query("SELECT s.identity_key AS from_state, x.identity_key AS to_state, count(*) AS transitions FROM {facts} s JOIN {facts} x ON x.evidence_file = s.evidence_file AND x.ord = s.ord + 1 GROUP BY ALL")
-def kg_state(t: Tables) -> DataFrame:
-    a_, b = t.facts.select("evidence_file", (F.col("ord") + 1).alias("ord"), F.col("identity_key").alias("from_state")), t.facts.select("evidence_file", "ord", F.col("identity_key").alias("to_state"))
-    return a_.join(b, ["evidence_file", "ord"]).groupBy("from_state", "to_state").agg(rows().alias("transitions"))
-
-
-@query("SELECT n.id AS event, count(DISTINCT f.evidence_file) AS triggers FROM {facts} f JOIN {nodes} n ON n.id = f.identity_key AND n.kind = 'event' WHERE f.kind = 'event' GROUP BY n.id")
-def kg_event(t: Tables) -> DataFrame:
-    events = t.nodes.filter("kind = 'event'").select(F.col("id").alias("identity_key"))
-    return t.facts.filter("kind = 'event'").join(events, "identity_key").groupBy(F.col("identity_key").alias("event")).agg(F.count_distinct("evidence_file").alias("triggers"))
-
-
-@query("SELECT kind, identity_key, min(fingerprint) AS fingerprint, count(DISTINCT fingerprint) > 1 AS conflict FROM {facts} GROUP BY ALL")
-def kg_merge(t: Tables) -> DataFrame:
-    own = t.facts.select("kind", "identity_key", "fingerprint")
-    return k.merged_nodes([own.filter(F.col("kind") == x) for x in ("business_concept", "business_rule", "event")])
-
-
 @query("SELECT e.id, least(e.weight, n.size) AS confidence_pct, n.size > 25 AND e.weight > 25 AS deterministic FROM {edges} e JOIN {nodes} n ON n.id = e.source_node_id")
 def kg_edge_confidence(t: Tables) -> DataFrame:
     own = t.edges.join(t.nodes.select(F.col("id").alias("source_node_id"), F.col("size").cast("long").alias("size")), "source_node_id")
@@ -268,12 +266,6 @@ def kg_self_edge(t: Tables) -> DataFrame:
     return k.forbidden_self_edges(t.knowledge_edges).select("id", "kind")
 
 
-@query("SELECT count(*) AS inserted FROM (SELECT DISTINCT identity_key, kind FROM {facts} f WHERE NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.id = f.identity_key AND n.kind = 'event'))")
-def kg_persist(t: Tables) -> DataFrame:
-    have = t.nodes.filter("kind = 'event'").select(F.col("id").alias("identity_key"))
-    return t.facts.select("identity_key", "kind").distinct().join(have, "identity_key", "left_anti").agg(rows().alias("inserted"))
-
-
 @query("SELECT count(*) AS unbacked FROM {nodes} n WHERE NOT EXISTS (SELECT 1 FROM {evidence} e WHERE e.node_id = n.id)")
 def kg_publish(t: Tables) -> DataFrame:
     return k.without_evidence(t.nodes, t.evidence, "id", "node_id").agg(rows().alias("unbacked"))
@@ -298,7 +290,7 @@ def agg_graph_counts(t: Tables) -> DataFrame:
     return t.nodes.groupBy("snapshot_id").agg(rows().alias("nodes")).join(t.edges.groupBy("snapshot_id").agg(rows().alias("edges")), "snapshot_id")
 
 
-NODE_ORDER = "CASE kind WHEN 'component' THEN 0 WHEN 'workflow' THEN 1 WHEN 'workflow_step' THEN 2 WHEN 'concept' THEN 3 WHEN 'rule' THEN 4 WHEN 'event' THEN 5 END"
+NODE_ORDER = "CASE kind WHEN 'architectural_component' THEN 0 WHEN 'domain_concept' THEN 1 WHEN 'business_rule' THEN 2 WHEN 'workflow' THEN 3 WHEN 'domain_event' THEN 7 END"
 
 
 @query(f"SELECT id, kind, name FROM {{nodes}} WHERE name ILIKE '%ring%' ORDER BY {NODE_ORDER}, name, id LIMIT 20")
@@ -311,14 +303,15 @@ def kq_node_detail(t: Tables) -> DataFrame:
     return t.evidence.filter("node_id = 7").groupBy("node_id").agg(rows().alias("total"), (rows() > 100).alias("truncated"))
 
 
-EDGE_ORDER = "CASE e.kind WHEN 'contains' THEN 0 WHEN 'depends_on' THEN 1 WHEN 'calls' THEN 2 WHEN 'triggers' THEN 7 END"
+EDGE_ORDER = "CASE e.kind WHEN 'contains' THEN 0 WHEN 'depends_on' THEN 1 WHEN 'calls' THEN 2 WHEN 'triggers' THEN 6 END"
 ENDPOINTS = "FROM {edges} e JOIN {nodes} s ON s.id = e.source_node_id JOIN {nodes} d ON d.id = e.target_node_id"
 
 
-@query(f"SELECT e.id, e.kind, s.name AS source_name, d.name AS target_name {ENDPOINTS} WHERE e.source_node_id = 100 OR e.target_node_id = 100")
+@query(f"SELECT e.id, e.kind, s.name AS source_name, d.name AS target_name {ENDPOINTS} WHERE e.snapshot_id = 2 ORDER BY {EDGE_ORDER}, e.id, e.weight, source_name, target_name LIMIT 50 OFFSET 50")
 def kq_edges(t: Tables) -> DataFrame:
-    own = t.edges.filter("source_node_id = 100 OR target_node_id = 100")
-    return k.with_endpoints(own, t.nodes).select("id", "kind", "source_name", "target_name")
+    own = k.with_endpoints(t.edges.filter("snapshot_id = 2"), t.nodes)
+    # edges of this stand-in may repeat an id
+    return page(own, [*k.edge_order(), F.asc("weight"), F.asc("source_name"), F.asc("target_name")], 2, 50).select("id", "kind", "source_name", "target_name")
 
 
 @query(f"SELECT e.id, s.kind AS source_kind, d.kind AS target_kind, e.weight {ENDPOINTS}")

@@ -356,3 +356,31 @@ def test_follow(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(incoming)
         follow(spark, incoming, "id long", store, str(tmp_path / "checkpoint"), lambda df: df.withColumn("twice", F.col("id") * 2)).awaitTermination(60)
     assert store.read(1).count() == 3 and store.read(2).agg(F.sum("twice")).first()[0] == 12
+
+
+def test_batches_persist_wholly_once_or_not_at_all(spark):
+    from cairn.operators import knowledge as kn
+
+    node = lambda key, print_, kind="state": (kind, key, key.upper(), 90, True, print_, 1)
+    edge = lambda key, a, b: ("transitions_to", key, "state", a, "state", b, 80, True, "p" + key, 1)
+    nodes = lambda *rows: spark.createDataFrame(rows, "kind string, identity_key string, name string, confidence_pct long, deterministic boolean, fingerprint string, evidence long")
+    edges = lambda *rows: spark.createDataFrame(rows, "kind string, identity_key string, source_kind string, source_key string, target_kind string, target_key string, confidence_pct long, deterministic boolean, fingerprint string, evidence long")
+    old = nodes(node("a", "1"))
+    batch = nodes(node("a", "1"), node("b", "2"), node("a", "9", "workflow")), edges(edge("ab", "a", "b"))
+    own = kn.persisted(old, edges(), *batch)
+    keys = lambda df: sorted((r["kind"], r["identity_key"]) for r in df.collect())
+    assert keys(own[0]) == [("state", "a"), ("state", "b"), ("workflow", "a")] and keys(own[1]) == [("transitions_to", "ab")]
+    again = kn.persisted(*own, *batch)
+    assert [keys(x) for x in again] == [keys(x) for x in own]
+    for bad in ((nodes(node("a", "other")), edges()), (nodes(node("c", "1"), node("c", "2")), edges()), (nodes(), edges(edge("ax", "a", "x"))), (nodes(), edges(edge("ab", "a", "b"), ("transitions_to", "ab", "state", "a", "state", "b", 70, True, "q", 1)))):
+        with pytest.raises(kn.Conflict):
+            kn.persisted(*own, *bad)
+    assert {(r["identity_key"], r["action"]) for r in kn.outcomes(old, nodes(node("a", "1"), node("b", "2"))).collect()} == {("a", "kept"), ("b", "inserted")}
+
+
+def test_components_around_evidence_are_the_narrowest_of_the_file(spark):
+    from cairn.operators.ingest import enclosing
+
+    ranges = spark.createDataFrame([("wide", 1, 0, 90_000), ("mid", 1, 8_000, 12_300), ("tie", 1, 8_000, 12_300), ("other", 2, 0, 10)], "component string, file_id long, start_offset long, end_offset long")
+    items = spark.createDataFrame([(1, 1, 8_100, 12_000), (2, 1, 8_100, 12_301), (3, 1, 89_999, 90_001), (4, 2, 0, 10), (5, 3, 1, 1)], "fact_id long, file_id long, start_offset long, end_offset long")
+    assert {r["fact_id"]: r["component"] for r in enclosing(items, ranges, ["fact_id"], "component").collect()} == {1: "mid", 2: "wide", 4: "other"}
