@@ -19,14 +19,14 @@ SCALE = 50.0
 FIELDS = (("title", "A"), ("path", "A"), ("kind", "B"), ("language", "B"), ("content", "C"))
 
 
-def weighted_terms() -> Column:
-    """array of (term, position, weight class): fields one after another, positions counted through."""
+def weighted_terms(columns: list[str] | None = None) -> Column:
+    """array of (term, position, weight class): fields one after another, positions counted through; columns: the fields that there are."""
 
     def field(name: str, weight: str) -> Column:
         own = F.filter(F.split(normalized(F.coalesce(F.col(name), F.lit(""))), " "), lambda x: x != "")
         return F.transform(own, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("weight")))
 
-    parts = [field(n, w) for n, w in FIELDS]
+    parts = [field(n, w) for n, w in FIELDS if columns is None or n in columns]
     return F.transform(F.concat(*parts), lambda x, k: F.struct(x["term"].alias("term"), (k + 1).alias("position"), x["weight"].alias("weight")))
 
 
@@ -48,16 +48,27 @@ def covers(positions: list[tuple[int, str, float]], wanted: set[str]) -> float:
     return total
 
 
-def rank(docs: DataFrame, query: list[str]) -> DataFrame:
-    """docs (id, vector) with rank (0 where a term is missing). The vector is cut down to query terms in the plan; Python sees only those."""
+def rank(postings: DataFrame, query: list[str]) -> DataFrame:
+    """id and rank of the documents that hold all terms of the query, by their postings (id, term, n_a, n_b, n_c, positions) of these terms.
+
+    A single term's covers are its places, so its rank is a sum that stays in the JVM; Python sees the
+    places of several terms only.
+    """
     wanted = sorted(set(query))
-    hits = docs.select("id", F.filter("vector", lambda x: x["term"].isin(wanted)).alias("hits"))
+    if not wanted:
+        return postings.select("id", F.lit(0.0).alias("rank")).limit(0)
+    own = postings.filter(F.col("term").isin(wanted))
+    if len(wanted) == 1:
+        r = WEIGHTS["A"] * F.col("n_a") + WEIGHTS["B"] * F.col("n_b") + WEIGHTS["C"] * F.col("n_c")
+        return own.select("id", (SCALE * r / (r + 1)).alias("rank"))
+    places = F.flatten(F.collect_list(F.transform("positions", lambda x: F.struct(x["position"].alias("position"), F.col("term").alias("term"), x["weight"].alias("weight")))))
+    hits = own.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.array_sort(places).alias("hits")).filter(F.col("terms") == len(wanted)).select("id", "hits")
 
     def score(parts):
         for part in parts:
             out = []
             for own in part.column(1).to_pylist():
-                r = covers([(x["position"], x["term"], WEIGHTS[x["weight"]]) for x in own], set(wanted)) if wanted else 0.0
+                r = covers([(x["position"], x["term"], WEIGHTS[x["weight"]]) for x in own], set(wanted))
                 out.append(SCALE * r / (r + 1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, type=pa.float64())], names=["id", "rank"])
 

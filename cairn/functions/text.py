@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Where camel case is parted, and what stands between terms.
+CAPITALS, CAMEL, BETWEEN = r"([A-Z]+)([A-Z][a-z])", r"([a-z\d])([A-Z])", r"[^\p{L}\p{N}]+"
+
+
 def normalized(c: Column) -> Column:
     """Search text: camel case parted, runs of other characters than letters and digits to one space, trimmed, lower case."""
-    c = F.regexp_replace(c, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    c = F.regexp_replace(c, r"([a-z\d])([A-Z])", "$1 $2")
-    return F.lower(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))
+    c = F.regexp_replace(c, CAPITALS, "$1 $2")
+    c = F.regexp_replace(c, CAMEL, "$1 $2")
+    return F.lower(F.trim(F.regexp_replace(c, BETWEEN, " ")))
 
 
 def terms(c: Column) -> Column:
@@ -20,6 +26,14 @@ def terms(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalized(c), " "), lambda t: t != ""))
 
 
+def query_terms(raw: str) -> list[str]:
+    """Distinct terms of a query, as terms() has them, at the driver: literals that reach a scan."""
+    for pattern in (CAPITALS, CAMEL):
+        raw = re.sub(pattern, r"\1 \2", raw, flags=re.ASCII)
+    own = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in raw).lower()
+    return list(dict.fromkeys(x for x in own.split(" ") if x))
+
+
 def round6(c: Column) -> Column:
     """Six decimals, halves up (toward positive infinity)."""
     return F.floor(c * 1e6 + F.lit(0.5)).cast("double") / 1e6

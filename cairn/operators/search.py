@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.enums import SOURCE_TYPES, ordinal
-from cairn.functions.text import round6, terms
+from cairn.functions.cover_density import rank, weighted_terms
+from cairn.functions.text import query_terms, round6, terms
 
 # Weights of the exact signals, of relations, and the cap of the graph's part.
 SIGNALS = (("exact_identifier", 120), ("exact_title", 110), ("exact_path", 100), ("title_prefix", 70), ("identifier_prefix", 65), ("path_contains", 40))
@@ -32,22 +35,50 @@ def exact_signals(docs: DataFrame, raw: str) -> DataFrame:
     )
 
 
-def lexical_match(docs: DataFrame, text: str, column: str = "content") -> Column:
-    """Whether all terms of the normalised query are among the document's terms; false for a query without any."""
-    own = terms(F.col(column))
+def lexical_match(docs: DataFrame, text: str) -> Column:
+    """Whether all terms of the normalised query are among the document's terms of any field; false for a query without any."""
+    own = F.transform(weighted_terms(docs.columns), lambda x: x["term"])
     wanted = terms(F.lit(text))
     return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, own)) == 0)
 
 
-def term_table(docs: DataFrame, column: str = "content") -> DataFrame:
-    """The inverted table: search_index_id, term, id. Written once per index and partitioned by it, a query reads its terms only."""
-    return docs.select("search_index_id", F.explode(terms(F.col(column))).alias("term"), "id")
+def postings(docs: DataFrame) -> DataFrame:
+    """The inverted table of all fields: search_index_id, term, id, places by weight class (n_a, n_b, n_c) and positions."""
+    own = docs.select("search_index_id" if "search_index_id" in docs.columns else F.lit(1).cast("long").alias("search_index_id"), "id", F.explode(weighted_terms(docs.columns)).alias("x"))
+    n = {c: F.count_if(F.col("x.weight") == c.upper()[-1]).alias(c) for c in ("n_a", "n_b", "n_c")}
+    return own.groupBy("search_index_id", F.col("x.term").alias("term"), "id").agg(*n.values(), F.array_sort(F.collect_list(F.struct(F.col("x.position").alias("position"), F.col("x.weight").alias("weight")))).alias("positions"))
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """What queries read of search documents: heads (all but the content) and postings. Content is never scanned by a query."""
+
+    heads: DataFrame
+    postings: DataFrame
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> SearchIndex:
+        """Made anew with each query."""
+        return cls(docs.drop("content"), postings(docs))
 
+    @classmethod
+    def write(cls, docs: DataFrame, root: str) -> SearchIndex:
+        """Written once: postings by search index, in ranges of terms and sorted, so that row group statistics leave out all but a query's terms."""
+        docs.drop("content").write.mode("overwrite").parquet(f"{root}/heads")
+        ranged = postings(docs).repartitionByRange("search_index_id", "term", "id").sortWithinPartitions("search_index_id", "term", "id")
+        ranged.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("search_index_id").parquet(f"{root}/postings")
+        return cls.read(docs.sparkSession, root)
 
-def lookup(table: DataFrame, query_terms: list[str]) -> DataFrame:
-    """Ids of the documents that hold all query terms, by the inverted table."""
-    wanted = sorted(set(query_terms))
-    return table.filter(F.col("term").isin(wanted)).groupBy("id").agg(F.count_distinct("term").alias("hits")).filter(F.col("hits") == len(wanted)).select("id")
+    @classmethod
+    def read(cls, spark: SparkSession, root: str) -> SearchIndex:
+        return cls(spark.read.parquet(f"{root}/heads"), spark.read.parquet(f"{root}/postings"))
+
+
+def lookup(table: DataFrame, query: list[str]) -> DataFrame:
+    """Ids of the documents that hold all terms, by the postings: a row for each of a document's terms."""
+    wanted = sorted(set(query))
+    own = table.filter(F.col("term").isin(wanted))
+    return own.select("id") if len(wanted) == 1 else own.groupBy("id").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") == len(wanted)).select("id")
 
 
 def exact_score() -> Column:
@@ -57,15 +88,16 @@ def exact_score() -> Column:
     return total
 
 
-def candidates(docs: DataFrame, raw: str, rank: Column | None = None, **filters) -> DataFrame:
-    """Documents that match by any of the seven signals, with the signals and the score (rank: the lexical part, if wanted)."""
-    out = exact_signals(optional_filters(docs, **filters), raw)
-    out = out.withColumn("lexical", lexical_match(out, raw))
-    score = exact_score() + (F.lit(0) if rank is None else rank)
+def candidates(docs: DataFrame | SearchIndex, raw: str, **filters) -> DataFrame:
+    """Documents that match by any of the seven signals, with the signals, exact (the sum of the six), rank (cover density of the terms) and score, the sum of both."""
+    index = docs if isinstance(docs, SearchIndex) else SearchIndex.of(docs)
+    out = exact_signals(optional_filters(index.heads, **filters), raw)
     hit = F.col("lexical")
     for name, _ in SIGNALS:
         hit = hit | F.col(name)
-    return out.withColumn("score", score).filter(hit)
+    found = out.join(rank(index.postings, query_terms(raw)), "id", "left")
+    found = found.withColumns({"lexical": F.col("rank").isNotNull(), "rank": F.coalesce("rank", F.lit(0.0)), "exact": exact_score()})
+    return found.filter(hit).withColumn("score", round6(F.col("exact") + F.col("rank")))
 
 
 def page_order() -> list[Column]:
@@ -165,5 +197,3 @@ def signal_rows(found: DataFrame) -> DataFrame:
     """A row per matched exact signal: id, name, contribution; and the lexical residue where there is one."""
     every = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("contribution"), F.col(n).alias("matched")) for n, w in SIGNALS])
     return found.select("id", F.explode(F.filter(every, lambda s: s["matched"])).alias("s")).select("id", "s.name", "s.contribution")
-
-

@@ -7,19 +7,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.operators.search import SearchIndex
 from cairn.plans.fixtures import FIXTURES
+from cairn.sources.store import scratch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 class Tables:
     """Driver tables and fixtures by name, as DataFrames; only those that a query names are read."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.held = spark, sf_dir, {}
 
+    @property
+    def search_index(self) -> SearchIndex:
+        """The search documents' index, written by the first query of the session that asks for it."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _indexes:
+            root = scratch(self.spark, "search")
+            SearchIndex.write(self.search_documents, root)
+            _indexes[key] = root
+        return SearchIndex.read(self.spark, _indexes[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

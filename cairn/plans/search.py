@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import normalized, round6
+from cairn.functions.cover_density import rank, weighted_terms
+from cairn.functions.text import normalized, query_terms, round6
 from cairn.operators import search as s
 from cairn.plans.registry import Tables, query
 
@@ -14,14 +15,17 @@ Q = "The"
 NORM = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace({c}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z\d])([A-Z])', '\1 \2', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')))"""
 norm = lambda c: NORM.replace("{c}", c).replace("{L}", "<L>").replace("{N}", "<N>")  # noqa: E731  braces name fixtures
 
-
-
-
 FLAGS = """lower(coalesce(name, '')) = lower('The') AS exact_identifier, lower(title) = lower('The') AS exact_title, lower(coalesce(path, '')) = lower('The') AS exact_path,
     starts_with(lower(title), lower('The')) AS title_prefix, starts_with(lower(coalesce(name, '')), lower('The')) AS identifier_prefix, contains(lower(coalesce(path, '')), lower('The')) AS path_contains"""
 SCORE = "CAST(120 * exact_identifier::INT + 110 * exact_title::INT + 100 * exact_path::INT + 70 * title_prefix::INT + 65 * identifier_prefix::INT + 40 * path_contains::INT AS INTEGER)"
-LEXICAL = f"list_contains(string_split({norm('content')}, ' '), 'the')"
-CANDIDATES = f"SELECT * FROM (SELECT *, {SCORE} AS score FROM (SELECT *, {FLAGS}, {LEXICAL} AS lexical FROM {{search_documents}})) WHERE exact_identifier OR exact_title OR exact_path OR title_prefix OR identifier_prefix OR path_contains OR lexical"
+#: How often the term stands in fields of each weight class; a single term's rank is made of that alone.
+CLASSES = {"n_a": "concat_ws(' ', title, path)", "n_b": "concat_ws(' ', kind, language)", "n_c": "coalesce(content, '')"}
+COUNTS = ", ".join(f"len(list_filter(string_split({norm(c)}, ' '), lambda x: x = 'the')) AS {n}" for n, c in CLASSES.items())
+WEIGHT = "(1.0::DOUBLE * n_a + 0.4::DOUBLE * n_b + 0.2::DOUBLE * n_c)"
+RANK = f"(50.0::DOUBLE * {WEIGHT} / ({WEIGHT} + 1))"
+LEXICAL = "(n_a + n_b + n_c > 0)"
+FOUND = f"SELECT *, {FLAGS}, {LEXICAL} AS lexical, {RANK} AS rank FROM (SELECT *, {COUNTS} FROM {{search_documents}})"
+CANDIDATES = f"SELECT * FROM (SELECT *, floor(({SCORE} + rank) * 1e6 + 0.5) / 1e6 AS score FROM ({FOUND})) WHERE exact_identifier OR exact_title OR exact_path OR title_prefix OR identifier_prefix OR path_contains OR lexical"
 TYPE_ORDER = "CASE source_type WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 2 END"
 SIGNAL_NAMES = [n for n, _ in s.SIGNALS]
 
@@ -41,35 +45,35 @@ def sea_contains_signal(t: Tables) -> DataFrame:
     return s.exact_signals(t.search_documents, Q).select("id", "path_contains")
 
 
-@query(f"SELECT id, {LEXICAL} AS lexical FROM {{search_documents}}")
+@query(f"SELECT id, lexical FROM ({FOUND})")
 def sea_lexical_match(t: Tables) -> DataFrame:
     return t.search_documents.select("id", s.lexical_match(t.search_documents, Q).alias("lexical"))
 
 
-@query(f"SELECT id FROM {{search_documents}} WHERE {LEXICAL}")
+@query(f"SELECT id FROM ({FOUND}) WHERE lexical")
 def sea_inverted_lookup(t: Tables) -> DataFrame:
-    return s.lookup(s.term_table(t.search_documents), ["the"])
+    return s.lookup(t.search_index.postings, query_terms(Q))
 
 
-@query(f"SELECT id, {SCORE} AS score FROM (SELECT id, {FLAGS} FROM {{search_documents}})")
+@query(f"SELECT id, {SCORE} AS exact, floor(rank * 1e6 + 0.5) / 1e6 AS rank, score FROM ({CANDIDATES})")
 def sea_score(t: Tables) -> DataFrame:
-    return s.exact_signals(t.search_documents, Q).select("id", s.exact_score().alias("score"))
+    return s.candidates(t.search_index, Q).select("id", "exact", round6(F.col("rank")).alias("rank"), "score")
 
 
 @query(f"SELECT id, score FROM ({CANDIDATES})")
 def sea_match_filter(t: Tables) -> DataFrame:
-    return s.candidates(t.search_documents, Q).select("id", "score")
+    return s.candidates(t.search_index, Q).select("id", "score")
 
 
 @query(f"SELECT id, source_type, title, score FROM ({CANDIDATES}) ORDER BY score DESC, {TYPE_ORDER}, title, id LIMIT 20")
 def sea_order_page(t: Tables) -> DataFrame:
-    return s.page(s.candidates(t.search_documents, Q), s.page_order()).select("id", "source_type", "title", "score")
+    return s.page(s.candidates(t.search_index, Q), s.page_order()).select("id", "source_type", "title", "score")
 
 
 @query(f"SELECT CAST(2 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_limit, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM ({CANDIDATES})")
 def sea_pagination(t: Tables) -> DataFrame:
     n = F.count(F.lit(1))
-    return s.candidates(t.search_documents, Q).agg(F.lit(2).cast("long").alias("page"), F.lit(20).cast("long").alias("page_limit"), n.alias("total"), F.ceil(n / 20).cast("long").alias("total_pages"))
+    return s.candidates(t.search_index, Q).agg(F.lit(2).cast("long").alias("page"), F.lit(20).cast("long").alias("page_limit"), n.alias("total"), F.ceil(n / 20).cast("long").alias("total_pages"))
 
 
 @query("SELECT id, brand FROM {nodes} WHERE snapshot_id = 1 AND kind = 'workflow'")
@@ -106,7 +110,7 @@ TOP = f"SELECT * FROM ({RANKED}) WHERE neighbour_rank <= 5 ORDER BY seed_order,
 
 
 def _relations(t: Tables) -> DataFrame:
-    return s.relations(t.seeds, t.code_dependencies, t.knowledge_edges, t.search_documents)
+    return s.relations(t.seeds, t.code_dependencies, t.knowledge_edges, t.search_index.heads)
 
 
 def _ranked(t: Tables) -> DataFrame:
@@ -142,7 +146,7 @@ def join_edge_in(t: Tables) -> DataFrame:
 
 @query(f"SELECT id, source_type, CAST(row_number() OVER (ORDER BY score DESC, {TYPE_ORDER}, title, id) AS INTEGER) AS seed_order FROM ({CANDIDATES}) ORDER BY score DESC, {TYPE_ORDER}, title, id LIMIT 10")
 def gx_seeds(t: Tables) -> DataFrame:
-    first = s.page(s.candidates(t.search_documents, Q), s.page_order(), 1, s.GRAPH_SEEDS)
+    first = s.page(s.candidates(t.search_index, Q), s.page_order(), 1, s.GRAPH_SEEDS)
     rows = first.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("a"), F.array_position(F.array(*map(F.lit, ("file", "symbol", "knowledge_node"))), F.col("source_type")).alias("b"), "title", "id", "source_type"))).alias("x"))
     return rows.select(F.posexplode("x").alias("pos", "x")).select("x.id", "x.source_type", (F.col("pos") + 1).alias("seed_order"))
 
@@ -185,18 +189,15 @@ def gx_truncated(t: Tables) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT id, '{n}' AS name, CAST({w} AS DOUBLE) AS contribution FROM ({CANDIDATES}) WHERE {n}" for n, w in s.SIGNALS))
 def rk_signals(t: Tables) -> DataFrame:
-    return s.signal_rows(s.candidates(t.search_documents, Q))
+    return s.signal_rows(s.candidates(t.search_index, Q))
 
 
-#: A stand-in for the lexical part that both engines compute alike.
-RESIDUE = "CAST(id % 1000 AS DOUBLE) / 7"
 ROUND = "floor(({}) * 1e6 + 0.5) / 1e6"
 
 
-@query(f"SELECT id, {ROUND.format(f'greatest(0.0, score + {RESIDUE} - 70 * title_prefix::INT)')} AS residual FROM ({CANDIDATES})")
+@query(f"SELECT id, {ROUND.format('greatest(0.0, score - exact)')} AS residual FROM (SELECT *, {SCORE} AS exact FROM ({CANDIDATES}))")
 def rk_lexical_residual(t: Tables) -> DataFrame:
-    found = s.candidates(t.search_documents, Q, (F.col("id") % 1000).cast("double") / 7)
-    return found.select("id", round6(F.greatest(F.lit(0.0), F.col("score") - F.when(F.col("title_prefix"), 70).otherwise(0))).alias("residual"))
+    return s.candidates(t.search_index, Q).select("id", round6(F.greatest(F.lit(0.0), F.col("score") - F.col("exact"))).alias("residual"))
 
 
 CONTRIB = "floor((CASE graph_source WHEN 'knowledge_edge' THEN 25 ELSE 20 END + CASE direction WHEN 'outgoing' THEN 2 ELSE 0 END) * least(1.0, greatest(0.0, seed_score / 100)) * 1e6 + 0.5) / 1e6"
@@ -228,8 +229,8 @@ FUSED = f"""SELECT id, lexical_score, graph_score, floor((lexical_score + graph_
 
 
 def _fused(t: Tables) -> DataFrame:
-    lexical = s.page(s.candidates(t.search_documents, Q), s.page_order()).select("id", "score")
-    return s.fused(lexical, _contributions(t), t.search_documents)
+    lexical = s.page(s.candidates(t.search_index, Q), s.page_order()).select("id", "score")
+    return s.fused(lexical, _contributions(t), t.search_index.heads)
 
 
 @query(f"SELECT id, lexical_score, graph_score FROM ({FUSED})")
@@ -263,30 +264,24 @@ def prj_preview(t: Tables) -> DataFrame:
     return t.search_documents.select("id", F.left("content", F.lit(500)).alias("preview"))
 
 
-def sea_vector(spark, sf_dir: str) -> DataFrame:
-    """Weighted positions of a document's terms: title and path A, kind and language B, content C."""
-    t = Tables(spark, sf_dir)
-    return vector(t.search_documents).select("id", F.size("vector").alias("positions"))
+VECTOR = " + ".join(f"len(list_filter(string_split({norm(f"coalesce({c}, '')")}, ' '), lambda x: x <> ''))" for c in ("title", "path", "kind", "language", "content"))
 
 
-def vector(docs: DataFrame) -> DataFrame:
-    from cairn.functions.cover_density import weighted_terms
-
-    return docs.withColumn("vector", weighted_terms())
+@query(f"SELECT id, CAST({VECTOR} AS INTEGER) AS positions FROM {{search_documents}}")
+def sea_vector(t: Tables) -> DataFrame:
+    """Weighted positions of a document's terms: title and path A, kind and language B, content C."""
+    return t.search_documents.select("id", F.size(weighted_terms()).alias("positions"))
 
 
 def sea_rank_cd(spark, sf_dir: str) -> DataFrame:
     """Cover-density rank of the documents that hold both terms of a query."""
-    from cairn.functions.cover_density import rank
-
-    docs = Tables(spark, sf_dir).search_documents
-    return rank(vector(docs.filter(s.lexical_match(docs, "the of"))), ["the", "of"]).select("id", "rank")
+    return rank(Tables(spark, sf_dir).search_index.postings, query_terms("the of"))
 
 
 def _register() -> None:
     from cairn.plans.registry import QUERIES
 
-    QUERIES["sea_vector"], QUERIES["sea_rank_cd"] = sea_vector, sea_rank_cd
+    QUERIES["sea_rank_cd"] = sea_rank_cd
 
 
 _register()

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import normalized
 from cairn.operators.rules import Limits, violations
-from cairn.plans.registry import QUERIES, Tables, query
+from cairn.plans.registry import Tables, query
 from cairn.plans.search import norm
 from cairn.sources import git
-from cairn.sources.store import Store, digest
+from cairn.sources.store import Store, digest, scratch
 from cairn.sources.typescript import parsed
 
 
@@ -141,8 +139,7 @@ def job_phase_progress(t: Tables) -> DataFrame:
 
 
 def _store(t: Tables) -> Store:
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-store-")
-    return Store(t.spark, f"{folder.rstrip('/')}/store-{t.spark.sparkContext.applicationId}-{id(t)}")
+    return Store(t.spark, scratch(t.spark, "store"))
 
 
 @query("SELECT id, source_type FROM {search_documents}")
@@ -195,16 +192,3 @@ def pj_lock(t: Tables) -> DataFrame:
     with lock(name):
         released = True
     return t.spark.range(1).select(F.lit(refused).alias("refused"), F.lit(released).alias("released"))
-
-
-ALIASES = {"ing_parse_signature": "ing_parse_visibility", "ing_parse_docs": "ing_parse_visibility", "job_phase": "job_phase_progress", "job_progress": "job_phase_progress"}
-
-
-def _register() -> None:
-    from cairn.plans.registry import ORACLE
-
-    for name, of in ALIASES.items():
-        QUERIES[name], ORACLE[name] = QUERIES[of], ORACLE[of]
-
-
-_register()

@@ -6,8 +6,11 @@ manifest only. One driver writes at a time (lock), since plain Parquet has no tr
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import tempfile
 import threading
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -39,6 +42,24 @@ def digest(configuration: dict) -> str:
     return fingerprint(configuration)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for name in the folder that spark.checkpoint.dir names, deleted when the driver ends; a temporary one serves local masters where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.gettempdir()
+    folder = f"{shared.rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        if spark.sparkContext._jsc is not None:
+            fs, p = _fs(spark, folder)
+            fs.delete(p, True)
+
+    atexit.register(delete)
+    return folder
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import canonical
-from cairn.functions.cover_density import covers, rank, weighted_terms
-from cairn.functions.text import extension, normalized, normalized_url, provider, round6
+from cairn.functions.cover_density import WEIGHTS, covers, rank
+from cairn.functions.text import extension, normalized, normalized_url, provider, query_terms, round6, terms
 from cairn.operators import analysis, ingest, jobs, reconcile, rules, tenancy
 from cairn.operators import search as s
 from cairn.scope import Scope
@@ -64,8 +64,11 @@ def docs(spark):
 
 
 def test_scores_add_up(docs):
-    got = {r["id"]: r["score"] for r in s.candidates(docs, "ORDER").collect()}
-    assert got == {1: 70 + 40, 2: 40, 3: 120 + 110 + 70 + 65}
+    got = {r["id"]: r for r in s.candidates(docs, "ORDER").collect()}
+    assert {k: r["exact"] for k, r in got.items()} == {1: 70 + 40, 2: 40, 3: 120 + 110 + 70 + 65}
+    # 1: title and path A, content C; 2: title and path A, content C twice; 3: title A, content C
+    assert {k: r["rank"] for k, r in got.items()} == {k: pytest.approx(50 * w / (w + 1)) for k, w in {1: 2.2, 2: 2.4, 3: 1.2}.items()}
+    assert all(r["score"] == pytest.approx(r["exact"] + r["rank"], abs=1e-6) for r in got.values())
     order = [r["id"] for r in s.page(s.candidates(docs, "order"), s.page_order()).collect()]
     assert order == [3, 1, 2]
 
@@ -77,7 +80,7 @@ def test_wildcards_are_literal_in_signals(docs):
 
 def test_all_terms_must_match(docs):
     assert [r["id"] for r in s.candidates(docs, "find missing").collect()] == []
-    assert {r["id"] for r in s.lookup(s.term_table(docs), ["order", "find"]).collect()} == {1, 2}
+    assert {r["id"] for r in s.lookup(s.postings(docs), ["order", "find"]).collect()} == {1, 2}
     assert s.candidates(docs, " - ").count() == 0
 
 
@@ -106,8 +109,32 @@ def test_covers():
 
 
 def test_rank_is_bounded_and_ordered(docs):
-    got = {r["id"]: r["rank"] for r in rank(docs.withColumn("vector", weighted_terms()), ["order"]).collect()}
-    assert all(0 <= v < 50 for v in got.values()) and got[3] > 0
+    got = {r["id"]: r["rank"] for r in rank(s.postings(docs), ["order"]).collect()}
+    assert all(0 < v < 50 for v in got.values()) and set(got) == {1, 2, 3}
+    two = {r["id"]: r["rank"] for r in rank(s.postings(docs), ["order", "find"]).collect()}
+    assert set(two) == {1, 2} and all(0 < v < 50 for v in two.values())
+    assert rank(s.postings(docs), []).count() == 0
+
+
+def test_a_single_terms_rank_is_that_of_its_covers(docs):
+    own = s.postings(docs).filter("term = 'order'").collect()
+    got = {r["id"]: r["rank"] for r in rank(s.postings(docs), ["order"]).collect()}
+    for r in own:
+        w = covers([(x["position"], "order", WEIGHTS[x["weight"]]) for x in r["positions"]], {"order"})
+        assert got[r["id"]] == pytest.approx(50 * w / (w + 1))
+
+
+def test_written_index_answers_alike_and_terms_reach_its_scan(spark, docs, tmp_path):
+    index = s.SearchIndex.write(docs, str(tmp_path / "index"))
+    for raw in ("order", "find order", "%", "src/order.service.ts"):
+        assert sorted(s.candidates(index, raw).select("id", "score").collect()) == sorted(s.candidates(docs, raw).select("id", "score").collect())
+    text = s.lookup(index.postings, ["order"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,order)" in text and "content" not in s.candidates(index, "order")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_terms_are_those_of_the_expressions(spark):
+    for raw in ("findOrderById HTTPServer2Go", " - % ", "", "Straße ÉCOLE日本 x_y", "a a b"):
+        assert query_terms(raw) == spark.range(1).select(terms(F.lit(raw)).alias("x")).first()["x"], raw
 
 
 # Reconciliation and ingestion.
