@@ -205,23 +205,26 @@ def with_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids.hint("merge"), id_col, "left_semi")
 
 
-#: A key of more than one row in SHARE is dealt over several tasks (fewer than SHARE keys can be so large), and so is one of more than KEY_ROWS.
+#: A key of more than one row in SHARE, and of more than KEY_ROWS, is dealt over several tasks; fewer than SHARE keys can be so large.
 SHARE, KEY_ROWS = 1_000, 64
 
 
 def dealt_join(rows: DataFrame, facts: DataFrame, key: str, size: str, deal: list[str], how: str = "inner", share: int = SHARE, key_rows: int = KEY_ROWS) -> DataFrame:
     """rows joined with facts (stored; one row a key, size: how many rows have it), without a task that gets all rows of a large key.
 
-    Rows of a large key are dealt into salts by a hash of deal, and its fact is copied for each salt. The
-    keys to deal have more than a share of the rows that facts counts, so they are fewer than share and
-    may be broadcast. Rows with a null key are dealt too; they meet nothing.
+    Rows of a large key are dealt into salts by a hash of deal, and its fact is copied for each salt. A
+    key is large with more than a share of the rows that facts counts, so there are fewer than share of
+    them, which the driver names in the plan. Rows with a null key are dealt too; they meet nothing.
     """
-    most = max(key_rows, (facts.agg(F.sum(size).alias("n")).first()["n"] or 0) // share)
-    large = facts.filter(F.col(size) > most).select(key, F.ceil(F.col(size) / most).cast("int").alias("salts_"))
-    salted = facts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > most, F.ceil(F.col(size) / most).cast("int") - 1).otherwise(F.lit(0)))))
+    whole = facts.agg(F.sum(size).alias("n"), F.max(size).alias("most")).first()
+    most = max(key_rows, (whole["n"] or 0) // share)
+    salts = -(-(whole["most"] or 0) // most)
+    large = [r[key] for r in facts.filter(F.col(size) > most).select(key).collect()] if salts > 1 else []
+    hot = F.col(key).isin(large) if large else F.lit(False)
     hashed = F.xxhash64(*deal)
-    salt = F.when(F.col(key).isNull(), F.pmod(hashed, F.lit(1 << 20))).when(F.col("salts_").isNotNull(), F.pmod(hashed, F.col("salts_"))).otherwise(F.lit(0))
-    return rows.join(F.broadcast(large), key, "left").withColumn("salt_", salt.cast("int")).drop("salts_").join(salted, [key, "salt_"], how).drop("salt_")
+    salt = F.when(F.col(key).isNull(), F.pmod(hashed, F.lit(1 << 20))).when(hot, F.pmod(hashed, F.lit(max(salts, 1)))).otherwise(F.lit(0))
+    copies = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(max(salts, 1) - 1))).otherwise(F.array(F.lit(0)))) if large else F.lit(0)
+    return rows.withColumn("salt_", salt.cast("int")).join(facts.withColumn("salt_", copies), [key, "salt_"], how).drop("salt_")
 
 
 #: Rows of a range whose running totals one task makes.
