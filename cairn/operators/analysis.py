@@ -110,6 +110,24 @@ def emitted(facts: DataFrame, components: DataFrame, outputs: list[DataFrame]) -
     return out
 
 
+def contract_violations(facts: DataFrame, evidence: DataFrame, files: DataFrame, analyzers: DataFrame, most: int) -> DataFrame:
+    """rule, file_id and identity_key of what breaks the contract of analysers, with any of which an analysis fails.
+
+    facts: fact_id, file_id (the file under analysis), identity_key, analyzer, version; evidence: fact_id,
+    file_id, hash_id, end_offset; files: file_id, hash_id, length; analyzers: analyzer, version. Analysers
+    must be registered as they name themselves, evidence must lie in the file under analysis and inside
+    it, an identity stands once in a file, and a file has `most` facts at most.
+    """
+    said = lambda rule, rows: rows.select(F.lit(rule).alias("rule"), "file_id", "identity_key")
+    unknown = facts.join(analyzers, ["analyzer", "version"], "left_anti")
+    met = evidence.select("fact_id", F.col("file_id").alias("e_file"), F.col("hash_id").alias("e_hash"), "end_offset").join(facts, "fact_id").join(files, "file_id", "left")
+    inside = (F.col("e_file") == F.col("file_id")) & (F.col("e_hash") == F.col("hash_id")) & (F.col("end_offset").isNull() | (F.col("end_offset") <= F.col("length")))
+    outside = met.filter(~F.coalesce(inside, F.lit(False))).select("file_id", "identity_key").distinct()
+    repeated = facts.groupBy("file_id", "identity_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    many = facts.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).withColumn("identity_key", F.lit(None).cast("string"))
+    return said("unknown_analyzer", unknown).unionByName(said("evidence_outside", outside)).unionByName(said("repeated_identity", repeated)).unionByName(said("too_many_facts", many))
+
+
 def merged_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per identity: greatest confidence, deterministic if any is, sorted distinct aliases, distinct evidence, and whether fingerprints conflict."""
     return facts.groupBy(*keys).agg(

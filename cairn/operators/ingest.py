@@ -132,6 +132,42 @@ def normalized_imports(imports: DataFrame) -> DataFrame:
     return imports.select("id", "module", F.explode(F.when(F.size(every) > 0, every).otherwise(F.array(row(none, none)))).alias("d")).select("id", "module", "d.*")
 
 
+def export_target(kind: Column, local: Column, exported: Column) -> Column:
+    """Target name of an export's dependency: * for all and namespace exports, else the local name, else the exported one."""
+    return F.when(kind.isin("all", "namespace"), "*").otherwise(F.coalesce(local, exported))
+
+
+def snapshots(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """jobs (id, scope, status, total_files) with state: ready, stale or unfinished.
+
+    A finished job's snapshot is ready when both the active files of its scope and those of them that
+    the job saw last, with a hash, are as many as it counted. files: scope, status, last_job_id, hash_id.
+    """
+    active = files.filter("status = 'active'")
+    every = active.groupBy("scope").agg(F.count(F.lit(1)).alias("active_"))
+    seen = active.filter("hash_id is not null").groupBy("scope", F.col("last_job_id").alias("id")).agg(F.count(F.lit(1)).alias("seen_"))
+    met = jobs.join(every, "scope", "left").join(seen, ["scope", "id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    whole = (zero("active_") == F.col("total_files")) & (zero("seen_") == F.col("total_files"))
+    return met.withColumn("state", F.when(F.col("status") != "succeeded", "unfinished").when(whole, "ready").otherwise("stale")).drop("active_", "seen_")
+
+
+def code_files(files: DataFrame, symbols: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """files (id, hash_id) with their symbols and dependencies (each with hash_id, start_offset, id) as arrays of structs in reading order; empty without any."""
+    out = files
+    for name, rows in (("symbols", symbols), ("dependencies", dependencies)):
+        rest = [c for c in rows.columns if c not in ("hash_id", "start_offset", "id")]
+        nested = rows.groupBy("hash_id").agg(F.array_sort(F.collect_list(F.struct("start_offset", "id", *rest))).alias(name))
+        none = F.array().cast(nested.schema[name].dataType)
+        out = out.join(nested, "hash_id", "left").withColumn(name, F.coalesce(name, none))
+    return out
+
+
+def after(files: DataFrame, last_id: int, limit: int = 250) -> DataFrame:
+    """The next page of a keyset scan: the filter reaches the scan, and the page is a top-k."""
+    return files.filter(F.col("id") > last_id).orderBy("id").limit(limit)
+
+
 def heritage_targets(heritage: DataFrame, bindings: DataFrame) -> DataFrame:
     """heritage (id, file_id, target) resolved through the file's import bindings (file_id, local_name, module, imported, ord); the last binding of a name wins."""
     last = bindings.groupBy("file_id", "local_name").agg(F.max_by(F.struct("module", "imported"), "ord").alias("b"))

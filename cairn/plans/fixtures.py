@@ -126,12 +126,12 @@ FIXTURES: dict[str, str] = {
         FROM {supplier}
     """,
     "branches": """
-        SELECT c_custkey AS id, c_custkey % 100 AS repository_id, 'branch-' || CAST(c_custkey % 700 AS STRING) AS name, md5(CAST(c_custkey AS STRING)) AS head,
+        SELECT c_custkey AS id, c_custkey % 100 AS repository_id, 'branch-' || CAST(c_custkey AS STRING) AS name, md5(CAST(c_custkey AS STRING)) AS head,
             CASE WHEN c_custkey % 5 = 0 THEN 'deleted' ELSE 'active' END AS status, c_custkey % 3 = 0 AS is_default, c_custkey * 13 % 1000 AS synced
-        FROM {customer} WHERE c_custkey < 700
+        FROM {customer}
     """,
     "remote_branches": """
-        SELECT 'branch-' || CAST(p_partkey AS STRING) AS name, md5(CAST(p_partkey + p_size % 2 AS STRING)) AS head FROM {part} WHERE p_partkey % 3 <> 1 AND p_partkey < 1000
+        SELECT 'branch-' || CAST(p_partkey * 2 AS STRING) AS name, md5(CAST(p_partkey * 2 + p_size % 2 AS STRING)) AS head FROM {part}
     """,
     "facts": """
         SELECT l_orderkey * 100 + l_linenumber AS ord, l_partkey % 300 AS identity_key, CASE l_linenumber % 3 WHEN 0 THEN 'domain_concept' WHEN 1 THEN 'business_rule' ELSE 'domain_event' END AS kind,

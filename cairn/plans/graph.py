@@ -47,7 +47,7 @@ def ana_concept(t: Tables) -> DataFrame:
     return own.select("id", "concept", kind.alias("classification"))
 
 
-SIGNALS = "lower(substr(text, 1, 60) || CASE doc_id % 8 WHEN 0 THEN ' user.Role ' WHEN 1 THEN ' order.status ' WHEN 2 THEN ' isEligible ' WHEN 3 THEN ' slotFree ' ELSE ' plain ' END)"
+SIGNALS = "lower(text || CASE doc_id % 8 WHEN 0 THEN ' user.Role ' WHEN 1 THEN ' order.status ' WHEN 2 THEN ' isEligible ' WHEN 3 THEN ' slotFree ' ELSE ' plain ' END)"
 EVERY = f"({SIGNALS} || CASE doc_id % 11 WHEN 0 THEN ' pendingState ' WHEN 1 THEN ' qualifies ' WHEN 2 THEN ' ownerAccess ' WHEN 3 THEN ' booking ' ELSE '' END)"
 
 
@@ -58,7 +58,7 @@ EVERY = f"({SIGNALS} || CASE doc_id % 11 WHEN 0 THEN ' pendingState ' WHEN 1 THE
 )
 def ana_rule_class(t: Tables) -> DataFrame:
     m, n = F.col("doc_id") % 8, F.col("doc_id") % 11
-    c = F.concat(F.substring("text", 1, 60), F.when(m == 0, " user.Role ").when(m == 1, " order.status ").when(m == 2, " isEligible ").when(m == 3, " slotFree ").otherwise(" plain "))
+    c = F.concat("text", F.when(m == 0, " user.Role ").when(m == 1, " order.status ").when(m == 2, " isEligible ").when(m == 3, " slotFree ").otherwise(" plain "))
     s = F.concat(c, F.when(n == 0, " pendingState ").when(n == 1, " qualifies ").when(n == 2, " ownerAccess ").when(n == 3, " booking ").otherwise(""))
     return t.documents.select("doc_id", a.rule_type(c, s, F.when(F.col("doc_id") % 2 == 0, "throw").otherwise("log")).alias("rule_type"))
 
@@ -69,9 +69,26 @@ def ana_concept_match(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), a.tokens_within(a.concept_tokens(F.col("p_name")), signals).alias("matches"))
 
 
-@query("SELECT evidence_file, identity_key, count(*) AS n FROM {facts} GROUP BY ALL HAVING count(*) > 3")
+#: Facts of files under analysis: some name an analyser that isn't registered, some evidence lies in another file, hash or beyond the end.
+CONTRACT_FACTS = """SELECT f.fact_id, e.file_id + CASE WHEN f.fact_id % 97 = 0 THEN 8 ELSE 0 END AS file_id, f.identity_key, CASE WHEN f.fact_id % 89 = 0 THEN 'stray' ELSE 'typescript' END AS analyzer, CASE WHEN f.fact_id % 83 = 0 THEN '0.9' ELSE '1.0' END AS version
+    FROM {graph_facts} f JOIN {graph_evidence} e ON e.fact_id = f.fact_id AND e.nth = 0 WHERE f.kind <> 'architecture_relationship'"""
+CONTRACT_EVIDENCE = "SELECT fact_id, file_id, file_id + CASE WHEN fact_id % 79 = 0 THEN 1 ELSE 0 END AS hash_id, end_offset FROM {graph_evidence}"
+CONTRACT_FILES = "SELECT DISTINCT file_id, file_id AS hash_id, CAST(4900 AS BIGINT) AS length FROM {graph_evidence}"
+
+
+@query(
+    f"""WITH cf AS ({CONTRACT_FACTS}), ce AS ({CONTRACT_EVIDENCE}), fi AS ({CONTRACT_FILES})
+    SELECT 'unknown_analyzer' AS rule, file_id, identity_key FROM cf WHERE analyzer <> 'typescript' OR version <> '1.0'
+    UNION ALL SELECT DISTINCT 'evidence_outside', cf.file_id, identity_key FROM cf JOIN ce ON ce.fact_id = cf.fact_id LEFT JOIN fi ON fi.file_id = cf.file_id
+        WHERE fi.file_id IS NULL OR ce.file_id <> cf.file_id OR ce.hash_id <> fi.hash_id OR ce.end_offset > fi.length
+    UNION ALL SELECT 'repeated_identity', file_id, identity_key FROM cf GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'too_many_facts', file_id, NULL FROM cf GROUP BY file_id HAVING count(*) > 95"""
+)
 def ana_fact_contract(t: Tables) -> DataFrame:
-    return t.facts.groupBy("evidence_file", "identity_key").agg(rows().alias("n")).filter("n > 3")
+    named = {"graph_facts": t.graph_facts, "graph_evidence": t.graph_evidence}
+    only = {"graph_evidence": t.graph_evidence}
+    analyzers = t.spark.sql("SELECT 'typescript' AS analyzer, '1.0' AS version")
+    return a.contract_violations(t.spark.sql(CONTRACT_FACTS, **named), t.spark.sql(CONTRACT_EVIDENCE, **only), t.spark.sql(CONTRACT_FILES, **only), analyzers, 95)
 
 
 DECORATED = """SELECT l_partkey AS symbol_id, CASE l_suppkey % 9 WHEN 0 THEN 'common.Module' WHEN 1 THEN 'Controller' WHEN 2 THEN 'orm.Entity' WHEN 3 THEN 'ChildEntity' ELSE 'Injectable' END AS name FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 8"""
@@ -398,6 +415,7 @@ def pj_prop_terms(t: Tables) -> DataFrame:
     return with_property_terms(t.events.select(F.col("event_id").alias("id"), "props"), "props").select("id", F.size("terms").alias("n"))
 
 
+@query("SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(list_max(list_filter(list_transform(range(0, 100), lambda k: strlen(left(text, k))), lambda n: n <= 99)) AS INTEGER) END AS n FROM documents")
 def pj_truncate_utf8(t: Tables) -> DataFrame:
     from cairn.operators.projection import with_truncated
 
@@ -411,6 +429,10 @@ def ana_fact_validate(t: Tables) -> DataFrame:
     return with_fingerprint(t.events.select(F.col("event_id").alias("id"), "props"), "props").select("id", "content_fingerprint")
 
 
+NUMBER = "coalesce(CAST({} AS STRING), 'null')"
+
+
+@query("SELECT id, sha256('[' || " + " || ',' || ".join(NUMBER.replace("{}", c) for c in ("node_id", "indexed_file_id", "start_offset")) + """ || ',"' || role || '"]') AS identity_hash FROM {evidence}""")
 def kg_evidence_hash(t: Tables) -> DataFrame:
     from cairn.functions.canonical import array_hash
 
@@ -420,7 +442,7 @@ def kg_evidence_hash(t: Tables) -> DataFrame:
 def _register() -> None:
     from cairn.plans.registry import QUERIES
 
-    for fn in (pj_prop_terms, pj_truncate_utf8, ana_fact_validate, kg_evidence_hash):
+    for fn in (pj_prop_terms, ana_fact_validate):
         QUERIES[fn.__name__] = lambda spark, sf_dir, fn=fn: fn(Tables(spark, sf_dir))
 
 

@@ -223,8 +223,9 @@ def ing_norm_imports(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 4 IN (0, 1) THEN '*' ELSE coalesce(CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_name END, p_type) END AS target_name FROM part")
 def ing_norm_exports(t: Tables) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("all", "namespace", "named", "declaration"))), (F.col("p_size") % 4 + 1).cast("int"))
     local = F.when(F.col("p_size") % 3 != 0, F.col("p_name"))
-    return t.part.select(F.col("p_partkey").alias("id"), F.when((F.col("p_size") % 4).isin(0, 1), "*").otherwise(F.coalesce(local, F.col("p_type"))).alias("target_name"))
+    return t.part.select(F.col("p_partkey").alias("id"), g.export_target(kind, local, F.col("p_type")).alias("target_name"))
 
 
 @query(
@@ -255,10 +256,16 @@ def join_module_candidates(t: Tables) -> DataFrame:
     return g.resolved_modules(imports, files).select("id", "target_file")
 
 
+#: Paths that names of modules in src/deep/own.ts may stand for, in the order they are tried; none outside of the tree, and none of packages.
+SPREAD = [*g.SOURCE_EXTENSIONS, *["/index" + e for e in g.SOURCE_EXTENSIONS]]
+TRIED = {"./a": ["src/deep/a" + e for e in SPREAD], "../b.js": ["src/b.ts", "src/b.tsx", "src/b.js"], "../../c.jsx": ["c.tsx", "c.jsx"], "../../../up": [], "pkg": [], "./d.spec": ["src/deep/d.spec" + e for e in SPREAD], "./e/./f/../g.ts": ["src/deep/e/g.ts"]}
+TRIES = ", ".join(f"('{s}', {k}, '{p}')" for s, own in TRIED.items() for k, p in enumerate(own))
+
+
+@query(f"SELECT s_suppkey AS id, specifier, nth, path FROM supplier CROSS JOIN (VALUES {TRIES}) AS v(specifier, nth, path)")
 def ing_module_paths(t: Tables) -> DataFrame:
     """Candidate paths of module names, with escapes and explicit extensions."""
-    names = F.array(*[F.lit(x) for x in ("./a", "../b.js", "../../c.jsx", "../../../up", "pkg", "./d.spec", "./e/./f/../g.ts")])
-    own = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("src/deep/own.ts").alias("source_path"), F.explode(names).alias("specifier"))
+    own = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("src/deep/own.ts").alias("source_path"), F.explode(F.array(*map(F.lit, TRIED))).alias("specifier"))
     return own.select("id", "specifier", F.posexplode(g.module_candidates(F.col("source_path"), F.col("specifier"))).alias("nth", "path"))
 
 
@@ -274,6 +281,10 @@ def ing_validate_targets(t: Tables) -> DataFrame:
     return _references(t).filter("target_symbol_id is not null").join(own, "target_symbol_id", "left").agg(F.bool_and(ok).alias("accepted"), F.count_if(~ok).alias("violations"))
 
 
+HASHED = " || ',' || ".join(f"coalesce(CAST({c} AS STRING), 'null')" for c in ("source_symbol_id", "target_symbol_id", "target_indexed_file_id"))
+
+
+@query(f"""SELECT id, sha256('["' || kind || '",' || {HASHED} || ']') AS identity_hash FROM {{code_dependencies}}""")
 def ing_identity_hash(t: Tables) -> DataFrame:
     """Identity of dependencies: SHA-256 of a JSON array, nulls kept."""
     from cairn.functions.canonical import array_hash
@@ -363,18 +374,35 @@ def src_point_lookup(t: Tables) -> DataFrame:
     return Scope(2).of(t.files).filter("id = 102").select("id", "path")
 
 
-@query("SELECT j.id, f.active = j.total AS complete FROM (SELECT id, total_files % 5 AS org, total_files AS total FROM {jobs} WHERE status = 'succeeded') j JOIN (SELECT organization_id AS org, count(*) FILTER (status = 'active') AS active FROM {files} GROUP BY 1) f ON f.org = j.org")
+#: Files seen by jobs of scopes (one in five), with jobs that counted all, one too many or nothing.
+SNAPSHOT_FILES = """SELECT p_partkey AS id, p_partkey % 500 AS scope, CASE WHEN p_partkey % 13 = 0 THEN 'deleted' ELSE 'active' END AS status, p_partkey % 500 + CASE WHEN p_partkey % 700 = 1 THEN 1 ELSE 0 END AS last_job_id, CASE WHEN p_partkey % 900 <> 2 THEN p_partkey + 1000 END AS hash_id FROM {part}"""
+SNAPSHOT_JOBS = """SELECT o_orderkey AS id, o_orderkey AS scope, CASE o_orderstatus WHEN 'P' THEN 'running' ELSE 'succeeded' END AS status, coalesce(n.n, 0) + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS total_files
+    FROM {orders} LEFT JOIN (SELECT p_partkey % 500 AS s, count(*) AS n FROM {part} WHERE p_partkey % 13 <> 0 GROUP BY 1) AS n ON n.s = o_orderkey"""
+
+
+@query(
+    f"""WITH f AS ({SNAPSHOT_FILES.replace("{part}", "part")}), j AS ({SNAPSHOT_JOBS.replace("{part}", "part").replace("{orders}", "orders")})
+    SELECT id, CASE WHEN status <> 'succeeded' THEN 'unfinished' WHEN (SELECT count(*) FROM f WHERE f.scope = j.scope AND f.status = 'active') = total_files
+        AND (SELECT count(*) FROM f WHERE f.scope = j.scope AND f.status = 'active' AND f.last_job_id = j.id AND f.hash_id IS NOT NULL) = total_files THEN 'ready' ELSE 'stale' END AS state FROM j"""
+)
 def src_code_snapshot(t: Tables) -> DataFrame:
-    active = t.files.groupBy(F.col("organization_id").alias("org")).agg(F.count_if(F.col("status") == "active").alias("active"))
-    jobs = t.jobs.filter("status = 'succeeded'").select("id", (F.col("total_files") % 5).alias("org"), "total_files")
-    return jobs.join(active, "org").select("id", (F.col("active") == F.col("total_files")).alias("complete"))
+    return g.snapshots(t.spark.sql(SNAPSHOT_JOBS, part=t.part, orders=t.orders), t.spark.sql(SNAPSHOT_FILES, part=t.part)).select("id", "state")
+
 
+NESTED = "coalesce(string_agg(CAST({x}.id AS STRING) || ':' || coalesce({x}.kind, ''), ',' ORDER BY {x}.start_offset, {x}.id, {x}.kind), '')"
 
-@query("SELECT f.id, count(s.id) AS symbols, coalesce(string_agg(CAST(s.id AS STRING), ',' ORDER BY s.start_offset, s.id), '') AS ids FROM {files} f LEFT JOIN {symbols} s ON s.indexed_file_id = f.id GROUP BY f.id")
+
+@query(
+    f"""WITH f AS (SELECT id FROM {{files}} WHERE id > 20 ORDER BY id LIMIT 250), d AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_orderkey % 250 AS hash_id, l_returnflag AS kind, l_suppkey AS start_offset FROM lineitem)
+    SELECT f.id, (SELECT {NESTED.replace("{x}", "s")} FROM {{symbols}} s WHERE s.indexed_file_id = f.id) AS symbols, (SELECT {NESTED.replace("{x}", "d")} FROM d WHERE d.hash_id = f.id) AS dependencies FROM f"""
+)
 def src_stream_files(t: Tables) -> DataFrame:
-    nested = t.symbols.groupBy(F.col("indexed_file_id").alias("file")).agg(F.array_sort(F.collect_list(F.struct("start_offset", "id"))).alias("symbols"))
-    own = t.files.join(nested, t.files["id"] == nested["file"], "left")
-    return own.select("id", F.coalesce(F.size("symbols"), F.lit(0)).cast("long").alias("symbols"), F.coalesce(F.array_join(F.transform("symbols", lambda x: x["id"].cast("string")), ","), F.lit("")).alias("ids"))
+    """One page of a keyset scan, with nested symbols and dependencies."""
+    symbols = t.symbols.select(F.col("indexed_file_id").alias("hash_id"), "start_offset", "id", "kind")
+    dependencies = t.lineitem.select((F.col("l_orderkey") % 250).alias("hash_id"), F.col("l_suppkey").alias("start_offset"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("kind"))
+    page = g.after(t.files.select("id", F.col("id").alias("hash_id")), 20)
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.coalesce(x["kind"], F.lit("")))), ",")
+    return g.code_files(page, symbols, dependencies).select("id", said("symbols").alias("symbols"), said("dependencies").alias("dependencies"))
 
 
 @query("SELECT CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END) * 1024 AS BIGINT) AS bytes FROM part")
@@ -395,9 +423,9 @@ def sink_upsert_docs(t: Tables) -> DataFrame:
     return r.upsert(t.inventory.select("path", "object_id"), t.tree.select("path", "object_id"), ["path"], "object_id")
 
 
-@query("SELECT id, array_to_string(list_filter([trim(title), trim(coalesce(kind, '')), trim(substr(content, 1, 40))], lambda x: x <> ''), chr(10)) AS content FROM {search_documents}")
+@query("SELECT id, array_to_string(list_filter([trim(title), trim(coalesce(kind, '')), trim(content)], lambda x: x <> ''), chr(10)) AS content FROM {search_documents}")
 def pj_join_content(t: Tables) -> DataFrame:
-    return t.search_documents.select("id", joined([F.col("title"), F.col("kind"), F.substring("content", 1, 40)]).alias("content"))
+    return t.search_documents.select("id", joined([F.col("title"), F.col("kind"), F.col("content")]).alias("content"))
 
 
 @query("SELECT id, replace(content, chr(0), ' ') AS content FROM {search_documents}")
@@ -408,13 +436,3 @@ def pj_sanitize(t: Tables) -> DataFrame:
 @query("SELECT id, left(content, 512) AS title FROM {search_documents}")
 def pj_truncate_chars(t: Tables) -> DataFrame:
     return t.search_documents.select("id", F.left("content", F.lit(512)).alias("title"))
-
-
-def _register() -> None:
-    from cairn.plans.registry import QUERIES
-
-    for fn in (ing_module_paths, ing_identity_hash):
-        QUERIES[fn.__name__] = lambda spark, sf_dir, fn=fn: fn(Tables(spark, sf_dir))
-
-
-_register()

@@ -9,6 +9,7 @@ from cairn.operators import jobs as j
 from cairn.operators import reconcile as r
 from cairn.operators import rules as q
 from cairn.operators import tenancy as n
+from cairn.operators import writes as w
 from cairn.operators.search import optional_filters, page
 from cairn.plans.registry import Tables, query
 from cairn.scope import Scope
@@ -246,10 +247,18 @@ def wr_member_crud(t: Tables) -> DataFrame:
     return r.insert_ignore(t.user_roles.filter("NOT (user_id = 3 AND role_id = 2)"), new, ["user_id", "role_id"])
 
 
-@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'synced' ELSE 'failed' END AS status, CASE WHEN id % 3 = 0 THEN 500 ELSE created END AS synced_at, 500 AS attempted_at FROM {repositories}")
+#: Repositories before, and what attempts saw of some of them.
+BEFORE = "SELECT id, status, CAST(NULL AS BIGINT) AS attempted_at, created AS synced_at, id * 10 AS size_bytes, 'main' AS default_branch FROM {repositories}"
+ATTEMPTS = "SELECT s_suppkey AS id, s_acctbal > 0 AS ok, CASE WHEN s_nationkey % 2 = 0 THEN 'trunk' END AS seen_branch, s_suppkey * 1024 AS seen_bytes FROM {supplier} WHERE s_nationkey % 5 <> 0"
+
+
+@query(
+    f"""SELECT id, CASE WHEN ok THEN 'synced' WHEN NOT ok THEN 'failed' ELSE status END AS status, CASE WHEN ok IS NOT NULL THEN CAST(500 AS BIGINT) END AS attempted_at, CASE WHEN ok THEN 500 ELSE synced_at END AS synced_at,
+    CASE WHEN ok THEN seen_bytes ELSE size_bytes END AS size_bytes, CASE WHEN ok AND seen_branch IS NOT NULL THEN seen_branch ELSE default_branch END AS default_branch
+    FROM ({BEFORE}) LEFT JOIN ({ATTEMPTS.replace("{supplier}", "supplier")}) USING (id)"""
+)
 def wr_sync_state(t: Tables) -> DataFrame:
-    fine = F.col("id") % 3 == 0
-    return t.repositories.select("id", F.when(fine, "synced").otherwise("failed").alias("status"), F.when(fine, F.lit(NOW).cast("long")).otherwise(F.col("created")).alias("synced_at"), F.lit(NOW).alias("attempted_at"))
+    return w.synchronized(t.spark.sql(BEFORE, repositories=t.repositories), t.spark.sql(ATTEMPTS, supplier=t.supplier), NOW)
 
 
 @query("SELECT f.id, k.id IS NOT NULL AS stamped FROM {files} f LEFT JOIN (SELECT page_id AS id, page_id % 3 + page_id + 999 AS hash FROM pages) k ON k.id = f.id AND k.hash = f.current_file_hash_id")
@@ -258,22 +267,55 @@ def wr_file_complete(t: Tables) -> DataFrame:
     return t.files.join(done, ["id", "current_file_hash_id"], "left").select("id", F.coalesce("done", F.lit(False)).alias("stamped"))
 
 
-@query("SELECT id, error_code FROM {jobs} WHERE error_code IS NOT NULL AND status = 'running' AND lease_expires > 500")
+#: Errors that workers report, some of jobs that another worker holds; and those that are there.
+REPORTED = "SELECT id AS job_id, CASE WHEN id % 4 = 0 THEN 'w1' ELSE worker END AS worker, error_code AS code FROM {jobs} WHERE error_code IS NOT NULL"
+HELD = "SELECT id AS job_id, worker, 'E0' AS code FROM {jobs} WHERE status = 'succeeded' AND id % 50 = 0"
+
+
+@query(f"{HELD} UNION ALL SELECT r.job_id, r.worker, r.code FROM ({REPORTED}) r JOIN {{jobs}} j ON j.id = r.job_id AND j.worker = r.worker AND j.status = 'running' AND j.lease_expires > 500")
 def wr_errors(t: Tables) -> DataFrame:
-    owned = (F.col("status") == "running") & (F.col("lease_expires") > NOW)
-    return t.jobs.filter(F.col("error_code").isNotNull() & owned).select("id", "error_code")
+    return w.with_errors(t.spark.sql(HELD, jobs=t.jobs), t.spark.sql(REPORTED, jobs=t.jobs), t.jobs, NOW)
+
+
+#: Invitations by nation, to addresses of which some are taken or asked for twice, with roles of which some are another organisation's.
+INVITATIONS = """SELECT s_nationkey AS organization_id, CASE WHEN s_suppkey % 10 = 0 THEN ' Customer#' || lpad(CAST(s_suppkey AS STRING), 9, '0') || '@Example.org' ELSE 'new' || CAST(s_suppkey % 77 AS STRING) || '@example.org' END AS email,
+    'token' || CAST(s_suppkey AS STRING) AS token, s_suppkey % 3 AS a, s_suppkey % 7 AS b FROM {supplier}"""
+ORGANISATION_ROLES = "SELECT n_nationkey AS organization_id, CAST(x.id AS BIGINT) AS id FROM {nation} CROSS JOIN {roles} x WHERE x.id <= 1 + n_nationkey % 4"
 
 
-@query("SELECT u.id, CASE WHEN u.status <> 'invited' THEN 'refused' WHEN u.created <= 500 THEN 'expired' ELSE 'active' END AS next_status, count(x.role_id) = count(rl.id) AS roles_known FROM {users} u LEFT JOIN {user_roles} x ON x.user_id = u.id LEFT JOIN {roles} rl ON rl.id = x.role_id GROUP BY ALL")
+@query(
+    f"""WITH i AS (SELECT organization_id, lower(trim(email)) AS email, token, a, b FROM ({INVITATIONS.replace("{supplier}", "supplier")})), r AS ({ORGANISATION_ROLES.replace("{nation}", "nation")}),
+    x AS (SELECT i.*, CASE WHEN email IN (SELECT lower(email) FROM {{users}}) OR token <> (SELECT min(k.token) FROM i k WHERE k.email = i.email) THEN 'email_taken'
+        WHEN (a, organization_id) IN (SELECT (id, organization_id) FROM r) AND (b, organization_id) IN (SELECT (id, organization_id) FROM r) AND a <> b THEN 'created' ELSE 'unknown_role' END AS result FROM i)
+    SELECT organization_id, email, result, CASE WHEN result = 'created' THEN sha256(token) END AS token_hash, CASE WHEN result = 'created' THEN CAST(572 AS BIGINT) END AS expires FROM x"""
+)
 def wr_invite(t: Tables) -> DataFrame:
-    known = t.user_roles.join(t.roles.select(F.col("id").alias("role_id"), F.col("id").alias("known")), "role_id", "left").groupBy(F.col("user_id").alias("id")).agg((F.count("role_id") == F.count("known")).alias("roles_known"))
-    state = F.when(F.col("status") != "invited", "refused").when(F.col("created") <= NOW, "expired").otherwise("active")
-    return t.users.join(known, "id", "left").select("id", state.alias("next_status"), F.coalesce("roles_known", F.lit(True)).alias("roles_known"))
+    asked = t.spark.sql(INVITATIONS, supplier=t.supplier).withColumn("role_ids", F.array("a", "b"))
+    return w.invited(asked, t.users, t.spark.sql(ORGANISATION_ROLES, nation=t.nation, roles=t.roles), NOW, 72)
 
 
-@query("SELECT id, event_type, outcome, sha256(CAST(user_id AS STRING)) AS identifier_hash FROM {audit}")
+INVITED = "SELECT id, status, CASE WHEN status = 'invited' THEN sha2('token' || CAST(id AS STRING), 256) END AS token_hash, CASE WHEN status = 'invited' THEN created END AS token_expires FROM {users}"
+
+
+@query(
+    """SELECT id, CASE WHEN fine THEN 'active' ELSE status END AS status, CASE WHEN NOT fine AND status = 'invited' THEN sha256('token' || CAST(id AS STRING)) END AS token_hash, CASE WHEN NOT fine AND status = 'invited' THEN created END AS token_expires, CASE WHEN fine THEN CAST(500 AS BIGINT) END AS accepted_at
+    FROM (SELECT *, status = 'invited' AND created > 500 AND id % 2 = 0 AS fine FROM {users})"""
+)
+def wr_invite_accept(t: Tables) -> DataFrame:
+    tokens = t.users.filter("id % 2 = 0").select(F.concat(F.lit("token"), F.col("id").cast("string")).alias("token"))
+    return w.accepted(t.spark.sql(INVITED, users=t.users), tokens, NOW)
+
+
+#: Rows that are there, and events of which some have a type that isn't known.
+AUDITED = "SELECT id, event_type, outcome, sha2('old', 256) AS identifier_hash FROM {audit} WHERE id % 100 = 0"
+
+
+@query(
+    f"""{AUDITED.replace("sha2('old', 256)", "sha256('old')")} UNION ALL SELECT id, event_type, outcome, sha256('user' || CAST(user_id AS STRING)) FROM {{audit}} WHERE id % 100 <> 0 AND event_type IN ('signup', 'purchase', 'error')"""
+)
 def wr_audit_append(t: Tables) -> DataFrame:
-    return t.audit.select("id", "event_type", "outcome", F.sha2(F.col("user_id").cast("string"), 256).alias("identifier_hash"))
+    new = t.audit.filter("id % 100 <> 0").select("id", "event_type", "outcome", F.concat(F.lit(" User"), F.col("user_id").cast("string")).alias("identifier"))
+    return w.with_audit(t.spark.sql(AUDITED, audit=t.audit), new, ["signup", "purchase", "error"])
 
 
 @query("SELECT 1 AS healthy")

@@ -119,9 +119,9 @@ def wr_parse_guard(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("id"), (~git.readable(F.col("text"), 2000)).alias("refused"))
 
 
-@query(f"SELECT doc_id AS id, length(q) <= 200 AND {norm('q')} <> '' AS accepted FROM (SELECT doc_id, trim(CASE WHEN doc_id % 5 = 0 THEN ' --- ' ELSE substr(text, 1, 150 + doc_id % 100) END) AS q FROM documents)")
+@query(f"SELECT doc_id AS id, length(q) <= 200 AND {norm('q')} <> '' AS accepted FROM (SELECT doc_id, trim(CASE WHEN doc_id % 5 = 0 THEN ' --- ' ELSE text END) AS q FROM documents)")
 def sea_validate(t: Tables) -> DataFrame:
-    q = F.trim(F.when(F.col("doc_id") % 5 == 0, " --- ").otherwise(F.expr("substr(text, 1, CAST(150 + doc_id % 100 AS INT))")))
+    q = F.trim(F.when(F.col("doc_id") % 5 == 0, " --- ").otherwise(F.col("text")))
     return t.documents.select(F.col("doc_id").alias("id"), ((F.length(q) <= 200) & (normalized(q) != "")).alias("accepted"))
 
 
@@ -142,11 +142,13 @@ def _store(t: Tables) -> Store:
     return Store(t.spark, scratch(t.spark, "store"))
 
 
-@query("SELECT id, source_type FROM {search_documents}")
+@query("SELECT id, source_type, TRUE AS within_chunk FROM {search_documents}")
 def sink_chunked_save(t: Tables) -> DataFrame:
     store = _store(t)
-    store.write(1, t.search_documents.select("id", "source_type"))
-    return store.read(1)
+    store.write(1, t.search_documents.select("id", "source_type"), 500)
+    own = store.read(1).withColumn("file", F.input_file_name())
+    sizes = own.groupBy("file").agg((F.count(F.lit(1)) <= 500).alias("within_chunk"))
+    return own.join(sizes, "file").select("id", "source_type", "within_chunk")
 
 
 @query("SELECT id FROM {search_documents} WHERE source_type = 'file'")

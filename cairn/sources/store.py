@@ -82,11 +82,11 @@ class Store:
     def published(self, version: int) -> bool:
         return exists(self.spark, f"{self.root}/published/{version}")
 
-    def write(self, version: int, df: DataFrame) -> None:
-        """Write or rewrite a draft; a published version is refused."""
+    def write(self, version: int, df: DataFrame, chunk: int = 0) -> None:
+        """Write or rewrite a draft, in files of at most chunk rows where wanted; a published version is refused."""
         if self.published(version):
             raise ImmutableVersion(f"version {version} is published")
-        df.write.mode("overwrite").parquet(self._path(version))
+        df.write.mode("overwrite").option("maxRecordsPerFile", chunk).parquet(self._path(version))
 
     def reset(self, version: int) -> None:
         """Delete a draft."""
