@@ -158,29 +158,29 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame |
     """node, root (the smallest node of its component) of the nodes in edges (a, b); None if there are no edges.
 
     Every node points to its smallest neighbour, pointers are doubled, and edges are contracted onto
-    what they point to, until none is left.
+    what they point to, until none is left. The edges of a hub, and the members of a large component,
+    are dealt over tasks.
     """
     scratch, roots = scratch or Scratch(edges.sparkSession), None
     edges = scratch.save(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        up = scratch.save(_jumped(_jumped(up.withColumnRenamed("a", "node"))))
+        first = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to"), F.count(F.lit(1)).alias("near")), "first")
+        # those that point to a node are neighbours of it
+        further = first.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("near").alias("pointed"))
+        up = scratch.save(dealt_join(first, further, "to", "pointed", ["node"]).select("node", F.col("further").alias("to"), "near"))
         if roots is None:
-            roots = up.withColumnRenamed("to", "root")
+            roots = up.select("node", F.col("to").alias("root"))
         else:
-            moved = up.select(F.col("node").alias("root"), "to")
-            roots = scratch.save(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        a, b = up.select(F.col("node").alias("a"), F.col("to").alias("x")), up.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = scratch.save(edges.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+            held = roots.groupBy("root").agg(F.count(F.lit(1)).alias("held"))
+            moved = scratch.save(held.join(up.select(F.col("node").alias("root"), "to"), "root"), "moved")
+            roots = scratch.save(dealt_join(roots, moved, "root", "held", ["node"], "left").select("node", F.coalesce("to", "root").alias("root")))
+        one = dealt_join(edges, up.select(F.col("node").alias("a"), F.col("to").alias("x"), "near"), "a", "near", ["b"]).select("b", "x")
+        both = dealt_join(one, up.select(F.col("node").alias("b"), F.col("to").alias("y"), "near"), "b", "near", ["x"]).filter("x <> y")
+        edges = scratch.save(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     return roots
 
 
-def _jumped(up: DataFrame) -> DataFrame:
-    further = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
-    return up.join(further, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
-
-
 def prefix_members(sets: DataFrame, reps: DataFrame, scratch: Scratch, percent: int = PERCENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """key, rep, n_shingles, size: buckets by rare shingles for reps (rep, n_shingles), an exact way for large buckets.
 
@@ -273,8 +273,8 @@ def family_links(members: DataFrame, roots: DataFrame | None, sets: DataFrame, s
     """
     spark = members.sparkSession
     nodes = roots if roots is not None else spark.createDataFrame([], "node long, root long")
-    held = nodes.groupBy(F.col("root").alias("label")).agg(F.count(F.lit(1)).alias("held"))
-    sized = members.join(held, "label", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    held = members.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).join(nodes.groupBy(F.col("root").alias("label")).agg(F.count(F.lit(1)).alias("held")), "label", "left")
+    sized = dealt_join(members, scratch.save(held), "label", "rows", ["rep", "key"]).withColumn("held", F.coalesce("held", F.lit(1)))
     family = scratch.save(sized.groupBy("key").agg(F.max(F.struct("held", "label")).alias("top"), F.count(F.lit(1)).alias("own")).select("key", F.col("top.label").alias("family"), "own"))
     attached = scratch.save(dealt_join(members, family, "key", "own", ["rep"]).filter("label <> family").select("family", "rep", "label").distinct())
     families = attached.select("family").distinct()
