@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
