@@ -26,6 +26,11 @@ def is_generic(name: Column) -> Column:
     return F.lower(name).isin(*GENERIC)
 
 
+def concept_class(name: Column, exported: Column, path: Column) -> Column:
+    """Where a concept's name comes from: technical by its suffix, else configured or exported where it leaves its file, else internal."""
+    return F.when(name.rlike("(Service|Controller)$"), "technical").when(exported & F.startswith(path, F.lit("src/config/")), "configured").when(exported, "exported").otherwise("internal")
+
+
 def concept_tokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(concept_name(name), name)), r"\s+"), lambda x: x != "")
 
@@ -149,6 +154,18 @@ def most_confident(facts: DataFrame, keys: list[str], values: list[str], order:
     return facts.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(F.col("confidence_pct"), -F.col(order))).alias("r")).select(*keys, "r.*")
 
 
+def merged_events(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sorted distinct operations and the number of distinct identities of each key."""
+    return facts.groupBy(*keys).agg(F.array_sort(F.collect_set("alias")).alias("operations"), F.count_distinct("identity_key").alias("occurrences"))
+
+
+def complete_steps(steps: DataFrame, workflow: str, order: str) -> DataFrame:
+    """Workflows and whether their steps are numbered 0, 1, 2, ... without a gap or a repeat; counted, not collected."""
+    n = F.count(F.lit(1))
+    whole = (F.min(order) == 0) & (F.max(order) == n - 1) & (F.count_distinct(order) == n)
+    return steps.groupBy(workflow).agg(F.coalesce(whole, F.lit(False)).alias("complete"))
+
+
 def workflow_steps(calls: DataFrame, route: str, order: list[str]) -> DataFrame:
     """calls with step (0 based) within their route, and the next step's call."""
     w = Window.partitionBy(route).orderBy(*order)

@@ -177,12 +177,18 @@ def heritage_targets(heritage: DataFrame, bindings: DataFrame) -> DataFrame:
     return met.select("id", F.col("b.module").alias("module"), target.alias("target_name"), F.col("target").alias("local"))
 
 
-def first_offender(df: DataFrame, amount: str, key: str, limit: int, span: int = 4096) -> DataFrame:
+#: Spans of keys whose totals one task sums up.
+SPANS = 1_000_000
+
+
+def first_offender(df: DataFrame, amount: str, key: str, limit: int, spans: int = SPANS) -> DataFrame:
     """The row (with running) at which the total in the order of an integer key first passes limit; empty if it never does.
 
-    Spans of keys are summed first, so the ordered window over all sees a row per span, and only the
-    span that passes the limit is looked at row by row.
+    Spans of keys are summed first, as many as spans at most, so the ordered window over all sees a row
+    per span, and only the span that passes the limit is looked at row by row.
     """
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    span = 1 if ends["low"] is None else max(4096, -(-(ends["high"] - ends["low"] + 1) // spans))
     bucket = F.floor(F.col(key) / span)
     sums = df.groupBy(bucket.alias("span_")).agg(F.sum(amount).alias("sum_"))
     before = F.sum("sum_").over(Window.orderBy("span_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum_")

@@ -59,3 +59,14 @@ def identities(sessions: DataFrame, users: DataFrame, now: int) -> DataFrame:
     """Active sessions of active users."""
     own = users.filter("status = 'active'").select(F.col("id").alias("user_id"), "email")
     return active_sessions(sessions, now).join(own, "user_id")
+
+
+def branch_health(branches: DataFrame) -> DataFrame:
+    """Branches of each repository: all, active ones, default ones and when the last was synchronised."""
+    return branches.groupBy("repository_id").agg(F.count(F.lit(1)).alias("branches"), F.count_if(F.col("status") == "active").alias("active"), F.count_if("is_default").alias("defaults"), F.max("synced").alias("last_synced"))
+
+
+def with_branch_health(repositories: DataFrame, branches: DataFrame) -> DataFrame:
+    """repositories with their branches and active ones; 0 without any."""
+    own = branch_health(branches).select(F.col("repository_id").alias("id"), "branches", "active")
+    return repositories.join(own, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("branches", "active")})

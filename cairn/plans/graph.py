@@ -43,8 +43,7 @@ def ana_concept_norm(t: Tables) -> DataFrame:
 )
 def ana_concept(t: Tables) -> DataFrame:
     own = _names(t).withColumn("concept", a.concept_name(F.col("name"))).filter(F.col("concept").isNotNull() & ~a.is_generic(F.col("concept")))
-    kind = F.when(F.col("name").rlike("(Service|Controller)$"), "technical").when(F.col("exported") & F.startswith("path", F.lit("src/config/")), "configured").when(F.col("exported"), "exported").otherwise("internal")
-    return own.select("id", "concept", kind.alias("classification"))
+    return own.select("id", "concept", a.concept_class(F.col("name"), F.col("exported"), F.col("path")).alias("classification"))
 
 
 SIGNALS = "lower(text || CASE doc_id % 8 WHEN 0 THEN ' user.Role ' WHEN 1 THEN ' order.status ' WHEN 2 THEN ' isEligible ' WHEN 3 THEN ' slotFree ' ELSE ' plain ' END)"
@@ -210,8 +209,7 @@ def kg_workflow(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id, list_sort(list(turn)) = range(0, count(*)) AS complete FROM conversations GROUP BY conv_id")
 def kg_step_check(t: Tables) -> DataFrame:
-    own = F.array_sort(F.collect_list("turn"))
-    return t.conversations.groupBy("conv_id").agg((own == F.sequence(F.lit(0).cast("long"), rows() - 1)).alias("complete"))
+    return a.complete_steps(t.conversations, "conv_id", "turn")
 
 
 MERGED = "SELECT kind, identity_key, max(confidence_pct) AS confidence_pct, bool_or(deterministic) AS deterministic, array_to_string(list_sort(list(DISTINCT alias)), ',') AS aliases, count(DISTINCT evidence_file) AS evidence, count(DISTINCT fingerprint) > 1 AS conflict FROM {facts} GROUP BY ALL"
@@ -244,7 +242,7 @@ def agg_last_wins_edge(t: Tables) -> DataFrame:
 
 @query("SELECT evidence_file, kind, array_to_string(list_sort(list(DISTINCT alias)), ',') AS operations, count(DISTINCT identity_key) AS occurrences FROM {facts} GROUP BY ALL")
 def agg_event_merge(t: Tables) -> DataFrame:
-    return t.facts.groupBy("evidence_file", "kind").agg(F.array_join(F.array_sort(F.collect_set("alias")), ",").alias("operations"), F.count_distinct("identity_key").alias("occurrences"))
+    return a.merged_events(t.facts, ["evidence_file", "kind"]).withColumn("operations", F.array_join("operations", ","))
 
 
 @query("SELECT kind, identity_key, max(confidence_pct) AS confidence_pct, arg_max(ord, (confidence_pct, -ord)) AS ord FROM {facts} GROUP BY ALL")

@@ -132,19 +132,14 @@ def ten_audit_page(t: Tables) -> DataFrame:
 HEALTH = "SELECT repository_id, count(*) AS branches, count(*) FILTER (status = 'active') AS active, count(*) FILTER (is_default) AS defaults, max(synced) AS last_synced FROM {branches} GROUP BY repository_id"
 
 
-def _health(t: Tables) -> DataFrame:
-    return t.branches.groupBy("repository_id").agg(rows().alias("branches"), F.count_if(F.col("status") == "active").alias("active"), F.count_if("is_default").alias("defaults"), F.max("synced").alias("last_synced"))
-
-
 @query(HEALTH)
 def agg_branch_health(t: Tables) -> DataFrame:
-    return _health(t)
+    return n.branch_health(t.branches)
 
 
 @query(f"SELECT p.id, p.status, coalesce(h.branches, 0) AS branches, coalesce(h.active, 0) AS active FROM {{repositories}} p LEFT JOIN ({HEALTH}) h ON h.repository_id = p.id")
 def ten_repo_status(t: Tables) -> DataFrame:
-    h = _health(t).withColumnRenamed("repository_id", "id")
-    return t.repositories.join(h, "id", "left").select("id", "status", F.coalesce("branches", F.lit(0)).alias("branches"), F.coalesce("active", F.lit(0)).alias("active"))
+    return n.with_branch_health(t.repositories, t.branches).select("id", "status", "branches", "active")
 
 
 # Lifecycles.
