@@ -110,13 +110,13 @@ def page(df: DataFrame, order: list[Column], page_number: int = 1, limit: int =
 
 
 def dependency_relations(seeds: DataFrame, deps: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
-    """Neighbours of seeds by code dependencies. Each OR of the join keys is two disjoint equi-joins."""
+    """Neighbours of seeds by code dependencies. Each OR of the join keys is two disjoint equi-joins. Seeds are the first GRAPH_SEEDS of a page, so they are broadcast, and dependencies aren't shuffled."""
     near, far = ("source", "target") if outgoing else ("target", "source")
     by_symbol = seeds.filter(F.col("code_symbol_id").isNotNull()).select("seed_id", "seed_order", F.col("code_symbol_id").alias("near_"))
     by_file = seeds.filter(F.col("code_symbol_id").isNull() & F.col("indexed_file_id").isNotNull()).select("seed_id", "seed_order", F.col("indexed_file_id").alias("file_"), F.col("file_hash_id").alias("hash_"))
     columns = ["seed_id", "seed_order", F.col("id").alias("relationship_id"), "kind", F.col(f"{far}_symbol_id").alias("symbol_"), F.col(f"{far}_indexed_file_id").alias("f_"), F.col(f"{far}_file_hash_id").alias("h_")]
-    one = deps.join(by_symbol, deps[f"{near}_symbol_id"] == by_symbol["near_"]).select(*columns)
-    two = deps.join(by_file, (deps[f"{near}_indexed_file_id"] == by_file["file_"]) & (deps[f"{near}_file_hash_id"] == by_file["hash_"])).select(*columns)
+    one = deps.join(F.broadcast(by_symbol), deps[f"{near}_symbol_id"] == by_symbol["near_"]).select(*columns)
+    two = deps.join(F.broadcast(by_file), (deps[f"{near}_indexed_file_id"] == by_file["file_"]) & (deps[f"{near}_file_hash_id"] == by_file["hash_"])).select(*columns)
     edges = one.unionByName(two)
     symbols = docs.filter(F.col("code_symbol_id").isNotNull()).select(F.col("id").alias("document_id"), F.col("code_symbol_id").alias("symbol_"))
     files = docs.filter(F.col("source_type") == "file").select(F.col("id").alias("document_id"), F.col("indexed_file_id").alias("f_"), F.col("file_hash_id").alias("h_"))
@@ -127,7 +127,7 @@ def dependency_relations(seeds: DataFrame, deps: DataFrame, docs: DataFrame, out
 def edge_relations(seeds: DataFrame, edges: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
     near, far = ("source", "target") if outgoing else ("target", "source")
     own = seeds.filter(F.col("knowledge_node_id").isNotNull()).select("seed_id", "seed_order", F.col("knowledge_node_id").alias("near_"))
-    found = edges.join(own, edges[f"{near}_node_id"] == own["near_"]).select("seed_id", "seed_order", F.col("id").alias("relationship_id"), "kind", F.col(f"{far}_node_id").alias("far_"))
+    found = edges.join(F.broadcast(own), edges[f"{near}_node_id"] == own["near_"]).select("seed_id", "seed_order", F.col("id").alias("relationship_id"), "kind", F.col(f"{far}_node_id").alias("far_"))
     nodes = docs.filter(F.col("knowledge_node_id").isNotNull()).select(F.col("id").alias("document_id"), F.col("knowledge_node_id").alias("far_"))
     return _relation(found.join(nodes, "far_"), "knowledge_edge", outgoing)
 
