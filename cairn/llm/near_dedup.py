@@ -359,7 +359,7 @@ def _mixed(members: DataFrame, roots: DataFrame | None, scratch: Scratch) -> Dat
     else:
         left = scratch.save(members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root"), "labelled")
     several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("own")).filter("low < high")
-    return dealt_join(left, scratch.save(several), "key", "own", ["rep"]).select("key", "rep", "n_shingles", "size", "label")
+    return dealt_join(left, scratch.save(several.select("key", "own")), "key", "own", ["rep"], "left_semi").select("key", "rep", "n_shingles", "size", "label")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
