@@ -109,6 +109,14 @@ def page(df: DataFrame, order: list[Column], page_number: int = 1, limit: int =
     return df.orderBy(*order).offset((page_number - 1) * limit).limit(limit)
 
 
+def pinned(seeds: DataFrame, most: int = GRAPH_SEEDS) -> DataFrame:
+    """The seeds of an expansion as rows of the plan itself: a page's first few, so that its many joins don't make them anew each time."""
+    rows = seeds.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"an expansion has {most} seeds at most")
+    return seeds.sparkSession.createDataFrame(rows, seeds.schema)
+
+
 def dependency_relations(seeds: DataFrame, deps: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
     """Neighbours of seeds by code dependencies. Each OR of the join keys is two disjoint equi-joins. Seeds are the first GRAPH_SEEDS of a page, so they are broadcast, and dependencies aren't shuffled."""
     near, far = ("source", "target") if outgoing else ("target", "source")

@@ -110,7 +110,7 @@ TOP = f"SELECT * FROM ({RANKED}) WHERE neighbour_rank <= 5 ORDER BY seed_order,
 
 
 def _relations(t: Tables) -> DataFrame:
-    return s.relations(t.seeds, t.code_dependencies, t.knowledge_edges, t.search_index.heads)
+    return s.relations(s.pinned(t.seeds), t.code_dependencies, t.knowledge_edges, t.search_index.heads)
 
 
 def _ranked(t: Tables) -> DataFrame:
