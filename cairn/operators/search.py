@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.enums import SOURCE_TYPES, ordinal
 from cairn.functions.cover_density import rank, weighted_terms
 from cairn.functions.text import query_terms, round6, terms
+from cairn.sources.store import delete
 
 # Weights of the exact signals, of relations, and the cap of the graph's part.
 SIGNALS = (("exact_identifier", 120), ("exact_title", 110), ("exact_path", 100), ("title_prefix", 70), ("identifier_prefix", 65), ("path_contains", 40))
@@ -63,11 +64,18 @@ class SearchIndex:
 
     @classmethod
     def write(cls, docs: DataFrame, root: str) -> SearchIndex:
-        """Written once: postings by search index, in ranges of terms and sorted, so that row group statistics leave out all but a query's terms."""
+        """Written once: postings by search index, in ranges of terms and sorted, so that row group statistics leave out all but a query's terms.
+
+        A term that is in every document fills several ranges. Postings are written as they come first:
+        ranges are found by a sample, for which they would be made twice.
+        """
+        spark = docs.sparkSession
         docs.drop("content").write.mode("overwrite").parquet(f"{root}/heads")
-        ranged = postings(docs).repartitionByRange("search_index_id", "term", "id").sortWithinPartitions("search_index_id", "term", "id")
+        postings(docs).write.mode("overwrite").parquet(f"{root}/unsorted")
+        ranged = spark.read.parquet(f"{root}/unsorted").repartitionByRange("search_index_id", "term", "id").sortWithinPartitions("search_index_id", "term", "id")
         ranged.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("search_index_id").parquet(f"{root}/postings")
-        return cls.read(docs.sparkSession, root)
+        delete(spark, f"{root}/unsorted")
+        return cls.read(spark, root)
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> SearchIndex:

@@ -51,15 +51,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         shared = tempfile.gettempdir()
     folder = f"{shared.rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
 
-    def delete() -> None:
-        if spark.sparkContext._jsc is not None:
-            fs, p = _fs(spark, folder)
-            fs.delete(p, True)
-
-    atexit.register(delete)
+    atexit.register(lambda: spark.sparkContext._jsc is not None and delete(spark, folder))
     return folder
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -92,8 +92,7 @@ class Store:
         """Delete a draft."""
         if self.published(version):
             raise ImmutableVersion(f"version {version} is published")
-        fs, p = _fs(self.spark, self._path(version))
-        fs.delete(p, True)
+        delete(self.spark, self._path(version))
 
     def read(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self._path(version))
