@@ -406,6 +406,7 @@ def pj_publish(t: Tables) -> DataFrame:
     return k.published(manifest, 500, True)
 
 
+@query("SELECT event_id AS id, CAST(2 * len(json_keys(props)) AS INTEGER) AS n FROM events")
 def pj_prop_terms(t: Tables) -> DataFrame:
     """Terms of the events' JSON properties."""
     from cairn.operators.projection import with_property_terms
@@ -420,6 +421,7 @@ def pj_truncate_utf8(t: Tables) -> DataFrame:
     return with_truncated(t.documents.select("doc_id", "text"), "text", 99).select("doc_id", F.octet_length("text").alias("n"))
 
 
+@query("SELECT event_id AS id, sha256(replace(props, ' ', '')) AS content_fingerprint FROM events")
 def ana_fact_validate(t: Tables) -> DataFrame:
     """Fingerprints of canonical JSON."""
     from cairn.functions.canonical import with_fingerprint
@@ -435,13 +437,3 @@ def kg_evidence_hash(t: Tables) -> DataFrame:
     from cairn.functions.canonical import array_hash
 
     return t.evidence.select("id", array_hash("node_id", "indexed_file_id", "start_offset", "role").alias("identity_hash"))
-
-
-def _register() -> None:
-    from cairn.plans.registry import QUERIES
-
-    for fn in (pj_prop_terms, ana_fact_validate):
-        QUERIES[fn.__name__] = lambda spark, sf_dir, fn=fn: fn(Tables(spark, sf_dir))
-
-
-_register()
