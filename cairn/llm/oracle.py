@@ -27,9 +27,9 @@ ORACLE = {
     """,
     "op11_hard_negatives": """
         WITH own AS (
-            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
             FROM embeddings
-            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), met AS (
             SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
             FROM own a JOIN own b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
@@ -44,8 +44,8 @@ ORACLE = {
     """,
     "op12_top_k_search": """
         WITH own AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
-            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), met AS (
             SELECT q.vec_id AS query_id, b.vec_id, list_dot_product(q.v, b.v)::BIGINT AS score FROM own q JOIN own b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0
         )
