@@ -199,6 +199,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return mix.documents.join(taken, ["k", "start"], "left").select("doc_id", "source", "size", "source_size", "target", words.cast("long").alias("taken"))
 
 
+def taken_words(text: bytes, spans: list[dict]) -> bytes:
+    """The words of the spans (round, from_word, words) in their order, in time linear in the outcome."""
+    words, said, end = text.split(), [], None
+    for x in spans:
+        here = (x["round"], x["from_word"])
+        said += [b"" if end is None else b" " if here == end else b"\n", b" ".join(words[x["from_word"] : x["from_word"] + x["words"]])]
+        end = (x["round"], x["from_word"] + x["words"])
+    return b"".join(said)
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: rows of docs with all their columns, text_col holding the words that the mix takes.
 
@@ -225,14 +235,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = own.hint("merge").join(rows, own["d_"].eqNullSafe(rows["d_"]) & (own["t_"] == rows["t_"]) & (own["nth_"] == rows["nth_"]))
 
     def rebuilt(part: pa.RecordBatch) -> dict:
-        out = []
-        for text, spans in zip(texts(part, text_col), column(part, "spans_").to_pylist(), strict=True):
-            words, said, end = text.split(), b"", None
-            for x in spans:
-                here = (x["round"], x["from_word"])
-                said += (b"" if end is None else b" " if here == end else b"\n") + b" ".join(words[x["from_word"] : x["from_word"] + x["words"]])
-                end = (x["round"], x["from_word"] + x["words"])
-            out.append(said.decode("utf-8"))
+        out = [taken_words(text, spans).decode("utf-8") for text, spans in zip(texts(part, text_col), column(part, "spans_").to_pylist(), strict=True)]
         return {n: column(part, n) for n in names} | {text_col: out}
 
     return batches(met.select(*[own[f"`{n}`"] for n in names], "spans_"), rebuilt, schema)
