@@ -22,10 +22,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_IDS, Scratch, batches, column, dealt_join, mix64, saved, scope, texts, with_ids
+from cairn.llm.common import BROADCAST_IDS, Scratch, batches, column, dealt_join, mix64, saved, scope, summed_before, texts, with_ids
 
 WORDS = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -391,16 +391,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, that near_dedup keeps: one document of each group. Rows that repeat a doc_id are one document; rows without one stay."""
+    """The rows of docs, with their columns, that near_dedup keeps: one document of each group, the one of smallest id.
+
+    Rows that share an id are documents of their own: different texts stay, and of copies and near
+    copies the longest text does. Rows without an id stay.
+    """
+    id_, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    rows = docs.select(id_.alias("kept_"), F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row_"))
     with scope(docs.sparkSession):
-        kept = near_dedup(docs, id_col, text_col).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("kept_")).agg(F.count(F.lit(1)).alias("rows_"))
-        ids = saved(kept, keep=True)
-    nulls = docs.filter(docs[id_col].cast("long").isNull())
-    out = with_ids(docs.withColumn("kept_", F.col(id_col).cast("long")), ids.select("kept_"), "kept_").drop("kept_")
-    if not ids.filter("rows_ > 1").isEmpty():
-        first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), text_col))
-        out = out.withColumn("nth__", first).filter("nth__ = 1").drop("nth__")
-    return out.unionByName(nulls)
+        if docs.select(id_.alias("id_")).dropna().groupBy("id_").agg(F.count(F.lit(1)).alias("rows_")).filter("rows_ > 1").isEmpty():
+            found = near_dedup(docs, id_col, text_col)
+        else:  # numbered in the order of ids; the numbers stand in a table, as they must not change
+            some = docs.select(id_.alias("kept_"), text.alias("text_"), F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row_"), F.lit(1).alias("one_")).filter("kept_ is not null")
+            order = [F.col("kept_").asc(), F.length("text_").desc_nulls_last(), F.col("text_").asc_nulls_last()]
+            own = saved(summed_before(some, order, ["one_"], some.count()), keep=True)
+            rows = own.select(F.col("one__before").cast("long").alias("kept_"), "row_").unionByName(rows.filter("kept_ is null"))
+            found = near_dedup(own.select("one__before", "text_"), "one__before", "text_")
+        ids = saved(found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_")).distinct(), keep=True)
+    return with_ids(rows.filter("kept_ is not null"), ids, "kept_").select("row_.*").unionByName(rows.filter("kept_ is null").select("row_.*"))
 
 
 def with_group_sites(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
