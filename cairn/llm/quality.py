@@ -183,7 +183,10 @@ def fold(id_col: str | Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most `rows` labelled documents outside the held-out fold; null labels and ids are left out, of several labels the mean counts."""
+    """Fit on at most `rows` labelled documents outside the held-out fold; null labels and ids are left out.
+
+    Of several labels of an id the mean counts; of several texts one, that of the least features.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("id_"), F.col(label_col).cast("double").alias("y_")).dropna().filter(fold("id_") != HELD_OUT)
     chosen = known.groupBy("id_").agg((F.avg("y_") >= 0.5).cast("int").alias("y_")).orderBy(F.xxhash64("id_"), "id_").limit(rows)
 
@@ -191,8 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"id": column(part, "id_"), "y": column(part, "y_"), "x": [features(t) for t in texts(part, "text_")]}
 
     own = docs.select(docs[id_col].cast("long").alias("id_"), docs[text_col].cast("string").alias("text_"))
-    # chosen has at most `rows` rows of two numbers
-    got = batches(own.join(F.broadcast(chosen), "id_").select("id_", "y_", "text_"), extract, "id long, y int, x array<double>").toPandas().sort_values(["id"], kind="stable")
+    # chosen has at most `rows` rows of two numbers; an id that repeats gives one row, so no more reach the driver
+    every = batches(own.join(F.broadcast(chosen), "id_").select("id_", "y_", "text_"), extract, "id long, y int, x array<double>")
+    got = every.groupBy("id", "y").agg(F.min("x").alias("x")).toPandas().sort_values(["id"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T[::-1], got["id"].to_numpy()))
     return fit(x[order], got["y"].to_numpy(dtype=np.float64)[order])
