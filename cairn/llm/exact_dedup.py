@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE, batches, column, mix64, partitions, saved, texts
+from cairn.llm.common import SPACE, batches, column, dealt_join, mix64, partitions, saved, texts
 
 #: Distinct digests that a shard is laid out for.
 SHARD_KEYS = 65_536
@@ -167,8 +167,8 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     shards = max(partitions(docs.sparkSession), -(-own.count() // SHARD_KEYS))
     groups = merged(grouped(old), grouped(new), shards)
     # Only repeated digests travel to the rows; a row without one is its own group.
-    several = groups.filter("n > 1").select("digest", "winner", "n")
+    several = saved(groups.filter("n > 1").select("digest", "winner", "n"))
     kept = F.coalesce(F.col("winner"), F.col("doc_id"))
-    return own.join(several, "digest", "left").select(
+    return dealt_join(own, several, "digest", "n", ["doc_id", "n_chars"], "left").select(
         "doc_id", kept.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(kept).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
