@@ -204,6 +204,47 @@ def events(facts: DataFrame, evidence: DataFrame) -> Projection:
     return Projection(_all(event_nodes.select(*NODE_COLUMNS), handler_nodes), merged_edges(triggers.unionByName(handles)), bad)
 
 
+def workflows(facts: DataFrame, components: DataFrame) -> Projection:
+    """Workflows and their steps become nodes; edges from the entry's component to its workflow (contains), to each step (contains), from steps to the components that they call (calls), and from step to step (precedes, with the evidence of both).
+
+    facts: kind (workflow, workflow_step), identity_key, name, workflow_key, step, step_type,
+    component_key, steps (how many a workflow has), file_id, start_offset, end_offset. components:
+    identity_key. A repeated workflow, steps that aren't numbered 0, 1, 2, ... up to their number, a step of
+    an unknown workflow, and an unknown component are violations; a workflow with any of the first two has
+    no edges between its steps.
+    """
+    heads, steps = facts.filter("kind = 'workflow'"), facts.filter("kind = 'workflow_step'")
+    n = F.count(F.lit(1))
+    groups = heads.groupBy("workflow_key").agg(n.alias("heads_"), F.max("steps").alias("steps_"))
+    numbers = steps.groupBy("workflow_key").agg(n.alias("held_"), F.min("step").alias("low_"), F.max("step").alias("high_"), F.count_distinct("step").alias("own_"))
+    met = groups.join(numbers, "workflow_key", "full_outer")
+    whole = (F.col("held_") == F.col("steps_")) & (F.col("low_") == 0) & (F.col("high_") == F.col("held_") - 1) & (F.col("own_") == F.col("held_"))
+    state = F.when(F.col("heads_").isNull(), "orphan_step").when(F.col("heads_") > 1, "repeated_workflow").when(~F.coalesce(whole, F.lit(False)), "invalid_steps").otherwise("fine")
+    states_ = met.select("workflow_key", state.alias("state_"))
+    known = components.select(F.col("identity_key").alias("component_key")).distinct().withColumn("known_", F.lit(True))
+    every = facts.join(states_, "workflow_key").join(known, "component_key", "left")
+    nodes = facts.withColumns({"confidence_pct": F.lit(100).cast("long"), "deterministic": F.lit(True), "evidence": F.lit(1).cast("long")})
+    nodes = nodes.withColumn("fingerprint", _printed("kind", "identity_key", "name", "workflow_key", "step", "component_key")).select(*NODE_COLUMNS).distinct()
+    fine = every.filter("state_ = 'fine'")
+    role = F.when(F.col("step_type") == "resolved_call", "call_site").otherwise("decorator")
+    place = ["file_id", "start_offset", "end_offset", role.alias("role")]
+    edge = lambda rows, kind, a_kind, a, b_kind, b: rows.select(F.lit(kind).alias("kind"), F.lit(a_kind).alias("source_kind"), F.col(a).alias("source_key"), F.lit(b_kind).alias("target_kind"), F.col(b).alias("target_key"), *place)
+    own = fine.filter("kind = 'workflow_step'")
+    entered = edge(fine.filter("kind = 'workflow' and known_"), "contains", "architectural_component", "component_key", "workflow", "workflow_key")
+    held = edge(own, "contains", "workflow", "workflow_key", "workflow_step", "identity_key")
+    called = edge(own.filter("step_type = 'resolved_call' and known_"), "calls", "workflow_step", "identity_key", "architectural_component", "component_key")
+    # the next step by its number: a long workflow is many keys
+    after = own.select("workflow_key", (F.col("step") - 1).alias("step"), F.col("identity_key").alias("next_key"), *[F.col(c).alias(f"next_{c}") for c in ("file_id", "start_offset", "end_offset", "step_type")])
+    pairs = own.join(after, ["workflow_key", "step"])
+    both = F.explode(F.array(F.struct("file_id", "start_offset", "end_offset", "step_type"), F.struct(*[F.col(f"next_{c}").alias(c) for c in ("file_id", "start_offset", "end_offset", "step_type")])))
+    ahead = edge(pairs.select("identity_key", "next_key", both.alias("x")).select("identity_key", "next_key", "x.*"), "precedes", "workflow_step", "identity_key", "workflow_step", "next_key")
+    rows = _all(entered, held, called, ahead).withColumns({"confidence_pct": F.lit(100).cast("long"), "deterministic": F.lit(True), "ord": F.lit(0)})
+    odd = states_.filter("state_ <> 'fine'").select(F.col("state_").alias("rule"), F.col("workflow_key").alias("identity_key"))
+    asked = (F.col("kind") == "workflow") | (F.col("step_type") == "resolved_call")
+    unknown = every.filter(asked & F.col("component_key").isNotNull() & F.col("known_").isNull())
+    return Projection(nodes, merged_edges(rows), _all(odd, _violations("unknown_component", unknown)))
+
+
 def flat(p: Projection) -> DataFrame:
     """All of a projection as rows of one table: part (node, edge, violation), kind, identity_key, name, source_key, target_key, confidence_pct, deterministic, evidence."""
     none = F.lit(None).cast("string")

@@ -186,4 +186,50 @@ FIXTURES: dict[str, str] = {
             || CASE WHEN p_partkey % 10 = 0 THEN 'function open() ' || chr(123) ELSE 'export * from ' || chr(39) || './all' || chr(39) || '; ' END AS text
         FROM {part}
     """,
+    "code_symbols": """
+        SELECT p_partkey * 100 AS id, p_partkey - p_partkey % 4 AS file_id, 'C' || CAST(p_partkey % 1500 AS STRING) AS name,
+            CASE WHEN p_partkey % 36 = 3 THEN 'C' || CAST((p_partkey - 1) % 1500 AS STRING) || '.' ELSE '' END || 'C' || CAST(p_partkey % 1500 AS STRING) AS qualified_name,
+            CASE WHEN p_partkey % 10 = 7 THEN 'function' ELSE 'class' END AS kind, CASE p_partkey % 9 WHEN 5 THEN NULL WHEN 0 THEN 'controller' WHEN 1 THEN 'repository' ELSE 'service' END AS type,
+            CASE WHEN p_partkey % 36 = 3 THEN 2500 ELSE p_partkey % 4 * 1000 END AS start_offset, CASE WHEN p_partkey % 36 = 3 THEN 2800 ELSE p_partkey % 4 * 1000 + 900 END AS end_offset
+        FROM {part}
+        UNION ALL
+        SELECT 1000000000 + o_orderkey, o_custkey - o_custkey % 4, CASE WHEN o_orderkey % 11 = 7 THEN 'fn' || CAST(o_orderkey % 5 AS STRING) ELSE 'm' || CAST(o_orderkey * 7 % 24 AS STRING) END,
+            CASE WHEN o_orderkey % 11 = 7 THEN 'fn' || CAST(o_orderkey % 5 AS STRING) ELSE
+                CASE WHEN o_custkey % 36 = 3 THEN 'C' || CAST((o_custkey - 1) % 1500 AS STRING) || '.' ELSE '' END || 'C' || CAST(o_custkey % 1500 AS STRING) || '.m' || CAST(o_orderkey * 7 % 24 AS STRING) END,
+            CASE WHEN o_orderkey % 11 = 7 THEN 'function' ELSE 'method' END, CAST(NULL AS STRING),
+            CASE WHEN o_orderkey % 11 = 7 THEN 3950 WHEN o_custkey % 36 = 3 THEN 2510 + o_orderkey % 28 * 10 ELSE o_custkey % 4 * 1000 + 20 + o_orderkey % 80 * 10 END,
+            CASE WHEN o_orderkey % 11 = 7 THEN 3953 WHEN o_custkey % 36 = 3 THEN 2518 + o_orderkey % 28 * 10 ELSE o_custkey % 4 * 1000 + 28 + o_orderkey % 80 * 10 END
+        FROM {orders}
+    """,
+    "code_imports": """
+        SELECT o_orderkey AS id, o_custkey - o_custkey % 4 AS file_id,
+            CASE o_orderkey % 4 WHEN 2 THEN 'ns' || CAST(o_orderkey % 3 AS STRING) WHEN 3 THEN 'm' || CAST(o_orderkey % 24 AS STRING) ELSE 'C' || CAST((o_orderkey * 7 % 1900 + 1) % 1500 AS STRING) END AS local_name,
+            CASE o_orderkey % 4 WHEN 2 THEN NULL WHEN 3 THEN 1000000000 + o_orderkey ELSE (o_orderkey * 7 % 1900 + 1) * 100 END AS target_symbol,
+            CASE WHEN o_orderkey % 4 = 2 THEN o_orderkey * 7 % 1900 - o_orderkey * 7 % 1900 % 4 END AS target_file
+        FROM {orders}
+    """,
+    "code_extends": """
+        SELECT p_partkey * 100 AS child, CASE p_partkey % 3 WHEN 0 THEN (p_partkey * 13 % 1900 + 1) * 100 WHEN 1 THEN (p_partkey % 5 + 1) * 100 END AS parent FROM {part}
+    """,
+    "code_injections": """
+        SELECT p_partkey * 10 AS ord, p_partkey * 100 AS symbol_id, 'dep0' AS parameter, 'C' || CAST(p_partkey * 17 % 1500 AS STRING) AS type_name, CAST(NULL AS STRING) AS target_name FROM {part}
+        UNION ALL SELECT p_partkey * 10 + 1, p_partkey * 100, CASE WHEN p_partkey % 10 = 0 THEN 'dep0' ELSE 'dep1' END, CASE WHEN p_partkey % 4 = 1 THEN ' ' END, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN 'C' || CAST((p_partkey - p_partkey % 36 + 2) % 1500 AS STRING) || '.C' || CAST((p_partkey - p_partkey % 36 + 3) % 1500 AS STRING)
+            ELSE 'C' || CAST(p_partkey * 19 % 1500 AS STRING) END FROM {part}
+    """,
+    "code_calls": """
+        SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey - o_custkey % 4 AS file_id, 1000000000 + o_orderkey AS symbol_id, 'call' || CAST(l_orderkey * 10 + l_linenumber AS STRING) AS identity_key,
+            CASE supp % 8 WHEN 0 THEN 'this' WHEN 1 THEN 'this' WHEN 2 THEN 'this.dep' || CAST(l_orderkey % 2 AS STRING) WHEN 3 THEN 'super' WHEN 4 THEN 'C' || CAST(named % 1500 AS STRING) WHEN 5 THEN 'ns' || CAST(l_orderkey % 3 AS STRING)
+                WHEN 6 THEN NULL ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'a.b' ELSE ' ' END END AS receiver,
+            CASE WHEN supp % 8 = 6 AND l_linenumber % 2 = 0 THEN 'fn' || CAST(supp % 5 AS STRING) WHEN named % 50 = 0 THEN ' ' ELSE 'm' || CAST(named % 24 AS STRING) END AS member,
+            CASE WHEN named % 7 = 0 THEN NULL ELSE 'f' || CAST(named % 60 AS STRING) END AS callee,
+            CASE WHEN quantity < 3 THEN NULL ELSE named % 500 END AS start_offset, CASE WHEN quantity < 3 THEN NULL ELSE named % 500 + 4 END AS end_offset
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS named, min(l_suppkey) AS supp, min(l_quantity) AS quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS sites JOIN {orders} ON o_orderkey = l_orderkey
+    """,
+    "code_decorators": """
+        SELECT o_orderkey AS fact_id, CASE o_orderkey % 5 WHEN 0 THEN 'Get' WHEN 1 THEN 'web.Post' WHEN 2 THEN 'Injectable' WHEN 3 THEN 'All' ELSE 'Getter' END AS name, CASE WHEN o_orderkey % 11 = 7 THEN 'class' ELSE 'method' END AS target_kind,
+            CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE 'm' || CAST(o_orderkey * 7 % 24 AS STRING) END AS target_name, CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE '/r' || CAST(o_orderkey % 2000 AS STRING) END AS path,
+            1000000000 + o_orderkey AS symbol_id, o_custkey - o_custkey % 4 AS file_id,
+            CASE WHEN o_custkey % 36 = 3 THEN 2510 + o_orderkey % 28 * 10 ELSE o_custkey % 4 * 1000 + 20 + o_orderkey % 80 * 10 END AS start_offset, CASE WHEN o_custkey % 36 = 3 THEN 2518 + o_orderkey % 28 * 10 ELSE o_custkey % 4 * 1000 + 28 + o_orderkey % 80 * 10 END AS end_offset
+        FROM {orders}
+    """,
 }

@@ -155,22 +155,6 @@ def arch_modules(t: Tables) -> DataFrame:
     return a.module_outputs(references).select("id", "output", "kind", "target", "confidence_pct")
 
 
-@query(
-    """WITH calls AS (SELECT o_orderkey AS id, o_custkey % 50 + 1 AS file_id, o_orderkey % 3 AS receiver, p_name AS member FROM orders JOIN part ON p_partkey = o_custkey), c AS (
-        SELECT id, p_partkey AS s FROM calls JOIN part ON receiver = 0 AND p_size = file_id AND p_name = member
-        UNION SELECT id, p_partkey FROM calls JOIN part ON receiver = 1 AND p_name = member AND p_partkey % 29 = 0)
-    SELECT calls.id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN one END AS target
-    FROM calls LEFT JOIN (SELECT id, count(*) AS n, max(s) AS one FROM c GROUP BY id) f USING (id)"""
-)
-def arch_calls(t: Tables) -> DataFrame:
-    parts = t.part.select(F.col("p_partkey").alias("candidate"), F.col("p_size").cast("long").alias("file_id"), F.col("p_name").alias("member"))
-    calls = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50 + 1).alias("file_id"), (F.col("o_orderkey") % 3).alias("receiver"), F.col("o_custkey").alias("candidate")).join(parts.drop("file_id"), "candidate").drop("candidate")
-    own = calls.filter("receiver = 0").join(parts, ["file_id", "member"])
-    named = calls.filter("receiver = 1").drop("file_id").join(parts.filter("candidate % 29 = 0"), "member")
-    # the kinds of receiver exclude each other, so their candidates are one tier
-    return a.by_name(calls, [own.select("id", "candidate").unionByName(named.select("id", "candidate"))]).select("id", "status", "target")
-
-
 #: Raw facts of methods and classes beside the analysed ones: decorators, some of them routes, call sites and injections.
 RAW = """SELECT l_orderkey * 100 + l_linenumber AS fact_id, CASE l_linenumber WHEN 1 THEN 'call_site' WHEN 2 THEN 'constructor_injection' ELSE 'decorator' END AS kind,
     CASE l_suppkey % 4 WHEN 0 THEN 'Get' WHEN 1 THEN 'web.Post' WHEN 2 THEN 'Injectable' ELSE 'Getter' END AS name, CASE WHEN l_linenumber % 2 = 1 THEN 'method' ELSE 'class' END AS target_kind FROM {lineitem}"""
@@ -190,23 +174,6 @@ def arch_emit(t: Tables) -> DataFrame:
     return a.emitted(raw.unionByName(analysed), components, [outputs])
 
 
-STEPS = "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS step, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, text) AS next_turn FROM conversations"
-
-
-def _steps(t: Tables) -> DataFrame:
-    return a.workflow_steps(t.conversations.withColumn("id", F.col("turn")), "conv_id", ["turn", "text"])
-
-
-@query(f"SELECT conv_id, step, turn, role FROM ({STEPS})")
-def wf_build(t: Tables) -> DataFrame:
-    return _steps(t).select("conv_id", "step", "turn", "role")
-
-
-@query(f"SELECT conv_id, turn AS from_turn, next_turn AS to_turn FROM ({STEPS}) WHERE next_turn IS NOT NULL")
-def kg_workflow(t: Tables) -> DataFrame:
-    return _steps(t).filter("next_id is not null").select("conv_id", F.col("turn").alias("from_turn"), F.col("next_id").alias("to_turn"))
-
-
 @query("SELECT conv_id, list_sort(list(turn)) = range(0, count(*)) AS complete FROM conversations GROUP BY conv_id")
 def kg_step_check(t: Tables) -> DataFrame:
     return a.complete_steps(t.conversations, "conv_id", "turn")

@@ -67,6 +67,8 @@ def duckdb_sql(sql: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({plain(FIXTURES[n])})" for n in order)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     return f"WITH {ctes},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes}\n{body}"
 
 

@@ -55,6 +55,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a table in a scratch folder of its own, in folders by the columns named: made once, however often it is read."""
+    path = scratch(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
