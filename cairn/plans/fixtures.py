@@ -232,4 +232,15 @@ FIXTURES: dict[str, str] = {
             CASE WHEN o_custkey % 36 = 3 THEN 2510 + o_orderkey % 28 * 10 ELSE o_custkey % 4 * 1000 + 20 + o_orderkey % 80 * 10 END AS start_offset, CASE WHEN o_custkey % 36 = 3 THEN 2518 + o_orderkey % 28 * 10 ELSE o_custkey % 4 * 1000 + 28 + o_orderkey % 80 * 10 END AS end_offset
         FROM {orders}
     """,
+    "machines": """
+        SELECT p_partkey AS id, 'src/m' || CAST(p_partkey AS STRING) || '.ts' AS path,
+            'enum Status' || CAST(p_partkey % 7 AS STRING) || ' ' || chr(123) || ' Open, Paid = 2, ' || chr(39) || 'Void' || chr(39) || ' ' || chr(125) || chr(10)
+            || 'class M' || CAST(p_partkey AS STRING) || ' ' || chr(123) || ' step(o: Order) ' || chr(123) || ' '
+            || CASE p_partkey % 3 WHEN 0 THEN 'if (o.status === Status' || CAST(p_partkey % 7 AS STRING) || '.Open) ' || chr(123) || ' o.status = Status' || CAST(p_partkey % 7 AS STRING) || '.Paid; ' || chr(125) || ' else o.status = open();'
+                WHEN 1 THEN 'if (' || chr(39) || 'open' || chr(39) || ' == this.state) this.state = ' || chr(39) || 'done-' || CAST(p_partkey % 5 AS STRING) || chr(39) || ';'
+                ELSE 'if (o.status !== Status.Open && ok) ' || chr(123) || ' const status = Status.Open; o.status = Status' || CAST(p_partkey % 7 AS STRING) || '.Void; ' || chr(125) END
+            || ' const due = Math.round(o.total * rate); ' || chr(125) || chr(10) || ' reset() ' || chr(123) || ' this.status = Status' || CAST(p_partkey % 7 AS STRING) || '.Open; '
+            || CASE WHEN p_partkey % 4 = 0 THEN 'this.status = Status' || CAST(p_partkey % 7 AS STRING) || '.Open; ' ELSE '' END || 'return price.toFixed(2); ' || chr(125) || ' ' || chr(125) || chr(10) AS text
+        FROM {part}
+    """,
 }

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import normalized
+from cairn.operators import knowledge as kn
 from cairn.operators.rules import Limits, violations
+from cairn.operators.states import state_facts
 from cairn.plans.registry import Tables, query
 from cairn.plans.search import norm
 from cairn.sources import git
-from cairn.sources.store import Store, digest, scratch
+from cairn.sources.store import Store, digest, scratch, stored
 from cairn.sources.typescript import parsed
 
 
@@ -67,14 +69,67 @@ def ana_technical(t: Tables) -> DataFrame:
     return own.select("id", F.explode(every).alias("x")).select("id", "x.*")
 
 
-@query("SELECT p_partkey AS id, 'user,role,x' AS condition, 'Denied,x' AS outcome, 'throw' AS outcome_kind FROM part")
+ROUNDED = "SELECT p_partkey AS id, 'rounding_call' AS outcome_kind, NULL AS condition, 'o,rate,total' AS outcome, 'Math.round' AS operation, 'due' AS target FROM part UNION ALL SELECT p_partkey, 'rounding_call', NULL, '', 'price.toFixed', 'return' FROM part"
+
+
+@query(
+    f"""SELECT p_partkey AS id, 'throw' AS outcome_kind, 'role,user,x' AS condition, 'Denied,x' AS outcome, NULL AS operation, NULL AS target FROM part
+    UNION ALL SELECT p_partkey + 1000000000, 'assignment', CASE p_partkey % 3 WHEN 0 THEN 'Open,Status' || CAST(p_partkey % 7 AS STRING) || ',o,status' ELSE 'state' END, CASE p_partkey % 3 WHEN 0 THEN 'Paid,Status' || CAST(p_partkey % 7 AS STRING) || ',o,status' ELSE 'state' END,
+        '=', CASE p_partkey % 3 WHEN 0 THEN 'o.status' ELSE 'this.state' END FROM part WHERE p_partkey % 3 < 2
+    UNION ALL SELECT p_partkey + 1000000000, 'assignment', 'Open,Status,o,ok,status', 'Status' || CAST(p_partkey % 7 AS STRING) || ',Void,o,status', '=', 'o.status' FROM part WHERE p_partkey % 3 = 2
+    UNION ALL SELECT id + 1000000000, outcome_kind, condition, outcome, operation, target FROM ({ROUNDED})"""
+)
 def ana_rule_extract(t: Tables) -> DataFrame:
-    return _parts(t, "guards").select("id", F.array_join("condition", ",").alias("condition"), F.array_join("outcome", ",").alias("outcome"), "outcome_kind")
+    """Guards with what follows where they hold, and calls that round."""
+    read = parsed(t.sources.select("id", "text").unionByName(t.machines.select((F.col("id") + 1_000_000_000).alias("id"), "text")))
+    guards = F.transform("guards", lambda g: F.struct(g["outcome_kind"].alias("outcome_kind"), F.array_join(g["condition"], ",").alias("condition"), F.array_join(g["outcome"], ",").alias("outcome"), g["outcome_operation"].alias("operation"), g["outcome_target"].alias("target")))
+    rounded = F.transform("roundings", lambda r: F.struct(F.lit("rounding_call").alias("outcome_kind"), F.lit(None).cast("string").alias("condition"), F.array_join(r["identifiers"], ",").alias("outcome"), r["operation"].alias("operation"), r["target"].alias("target")))
+    return read.select("id", F.explode(F.concat(guards, rounded)).alias("x")).select("id", "x.*")
+
+
+SK = lambda state_set, name: f"""'state:' || sha256('["' || lower({state_set}) || '","' || lower({name}) || '"]')"""
+#: States and transitions of the machines: which of its three kinds a file is follows from its key.
+MACHINES = f"""m AS (SELECT p_partkey AS k, 'Status' || CAST(p_partkey % 7 AS STRING) AS e, 'M' || CAST(p_partkey AS STRING) AS c, 'src/m' || CAST(p_partkey AS STRING) || '.ts' AS path, 'done-' || CAST(p_partkey % 5 AS STRING) AS d FROM part),
+    st AS (
+        SELECT k, e AS value, 'Open' AS name, 100 AS sure, 2 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS n FROM m
+        UNION ALL SELECT k, e, 'Paid', 100, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END FROM m UNION ALL SELECT k, e, 'Void', 100, CASE WHEN k % 3 = 2 THEN 2 ELSE 1 END FROM m
+        UNION ALL SELECT k, 'this.state', d, 90, 1 FROM m WHERE k % 3 = 1 UNION ALL SELECT k, 'this.state', 'open', 90, 1 FROM m WHERE k % 3 = 1
+    ), mv AS (
+        SELECT k, path, c || '.step' AS container, 'status' AS field, 'o' AS subject, e AS fs, 'Open' AS fn, e AS ts, 'Paid' AS tn, 100 AS sure, TRUE AS det, 0 AS nth FROM m WHERE k % 3 = 0
+        UNION ALL SELECT k, path, c || '.step', 'state', 'this', 'this.state', 'open', 'this.state', d, 90, FALSE, 0 FROM m WHERE k % 3 = 1
+        UNION ALL SELECT k, path, c || '.step', 'status', 'o', NULL, NULL, e, 'Void', 100, FALSE, 0 FROM m WHERE k % 3 = 2
+        UNION ALL SELECT k, path, c || '.reset', 'status', 'this', NULL, NULL, e, 'Open', 100, FALSE, 0 FROM m
+        UNION ALL SELECT k, path, c || '.reset', 'status', 'this', NULL, NULL, e, 'Open', 100, FALSE, 1 FROM m WHERE k % 4 = 0
+    ), keyed AS (SELECT *, CASE WHEN fn IS NOT NULL THEN {SK("fs", "fn")} END AS fk, {SK("ts", "tn")} AS tk FROM mv),
+    moves AS (
+        SELECT *, 'state_transition:' || sha256('["' || path || '","' || replace('<o>"containingSymbol":"' || container || '","field":"' || field || '","from":' || coalesce('"' || fk || '"', 'null') || ',"subject":"' || subject || '","to":"' || tk || '"<c>', '"', chr(92) || '"') || '","' || CAST(nth AS STRING) || '"]') AS identity_key
+        FROM keyed
+    )"""
 
 
-@query(f"SELECT p_partkey AS id, 'this' AS entity, 'S.Done' AS state FROM part UNION ALL SELECT p_partkey, {S}, 'On' FROM part UNION ALL SELECT p_partkey, {S}, 'Off' FROM part")
+@query(
+    f"""WITH {MACHINES} SELECT k AS id, 'state' AS kind, {SK("value", "name")} AS identity_key, name, value, NULL AS source_key, NULL AS target_key, NULL AS container, CAST(sure AS BIGINT) AS confidence_pct, sure = 100 AS deterministic, CAST(n AS BIGINT) AS evidence FROM st
+    UNION ALL SELECT k, 'state_transition', identity_key, fn, tn, fk, tk, container, sure, det, CASE WHEN fk IS NULL THEN 1 ELSE 2 END FROM moves"""
+)
 def ana_state(t: Tables) -> DataFrame:
-    return _parts(t, "states").select("id", "entity", "state")
+    facts, evidence = state_facts(machines_read(t))
+    first = evidence.groupBy("fact_id").agg(F.min("file_id").alias("id"), F.count(F.lit(1)).alias("evidence"))
+    return facts.join(first, "fact_id").select("id", "kind", "identity_key", "name", "value", "source_key", "target_key", "container", "confidence_pct", "deterministic", "evidence")
+
+
+def machines_read(t: Tables) -> DataFrame:
+    return stored(parsed(t.machines).select("id", "states", "transitions").join(t.machines.select("id", "path"), "id"), "parsed")
+
+
+@query(
+    f"""WITH {MACHINES} SELECT 'node' AS part, 'state' AS kind, {SK("value", "name")} AS identity_key, any_value(value || '.' || name) AS name, NULL AS source_key, NULL AS target_key, CAST(max(sure) AS BIGINT) AS confidence_pct, bool_or(sure = 100) AS deterministic, CAST(sum(n) AS BIGINT) AS evidence FROM st GROUP BY value, name
+    UNION ALL SELECT 'node', 'state_transition', identity_key, coalesce(fn || ' ', '') || '→ ' || tn, NULL, NULL, sure, det, CASE WHEN fk IS NULL THEN 1 ELSE 2 END FROM moves
+    UNION ALL SELECT DISTINCT 'edge', 'transitions_to', 'knowledge_edge:' || sha256('["' || fk || '","' || tk || '","transitions_to"]'), NULL, fk, tk, sure, det, 2 FROM moves WHERE fk IS NOT NULL"""
+)
+def kg_state_machines(t: Tables) -> DataFrame:
+    """Sources to a graph of states: the reader's facts through the projector of states."""
+    facts, evidence = state_facts(machines_read(t))
+    return kn.flat(kn.states(stored(facts, "facts"), stored(evidence, "evidence")))
 
 
 @query("SELECT p_partkey AS id, 'e' || CAST(p_partkey % 11 AS STRING) AS event, 'emit' AS operation FROM part")

@@ -22,6 +22,12 @@ TOKEN = re.compile(
 )
 MODIFIERS = {"public", "private", "protected", "static", "readonly", "abstract", "async", "override", "declare", "export", "default", "accessor"}
 KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "super", "import", "async", "class", "constructor", "throw", "else", "do", "in", "of", "instanceof", "void", "delete", "yield", "case"}
+#: Words that are no identifiers, beside the keywords.
+LITERALS = {"this", "true", "false", "null", "let", "const", "var", "if", "as", "is"}
+# Fields that hold a state, literals that name one, calls that round, and identifiers of a pattern at most.
+STATE_FIELD, STATE_LITERAL = re.compile(r"(?:status|state)\Z", re.I), re.compile(r"[A-Za-z0-9_-]{1,100}\Z")
+ROUNDING = {"Math.ceil", "Math.floor", "Math.round", "Math.trunc"}
+MOST_IDENTIFIERS = 50
 PUBLISHING = {"emit": "emit", "emitAsync": "emit", "publish": "publish", "publishAll": "publish"}
 HANDLING = {"OnEvent", "EventsHandler"}
 
@@ -46,7 +52,9 @@ class Source:
     decorators: list[dict] = field(default_factory=list)
     injections: list[dict] = field(default_factory=list)
     guards: list[dict] = field(default_factory=list)
+    roundings: list[dict] = field(default_factory=list)
     states: list[dict] = field(default_factory=list)
+    transitions: list[dict] = field(default_factory=list)
     events: list[dict] = field(default_factory=list)
     diagnostics: list[str] = field(default_factory=list)
 
@@ -117,7 +125,7 @@ class Reader:
     def __init__(self, text: str):
         self.text = text
         every, faults = tokens(text)
-        self.docs = {}
+        self.docs, self.members = {}, set()
         self.t: list[Token] = []
         held = None
         for x in every:
@@ -154,6 +162,7 @@ class Reader:
 
     def read(self) -> Source:
         self._block(0, len(self.t), [], None)
+        self._flow()
         return self.source
 
     # Declarations.
@@ -257,6 +266,7 @@ class Reader:
                 self._block(open_ + 1, stop - 1, containers, None)
             return stop
         stop = self._end_of(at, end)
+        self.members.add(at)
         self._expression_range(at, stop, containers)
         return stop
 
@@ -379,8 +389,10 @@ class Reader:
         while k < stop - 1:
             x = self.t[k]
             if expect and x.kind in ("word", "string"):
-                if re.search(r"(Status|State)$", symbol["name"]):
-                    self.source.states.append({"entity": symbol["name"], "state": x.text.strip("'\""), "how": "member", "offset": self._units(x.at)})
+                last = k  # the member with its value
+                while last + 1 < stop - 1 and self.t[last + 1].text != ",":
+                    last = min(self.match.get(last + 1, last + 1), stop - 2)
+                self.source.states.append({"state_set": symbol["name"], "state": x.text.strip("'\""), "how": "enum_member", "confidence_pct": 100, "offset": self._units(x.at), "end_offset": self._units(self.t[last].end)})
                 expect = False
             elif x.text == ",":
                 expect = True
@@ -506,26 +518,292 @@ class Reader:
             if parts[-1] in PUBLISHING:
                 first = self.text_at(after + 2) if self.text_at(after + 1) == "new" else self.text_at(after + 1)
                 self.source.events.append({"event": first.strip("'\"`"), "operation": PUBLISHING[parts[-1]], "offset": self._units(self.t[start].at)})
-        elif parts[-1] in ("status", "state") and self.text_at(after) == "=" and self.text_at(after + 1) != "=":
-            names = []
-            k = after + 1
-            while k < end and (self.t[k].kind in ("word", "string") or self.t[k].text == "."):
-                names.append(self.t[k].text.strip("'\""))
-                k += 1
-            if names:
-                self.source.states.append({"entity": ".".join(parts[:-1]), "state": "".join(names), "how": "assigned", "offset": self._units(self.t[start].at)})
         return after
 
     def _guard(self, at: int, end: int) -> None:
+        """What an if does where its condition holds: it throws, returns, calls or assigns; of several the least nested, then the first."""
         close = self.match[at + 1]
-        k = close + 1
-        if self.text_at(k) == "{":
-            k += 1
-        outcome = self.text_at(k)
-        if outcome in ("throw", "return"):
-            stop = self._end_of(k, end)
-            words = lambda a, b: [self.t[x].text for x in range(a, b) if self.t[x].kind == "word" and self.t[x].text not in KEYWORDS]
-            self.source.guards.append({"condition": words(at + 2, close), "outcome": words(k + 1, stop), "outcome_kind": outcome, "offset": self._units(self.t[at].at)})
+        outcome = self._outcome(close + 1)
+        if outcome:
+            self.source.guards.append({"condition": self._identifiers(at + 2, close), "operation": self._operator(at + 2, close), "target": self._condition_target(at + 2, close), **outcome, "offset": self._units(self.t[at].at), "end_offset": self._units(self.t[self._statement_end(at) - 1].end)})
+
+    def _identifiers(self, at: int, end: int) -> list[str]:
+        words = {self.t[k].text for k in range(at, end) if self.t[k].kind == "word" and self.t[k].text not in KEYWORDS and self.t[k].text not in LITERALS}
+        return sorted(words)[:MOST_IDENTIFIERS]
+
+    def _outcome(self, at: int) -> dict | None:
+        found = []
+        end = self._statement_end(at)
+        inner = (at + 1, end - 1) if self.text_at(at) == "{" else (at, end)
+        k = inner[0]
+        while k < inner[1]:
+            stop = min(max(self._statement_end(k), k + 1), inner[1])
+            own = self._outcome_of(k, stop)
+            if own:
+                found.append(own)
+                if own[0] == 0:
+                    break
+            k = stop
+        if not found:
+            return None
+        _, kind, identifiers, operation, target = min(found, key=lambda x: x[0])
+        return {"outcome": identifiers, "outcome_kind": kind, "outcome_operation": operation, "outcome_target": target}
+
+    def _outcome_of(self, at: int, stop: int) -> tuple | None:
+        """How deep the outcome of a statement lies, its kind, identifiers, operation and target."""
+        word = self.text_at(at)
+        if word in ("throw", "return"):
+            return 0, word, self._identifiers(at + 1, stop), None, None
+        deep = 1 + (word == "await")
+        first = at + (word == "await")
+        if self.t[first].kind == "word" and (word := self.text_at(first)) not in ("if", "for", "while", "switch", "try", "do", "const", "let", "var", "function", "class", "else"):
+            parts, after = self._names_from(first)
+            if self.text_at(after) == "(":
+                last = self.match[after]
+                return deep, "call", self._identifiers(first, last), ".".join(parts), None
+            compound = self.text_at(after) + self.text_at(after + 1) if self.text_at(after) in ("+", "-", "*", "/", "%", "&", "|", "^") else self.text_at(after)
+            if compound[-1:] == "=" and self.text_at(after + len(compound)) != "=":
+                return deep, "assignment", self._identifiers(first, stop), compound, ".".join(parts)
+        # inside of other statements: the first that throws, returns or calls
+        for k in range(at + 1, stop):
+            if self.text_at(k) in ("throw", "return"):
+                return 3, self.text_at(k), self._identifiers(k + 1, min(self._end_of(k, stop), stop)), None, None
+            if self.t[k].kind == "word" and self.text_at(k) not in KEYWORDS and self.text_at(k + 1) == "(" and k + 1 < stop:
+                begin = k
+                while self.text_at(begin - 1) in (".", "?.") and begin - 2 > at:
+                    begin -= 2
+                return 3, "call", self._identifiers(begin, self.match[k + 1]), ".".join(self._names_from(begin)[0]), None
+        return None
+
+    def _names_from(self, at: int) -> tuple[list[str], int]:
+        """The names of a chain, and the place after it."""
+        parts = [self.text_at(at)]
+        while self.text_at(at + 1) in (".", "?.") and at + 2 < len(self.t) and self.t[at + 2].kind == "word":
+            parts.append(self.text_at(at + 2))
+            at += 2
+        return parts, at + 1
+
+    def _operator(self, at: int, end: int) -> str | None:
+        """The operator of a condition: ! in front of one operand, or the loosest one between operands."""
+        depth, found = at, None
+        order = ["||", "??", "&&", "|", "^", "&", "===", "!==", "==", "!=", "<=", ">=", "<", ">", "+", "-", "*", "/", "%"]
+        while depth < end:
+            text, k = self.text_at(depth), depth
+            if text in "|&=!<>?^+-*/%" and self.t[depth].kind == "op" and depth > at or text == "!" and self.text_at(depth + 1) == "=":
+                while depth + 1 < end and self.t[depth + 1].text in "=|&?" and self.t[depth + 1].at == self.t[depth].end:
+                    depth += 1
+                    text += self.text_at(depth)
+                if text in order and (found is None or order.index(text) < order.index(found)):
+                    found = text
+            depth = self.match.get(k, depth) + 1
+        return found or ("!" if self.text_at(at) == "!" else None)
+
+    def _condition_target(self, at: int, end: int) -> str | None:
+        """The name that a condition begins with, inside of parentheses and negations."""
+        while at < end and (self.text_at(at) == "!" or self.text_at(at) == "(" and self.match[at] == end - 1):
+            end -= self.text_at(at) == "("
+            at += 1
+        return ".".join(self._names_from(at)[0]) if at < end and self.t[at].kind == "word" and self.text_at(at) not in KEYWORDS - {"super"} else None
+
+    # States: what an assignment makes of a state, and the guard that tells the state before it.
+
+    def _statement_end(self, at: int) -> int:
+        """After the statement that begins here, with its else, catch and finally parts."""
+        n = len(self.t)
+        while at < n:
+            word = self.text_at(at)
+            if word == "{":
+                return self.match[at] + 1
+            if word in ("if", "for", "while", "switch", "with", "catch") and self.text_at(at + 1 + (self.text_at(at + 1) == "await")) == "(":
+                body = self.match[at + 1 + (self.text_at(at + 1) == "await")] + 1
+                if word != "if":
+                    at = body
+                    continue
+                after = self._statement_end(body)
+                if self.text_at(after) != "else":
+                    return after
+                at = after + 1
+                continue
+            if word in ("try", "finally", "do", "catch") and self.text_at(at + 1) == "{":
+                after = self.match[at + 1] + 1
+                if word == "do":
+                    return self._end_of(after, n)
+                if self.text_at(after) not in ("catch", "finally"):
+                    return after
+                at = after
+                continue
+            return self._end_of(at, n)
+        return n
+
+    def _flow(self) -> None:
+        """Transitions: assignments of a status or state, with the state that the nearest guard around them names, and roundings.
+
+        One walk over the tokens keeps the branches and function bodies that are open. The condition of an
+        if holds for all that its branch contains, up to the function around it.
+        """
+        opened: dict[int, list[tuple[int, str, tuple[int, int]]]] = {}
+        for k, x in enumerate(self.t):
+            if x.kind == "word" and x.text == "if" and self.text_at(k + 1) == "(" and self.text_at(k - 1) not in (".", "?."):
+                close = self.match[k + 1]
+                opened.setdefault(close + 1, []).append((self._statement_end(close + 1), "if", (k + 2, close)))
+            elif x.text == "=>":
+                opened.setdefault(k + 1, []).append((self.match[k + 1] + 1 if self.text_at(k + 1) == "{" else self._argument_end(k + 1), "function", (k, k)))
+            elif x.kind == "word" and x.text == "function" or x.text == "{" and self._is_method(k):
+                body = k if x.text == "{" else self._body(k, len(self.t))
+                if body is not None:
+                    opened.setdefault(body, []).append((self.match.get(body, body) + 1, "function", (k, k)))
+        around: list[tuple[int, str, tuple[int, int]]] = []
+        for k, x in enumerate(self.t):
+            while around and around[-1][0] <= k:
+                around.pop()
+            around += sorted(opened.get(k, []), key=lambda y: -y[0])
+            if x.text == "=" and self.text_at(k + 1) not in ("=",) and self.t[k - 1 : k] and self.t[k - 1].kind == "word" and k:
+                self._assignment(k, around)
+            elif x.text == "(" and k and self.t[k - 1].kind == "word":
+                self._rounding(k)
+
+    def _is_method(self, k: int) -> bool:
+        """Whether a brace opens the body of a method, and not that of a statement."""
+        if self.text_at(k - 1) != ")":
+            return False
+        open_ = self._opening().get(k - 1, 0)
+        return open_ > 0 and self.t[open_ - 1].kind == "word" and self.text_at(open_ - 1) not in ("if", "for", "while", "switch", "catch", "with", "constructor", "await")
+
+    def _opening(self) -> dict[int, int]:
+        if not hasattr(self, "_openings"):
+            self._openings = {b: a for a, b in self.match.items()}
+        return self._openings
+
+    def _argument_end(self, at: int) -> int:
+        while at < len(self.t) and self.text_at(at) not in (",", ";", ")", "]", "}"):
+            at = self.match.get(at, at) + 1
+        return at
+
+    def _assigned_name(self, k: int) -> tuple[list[str], int] | None:
+        """The names left of an =, from the last receiver that has none, and where they begin; None where the = declares something."""
+        at, parts = k - 1, [self.text_at(k - 1)]
+        while self.text_at(at - 1) in (".", "?.") and at >= 2 and self.t[at - 2].kind == "word":
+            at -= 2
+            parts.insert(0, self.text_at(at))
+        if self.text_at(at - 1) in (".", "?."):  # behind a call or an index
+            return parts, at
+        if len(parts) == 1 and (self.text_at(at - 1) in ("const", "let", "var", "type", ":", "|", "&", "<", "readonly", "static", "public", "private", "protected", "declare", "override", "@") or self._declares(at)):
+            return None
+        return (parts[1:] if parts[0] == "super" else parts), at
+
+    def _declares(self, at: int) -> bool:
+        """Whether a bare name in front of = is a member of a class, a parameter, or one of several variables."""
+        if at in self.members:
+            return True
+        k, depth = at - 1, 0
+        while k >= 0 and self.text_at(k) not in (";", "{", "}"):
+            if k in self._opening():
+                k = self._opening()[k]
+            elif self.text_at(k) == "(":
+                after = self.text_at(self.match[k] + 1)
+                return after in ("=>", "{", ":") and self.text_at(k - 1) not in ("if", "for", "while", "switch", "catch")
+            elif self.text_at(k) in ("const", "let", "var"):
+                return self.text_at(at - 1) == ","
+            k -= 1
+        return False
+
+    def _operand(self, at: int, end: int) -> tuple[list[str] | str | None, int]:
+        """The names of a chain, or the text of a literal; and the place after it."""
+        if at >= end:
+            return None, at
+        if self.t[at].kind == "string":
+            text = self.t[at].text
+            return (None if text[0] == "/" or text[0] == "`" and "${" in text else text[1:-1]), at + 1
+        if self.t[at].kind == "word" and (self.text_at(at) not in KEYWORDS or self.text_at(at) == "super"):
+            parts, after = self._names_from(at)
+            return parts, after
+        return None, at
+
+    def _state(self, operand: list[str] | str | None, target: str, how: str) -> dict | None:
+        if isinstance(operand, list) and len(operand) > 1:
+            return {"state_set": ".".join(operand[:-1]), "state": operand[-1], "how": how, "confidence_pct": 100}
+        if isinstance(operand, str) and STATE_LITERAL.match(operand):
+            return {"state_set": target, "state": operand, "how": how, "confidence_pct": 90}
+        return None
+
+    def _guarded(self, condition: tuple[int, int], target: str) -> dict | None:
+        """The state that a condition names for target: target == state, either way round, and nothing else."""
+        left, at = self._operand(*condition)
+        n = 0
+        while self.text_at(at + n) == "=" and (n == 0 or self.t[at + n].at == self.t[at + n - 1].end):
+            n += 1
+        if n not in (2, 3) or at + n >= condition[1]:
+            return None
+        right, after = self._operand(at + n, condition[1])
+        if after != condition[1]:
+            return None
+        name = lambda x: ".".join(x) if isinstance(x, list) else None
+        if name(left) == target:
+            return self._state(right, target, "condition")
+        return self._state(left, target, "condition") if name(right) == target else None
+
+    def _assignment(self, k: int, around: list[tuple[int, str, tuple[int, int]]]) -> None:
+        named = self._assigned_name(k)
+        if named is None or not named[0] or not STATE_FIELD.match(named[0][-1]):
+            return
+        target = ".".join(named[0])
+        value, after = self._operand(k + 1, len(self.t))
+        if after < len(self.t) and self.text_at(after) not in (";", ")", "}", ",", "]", ":") and self._end_of(k + 1, after + 1) > after:
+            return
+        to = self._state(value, target, "assignment")
+        if to is None:
+            return
+        place = {"offset": self._units(self.t[self._begin_of(named[1])].at), "end_offset": self._units(self.t[after - 1].end)}
+        came, condition = None, None
+        for _, kind, span in reversed(around):
+            if kind == "function":
+                break
+            came = self._guarded(span, target)
+            if came:
+                condition = {"offset": self._units(self.t[span[0]].at), "end_offset": self._units(self.t[span[1] - 1].end)}
+                break
+        self.source.states.append(to | place)
+        if came:
+            self.source.states.append(came | condition)
+        own = [s for s in self.source.symbols if s["start_offset"] <= place["offset"] and s["end_offset"] >= place["end_offset"]]
+        inner = min(own, key=lambda s: s["end_offset"] - s["start_offset"], default=None)
+        sure = min([to["confidence_pct"], *([came["confidence_pct"]] if came else [])])
+        self.source.transitions.append({
+            "subject": ".".join(named[0][:-1]) or "local", "field": named[0][-1], "from_set": came and came["state_set"], "from_state": came and came["state"], "to_set": to["state_set"], "to_state": to["state"], "container": inner and inner["qualified_name"], "confidence_pct": sure,
+            "deterministic": bool(came) and sure == 100, **place, "condition_offset": condition and condition["offset"], "condition_end": condition and condition["end_offset"],
+        })
+
+    def _begin_of(self, at: int) -> int:
+        """Where the whole left side of an assignment begins, calls and indexes included."""
+        while self.text_at(at - 1) in (".", "?.") and at >= 2:
+            at -= 2
+            while at in self._opening():
+                at = self._opening()[at] - 1
+        return at
+
+    def _rounding(self, k: int) -> None:
+        begin = k - 1
+        while self.text_at(begin - 1) in (".", "?.") and begin >= 2 and self.t[begin - 2].kind == "word":
+            begin -= 2
+        name = ".".join(self._names_from(begin)[0])
+        if self.text_at(begin - 1) in (".", "?.") or not (name in ROUNDING or name.endswith(".toFixed")):
+            return
+        target, before = None, self.text_at(begin - 1)
+        if before == "return":
+            target = "return"
+        elif before == "=" and self.text_at(begin - 2) != "=":
+            at = begin - 2
+            at -= self.text_at(at) in ("+", "-", "*", "/", "%")
+            if self.t[at].kind == "word":
+                start = at
+                while self.text_at(start - 1) in (".", "?.") and start >= 2 and self.t[start - 2].kind == "word":
+                    start -= 2
+                typed = self.text_at(start - 1) == ":" and self.t[start - 2].kind == "word"
+                target = self.text_at(start - 2) if typed else ".".join(self._names_from(start)[0])
+        after = self.text_at(self.match[k] + 1)
+        if target is not None and after in ("+", "-", "*", "/", "%", "?", "|", "&", ".", "?.", "["):
+            target = None  # the call is only a part of the value
+        self.source.roundings.append({"operation": name, "identifiers": self._identifiers(k + 1, self.match[k]), "target": target, "offset": self._units(self.t[begin].at), "end_offset": self._units(self.t[self.match[k]].end)})
 
 
 def read_source(text: str | None) -> Source:
@@ -545,8 +823,10 @@ _FIELDS = {
     "calls": "callee:string,receiver:string,member:string,offset:int",
     "decorators": "symbol:string,name:string,arguments:array<string>",
     "injections": "symbol:string,parameter:string,type:string",
-    "guards": "condition:array<string>,outcome:array<string>,outcome_kind:string,offset:int",
-    "states": "entity:string,state:string,how:string,offset:int",
+    "guards": "condition:array<string>,operation:string,target:string,outcome:array<string>,outcome_kind:string,outcome_operation:string,outcome_target:string,offset:int,end_offset:int",
+    "roundings": "operation:string,identifiers:array<string>,target:string,offset:int,end_offset:int",
+    "states": "state_set:string,state:string,how:string,confidence_pct:int,offset:int,end_offset:int",
+    "transitions": "subject:string,field:string,from_set:string,from_state:string,to_set:string,to_state:string,container:string,confidence_pct:int,deterministic:boolean,offset:int,end_offset:int,condition_offset:int,condition_end:int",
     "events": "event:string,operation:string,offset:int",
 }
 SCHEMA = "id long, " + ", ".join(f"{k} array<struct<{v}>>" for k, v in _FIELDS.items()) + ", diagnostics array<string>"
