@@ -44,6 +44,15 @@ def identity(prefix: str, *parts: str | Column) -> Column:
 
 def with_fingerprint(df: DataFrame, column: str, name: str = "content_fingerprint") -> DataFrame:
     """df with the fingerprint of a column of JSON text, by Arrow batches; null for null or invalid JSON."""
+    return _with(df, column, name, fingerprint)
+
+
+def with_canonical(df: DataFrame, column: str, name: str = "canonical") -> DataFrame:
+    """df with the canonical form of a column of JSON text, by Arrow batches; null for null or invalid JSON."""
+    return _with(df, column, name, canonical)
+
+
+def _with(df: DataFrame, column: str, name: str, fn) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` string"
 
     def run(parts):
@@ -51,7 +60,7 @@ def with_fingerprint(df: DataFrame, column: str, name: str = "content_fingerprin
             out = []
             for text in part.column(part.schema.get_field_index(column)).to_pylist():
                 try:
-                    out.append(None if text is None else fingerprint(json.loads(text)))
+                    out.append(None if text is None else fn(json.loads(text)))
                 except ValueError:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, type=pa.string())], names=[*part.schema.names, name])

@@ -26,9 +26,28 @@ def is_generic(name: Column) -> Column:
     return F.lower(name).isin(*GENERIC)
 
 
-def concept_class(name: Column, exported: Column, path: Column) -> Column:
-    """Where a concept's name comes from: technical by its suffix, else configured or exported where it leaves its file, else internal."""
-    return F.when(name.rlike("(Service|Controller)$"), "technical").when(exported & F.startswith(path, F.lit("src/config/")), "configured").when(exported, "exported").otherwise("internal")
+# What makes a declaration a concept, with its confidence, in the order in which it is asked.
+BOUNDARY, SERVICE = "(DTO|Dto|Entity|Model|Request|Response|Input|Output)$", "(Controller|Repository|Service)$"
+
+
+def concept_source(kind: Column, name: Column, exported: Column, entity: Column) -> Column:
+    """source, confidence_pct and deterministic of the concept that a declaration stands for; null for none.
+
+    An entity by its decorator, a type that is no class, a class at a boundary or a service by its name,
+    or any other exported class.
+    """
+    said = lambda source, sure: F.struct(F.lit(source).alias("source"), F.lit(sure).cast("long").alias("confidence_pct"), F.lit(sure == 100).alias("deterministic"))
+    own = kind == "class"
+    return F.when(own & entity, said("entity_decorator", 100)).when(kind.isin("interface", "enum", "type_alias"), said("domain_type", 80)).when(own & name.rlike(BOUNDARY), said("boundary_type", 85)).when(own & name.rlike(SERVICE), said("service_boundary", 70)).when(own & exported, said("domain_type", 65))
+
+
+def concepts(declarations: DataFrame) -> DataFrame:
+    """Concepts of declarations (file_id, ord, kind, name, exported, entity): of those with one name in a file the first counts, and generic names are none."""
+    from cairn.functions.canonical import identity
+
+    own = declarations.withColumns({"x": concept_source(F.col("kind"), F.col("name"), F.col("exported"), F.col("entity")), "concept": concept_name(F.col("name"))})
+    own = own.filter(F.col("x").isNotNull() & F.col("concept").isNotNull() & ~is_generic(F.col("concept"))).withColumn("identity_key", identity("domain_concept", F.lower("concept")))
+    return own.groupBy("file_id", "identity_key").agg(F.min(F.struct("ord", "concept", F.col("kind").alias("declaration_kind"), "x")).alias("f")).select("file_id", "identity_key", "f.ord", "f.concept", "f.declaration_kind", "f.x.*")
 
 
 def concept_tokens(name: Column) -> Column:
@@ -166,7 +185,83 @@ def complete_steps(steps: DataFrame, workflow: str, order: str) -> DataFrame:
     return steps.groupBy(workflow).agg(F.coalesce(whole, F.lit(False)).alias("complete"))
 
 
-def humanized(c: Column) -> Column:
-    """snake or kebab case to words, the first letter upper."""
-    words = F.trim(F.regexp_replace(F.lower(c), r"[_\-]+", " "))
-    return F.concat(F.upper(F.left(words, F.lit(1))), F.substr(words, F.lit(2)))
+def humanized(c: Column, none: str = "Business rule") -> Column:
+    """Camel, snake or kebab case to words, the first letter upper; `none` for nothing."""
+    words = F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), r"[_\-]+", " ")))
+    return F.when(words == "", none).otherwise(F.concat(F.upper(F.left(words, F.lit(1))), F.substr(words, F.lit(2))))
+
+
+# The longest name and summary of a rule.
+NAME_LIMIT, SUMMARY_LIMIT = 512, 4_000
+
+
+def limited(c: Column, most: int) -> Column:
+    return F.left(F.trim(F.regexp_replace(c, r"[\r\n]+", " ")), F.lit(most))
+
+
+def rule_text(rules: DataFrame) -> DataFrame:
+    """rules with name and summary.
+
+    rules: rule_type, condition (null, or a struct of kind, operation, target and identifiers), outcome (the
+    same), container (null outside of a declaration). A condition is called by its target or its first
+    three identifiers, an outcome by what it does.
+    """
+    when, then = F.col("condition"), F.col("outcome")
+    aim = F.coalesce(when["target"], F.nullif(F.array_join(F.slice(when["identifiers"], 1, 3), " and "), F.lit("")))
+    asked = F.when(when.isNotNull(), F.when(aim.isNull(), humanized(when["kind"])).when(when["operation"] == "!", F.concat(F.lit("not "), aim)).otherwise(aim))
+    first, kind, fallback = F.try_element_at(then["identifiers"], F.lit(1)), then["kind"], F.concat(humanized(F.col("rule_type")), F.lit(" rule"))
+    said = lambda title, summary: F.struct(title.alias("title"), summary.alias("summary"))
+    with_ = F.coalesce(F.concat(F.lit(" with "), first), F.lit(""))
+    set_, called, rounded = F.coalesce(then["target"], first, F.lit("state")), F.coalesce(then["operation"], first, F.lit("operation")), F.coalesce(then["target"], first, F.lit("calculated value"))
+    result = F.coalesce(then["target"], first)
+    after = lambda word, x: F.concat(F.lit(word + " "), x)
+    done = (
+        F.when(then.isNull(), said(fallback, after("enforces a", fallback)))
+        .when(kind == "assignment", said(after("Set", set_), after("sets", set_)))
+        .when(kind == "throw", said(F.concat(F.lit("Reject"), with_), F.concat(F.lit("rejects execution"), with_)))
+        .when(kind == "return", said(F.coalesce(after("Return", result), F.lit("Return early")), F.coalesce(after("returns", result), F.lit("returns early"))))
+        .when(kind == "call", said(after("Call", called), after("calls", called)))
+        .when(kind == "rounding_call", said(after("Round", rounded), after("rounds", rounded)))
+        .otherwise(said(humanized(kind), after("performs", humanized(kind))))
+    )
+    where = F.coalesce(F.concat(F.lit(" in "), F.col("container")), F.lit(""))
+    own = rules.withColumns({"asked_": asked, "done_": done, "where_": where})
+    some = F.col("asked_").isNotNull()
+    name = F.concat(F.col("done_.title"), F.when(some, F.concat(F.lit(" when "), F.col("asked_"))).otherwise(""), F.col("where_"))
+    summary = F.concat(F.when(some, F.concat(F.lit("When "), F.col("asked_"), F.lit(", the code "))).otherwise("The code "), F.col("done_.summary"), F.col("where_"), F.lit("."))
+    return own.withColumns({"name": limited(name, NAME_LIMIT), "summary": limited(summary, SUMMARY_LIMIT)}).drop("asked_", "done_", "where_")
+
+
+# The longest identity and analyser name of a fact, in UTF-16 units.
+IDENTITY_LIMIT, ANALYZER_LIMIT = 512, 100
+
+
+def bounded(c: Column, most: int) -> Column:
+    """Whether a text isn't blank, not longer than `most` UTF-16 units, and of one line without NUL."""
+    units = F.length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.coalesce(c.rlike(r"\S") & (units <= most) & ~c.rlike(r"[\x00\r\n]"), F.lit(False))
+
+
+def fact_violations(facts: DataFrame, evidence: DataFrame, property_bytes: int = 16_384) -> DataFrame:
+    """fact_id and rule of all that makes a fact invalid, each rule once.
+
+    facts: fact_id, identity_key, analyzer, version, confidence (double), canonical (its properties as
+    canonical JSON; null where they hold what JSON can't). evidence: fact_id, file_id, hash_id, symbol_id
+    (null for none), and start_line, start_column, start_offset, end_line, end_column, end_offset (all null
+    without a range).
+    """
+    at_least = lambda c, low: F.coalesce(F.col(c) >= low, F.lit(False))
+    ends = ("start_line", "start_column", "start_offset", "end_line", "end_column", "end_offset")
+    no_range = F.lit(True)
+    for c in ends:
+        no_range = no_range & F.col(c).isNull()
+    fine_range = at_least("start_line", 1) & at_least("start_column", 1) & at_least("start_offset", 0) & at_least("end_line", F.col("start_line")) & at_least("end_column", 1) & at_least("end_offset", F.col("start_offset"))
+    fine = at_least("file_id", 1) & at_least("hash_id", 1) & (F.col("symbol_id").isNull() | (F.col("symbol_id") >= 1)) & (no_range | fine_range)
+    backed = evidence.groupBy("fact_id").agg(F.count_if(~fine).alias("bad_"), F.count(F.lit(1)).alias("held_"))
+    sure = ~F.isnan("confidence") & F.col("confidence").between(0, 1)
+    rules = {
+        "invalid_identity": bounded(F.col("identity_key"), IDENTITY_LIMIT), "invalid_analyzer": bounded(F.col("analyzer"), ANALYZER_LIMIT) & bounded(F.col("version"), ANALYZER_LIMIT), "invalid_confidence": sure,
+        "missing_evidence": F.col("held_").isNotNull(), "invalid_evidence": F.coalesce(F.col("bad_"), F.lit(0)) == 0, "invalid_properties": F.col("canonical").isNotNull(), "properties_too_large": F.coalesce(F.octet_length("canonical"), F.lit(0)) <= property_bytes,
+    }
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in rules.items()]))
+    return facts.join(backed, "fact_id", "left").select("fact_id", F.explode(broken).alias("rule"))

@@ -47,6 +47,26 @@ def published(manifest: DataFrame, version: int, current: bool) -> DataFrame:
     return manifest.withColumns({"status": status, "is_current": F.when(own, F.lit(current)).when(F.lit(current), F.lit(False)).otherwise(F.col("is_current"))})
 
 
+def publication(manifest: DataFrame, heads: DataFrame, nodes: DataFrame, edges: DataFrame, node_links: DataFrame, edge_links: DataFrame) -> DataFrame:
+    """manifest (id, branch_id, status, is_current, commit) after its drafts are published, with superseded, and what speaks against a draft: unbacked_nodes, unbacked_edges, and refused.
+
+    heads: branch_id, head. nodes and edges: id, snapshot_id; links: id of what has evidence. A draft is
+    published if all its nodes and edges have evidence and its branch is known. It becomes current only
+    where its commit is still the branch's head, and what was current there is superseded then.
+    """
+    bare = lambda rows, links, name: rows.join(links.select("id"), "id", "left_anti").groupBy(F.col("snapshot_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
+    met = manifest.join(bare(nodes, node_links, "unbacked_nodes"), "id", "left").join(bare(edges, edge_links, "unbacked_edges"), "id", "left").join(heads, "branch_id", "left")
+    met = met.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("unbacked_nodes", "unbacked_edges")})
+    draft = F.col("status") == "draft"
+    refused = F.when(draft & (F.col("unbacked_nodes") + F.col("unbacked_edges") > 0), "evidence_incomplete").when(draft & F.col("head").isNull(), "unknown_branch")
+    met = met.withColumn("refused", refused).withColumn("new_", draft & F.col("refused").isNull()).withColumn("lead_", F.col("new_") & (F.col("commit") == F.col("head")))
+    led = met.filter("lead_").select("branch_id").distinct().withColumn("led_", F.lit(True))
+    met = met.join(led, "branch_id", "left")
+    gone = F.col("is_current") & ~F.col("lead_") & F.col("led_").isNotNull()
+    out = met.withColumns({"superseded": gone, "status": F.when(F.col("new_"), "published").otherwise(F.col("status")), "is_current": F.when(F.col("new_"), F.col("lead_")).otherwise(F.col("is_current") & ~gone)})
+    return out.select("id", "branch_id", "status", "is_current", "superseded", "unbacked_nodes", "unbacked_edges", "refused")
+
+
 def node_order() -> list[Column]:
     return [ordinal("kind", NODE_KINDS).asc(), F.asc("name"), F.asc("id")]
 

@@ -37,13 +37,26 @@ def ana_concept_norm(t: Tables) -> DataFrame:
     return _names(t).select("id", a.concept_name(F.col("name")).alias("concept"))
 
 
+#: Declarations of files: kind and decorator by the key.
+DECLARED = f"""SELECT file_id, id AS ord, CASE id % 7 WHEN 0 THEN 'interface' WHEN 1 THEN 'enum' WHEN 2 THEN 'type_alias' WHEN 3 THEN 'function' ELSE 'class' END AS kind,
+    name || CASE id % 5 WHEN 1 THEN 'Request' WHEN 2 THEN 'Repository' ELSE '' END AS name, exported, id % 13 = 0 AS entity FROM ({NAMES})"""
+
+
 @query(
-    f"""SELECT id, concept, CASE WHEN name LIKE '%Service' OR name LIKE '%Controller' THEN 'technical' WHEN exported AND path LIKE 'src/config/%' THEN 'configured' WHEN exported THEN 'exported' ELSE 'internal' END AS classification
-    FROM (SELECT *, {CONCEPT} AS concept FROM ({NAMES})) WHERE concept IS NOT NULL AND lower(concept) NOT IN ('app', 'application', 'base', 'common', 'config', 'configuration', 'core', 'default', 'helper', 'shared', 'utility', 'utils')"""
+    f"""WITH d AS (SELECT *, {CONCEPT} AS concept FROM ({DECLARED})), c AS (
+        SELECT *, CASE WHEN kind = 'class' AND entity THEN 'entity_decorator' WHEN kind IN ('interface', 'enum', 'type_alias') THEN 'domain_type' WHEN kind = 'class' AND regexp_matches(name, '{a.BOUNDARY}') THEN 'boundary_type'
+            WHEN kind = 'class' AND regexp_matches(name, '{a.SERVICE}') THEN 'service_boundary' WHEN kind = 'class' AND exported THEN 'domain_type' END AS source
+        FROM d WHERE concept IS NOT NULL AND lower(concept) NOT IN ('app', 'application', 'base', 'common', 'config', 'configuration', 'core', 'default', 'helper', 'shared', 'utility', 'utils')
+    )
+    SELECT file_id, 'domain_concept:' || sha256('["' || lower(concept) || '"]') AS identity_key, ord, concept, kind AS declaration_kind, source,
+        CAST(CASE source WHEN 'entity_decorator' THEN 100 WHEN 'boundary_type' THEN 85 WHEN 'service_boundary' THEN 70 ELSE CASE WHEN kind = 'class' THEN 65 ELSE 80 END END AS BIGINT) AS confidence_pct, source = 'entity_decorator' AS deterministic
+    FROM c WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id, lower(concept) ORDER BY ord) = 1"""
 )
 def ana_concept(t: Tables) -> DataFrame:
-    own = _names(t).withColumn("concept", a.concept_name(F.col("name"))).filter(F.col("concept").isNotNull() & ~a.is_generic(F.col("concept")))
-    return own.select("id", "concept", a.concept_class(F.col("name"), F.col("exported"), F.col("path")).alias("classification"))
+    n, m = F.col("id") % 7, F.col("id") % 5
+    kind = F.when(n == 0, "interface").when(n == 1, "enum").when(n == 2, "type_alias").when(n == 3, "function").otherwise("class")
+    name = F.concat("name", F.when(m == 1, "Request").when(m == 2, "Repository").otherwise(""))
+    return a.concepts(_names(t).select("file_id", F.col("id").alias("ord"), kind.alias("kind"), name.alias("name"), "exported", (F.col("id") % 13 == 0).alias("entity")))
 
 
 SIGNALS = "lower(text || CASE doc_id % 8 WHEN 0 THEN ' user.Role ' WHEN 1 THEN ' order.status ' WHEN 2 THEN ' isEligible ' WHEN 3 THEN ' slotFree ' ELSE ' plain ' END)"
@@ -232,9 +245,43 @@ def kg_fallback(t: Tables) -> DataFrame:
     return facts.join(own, "identity_key", "left").select("ord", F.coalesce(F.col("node").cast("string"), F.concat(F.lit("file:"), F.col("evidence_file").cast("string"))).alias("anchor"), F.when(F.col("node").isNull(), 75).otherwise(90).alias("confidence_pct"))
 
 
-@query("SELECT o_orderkey AS id, left(upper(substr(x, 1, 1)) || substr(x, 2), 512) AS name FROM (SELECT o_orderkey, trim(regexp_replace(lower(o_orderpriority), '[_\\-]+', ' ', 'g')) AS x FROM orders)")
+#: Rules as the reader finds them: some without a condition, a target, identifiers or a container, some long.
+RULES = """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'state_constraint' WHEN 1 THEN 'permission' WHEN 2 THEN 'eligibilityCheck' ELSE '' END AS rule_type, o_orderkey % 5 <> 0 AS asks, CASE WHEN o_orderkey % 2 = 0 THEN 'binaryExpression' ELSE '_' END AS c_kind,
+    CASE o_orderkey % 3 WHEN 0 THEN '!' WHEN 1 THEN '===' END AS c_operation, CASE WHEN o_orderkey % 7 < 3 THEN 'o' || CAST(o_custkey AS STRING) || '.status' END AS c_target,
+    CASE WHEN o_orderkey % 11 <> 0 THEN 'a' || CAST(o_custkey % 9 AS STRING) END AS c_first, o_orderkey % 13 = 0 AS c_many,
+    CASE o_orderkey % 8 WHEN 0 THEN 'assignment' WHEN 1 THEN 'throw' WHEN 2 THEN 'return' WHEN 3 THEN 'call' WHEN 4 THEN 'rounding_call' WHEN 5 THEN 'someOther-kind' WHEN 6 THEN 'throw' END AS o_kind,
+    CASE WHEN o_orderkey % 3 = 1 THEN 'op' || CAST(o_custkey % 5 AS STRING) END AS o_operation, CASE WHEN o_orderkey % 5 = 1 THEN 't' || CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 10 = 1 THEN repeat('x', 600) ELSE '' END END AS o_target,
+    CASE WHEN o_orderkey % 9 <> 0 THEN 'i' || CAST(o_custkey % 4 AS STRING) END AS o_first, CASE WHEN o_orderkey % 4 <> 3 THEN 'C' || CAST(o_custkey AS STRING) || chr(10) || '.m' END AS container FROM {orders}"""
+
+
+def _humanized(c: str) -> str:
+    words = f"lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\-]+', ' ', 'g')))"
+    return f"CASE WHEN {words} = '' THEN 'Business rule' ELSE upper(substr({words}, 1, 1)) || substr({words}, 2) END"
+
+
+LIMITED = "left(trim(regexp_replace({}, '[\\r\\n]+', ' ', 'g')), {n})"
+
+
+@query(
+    f"""WITH r AS ({RULES.replace("{orders}", "orders")}), x AS (
+        SELECT *, coalesce(c_target, CASE WHEN c_first IS NULL THEN NULL WHEN c_many THEN c_first || ' and b and c' ELSE c_first END) AS aim, {_humanized("rule_type")} || ' rule' AS fallback FROM r
+    ), y AS (
+        SELECT id, CASE WHEN NOT asks THEN NULL WHEN aim IS NULL THEN {_humanized("c_kind")} WHEN c_operation = '!' THEN 'not ' || aim ELSE aim END AS asked, coalesce(' in ' || container, '') AS place,
+            CASE WHEN o_kind IS NULL THEN fallback WHEN o_kind = 'assignment' THEN 'Set ' || coalesce(o_target, o_first, 'state') WHEN o_kind = 'throw' THEN 'Reject' || coalesce(' with ' || o_first, '') WHEN o_kind = 'return' THEN coalesce('Return ' || coalesce(o_target, o_first), 'Return early')
+                WHEN o_kind = 'call' THEN 'Call ' || coalesce(o_operation, o_first, 'operation') WHEN o_kind = 'rounding_call' THEN 'Round ' || coalesce(o_target, o_first, 'calculated value') ELSE {_humanized("o_kind")} END AS title,
+            CASE WHEN o_kind IS NULL THEN 'enforces a ' || fallback WHEN o_kind = 'assignment' THEN 'sets ' || coalesce(o_target, o_first, 'state') WHEN o_kind = 'throw' THEN 'rejects execution' || coalesce(' with ' || o_first, '') WHEN o_kind = 'return' THEN coalesce('returns ' || coalesce(o_target, o_first), 'returns early')
+                WHEN o_kind = 'call' THEN 'calls ' || coalesce(o_operation, o_first, 'operation') WHEN o_kind = 'rounding_call' THEN 'rounds ' || coalesce(o_target, o_first, 'calculated value') ELSE 'performs ' || {_humanized("o_kind")} END AS summary
+        FROM x
+    )
+    SELECT id, {LIMITED.replace("{}", "title || coalesce(' when ' || asked, '') || place").replace("{n}", "512")} AS name, {LIMITED.replace("{}", "coalesce('When ' || asked || ', the code ', 'The code ') || summary || place || '.'").replace("{n}", "4000")} AS summary FROM y"""
+)
 def kg_rule_text(t: Tables) -> DataFrame:
-    return t.orders.select(F.col("o_orderkey").alias("id"), F.left(a.humanized(F.col("o_orderpriority")), F.lit(512)).alias("name"))
+    own = t.spark.sql(RULES, orders=t.orders)
+    listed = lambda first, *rest: F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.array(first, *rest))
+    names = F.when(F.col("c_many"), listed(F.col("c_first"), F.lit("b"), F.lit("c"), F.lit("d"))).otherwise(listed(F.col("c_first")))
+    condition = F.when(F.col("asks"), F.struct(F.col("c_kind").alias("kind"), F.col("c_operation").alias("operation"), F.col("c_target").alias("target"), names.alias("identifiers")))
+    outcome = F.when(F.col("o_kind").isNotNull(), F.struct(F.col("o_kind").alias("kind"), F.col("o_operation").alias("operation"), F.col("o_target").alias("target"), listed(F.col("o_first")).alias("identifiers")))
+    return a.rule_text(own.select("id", "rule_type", condition.alias("condition"), outcome.alias("outcome"), "container")).select("id", "name", "summary")
 
 
 @query("SELECT e.id, least(e.weight, n.size) AS confidence_pct, n.size > 25 AND e.weight > 25 AS deterministic FROM {edges} e JOIN {nodes} n ON n.id = e.source_node_id")
@@ -248,9 +295,27 @@ def kg_self_edge(t: Tables) -> DataFrame:
     return k.forbidden_self_edges(t.knowledge_edges).select("id", "kind")
 
 
-@query("SELECT count(*) AS unbacked FROM {nodes} n WHERE NOT EXISTS (SELECT 1 FROM {evidence} e WHERE e.node_id = n.id)")
+#: Snapshots of branches, and what they hold; not everything has evidence, and not every branch is known.
+SNAPSHOTS = """SELECT p_partkey AS id, p_partkey % 700 AS branch_id, CASE WHEN p_size % 3 = 0 THEN 'draft' ELSE 'published' END AS status, p_size % 3 <> 0 AND p_partkey < 700 AS is_current, md5(CAST(p_partkey AS STRING)) AS commit FROM {part}"""
+HEADS = "SELECT c_custkey AS branch_id, md5(CAST(c_custkey + c_custkey % 3 * 700 AS STRING)) AS head FROM {customer}"
+HELD = "SELECT o_orderkey AS id, o_orderkey * 7 % (SELECT count(*) FROM {part}) AS snapshot_id FROM {orders}"
+LINKS = "SELECT DISTINCT l_orderkey AS id FROM {lineitem} WHERE l_quantity > {q} UNION SELECT o_orderkey FROM {orders} WHERE o_orderkey % 5 <> 0"
+
+
+@query(
+    f"""WITH s AS ({SNAPSHOTS.replace("{part}", "part")}), h AS ({HEADS.replace("{customer}", "customer")}), x AS ({HELD.replace("{part}", "part").replace("{orders}", "orders")}),
+    n AS ({LINKS.replace("{q}", "5").replace("{orders}", "orders").replace("{lineitem}", "lineitem")}), e AS ({LINKS.replace("{q}", "15").replace("{orders}", "orders").replace("{lineitem}", "lineitem")}),
+    m AS (
+        SELECT s.*, h.head, (SELECT count(*) FROM x WHERE x.snapshot_id = s.id AND x.id NOT IN (SELECT id FROM n)) AS unbacked_nodes, (SELECT count(*) FROM x WHERE x.snapshot_id = s.id AND x.id NOT IN (SELECT id FROM e)) AS unbacked_edges FROM s LEFT JOIN h USING (branch_id)
+    ), d AS (SELECT *, CASE WHEN status = 'draft' AND unbacked_nodes + unbacked_edges > 0 THEN 'evidence_incomplete' WHEN status = 'draft' AND head IS NULL THEN 'unknown_branch' END AS refused FROM m),
+    l AS (SELECT *, status = 'draft' AND refused IS NULL AS fresh, coalesce(status = 'draft' AND refused IS NULL AND commit = head, FALSE) AS leads FROM d),
+    b AS (SELECT *, bool_or(leads) OVER (PARTITION BY branch_id) AS led FROM l)
+    SELECT id, branch_id, CASE WHEN fresh THEN 'published' ELSE status END AS status, CASE WHEN fresh THEN leads ELSE is_current AND NOT led END AS is_current, is_current AND NOT leads AND led AS superseded, unbacked_nodes, unbacked_edges, refused FROM b"""
+)
 def kg_publish(t: Tables) -> DataFrame:
-    return k.without_evidence(t.nodes, t.evidence, "id", "node_id").agg(rows().alias("unbacked"))
+    held = t.spark.sql(HELD, part=t.part, orders=t.orders)
+    links = lambda q: t.spark.sql(LINKS.replace("{q}", q), orders=t.orders, lineitem=t.lineitem)
+    return k.publication(t.spark.sql(SNAPSHOTS, part=t.part), t.spark.sql(HEADS, customer=t.customer), held, held, links("5"), links("15"))
 
 
 # Queries over snapshots.
@@ -388,8 +453,37 @@ def pj_truncate_utf8(t: Tables) -> DataFrame:
     return with_truncated(t.documents.select("doc_id", "text"), "text", 99).select("doc_id", F.octet_length("text").alias("n"))
 
 
-@query("SELECT event_id AS id, sha256(replace(props, ' ', '')) AS content_fingerprint FROM events")
+#: Facts of events, some of which break a rule, and their evidence.
+CHECKED = """SELECT event_id AS fact_id, CASE event_id % 50 WHEN 0 THEN '  ' WHEN 1 THEN 'a' || chr(10) || 'b' WHEN 2 THEN repeat('k', 513) WHEN 3 THEN NULL ELSE 'fact:' || CAST(event_id AS STRING) END AS identity_key,
+    CASE event_id % 40 WHEN 0 THEN '' WHEN 1 THEN repeat('n', 101) ELSE 'typescript' END AS analyzer, CASE WHEN event_id % 45 = 0 THEN chr(13) || '1' ELSE '1.0' END AS version,
+    CASE event_id % 30 WHEN 0 THEN CAST(1.5 AS DOUBLE) WHEN 1 THEN CAST(-0.5 AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE) WHEN 3 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS confidence,
+    CASE WHEN event_id % 60 = 7 THEN NULL WHEN event_id % 60 = 8 THEN chr(123) || '"k":"' || repeat('é', 30) || '"' || chr(125) ELSE replace(props, ' ', '') END AS props FROM {events}"""
+BACKED = """SELECT event_id AS fact_id, CASE WHEN event_id % 33 = 0 THEN 0 ELSE event_id + 1 END AS file_id, event_id + 1 AS hash_id, CASE event_id % 35 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE 5 END AS symbol_id,
+    CASE WHEN event_id % 4 <> 0 THEN CASE WHEN event_id % 37 = 1 THEN 0 ELSE 3 END END AS start_line, CASE WHEN event_id % 4 <> 0 THEN 1 END AS start_column, CASE WHEN event_id % 4 <> 0 THEN 20 END AS start_offset,
+    CASE WHEN event_id % 4 <> 0 THEN CASE WHEN event_id % 39 = 1 THEN 2 ELSE 3 END END AS end_line, CASE WHEN event_id % 4 <> 0 AND event_id % 41 <> 1 THEN 9 END AS end_column, CASE WHEN event_id % 4 <> 0 THEN CASE WHEN event_id % 43 = 1 THEN 19 ELSE 20 END END AS end_offset
+    FROM {events} WHERE event_id % 31 <> 0"""
+
+
+@query(
+    f"""WITH f AS ({CHECKED.replace("{events}", "events")}), e AS ({BACKED.replace("{events}", "events")}), b AS (
+        SELECT fact_id, bool_or(file_id < 1 OR hash_id < 1 OR coalesce(symbol_id < 1, FALSE)
+            OR start_line IS NOT NULL AND (start_line < 1 OR end_line < start_line OR end_column IS NULL OR end_offset < start_offset)) AS bad FROM e GROUP BY 1
+    ), r AS (
+        SELECT fact_id, unnest([CASE WHEN identity_key IS NULL OR trim(identity_key) = '' OR length(identity_key) > 512 OR contains(identity_key, chr(10)) THEN 'invalid_identity' END,
+            CASE WHEN analyzer = '' OR length(analyzer) > 100 OR contains(version, chr(13)) THEN 'invalid_analyzer' END, CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence > 1 OR confidence < 0 THEN 'invalid_confidence' END,
+            CASE WHEN bad IS NULL THEN 'missing_evidence' END, CASE WHEN bad THEN 'invalid_evidence' END, CASE WHEN props IS NULL THEN 'invalid_properties' END, CASE WHEN strlen(props) > 40 THEN 'properties_too_large' END]) AS rule
+        FROM f LEFT JOIN b USING (fact_id)
+    ) SELECT fact_id, rule FROM r WHERE rule IS NOT NULL"""
+)
 def ana_fact_validate(t: Tables) -> DataFrame:
+    from cairn.functions.canonical import with_canonical
+
+    facts = with_canonical(t.spark.sql(CHECKED, events=t.events), "props")
+    return a.fact_violations(facts, t.spark.sql(BACKED, events=t.events), 40)
+
+
+@query("SELECT event_id AS id, sha256(replace(props, ' ', '')) AS content_fingerprint FROM events")
+def ana_fact_fingerprint(t: Tables) -> DataFrame:
     """Fingerprints of canonical JSON."""
     from cairn.functions.canonical import with_fingerprint
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import normalized
 from cairn.operators import knowledge as kn
-from cairn.operators.rules import Limits, violations
+from cairn.operators.rules import Limits, exceeded, measured
 from cairn.operators.states import state_facts
 from cairn.plans.registry import Tables, query
 from cairn.plans.search import norm
@@ -180,11 +180,30 @@ def sea_validate(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("id"), ((F.length(q) <= 200) & (normalized(q) != "")).alias("accepted"))
 
 
-@query("SELECT indexed_file_id AS id, count(*) AS symbols FROM {symbols} GROUP BY 1 HAVING count(*) > 40")
+@query(
+    """WITH per AS (
+        SELECT CAST(indexed_file_id AS VARCHAR) AS scope, 'symbols_per_file' AS "limit", count(*) AS value FROM {symbols} GROUP BY 1
+        UNION ALL SELECT CAST(source_indexed_file_id AS VARCHAR), 'dependencies_per_file', count(*) FROM {code_dependencies} GROUP BY 1
+        UNION ALL SELECT path, 'path_length', length(path) FROM {files} UNION ALL SELECT path, 'path_depth', len(string_split(path, '/')) FROM {files} UNION ALL SELECT path, 'file_bytes', size_bytes FROM {files}
+        UNION ALL SELECT CAST(id AS VARCHAR), 'document_bytes', strlen(content) FROM {search_documents}
+        UNION ALL SELECT NULL, 'files', count(*) FROM {files} UNION ALL SELECT NULL, 'total_bytes', sum(size_bytes) FROM {files}
+        UNION ALL SELECT NULL, 'search_documents', count(*) FROM {search_documents} UNION ALL SELECT NULL, 'content_bytes', sum(strlen(content)) FROM {search_documents}
+    ), most AS (SELECT unnest(['symbols_per_file', 'dependencies_per_file', 'path_length', 'path_depth', 'file_bytes', 'document_bytes', 'files', 'total_bytes', 'search_documents', 'content_bytes']) AS "limit", unnest([40, 620, 40, 3, 6000, 6000, 100, 100000, 1000000, 1000000]) AS most)
+    SELECT scope, "limit", CAST(value AS BIGINT) AS value, CAST(most AS BIGINT) AS most FROM per JOIN most USING ("limit") WHERE value > most"""
+)
 def dq_limits(t: Tables) -> DataFrame:
-    limits = Limits(symbols_per_file=40)
-    per = t.symbols.groupBy(F.col("indexed_file_id").alias("id")).agg(F.count(F.lit(1)).alias("symbols"))
-    return violations(per, symbols=F.col("symbols") <= limits.symbols_per_file).select("id", "symbols")
+    limits = Limits(symbols_per_file=40, dependencies_per_file=620, path_length=40, path_depth=3, file_bytes=6000, document_bytes=6000, files=100, total_bytes=100_000, search_documents=1_000_000, content_bytes=1_000_000)
+    count = F.count(F.lit(1))
+    of = lambda df, key, **sizes: measured(df.groupBy(key).agg(count.alias("n")), key, **sizes)
+    parts = [
+        of(t.symbols, "indexed_file_id", symbols_per_file=F.col("n")), of(t.code_dependencies, "source_indexed_file_id", dependencies_per_file=F.col("n")),
+        measured(t.files, "path", path_length=F.length("path"), path_depth=F.size(F.split("path", "/")), file_bytes=F.col("size_bytes")), measured(t.search_documents, "id", document_bytes=F.octet_length("content")),
+        measured(t.files, files=count, total_bytes=F.sum("size_bytes")), measured(t.search_documents, search_documents=count, content_bytes=F.sum(F.octet_length("content"))),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return exceeded(every, limits)
 
 
 @query("SELECT id, CASE WHEN status = 'running' AND worker = 'w1' THEN 'hashing' ELSE phase END AS phase, CASE WHEN status = 'running' AND worker = 'w1' THEN processed_files + 10 ELSE processed_files END AS processed_files FROM {jobs}")
