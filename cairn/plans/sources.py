@@ -9,9 +9,11 @@ from cairn.functions.text import normalized
 from cairn.operators import knowledge as kn
 from cairn.operators.rules import Limits, exceeded, measured
 from cairn.operators.states import state_facts
+from cairn.plans.packs import packed
 from cairn.plans.registry import Tables, query
 from cairn.plans.search import norm
 from cairn.sources import git
+from cairn.sources.git_objects import objects
 from cairn.sources.store import Store, digest, scratch, stored
 from cairn.sources.typescript import parsed
 
@@ -157,9 +159,16 @@ def wr_remote_probe(t: Tables) -> DataFrame:
     return git.remote_probe(own.select(F.explode(F.array(F.concat(F.lit("ref: refs/heads/"), F.col("name"), F.lit("\tHEAD")), F.concat(F.col("h"), F.lit("\tHEAD")), F.concat(F.col("h"), F.lit("\trefs/heads/x")))).alias("value")))
 
 
-@query("SELECT page_id AS id, strlen(html) <= 5000 AS readable FROM pages")
+BLOB = "sha1('blob ' || CAST(strlen(html) AS VARCHAR) || chr(0) || html)"
+
+
+@query(f"SELECT DISTINCT {BLOB} AS object_id, 'blob' AS type, strlen(html) AS size, CASE WHEN strlen(html) <= 5000 THEN sha256(html) END AS content_sha256, strlen(html) <= 5000 AS readable FROM pages")
 def src_git_blob(t: Tables) -> DataFrame:
-    return t.pages.select(F.col("page_id").alias("id"), git.readable(F.col("html"), 5000).alias("readable"))
+    """Pages as blobs of a repository, some of them deltas, read back from its packs."""
+    root = packed(t.pages.select(F.col("html").cast("binary").alias("content")))
+    own = objects(t.spark, root, 5000, "blob", part_objects="50")
+    readable = F.coalesce(git.readable(F.col("content").cast("string"), 5000), F.lit(False))
+    return own.select("object_id", "type", "size", F.sha2("content", 256).alias("content_sha256"), readable.alias("readable"))
 
 
 @query("SELECT page_id AS id FROM pages WHERE strlen(html) <= 9000 AND page_id % 2 = 0")
