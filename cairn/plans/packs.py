@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from cairn.sources.store import scratch
 
 
+#: Fixed value: readers refuse shorter deltas.
+LEAST_DELTA = 4
+
+
 def packed(blobs: DataFrame) -> str:
-    """The folder of a repository that holds the contents (content, binary), each once, a pack for each partition. Every other blob of a pack is a delta of the one before."""
+    """The folder of a repository that holds the contents (content, binary), each once, a pack for each partition. Two of three blobs of a pack are deltas of the one before."""
     root = scratch(blobs.sparkSession, "repository").removeprefix("file://")
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,8 +42,8 @@ def _pack(folder: str, blobs: Iterator[bytes], task: TaskContext) -> int:
     with open(draft, "wb") as file:
         file.write(b"\0" * 12)
         for blob in blobs:
-            if before is not None and len(ids) % 2:
-                delta = _delta(before[0], blob)
+            delta = _delta(before[0], blob) if before is not None and len(ids) % 3 else b""
+            if len(delta) >= LEAST_DELTA:
                 entry = _header(6, len(delta)) + _back(place - before[1]) + zlib.compress(delta)
             else:
                 entry = _header(3, len(blob)) + zlib.compress(blob)
