@@ -7,7 +7,6 @@ no query term; covers add up. The sum r is returned as r / (r + 1) * 50, so it s
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +50,8 @@ def covers(positions: list[tuple[int, str, float]], wanted: set[str]) -> float:
 def rank(postings: DataFrame, query: list[str]) -> DataFrame:
     """id and rank of the documents that hold all terms of the query, by their postings (id, term, n_a, n_b, n_c, positions) of these terms.
 
-    A single term's covers are its places, so its rank is a sum that stays in the JVM; Python sees the
-    places of several terms only.
+    A single term's covers are its places, so its rank is a sum of counts; those of several terms are found
+    by one pass over their sorted places.
     """
     wanted = sorted(set(query))
     if not wanted:
@@ -61,15 +60,34 @@ def rank(postings: DataFrame, query: list[str]) -> DataFrame:
     if len(wanted) == 1:
         r = WEIGHTS["A"] * F.col("n_a") + WEIGHTS["B"] * F.col("n_b") + WEIGHTS["C"] * F.col("n_c")
         return own.select("id", (SCALE * r / (r + 1)).alias("rank"))
-    places = F.flatten(F.collect_list(F.transform("positions", lambda x: F.struct(x["position"].alias("position"), F.col("term").alias("term"), x["weight"].alias("weight")))))
-    hits = own.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.array_sort(places).alias("hits")).filter(F.col("terms") == len(wanted)).select("id", "hits")
-
-    def score(parts):
-        for part in parts:
-            out = []
-            for own in part.column(1).to_pylist():
-                r = covers([(x["position"], x["term"], WEIGHTS[x["weight"]]) for x in own], set(wanted))
-                out.append(SCALE * r / (r + 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, type=pa.float64())], names=["id", "rank"])
-
-    return hits.mapInArrow(score, "id long, rank double")
+    term = F.array_position(F.array(*[F.lit(x) for x in wanted]), F.col("term")).cast("int")
+    weight = lambda x: F.when(x["weight"] == "A", WEIGHTS["A"]).when(x["weight"] == "B", WEIGHTS["B"]).otherwise(WEIGHTS["C"])
+    places = F.flatten(F.collect_list(F.transform("positions", lambda x: F.struct(x["position"].cast("int").alias("position"), term.alias("term"), weight(x).alias("weight")))))
+    hits = own.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.array_sort(places).alias("hits")).filter(F.col("terms") == len(wanted))
+    r = covered(F.col("hits"), len(wanted))
+    return hits.select("id", r.alias("r_")).select("id", (SCALE * F.col("r_") / (F.col("r_") + 1)).alias("rank"))
+
+
+def covered(hits: Column, n: int) -> Column:
+    """covers() as an expression: one pass over the sorted hits (position, term from 1 to n, weight), keeping the last place of each term, what the cover counted last began at, and the sum."""
+    none = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("weight"))
+    start = F.struct(F.array_repeat(none, n).alias("last"), F.lit(-1).alias("begun"), F.lit(0.0).alias("total"))
+
+    def step(held: Column, x: Column) -> Column:
+        last = F.transform(held["last"], lambda own, k: F.when(k + 1 == x["term"], F.struct(x["position"].alias("at"), x["weight"].alias("weight"))).otherwise(own))
+        return _counted(held, x, last, n)
+
+    return F.aggregate(hits, start, step, lambda held: held["total"])
+
+
+def _counted(held: Column, x: Column, last: Column, n: int) -> Column:
+    """The sum with the cover that ends at x, if all terms were met and it begins later than the one before. `last` is made once, as the element of an array."""
+
+    def of(last: Column) -> Column:
+        first = F.array_min(F.transform(last, lambda own: own["at"]))
+        noise = F.greatest(F.lit(0), x["position"] - first + 1 - n)
+        mean = n / F.aggregate(last, F.lit(0.0), lambda s, own: s + F.when(own["weight"] > 0, 1 / own["weight"]).otherwise(0.0))
+        new = (first >= 0) & (first > held["begun"])
+        return F.struct(last.alias("last"), F.when(new, first).otherwise(held["begun"]).alias("begun"), F.when(new, held["total"] + mean / (1 + noise)).otherwise(held["total"]).alias("total"))
+
+    return F.transform(F.array(last), of)[0]

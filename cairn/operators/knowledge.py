@@ -60,6 +60,13 @@ def _evidence_of(facts: DataFrame, evidence: DataFrame, key: Column) -> DataFram
     return own.groupBy("node_key").agg(_places().alias("evidence"))
 
 
+def marked(rows: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """rows with <column>_known for each of columns: whether it is an identity_key of known (distinct). One join for each, no row is lost."""
+    for c in columns:
+        rows = rows.join(known.select(F.col("identity_key").alias(c), F.lit(True).alias(f"{c}_known")), c, "left").withColumn(f"{c}_known", F.coalesce(f"{c}_known", F.lit(False)))
+    return rows
+
+
 def components(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """The components' descriptors: component, c_confidence, c_deterministic and the range of their first evidence."""
     first = evidence.filter("nth = 0 and start_offset is not null").select("fact_id", "file_id", "start_offset", "end_offset")
@@ -96,13 +103,11 @@ def architecture(facts: DataFrame, evidence: DataFrame) -> Projection:
     several = own.groupBy("identity_key").agg(F.max_by(F.struct("name", "confidence_pct", "deterministic", "fingerprint", "fact_id"), "fact_id").alias("x"), (F.min("fingerprint") != F.max("fingerprint")).alias("conflict"))
     per_fact = evidence.groupBy("fact_id").agg(_places().alias("evidence"))
     nodes = several.select("identity_key", "x.*").join(per_fact, "fact_id").withColumn("kind", F.lit("architectural_component"))
-    relations = facts.filter("kind = 'architecture_relationship'").withColumn("relation_", F.col("relation"))
-    known = nodes.select("identity_key")
-    fine = relations
-    for side in ("source_key", "target_key"):
-        fine = fine.join(known.withColumnRenamed("identity_key", side), side, "left_semi")
+    relations = marked(facts.filter("kind = 'architecture_relationship'").withColumn("relation_", F.col("relation")), own.select("identity_key").distinct(), "source_key", "target_key")
+    both = F.col("source_key_known") & F.col("target_key_known")
+    fine = relations.filter(both)
     edges = fine.join(per_fact, "fact_id").withColumns({"kind": F.col("relation_"), "source_kind": F.lit("architectural_component"), "target_kind": F.lit("architectural_component")})
-    unknown = relations.join(fine.select("fact_id"), "fact_id", "left_anti")
+    unknown = relations.filter(~both)
     return Projection(nodes.select(*NODE_COLUMNS), edges.select(*EDGE_COLUMNS), _all(_violations("conflicting_component", several.filter("conflict")), _violations("unknown_component", unknown)))
 
 
@@ -157,10 +162,9 @@ def states(facts: DataFrame, evidence: DataFrame) -> Projection:
     moves = facts.filter("kind = 'state_transition'")
     per_fact = evidence.groupBy("fact_id").agg(_places().alias("evidence"))
     move_nodes = moves.join(per_fact, "fact_id").withColumn("name", F.concat_ws(" ", F.col("name"), F.lit("→"), F.col("value"))).select(*NODE_COLUMNS)
-    known = state_nodes.select("identity_key")
-    to = moves.join(known.withColumnRenamed("identity_key", "target_key"), "target_key", "left_anti")
-    whence = moves.filter("source_key is not null").join(known.withColumnRenamed("identity_key", "source_key"), "source_key", "left_anti")
-    fine = moves.join(to.unionByName(whence).select("fact_id"), "fact_id", "left_anti")
+    seen = marked(moves, own.select("identity_key").distinct(), "source_key", "target_key")
+    lost = F.col("source_key").isNotNull() & ~F.col("source_key_known")
+    to, whence, fine = seen.filter(~F.col("target_key_known")), seen.filter(lost), seen.filter(F.col("target_key_known") & ~lost)
     steps = fine.filter("source_key is not null").select(F.col("fact_id").alias("ord"), "fact_id", F.lit("transitions_to").alias("kind"), F.lit("state").alias("source_kind"), "source_key", F.lit("state").alias("target_kind"), "target_key", "confidence_pct", "deterministic")
     met = around(evidence.filter("nth = 0").join(fine.select("fact_id", "identity_key", "confidence_pct", "deterministic"), "fact_id"), facts, evidence).filter("component is not null")
     held = met.select(
@@ -193,13 +197,13 @@ def events(facts: DataFrame, evidence: DataFrame) -> Projection:
         (F.col("fact_id") * 1000 + F.col("nth")).alias("ord"), F.lit("triggers").alias("kind"), F.lit("architectural_component").alias("source_kind"), F.col("component").alias("source_key"), F.lit("domain_event").alias("target_kind"), F.col("identity_key").alias("target_key"),
         F.least("c_confidence", "confidence_pct").alias("confidence_pct"), F.col("c_deterministic").alias("deterministic"), "file_id", "start_offset", "end_offset", "role",
     )
-    asked = handlers.filter("target_key is not null")
-    known = asked.join(event_nodes.select(F.col("identity_key").alias("target_key")), "target_key", "left_semi")
+    asked = marked(handlers.filter("target_key is not null"), own.select("identity_key").distinct(), "target_key")
+    known = asked.filter("target_key_known")
     handles = known.select(
         (F.col("fact_id") * 1000).alias("ord"), "fact_id", F.lit("handles").alias("kind"), F.lit("event_handler").alias("source_kind"), F.col("identity_key").alias("source_key"), F.lit("domain_event").alias("target_kind"), "target_key", "confidence_pct", "deterministic"
     ).join(evidence.select("fact_id", "file_id", "start_offset", "end_offset", "role"), "fact_id").drop("fact_id")
     repeated = handlers.groupBy("identity_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    unknown = asked.join(known.select("fact_id"), "fact_id", "left_anti")
+    unknown = asked.filter(~F.col("target_key_known"))
     bad = _all(_violations("conflicting_event", groups.filter("conflict")), _violations("repeated_handler", repeated), _violations("unknown_event", unknown))
     return Projection(_all(event_nodes.select(*NODE_COLUMNS), handler_nodes), merged_edges(triggers.unionByName(handles)), bad)
 

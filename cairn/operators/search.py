@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,43 +47,122 @@ def lexical_match(docs: DataFrame, text: str) -> Column:
     return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, own)) == 0)
 
 
+POSTING = "search_index_id long, term string, id long, n_a long, n_b long, n_c long, positions array<struct<position:int,weight:string>>"
+
+
+def _scope(docs: DataFrame) -> Column:
+    return (F.col("search_index_id") if "search_index_id" in docs.columns else F.lit(1)).cast("long").alias("search_index_id")
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """The inverted table of all fields: search_index_id, term, id, places by weight class (n_a, n_b, n_c) and positions."""
-    own = docs.select("search_index_id" if "search_index_id" in docs.columns else F.lit(1).cast("long").alias("search_index_id"), "id", F.explode(weighted_terms(docs.columns)).alias("x"))
-    n = {c: F.count_if(F.col("x.weight") == c.upper()[-1]).alias(c) for c in ("n_a", "n_b", "n_c")}
-    return own.groupBy("search_index_id", F.col("x.term").alias("term"), "id").agg(*n.values(), F.array_sort(F.collect_list(F.struct(F.col("x.position").alias("position"), F.col("x.weight").alias("weight")))).alias("positions"))
+    """The inverted table of all fields: search_index_id, term, id, places by weight class (n_a, n_b, n_c) and positions.
+
+    A document's terms are grouped within its row, a batch of documents at a time, so nothing is shuffled.
+    """
+
+    def grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lists = part.column(2)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            term, position, weight = (flat.field(k) for k in range(3))
+            coded = term.dictionary_encode()
+            code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((position.to_numpy(), code, row))
+            code, row = code[order], row[order]
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
+            weight = weight.take(pa.array(order))
+            counts = [np.add.reduceat(pc.equal(weight, c).to_numpy(zero_copy_only=False).astype(np.int64), first) for c in "ABC"]
+            places = pa.StructArray.from_arrays([position.take(pa.array(order)).cast(pa.int32()), weight], names=["position", "weight"])
+            where = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(where), coded.dictionary.take(pa.array(code[first])), part.column(1).take(where), *[pa.array(c) for c in counts], pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), places)],
+                names=["search_index_id", "term", "id", "n_a", "n_b", "n_c", "positions"],
+            )
+
+    return docs.select(_scope(docs), F.col("id").cast("long").alias("id"), weighted_terms(docs.columns).alias("terms")).mapInArrow(grouped, POSTING)
+
+
+#: Characters of a gram of a path, and what stands behind its end, so that shorter needles begin a gram too.
+GRAM, END = 3, "\u0000"
+KEYS = ("name", "title", "path")
+
+
+def keys(docs: DataFrame) -> DataFrame:
+    """search_index_id, field, key, id: the fields that a query may equal or begin, lower case; a null one is empty."""
+    every = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(F.col(f), F.lit(""))).alias("key")) for f in KEYS])
+    return docs.select(_scope(docs), F.col("id").cast("long").alias("id"), F.explode(every).alias("x")).select("search_index_id", "x.field", "x.key", "id")
+
+
+def grams(docs: DataFrame) -> DataFrame:
+    """search_index_id, gram, id: the distinct runs of GRAM characters of lower-case paths."""
+    text = F.concat(F.lower(F.coalesce(F.col("path"), F.lit(""))), F.lit(END * (GRAM - 1)))
+    own = F.transform(F.sequence(F.lit(1), F.length("text_") - (GRAM - 1)), lambda k: F.substr(F.col("text_"), k, F.lit(GRAM)))
+    rows = docs.select(_scope(docs), F.col("id").cast("long").alias("id"), text.alias("text_")).filter(F.length("text_") >= GRAM)
+    return rows.select("search_index_id", "id", F.explode(F.array_distinct(own)).alias("gram")).select("search_index_id", "gram", "id")
+
+
+def with_needle(table: DataFrame, needle: str) -> DataFrame:
+    """Ids of the documents whose grams allow for the needle (lower case, not empty): all that contain it, and for a long needle a few that don't."""
+    if len(needle) < GRAM:
+        return table.filter(F.startswith("gram", F.lit(needle))).select("id").distinct()
+    own = sorted({needle[k : k + GRAM] for k in range(len(needle) - GRAM + 1)})
+    hits = table.filter(F.col("gram").isin(own))
+    return hits.select("id") if len(own) == 1 else hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits_")).filter(F.col("hits_") == len(own)).select("id")
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """What queries read of search documents: heads (all but the content) and postings. Content is never scanned by a query."""
+    """What queries read of search documents: heads (all but the content), postings of terms, keys in their order, and grams of paths. Content is never scanned by a query."""
 
     heads: DataFrame
     postings: DataFrame
+    keys: DataFrame
+    grams: DataFrame
 
     @classmethod
     def of(cls, docs: DataFrame) -> SearchIndex:
         """Made anew with each query."""
-        return cls(docs.drop("content"), postings(docs))
+        return cls(docs.drop("content"), postings(docs), keys(docs), grams(docs))
 
     @classmethod
     def write(cls, docs: DataFrame, root: str) -> SearchIndex:
-        """Written once: postings by search index, in ranges of terms and sorted, so that row group statistics leave out all but a query's terms.
+        """Written once: each table by search index, in ranges of what it is looked up by and sorted, so that row group statistics leave out all but what a query asks for.
 
-        A term that is in every document fills several ranges. Postings are written as they come first:
+        A term that is in every document fills several ranges. Tables are written as they come first:
         ranges are found by a sample, for which they would be made twice.
         """
         spark = docs.sparkSession
         docs.drop("content").write.mode("overwrite").parquet(f"{root}/heads")
-        postings(docs).write.mode("overwrite").parquet(f"{root}/unsorted")
-        ranged = spark.read.parquet(f"{root}/unsorted").repartitionByRange("search_index_id", "term", "id").sortWithinPartitions("search_index_id", "term", "id")
-        ranged.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("search_index_id").parquet(f"{root}/postings")
-        delete(spark, f"{root}/unsorted")
+        heads = spark.read.parquet(f"{root}/heads")
+        for name, table, order in (("postings", postings(docs), ("term", "id")), ("keys", keys(heads), ("field", "key", "id")), ("grams", grams(heads), ("gram", "id"))):
+            table.write.mode("overwrite").parquet(f"{root}/unsorted")
+            ranged = spark.read.parquet(f"{root}/unsorted").repartitionByRange("search_index_id", *order).sortWithinPartitions("search_index_id", *order)
+            ranged.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("search_index_id").parquet(f"{root}/{name}")
+            delete(spark, f"{root}/unsorted")
         return cls.read(spark, root)
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> SearchIndex:
-        return cls(spark.read.parquet(f"{root}/heads"), spark.read.parquet(f"{root}/postings"))
+        return cls(*[spark.read.parquet(f"{root}/{name}") for name in ("heads", "postings", "keys", "grams")])
+
+
+def lowered(spark: SparkSession, raw: str) -> str:
+    """raw in lower case as columns have it; the planner folds it, no job runs."""
+    return spark.sql("SELECT lower(:raw) AS q", args={"raw": raw}).first()["q"]
+
+
+def key_signals(table: DataFrame, needle: str) -> DataFrame:
+    """id and the five signals of fields that equal or begin with the needle (lower case), for documents with any: ranges of the sorted keys."""
+    own = table.filter(F.col("field").isin(*KEYS) & F.startswith("key", F.lit(needle)))
+    same = F.col("key") == needle
+    of = lambda field, ok: F.bool_or(ok & (F.col("field") == field))
+    out = own.groupBy("id").agg(
+        of("name", same).alias("exact_identifier"), of("title", same).alias("exact_title"), of("path", same).alias("exact_path"), of("title", F.lit(True)).alias("title_prefix"), of("name", F.lit(True)).alias("identifier_prefix"),
+    )
+    return out.filter("exact_path or title_prefix or identifier_prefix")
 
 
 def lookup(table: DataFrame, query: list[str]) -> DataFrame:
@@ -97,14 +180,26 @@ def exact_score() -> Column:
 
 
 def candidates(docs: DataFrame | SearchIndex, raw: str, **filters) -> DataFrame:
-    """Documents that match by any of the seven signals, with the signals, exact (the sum of the six), rank (cover density of the terms) and score, the sum of both."""
+    """Documents that match by any of the seven signals, with the signals, exact (the sum of the six), rank (cover density of the terms) and score, the sum of both.
+
+    Signals come from the index's tables, each asked for a few ranges; heads are read for what was found,
+    and tell whether a path that has all grams of the query holds it.
+    """
     index = docs if isinstance(docs, SearchIndex) else SearchIndex.of(docs)
-    out = exact_signals(optional_filters(index.heads, **filters), raw)
+    heads, needle = optional_filters(index.heads, **filters), lowered(index.heads.sparkSession, raw)
+    ranks = rank(index.postings, query_terms(raw))
+    names = [name for name, _ in SIGNALS]
+    if needle == "":  # is everywhere
+        met = exact_signals(heads, raw).join(ranks, "id", "left")
+    else:
+        inside = with_needle(index.grams, needle).withColumn("path_contains", F.lit(True))
+        ids = key_signals(index.keys, needle).join(inside, "id", "full_outer").join(ranks, "id", "full_outer")
+        met = heads.join(ids, "id")
+        met = met.withColumns({n: F.coalesce(n, F.lit(False)) for n in names}).withColumn("path_contains", F.col("path_contains") & F.contains(F.lower(F.coalesce(F.col("path"), F.lit(""))), F.lit(needle)))
+    found = met.withColumns({"lexical": F.col("rank").isNotNull(), "rank": F.coalesce("rank", F.lit(0.0)), "exact": exact_score()})
     hit = F.col("lexical")
-    for name, _ in SIGNALS:
+    for name in names:
         hit = hit | F.col(name)
-    found = out.join(rank(index.postings, query_terms(raw)), "id", "left")
-    found = found.withColumns({"lexical": F.col("rank").isNotNull(), "rank": F.coalesce("rank", F.lit(0.0)), "exact": exact_score()})
     return found.filter(hit).withColumn("score", round6(F.col("exact") + F.col("rank")))
 
 
@@ -125,38 +220,58 @@ def pinned(seeds: DataFrame, most: int = GRAPH_SEEDS) -> DataFrame:
     return seeds.sparkSession.createDataFrame(rows, seeds.schema)
 
 
-def dependency_relations(seeds: DataFrame, deps: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
-    """Neighbours of seeds by code dependencies. Each OR of the join keys is two disjoint equi-joins. Seeds are the first GRAPH_SEEDS of a page, so they are broadcast, and dependencies aren't shuffled."""
-    near, far = ("source", "target") if outgoing else ("target", "source")
-    by_symbol = seeds.filter(F.col("code_symbol_id").isNotNull()).select("seed_id", "seed_order", F.col("code_symbol_id").alias("near_"))
-    by_file = seeds.filter(F.col("code_symbol_id").isNull() & F.col("indexed_file_id").isNotNull()).select("seed_id", "seed_order", F.col("indexed_file_id").alias("file_"), F.col("file_hash_id").alias("hash_"))
-    columns = ["seed_id", "seed_order", F.col("id").alias("relationship_id"), "kind", F.col(f"{far}_symbol_id").alias("symbol_"), F.col(f"{far}_indexed_file_id").alias("f_"), F.col(f"{far}_file_hash_id").alias("h_")]
-    one = deps.join(F.broadcast(by_symbol), deps[f"{near}_symbol_id"] == by_symbol["near_"]).select(*columns)
-    two = deps.join(F.broadcast(by_file), (deps[f"{near}_indexed_file_id"] == by_file["file_"]) & (deps[f"{near}_file_hash_id"] == by_file["hash_"])).select(*columns)
-    edges = one.unionByName(two)
-    symbols = docs.filter(F.col("code_symbol_id").isNotNull()).select(F.col("id").alias("document_id"), F.col("code_symbol_id").alias("symbol_"))
-    files = docs.filter(F.col("source_type") == "file").select(F.col("id").alias("document_id"), F.col("indexed_file_id").alias("f_"), F.col("file_hash_id").alias("h_"))
-    met = edges.filter(F.col("symbol_").isNotNull()).join(symbols, "symbol_").unionByName(edges.filter(F.col("symbol_").isNull()).join(files, ["f_", "h_"]), allowMissingColumns=True)
-    return _relation(met, "code_dependency", outgoing)
+def _key(kind: str, a: Column, b: Column | None = None) -> Column:
+    """What a document is found by: a symbol, a file with its hash, or a node; null without it."""
+    own = F.struct(F.lit(kind).alias("k"), a.cast("long").alias("a"), (F.lit(0) if b is None else b).cast("long").alias("b"))
+    return F.when(a.isNotNull() if b is None else a.isNotNull() & b.isNotNull(), own)
 
 
-def edge_relations(seeds: DataFrame, edges: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
-    near, far = ("source", "target") if outgoing else ("target", "source")
-    own = seeds.filter(F.col("knowledge_node_id").isNotNull()).select("seed_id", "seed_order", F.col("knowledge_node_id").alias("near_"))
-    found = edges.join(F.broadcast(own), edges[f"{near}_node_id"] == own["near_"]).select("seed_id", "seed_order", F.col("id").alias("relationship_id"), "kind", F.col(f"{far}_node_id").alias("far_"))
-    nodes = docs.filter(F.col("knowledge_node_id").isNotNull()).select(F.col("id").alias("document_id"), F.col("knowledge_node_id").alias("far_"))
-    return _relation(found.join(nodes, "far_"), "knowledge_edge", outgoing)
+def _ways(outgoing: bool | None) -> list[tuple[str, str, str]]:
+    return [x for x in (("source", "target", "outgoing"), ("target", "source", "incoming")) if outgoing is None or (x[2] == "outgoing") == outgoing]
+
+
+def _dependency_ways(deps: DataFrame, outgoing: bool | None) -> DataFrame:
+    """A row for each way along a dependency: near, the key it starts from, and far, the key it leads to (the symbol, or else the file). One scan for all."""
+    rows = []
+    for near, far, way in _ways(outgoing):
+        to = F.coalesce(_key("s", F.col(f"{far}_symbol_id")), _key("f", F.col(f"{far}_indexed_file_id"), F.col(f"{far}_file_hash_id")))
+        for start in (_key("s", F.col(f"{near}_symbol_id")), _key("f", F.col(f"{near}_indexed_file_id"), F.col(f"{near}_file_hash_id"))):
+            rows.append(F.when(start.isNotNull() & to.isNotNull(), F.struct(F.lit(way).alias("direction"), start.alias("near"), to.alias("far"))))
+    return deps.select(F.lit("code_dependency").alias("graph_source"), "kind", "id", F.explode(F.array_compact(F.array(*rows))).alias("x"))
+
+
+def _edge_ways(edges: DataFrame, outgoing: bool | None) -> DataFrame:
+    rows = [F.struct(F.lit(way).alias("direction"), _key("n", F.col(f"{near}_node_id")).alias("near"), _key("n", F.col(f"{far}_node_id")).alias("far")) for near, far, way in _ways(outgoing)]
+    return edges.select(F.lit("knowledge_edge").alias("graph_source"), "kind", "id", F.explode(F.array(*rows)).alias("x"))
 
 
-def _relation(df: DataFrame, source: str, outgoing: bool) -> DataFrame:
-    return df.filter(F.col("document_id") != F.col("seed_id")).select("seed_id", "seed_order", "document_id", F.lit(source).alias("graph_source"), F.col("kind").alias("relationship_kind"), F.lit("outgoing" if outgoing else "incoming").alias("direction"), "relationship_id")
+def _relations(seeds: DataFrame, ways: DataFrame, docs: DataFrame) -> DataFrame:
+    """Neighbours of seeds along ways: seeds, the first GRAPH_SEEDS of a page, are broadcast, so ways aren't shuffled; what they lead to meets all keys of documents in one join."""
+    symbol, node = _key("s", F.col("code_symbol_id")), _key("n", F.col("knowledge_node_id"))
+    file = _key("f", F.col("indexed_file_id"), F.col("file_hash_id"))
+    # a seed with a symbol is no file here
+    starts = F.array_compact(F.array(F.coalesce(symbol, file), node))
+    own = seeds.select("seed_id", "seed_order", F.explode(starts).alias("s")).select("seed_id", "seed_order", *[F.col(f"s.{c}").alias(f"s_{c}") for c in "kab"])
+    flat = ways.select("graph_source", F.col("kind").alias("relationship_kind"), F.col("id").alias("relationship_id"), "x.direction", *[F.col(f"x.near.{c}").alias(f"s_{c}") for c in "kab"], *[F.col(f"x.far.{c}").alias(c) for c in "kab"])
+    met = flat.join(F.broadcast(own), ["s_k", "s_a", "s_b"])
+    ends = F.array_compact(F.array(symbol, F.when(F.col("source_type") == "file", file), node))
+    held = docs.select(F.col("id").alias("document_id"), F.explode(ends).alias("e")).select("document_id", "e.*")
+    out = met.join(held, ["k", "a", "b"]).filter(F.col("document_id") != F.col("seed_id"))
+    return out.select("seed_id", "seed_order", "document_id", "graph_source", "relationship_kind", "direction", "relationship_id")
+
+
+def dependency_relations(seeds: DataFrame, deps: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
+    """Neighbours of seeds by code dependencies: of its symbol, or of its file where it has none."""
+    return _relations(seeds, _dependency_ways(deps, outgoing), docs)
+
+
+def edge_relations(seeds: DataFrame, edges: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
+    return _relations(seeds, _edge_ways(edges, outgoing), docs)
 
 
 def relations(seeds: DataFrame, deps: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
-    out = None
-    for part in (dependency_relations(seeds, deps, docs, True), dependency_relations(seeds, deps, docs, False), edge_relations(seeds, edges, docs, True), edge_relations(seeds, edges, docs, False)):
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Neighbours of all kinds and both directions: dependencies, edges and documents are each read once."""
+    return _relations(seeds, _dependency_ways(deps, None).unionByName(_edge_ways(edges, None)), docs)
 
 
 def deduplicated(rel: DataFrame) -> DataFrame:

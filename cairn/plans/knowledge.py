@@ -34,7 +34,7 @@ def edge_id(source: str, target: str, kind: str) -> str:
     UNION ALL SELECT DISTINCT 'violation', 'unknown_component', identity_key, {NULLS} FROM rel WHERE NOT ok"""
 )
 def kg_arch(t: Tables) -> DataFrame:
-    return kn.flat(kn.architecture(t.graph_facts, t.graph_evidence))
+    return kn.flat(kn.architecture(*t.graph_batch))
 
 
 @query(
@@ -60,7 +60,7 @@ def kg_arch(t: Tables) -> DataFrame:
     UNION ALL SELECT 'violation', 'conflicting_concept', node_key, {NULLS} FROM groups WHERE bad AND kind = 'domain_concept'"""
 )
 def kg_business(t: Tables) -> DataFrame:
-    return kn.flat(kn.business(t.graph_facts, t.graph_evidence))
+    return kn.flat(kn.business(*t.graph_batch))
 
 
 @query(
@@ -87,7 +87,7 @@ def kg_business(t: Tables) -> DataFrame:
     UNION ALL SELECT DISTINCT 'violation', 'unknown_source_state', identity_key, {NULLS} FROM x WHERE NOT from_ok"""
 )
 def kg_state(t: Tables) -> DataFrame:
-    return kn.flat(kn.states(t.graph_facts, t.graph_evidence))
+    return kn.flat(kn.states(*t.graph_batch))
 
 
 @query(
@@ -112,7 +112,7 @@ def kg_state(t: Tables) -> DataFrame:
     UNION ALL SELECT DISTINCT 'violation', 'unknown_event', identity_key, {NULLS} FROM h WHERE NOT ok"""
 )
 def kg_event(t: Tables) -> DataFrame:
-    return kn.flat(kn.events(t.graph_facts, t.graph_evidence))
+    return kn.flat(kn.events(*t.graph_batch))
 
 
 #: A snapshot that holds every second component already, some with other content.
@@ -124,7 +124,7 @@ DRAFT = "SELECT 'architectural_component' AS kind, 'c' || CAST(p_partkey AS STRI
     FROM (SELECT identity_key, arg_max(fingerprint, fact_id) AS fingerprint FROM {{graph_facts}} WHERE kind = 'architecture_component' GROUP BY 1) b LEFT JOIN ({DRAFT.replace("{part}", "part")}) k USING (identity_key)"""
 )
 def kg_persist(t: Tables) -> DataFrame:
-    return kn.outcomes(t.spark.sql(DRAFT, part=t.part), kn.architecture(t.graph_facts, t.graph_evidence).nodes)
+    return kn.outcomes(t.spark.sql(DRAFT, part=t.part), kn.architecture(*t.graph_batch).nodes)
 
 
 ANALYSED = "('domain_concept', 'business_rule', 'state', 'state_transition', 'domain_event')"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.operators.search import SearchIndex
 from cairn.plans.fixtures import FIXTURES
-from cairn.sources.store import scratch
+from cairn.sources.store import scratch, stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,7 @@ ORACLE: dict[str, str] = {}
 
 
 _indexes: dict[tuple[str, str], str] = {}
+_batches: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 class Tables:
@@ -35,6 +36,14 @@ class Tables:
             _indexes[key] = root
         return SearchIndex.read(self.spark, _indexes[key])
 
+    @property
+    def graph_batch(self) -> tuple[DataFrame, DataFrame]:
+        """Facts in folders by kind, and evidence: stored by the first query of the session that projects them, as projectors read them many times."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _batches:
+            _batches[key] = stored(self.graph_facts, "facts", "kind"), stored(self.graph_evidence, "evidence")
+        return _batches[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -273,15 +273,37 @@ def sea_vector(t: Tables) -> DataFrame:
     return t.search_documents.select("id", F.size(weighted_terms()).alias("positions"))
 
 
-def sea_rank_cd(spark, sf_dir: str) -> DataFrame:
+#: Places of two terms in the order of positions; a cover ends at each place, begins at the earlier of the two last places, and counts if it begins later than all before.
+PAIR = f"""WITH d AS (
+        SELECT id, string_split(trim({norm("coalesce(title, '')")} || ' ' || {norm("coalesce(path, '')")}), ' ') AS a, string_split({norm("concat_ws(' ', kind, language)")}, ' ') AS b, string_split({norm("coalesce(content, '')")}, ' ') AS c FROM {{search_documents}}
+    ), w AS (
+        SELECT id, list_filter(a, lambda x: x <> '') AS a, list_filter(b, lambda x: x <> '') AS b, list_filter(c, lambda x: x <> '') AS c FROM d
+    ), p AS (
+        SELECT id, unnest(a || b || c) AS term, unnest(range(1, len(a) + len(b) + len(c) + 1)) AS position, len(a) AS na, len(b) AS nb FROM w
+    ), h AS (
+        SELECT id, term, position, CASE WHEN position <= na THEN 1.0::DOUBLE WHEN position <= na + nb THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END AS weight FROM p WHERE term IN ('the', 'of')
+    ), l AS (
+        SELECT id, position, arg_max(position, position) FILTER (term = 'the') OVER o AS p1, arg_max(weight, position) FILTER (term = 'the') OVER o AS w1, arg_max(position, position) FILTER (term = 'of') OVER o AS p2, arg_max(weight, position) FILTER (term = 'of') OVER o AS w2
+        FROM h WINDOW o AS (PARTITION BY id ORDER BY position ROWS UNBOUNDED PRECEDING)
+    ), f AS (SELECT *, least(p1, p2) AS first, lag(least(p1, p2)) OVER (PARTITION BY id ORDER BY position) AS before FROM l WHERE p1 IS NOT NULL AND p2 IS NOT NULL),
+    s AS (SELECT id, sum(2.0 / (1 / w1 + 1 / w2) / (1 + greatest(0, position - first - 1)) ORDER BY position) AS r FROM f WHERE before IS NULL OR first > before GROUP BY id)
+    SELECT id, floor(50 * r / (r + 1) * 1e6 + 0.5) / 1e6 AS rank FROM s"""
+
+
+@query(PAIR)
+def sea_rank_cd(t: Tables) -> DataFrame:
     """Cover-density rank of the documents that hold both terms of a query."""
-    return rank(Tables(spark, sf_dir).search_index.postings, query_terms("the of"))
+    return rank(t.search_index.postings, query_terms("the of")).select("id", round6(F.col("rank")).alias("rank"))
 
 
-def _register() -> None:
-    from cairn.plans.registry import QUERIES
+@query("SELECT id FROM {search_documents} WHERE contains(lower(coalesce(path, '')), 'en/1')")
+def sea_contains_lookup(t: Tables) -> DataFrame:
+    """Paths that hold a needle: its grams are looked up, and what has them all is tested."""
+    index, needle = t.search_index, s.lowered(t.spark, "En/1")
+    return index.heads.join(s.with_needle(index.grams, needle), "id").filter(F.contains(F.lower("path"), F.lit(needle))).select("id")
 
-    QUERIES["sea_rank_cd"] = sea_rank_cd
 
-
-_register()
+@query(f"SELECT id, {', '.join(SIGNAL_NAMES[:5])} FROM (SELECT id, {FLAGS} FROM {{search_documents}}) WHERE exact_path OR title_prefix OR identifier_prefix")
+def sea_prefix_lookup(t: Tables) -> DataFrame:
+    """The signals of equal fields and beginnings, from ranges of the sorted keys."""
+    return s.key_signals(t.search_index.keys, s.lowered(t.spark, Q))

@@ -141,6 +141,17 @@ def test_reader_takes_broken_sources(text):
     read_source(text)
 
 
+def test_reader_takes_any_tokens():
+    draw = random.Random(3)
+    parts = ["class", "A", "{", "}", "(", ")", "if", "else", "status", "x.status", "this", ".", "?.", "=", "==", "===", "S.A", "'a'", "`b`", "=>", "function", "return", "throw", ";", "\n", ",", "[", "]", "for", "try", "catch", "do", "while", "Math.round", "a.toFixed", "const", ":", "!", "&&", "+=", "enum", "await", "super", "super."]
+    for _ in range(4000):
+        read_source(" ".join(draw.choice(parts) for _ in range(draw.randint(1, 50))))
+    deep = "if (a) { " * 3000 + "x.status = S.A" + " }" * 3000
+    read_source(deep)
+    read_source("if (a) " * 5000 + "x.status = S.A;")
+    read_source("x.status = S.A; " * 20_000)
+
+
 def test_state_facts_of_files(spark):
     from cairn.sources.typescript import parsed
 

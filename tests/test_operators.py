@@ -266,7 +266,7 @@ def test_reading_a_source():
     assert {"this.repo.load", "helper", "this.bus.emit", "this.sum", "log", "make"} <= {x["callee"] for x in got.calls}
     assert [x["type"] for x in got.injections] == ["OrderRepository", "ns.Thing"]
     assert [(x["event"], x["operation"]) for x in got.events] == [("order.paid", "emit"), ("order.paid", "handle")]
-    assert got.guards[0]["condition"] == ["user", "hasRole"] and not got.diagnostics
+    assert got.guards[0]["condition"] == ["hasRole", "user"] and not got.diagnostics
 
 
 def test_reading_never_fails(spark, data):
