@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from cairn.enums import SOURCE_TYPES, ordinal
 from cairn.functions.cover_density import rank, weighted_terms
 from cairn.functions.text import query_terms, round6, terms
-from cairn.sources.store import delete
+from cairn.sources.store import delete, listed, mark
 
 # Weights of the exact signals, of relations, and the cap of the graph's part.
 SIGNALS = (("exact_identifier", 120), ("exact_title", 110), ("exact_path", 100), ("title_prefix", 70), ("identifier_prefix", 65), ("path_contains", 40))
 SOURCE_WEIGHT = {"knowledge_edge": 25, "code_dependency": 20}
 OUTGOING_WEIGHT, GRAPH_CAP = 2, 50
 GRAPH_SEEDS, NEIGHBOURS, CANDIDATES = 10, 5, 50
+#: Ids that segments have replaced or removed and that may be broadcast (some 24 bytes each); more are met by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def optional_filters(df: DataFrame, **wanted) -> DataFrame:
@@ -113,6 +115,11 @@ def with_needle(table: DataFrame, needle: str) -> DataFrame:
     return hits.select("id") if len(own) == 1 else hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits_")).filter(F.col("hits_") == len(own)).select("id")
 
 
+def write_sorted(table: DataFrame, path: str, order: tuple[str, ...]) -> None:
+    ranged = table.repartitionByRange("search_index_id", *order).sortWithinPartitions("search_index_id", *order)
+    ranged.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("search_index_id").parquet(path)
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """What queries read of search documents: heads (all but the content), postings of terms, keys in their order, and grams of paths. Content is never scanned by a query."""
@@ -139,8 +146,7 @@ class SearchIndex:
         heads = spark.read.parquet(f"{root}/heads")
         for name, table, order in (("postings", postings(docs), ("term", "id")), ("keys", keys(heads), ("field", "key", "id")), ("grams", grams(heads), ("gram", "id"))):
             table.write.mode("overwrite").parquet(f"{root}/unsorted")
-            ranged = spark.read.parquet(f"{root}/unsorted").repartitionByRange("search_index_id", *order).sortWithinPartitions("search_index_id", *order)
-            ranged.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("search_index_id").parquet(f"{root}/{name}")
+            write_sorted(spark.read.parquet(f"{root}/unsorted"), f"{root}/{name}", order)
             delete(spark, f"{root}/unsorted")
         return cls.read(spark, root)
 
@@ -149,6 +155,72 @@ class SearchIndex:
         return cls(*[spark.read.parquet(f"{root}/{name}") for name in ("heads", "postings", "keys", "grams")])
 
 
+TABLES = ("heads", "postings", "keys", "grams")
+
+
+class SegmentedIndex:
+    """A search index that grows by segments: an upsert writes the tables of its own documents only, and which ids they take the place of.
+
+    A row counts unless its id was written or removed by a later segment. Segments become visible
+    by a mark that is made last, so readers see all of an upsert or nothing. merge() writes what counts as one
+    segment of another index, while readers go on with this one. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def segments(self) -> list[int]:
+        return sorted(int(x) for x in listed(self.spark, f"{self.root}/published"))
+
+    def upsert(self, docs: DataFrame, removed: DataFrame | None = None) -> int:
+        """Write docs (ids distinct) in place of what the index has of their ids, and remove others (id). Returns the segment's number."""
+        own = self.segments()
+        k = own[-1] + 1 if own else 0
+        path = f"{self.root}/segment-{k}"
+        SearchIndex.write(docs, path)
+        gone = self.spark.read.parquet(f"{path}/heads").select(F.col("id").cast("long").alias("id"))
+        gone = gone if removed is None else gone.unionByName(removed.select(F.col("id").cast("long").alias("id"))).distinct()
+        (gone if own else gone.limit(0)).write.mode("overwrite").parquet(f"{path}/gone")
+        mark(self.spark, f"{self.root}/published/{k}")
+        return k
+
+    def read(self) -> SearchIndex:
+        """What counts, as an index like any other: filters of lookups reach the tables of each segment."""
+        own = self.segments()
+        if not own:
+            raise ValueError(f"{self.root} has no segment")
+        of = lambda name, k: self.spark.read.parquet(f"{self.root}/segment-{k}/{name}")
+        gone = None
+        for k in own[1:]:
+            part = of("gone", k).withColumn("since_", F.lit(k))
+            gone = part if gone is None else gone.unionByName(part)
+        last = None if gone is None else gone.groupBy("id").agg(F.max("since_").alias("since_"))
+        if last is not None and last.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            last = F.broadcast(last)
+
+        def live(name: str) -> DataFrame:
+            every = None
+            for k in own:
+                part = of(name, k).withColumn("segment_", F.lit(k))
+                every = part if every is None else every.unionByName(part)
+            if last is None:
+                return every.drop("segment_")
+            return every.join(last, "id", "left").filter(F.col("since_").isNull() | (F.col("segment_") >= F.col("since_"))).drop("segment_", "since_")
+
+        return SearchIndex(*[live(name) for name in TABLES])
+
+    def merge(self, root: str) -> SegmentedIndex:
+        """The same index as one segment below another root."""
+        out, own = SegmentedIndex(self.spark, root), self.read()
+        path = f"{out.root}/segment-0"
+        own.heads.write.parquet(f"{path}/heads")
+        for name, order in (("postings", ("term", "id")), ("keys", ("field", "key", "id")), ("grams", ("gram", "id"))):
+            write_sorted(getattr(own, name), f"{path}/{name}", order)
+        own.heads.select(F.col("id").cast("long").alias("id")).limit(0).write.parquet(f"{path}/gone")
+        mark(self.spark, f"{out.root}/published/0")
+        return out
+
+
 def lowered(spark: SparkSession, raw: str) -> str:
     """raw in lower case as columns have it; the planner folds it, no job runs."""
     return spark.sql("SELECT lower(:raw) AS q", args={"raw": raw}).first()["q"]

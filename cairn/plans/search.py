@@ -9,6 +9,7 @@ from cairn.functions.cover_density import rank, weighted_terms
 from cairn.functions.text import normalized, query_terms, round6
 from cairn.operators import search as s
 from cairn.plans.registry import Tables, query
+from cairn.sources.store import scratch
 
 #: The query of the examples: raw for the exact signals, its terms for the lexical one.
 Q = "The"
@@ -307,3 +308,22 @@ def sea_contains_lookup(t: Tables) -> DataFrame:
 def sea_prefix_lookup(t: Tables) -> DataFrame:
     """The signals of equal fields and beginnings, from ranges of the sorted keys."""
     return s.key_signals(t.search_index.keys, s.lowered(t.spark, Q))
+
+
+#: Documents after an upsert: one of 97 has another title, path and content, one of 101 is gone, and some are new.
+CHANGED = """SELECT id, search_index_id, source_type, name, 'The new title' AS title, content || ' the renewed' AS content, 'new/' || CAST(id AS STRING) AS path, language, kind, indexed_file_id, file_hash_id, code_symbol_id, knowledge_node_id FROM {search_documents} WHERE id % 97 = 0
+    UNION ALL SELECT id + 900000000, search_index_id, source_type, name, title, 'only the new', 'added/' || CAST(id AS STRING), language, kind, indexed_file_id, file_hash_id, code_symbol_id, knowledge_node_id FROM {search_documents} WHERE id % 211 = 0"""
+AFTER = f"(SELECT * FROM {{search_documents}} WHERE id % 97 <> 0 AND id % 101 <> 0 UNION ALL BY NAME {CHANGED})"
+
+
+@query(
+    f"""SELECT id, lexical, title_prefix, path_contains FROM (SELECT id, {LEXICAL} AS lexical, starts_with(lower(coalesce(title, '')), 'the') AS title_prefix, contains(lower(coalesce(path, '')), 'the') AS path_contains, starts_with(lower(coalesce(name, '')), 'the') AS own FROM (SELECT *, {COUNTS} FROM {AFTER}))
+    WHERE lexical OR title_prefix OR path_contains OR own"""
+)
+def sink_upsert_index(t: Tables) -> DataFrame:
+    """The index after an upsert and removals, which write a segment of their own."""
+    changed = t.spark.sql(CHANGED, search_documents=t.search_documents)
+    index = s.SegmentedIndex(t.spark, scratch(t.spark, "segments"))
+    index.upsert(t.search_documents)
+    index.upsert(changed, t.search_documents.filter("id % 101 = 0 and id % 97 <> 0").select("id"))
+    return s.candidates(index.read(), Q).select("id", "lexical", "title_prefix", "path_contains")

@@ -67,6 +67,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty folder: there or not, never in between."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -108,5 +120,4 @@ class Store:
         """Freeze a version that has rows."""
         if self.read(version).isEmpty():
             raise ValueError(f"version {version} is empty")
-        fs, p = _fs(self.spark, f"{self.root}/published/{version}")
-        fs.mkdirs(p)
+        mark(self.spark, f"{self.root}/published/{version}")

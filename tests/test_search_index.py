@@ -109,3 +109,30 @@ def test_neighbours_of_all_kinds_are_one_join(spark):
     assert got == {(1, 2, 100, "outgoing"), (1, 2, 102, "incoming"), (5, 6, 200, "outgoing"), (5, 6, 201, "incoming"), (3, 2, 100, "outgoing"), (3, 1, 102, "outgoing"), (3, 1, 103, "outgoing")}
     text = s.relations(seeds, deps, edges, docs)._jdf.queryExecution().executedPlan().toString()
     assert text.count("BroadcastHashJoin") + text.count("SortMergeJoin") + text.count("ShuffledHashJoin") <= 3
+
+
+def test_segments_equal_an_index_of_all(spark, tmp_path):
+    rows = drawn()
+    docs = lambda own: spark.createDataFrame(own, DOC).repartition(2)
+    index = s.SegmentedIndex(spark, str(tmp_path / "segments"))
+    with pytest.raises(ValueError, match="no segment"):
+        index.read()
+    assert index.upsert(docs(rows)) == 0
+    held = {r[0]: r for r in rows}
+    again = [(k, 1, "file", "Order", f"again {n}", f"again/{k}", "class", "ts", "order paid") for n in (1, 2) for k in range(0, 40, 5)]
+    for n in (1, 2):
+        own = [r for r in again if r[4] == f"again {n}"] + [(2000 + n, 1, "file", None, None, "src/Ord.ts", None, None, "find")]
+        gone = [7 + n, 11 + n]
+        assert index.upsert(docs(own), spark.createDataFrame([(g,) for g in gone], "id long")) == n
+        held |= {r[0]: r for r in own}
+        for g in gone:
+            del held[g]
+    whole = s.SearchIndex.of(docs(list(held.values())))
+    flat = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    merged = index.merge(str(tmp_path / "merged"))
+    for own in (index.read(), merged.read()):
+        for name in s.TABLES:
+            assert flat(getattr(own, name)) == flat(getattr(whole, name))
+    ids = lambda own, raw: {(r["id"], r["score"]) for r in s.candidates(own, raw).collect()}
+    assert ids(index.read(), "again") == ids(whole, "again") and merged.segments() == [0]
+    assert "StringStartsWith(key,again)" in s.key_signals(index.read().keys, "again")._jdf.queryExecution().executedPlan().toString()
