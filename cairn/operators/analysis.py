@@ -84,21 +84,6 @@ def component_type(symbols: DataFrame, decorators: DataFrame) -> DataFrame:
     return joined.select("id", kind.alias("type"), (sure / 100).alias("confidence"), conflict.alias("conflict"))
 
 
-def by_name(references: DataFrame, tiers: list[DataFrame]) -> DataFrame:
-    """references (id, ...) with target and status: the candidates (id, candidate) of the first tier that has any; resolved, ambiguous or unresolved by their number.
-
-    Every tier is one equi-join made by the caller; tiers are tagged and the lowest is kept, so no tier is a loop.
-    """
-    every = None
-    for k, tier in enumerate(tiers):
-        part = tier.select("id", "candidate").withColumn("tier", F.lit(k))
-        every = part if every is None else every.unionByName(part)
-    low = every.groupBy("id").agg(F.min("tier").alias("tier"))
-    found = every.join(low, ["id", "tier"]).groupBy("id", "tier").agg(F.count_distinct("candidate").alias("n"), F.max("candidate").alias("one"))
-    out = references.join(found, "id", "left")
-    return out.withColumns({"status": F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved"), "target": F.when(F.col("n") == 1, F.col("one"))}).drop("n", "one")
-
-
 # Confidence of a relation by whether its target is named by an import or in the same file; relations of a module's fields.
 NAMED, ANYWHERE = 100, 75
 MODULE_RELATIONS = {"controllers": "contains", "providers": "contains", "imports": "depends_on"}
@@ -115,7 +100,7 @@ def _outputs(references: DataFrame, relation: Column, diagnostic: Column) -> Dat
 
 
 def injection_outputs(references: DataFrame) -> DataFrame:
-    """Outputs of injected parameters that by_name has resolved (tier, status): depends_on, or a diagnostic where several components have the name; none at all is silent."""
+    """Outputs of injected parameters that are resolved (tier, status): depends_on, or a diagnostic where several components have the name; none at all is silent."""
     return _outputs(references, F.lit("depends_on"), F.when(F.col("status") == "ambiguous", "ambiguous_injection_target"))
 
 

@@ -102,6 +102,25 @@ def named(refs: DataFrame, components: DataFrame, imports: DataFrame, own: DataF
     return near.select("id", "low", "high").unionByName(far.select("id", "low", "high"))
 
 
+def resolved_names(refs: DataFrame, components: DataFrame, imports: DataFrame) -> DataFrame:
+    """refs (id, file_id, name, ...) with tier, status and target: the component that a name stands for in a file.
+
+    Tier 0 is what the file imports by that name (the first part of a dotted one), 1 what is in the file, 2
+    what is anywhere, by name or qualified name; the first tier that has any component counts. Each
+    tier is one row a name, so a name that is everywhere costs one row for each reference.
+    """
+    bound = imports.join(components.select(F.col("component").alias("target_symbol")), "target_symbol")
+    called = components.select("component", "file_id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name"))
+    ends = lambda rows, keys, symbol, k: spans(rows, keys, symbol).withColumnsRenamed({"low": f"low{k}_", "high": f"high{k}_"})
+    out = refs.withColumn("local_name", F.substring_index("name", ".", 1))
+    out = out.join(ends(bound, ["file_id", "local_name"], "target_symbol", 0), ["file_id", "local_name"], "left").drop("local_name")
+    out = out.join(ends(called, ["file_id", "name"], "component", 1), ["file_id", "name"], "left").join(ends(called, ["name"], "component", 2), "name", "left")
+    tier = F.when(F.col("low0_").isNotNull(), 0).when(F.col("low1_").isNotNull(), 1).when(F.col("low2_").isNotNull(), 2)
+    low, high = (F.coalesce(*[F.col(f"{end}{k}_") for k in range(3)]) for end in ("low", "high"))
+    out = out.withColumns({"tier": tier, "status": F.when(low == high, "resolved").when(low.isNotNull(), "ambiguous").otherwise("unresolved"), "target": F.when(low == high, low)})
+    return out.drop(*[f"{end}{k}_" for end in ("low", "high") for k in range(3)])
+
+
 def resolved_calls(calls: DataFrame, symbols: DataFrame, components: DataFrame, imports: DataFrame, extends: DataFrame, injections: DataFrame, climb: int = 0) -> DataFrame:
     """id, source (component), status (resolved, ambiguous, unresolved), target (symbol), target_component of each call.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators import analysis as a
 from cairn.operators import calls as c
 from cairn.operators import knowledge as kn
 from cairn.plans.knowledge import NULLS, edge_id
@@ -87,6 +88,82 @@ def arch_call_outputs(t: Tables) -> DataFrame:
     return c.call_outputs(resolved(t))
 
 
+#: Names in files with the component that they stand for: of injected parameters, and of the references of modules.
+NAMES = """nm AS (
+        SELECT i.ord AS id, h.component AS source, k.file_id, coalesce(nullif(trim(i.type_name), ''), nullif(trim(i.target_name), '')) AS name FROM {code_injections} i JOIN home h ON h.symbol_id = i.symbol_id JOIN comp k ON k.component = h.component WHERE nullif(trim(i.parameter), '') IS NOT NULL
+    ), md AS (SELECT m.id * 10 + CASE field WHEN 'controllers' THEN 0 WHEN 'providers' THEN 1 WHEN 'imports' THEN 2 ELSE 3 END AS id, h.component AS source, k.file_id, m.field, m.reference AS name FROM {code_modules} m JOIN home h ON h.symbol_id = m.symbol_id JOIN comp k ON k.component = h.component WHERE regexp_extract(m.name, '([^.]*)$', 1) = 'Module'),
+    cn AS (SELECT component, file_id, name FROM comp UNION SELECT component, file_id, qualified_name FROM comp)"""
+FOUND = """SELECT r.*, t.tier, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN one END AS target FROM {r} r LEFT JOIN (
+        SELECT id, tier, count(DISTINCT component) AS n, max(component) AS one FROM (
+            SELECT r.id, k.component, 0 AS tier FROM {r} r JOIN {code_imports} i ON i.file_id = r.file_id AND i.local_name = split_part(r.name, '.', 1) JOIN comp k ON k.component = i.target_symbol
+            UNION ALL SELECT r.id, k.component, 1 FROM {r} r JOIN cn k ON k.file_id = r.file_id AND k.name = r.name UNION ALL SELECT r.id, k.component, 2 FROM {r} r JOIN cn k ON k.name = r.name
+        ) WHERE (id, tier) IN (SELECT id, tier FROM (
+            SELECT r.id, 0 AS tier FROM {r} r JOIN {code_imports} i ON i.file_id = r.file_id AND i.local_name = split_part(r.name, '.', 1) JOIN comp k ON k.component = i.target_symbol
+            UNION ALL SELECT r.id, 1 FROM {r} r JOIN cn k ON k.file_id = r.file_id AND k.name = r.name UNION ALL SELECT r.id, 2 FROM {r} r JOIN cn k ON k.name = r.name
+        ) QUALIFY tier = min(tier) OVER (PARTITION BY id)) GROUP BY id, tier) t ON t.id = r.id"""
+SURE = "CASE WHEN tier < 2 THEN 100 ELSE 75 END"
+
+
+def injected(t: Tables) -> DataFrame:
+    """id, source, file_id, name, tier, status and target of injected parameters."""
+    own = components(t)
+    named = F.coalesce(c.said("type_name"), c.said("target_name"))
+    refs = t.code_injections.filter(c.said("parameter").isNotNull()).join(c.homes(t.code_symbols, own), "symbol_id").select(F.col("ord").alias("id"), "component", named.alias("name")).filter("name is not null")
+    return c.resolved_names(refs.join(own.select("component", "file_id"), "component").withColumnRenamed("component", "source"), own, t.code_imports)
+
+
+def referenced(t: Tables) -> DataFrame:
+    """The same of what decorators of modules refer to, with field."""
+    own = components(t)
+    field = F.col("field")
+    number = F.col("id") * 10 + F.when(field == "controllers", 0).when(field == "providers", 1).when(field == "imports", 2).otherwise(3)
+    refs = t.code_modules.filter(F.regexp_extract("name", r"([^.]*)$", 1) == "Module").join(c.homes(t.code_symbols, own), "symbol_id").select(number.alias("id"), "component", "field", F.col("reference").alias("name"))
+    return c.resolved_names(refs.join(own.select("component", "file_id"), "component").withColumnRenamed("component", "source"), own, t.code_imports)
+
+
+@query(f"WITH {BASE}, {NAMES} SELECT id, tier, status, target FROM ({FOUND.replace('{r}', '(SELECT * FROM nm WHERE name IS NOT NULL)')})")
+def join_component_by_name(t: Tables) -> DataFrame:
+    return injected(t).select("id", "tier", "status", "target")
+
+
+INJECTED = f"SELECT * FROM ({FOUND.replace('{r}', '(SELECT * FROM nm WHERE name IS NOT NULL)')})"
+
+
+@query(
+    f"""WITH {BASE}, {NAMES}, x AS ({INJECTED}) SELECT id, 'relationship' AS output, 'depends_on' AS kind, source, target, CAST({SURE} AS BIGINT) AS confidence_pct FROM x WHERE status = 'resolved'
+    UNION ALL SELECT id, 'diagnostic', 'ambiguous_injection_target', source, NULL, NULL FROM x WHERE status = 'ambiguous'"""
+)
+def arch_injections(t: Tables) -> DataFrame:
+    return a.injection_outputs(injected(t)).select("id", "output", "kind", "source", "target", "confidence_pct")
+
+
+@query(
+    f"""WITH {BASE}, {NAMES}, x AS ({FOUND.replace("{r}", "md")} WHERE field <> 'exports') SELECT id, 'relationship' AS output, CASE field WHEN 'imports' THEN 'depends_on' ELSE 'contains' END AS kind, source, target, CAST({SURE} AS BIGINT) AS confidence_pct FROM x WHERE status = 'resolved'
+    UNION ALL SELECT id, 'diagnostic', status || '_module_reference', source, NULL, NULL FROM x WHERE status <> 'resolved'"""
+)
+def arch_modules(t: Tables) -> DataFrame:
+    return a.module_outputs(referenced(t)).select("id", "output", "kind", "source", "target", "confidence_pct")
+
+
+#: Raw facts of methods and classes beside the analysed ones: decorators, some of them routes, call sites and injections.
+RAW = """SELECT l_orderkey * 100 + l_linenumber AS fact_id, CASE l_linenumber WHEN 1 THEN 'call_site' WHEN 2 THEN 'constructor_injection' ELSE 'decorator' END AS kind,
+    CASE l_suppkey % 4 WHEN 0 THEN 'Get' WHEN 1 THEN 'web.Post' WHEN 2 THEN 'Injectable' ELSE 'Getter' END AS name, CASE WHEN l_linenumber % 2 = 1 THEN 'method' ELSE 'class' END AS target_kind FROM {lineitem}"""
+
+
+@query(
+    f"""WITH {BASE}, {NAMES}, x AS ({INJECTED}) SELECT fact_id, kind FROM {{graph_facts}} WHERE kind <> 'architecture_relationship'
+    UNION ALL SELECT fact_id, kind FROM ({RAW.replace("{lineitem}", "lineitem")}) WHERE kind = 'decorator' AND target_kind = 'method' AND name IN ('Get', 'web.Post')
+    UNION ALL SELECT id, 'depends_on' FROM x WHERE status = 'resolved'
+    UNION ALL SELECT id, 'ambiguous_injection_target' FROM x WHERE status = 'ambiguous'"""
+)
+def arch_emit(t: Tables) -> DataFrame:
+    raw = t.spark.sql(RAW, lineitem=t.lineitem)
+    analysed = t.graph_facts.select("fact_id", "kind", "name", F.lit(None).cast("string").alias("target_kind"))
+    parts = analysed.filter("kind = 'architecture_component'")
+    outputs = a.injection_outputs(injected(t)).select(F.col("id").alias("fact_id"), "kind")
+    return a.emitted(raw.unionByName(analysed), parts, [outputs])
+
+
 WORKFLOWS = f"""{RESOLVED}, methods AS (SELECT unnest(['Get', 'Post', 'All']) AS last, unnest(['GET', 'POST', 'ALL']) AS http_method),
     routes AS (
         SELECT d.*, m.http_method, coalesce(nullif(trim(target_name), ''), '<anonymous-route>') AS handler,

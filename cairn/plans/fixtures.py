@@ -243,4 +243,10 @@ FIXTURES: dict[str, str] = {
             || CASE WHEN p_partkey % 4 = 0 THEN 'this.status = Status' || CAST(p_partkey % 7 AS STRING) || '.Open; ' ELSE '' END || 'return price.toFixed(2); ' || chr(125) || ' ' || chr(125) || chr(10) AS text
         FROM {part}
     """,
+    "code_modules": """
+        SELECT p_partkey AS id, p_partkey * 100 AS symbol_id, CASE p_partkey % 4 WHEN 0 THEN 'Module' WHEN 1 THEN 'core.Module' ELSE 'Injectable' END AS name, 'controllers' AS field, 'C' || CAST(p_partkey * 3 % 1500 AS STRING) AS reference FROM {part}
+        UNION ALL SELECT p_partkey, p_partkey * 100, CASE p_partkey % 4 WHEN 0 THEN 'Module' WHEN 1 THEN 'core.Module' ELSE 'Injectable' END, 'providers', 'C' || CAST(p_partkey % 1500 AS STRING) FROM {part}
+        UNION ALL SELECT p_partkey, p_partkey * 100, CASE p_partkey % 4 WHEN 0 THEN 'Module' WHEN 1 THEN 'core.Module' ELSE 'Injectable' END, 'imports', CASE WHEN p_partkey % 5 = 0 THEN 'Gone' ELSE 'C' || CAST((p_partkey * 7 % 1900 + 1) % 1500 AS STRING) || CASE WHEN p_partkey % 6 = 0 THEN '.forRoot' ELSE '' END END FROM {part}
+        UNION ALL SELECT p_partkey, p_partkey * 100, CASE p_partkey % 4 WHEN 0 THEN 'Module' WHEN 1 THEN 'core.Module' ELSE 'Injectable' END, 'exports', 'C1' FROM {part}
+    """,
 }

@@ -120,73 +120,6 @@ def arch_classify(t: Tables) -> DataFrame:
     return a.component_type(_names(t), decorators)
 
 
-#: References by name: imported bindings first, then the same file, then anywhere.
-REFS = "SELECT s_suppkey AS id, s_suppkey % 50 + 1 AS file_id, n.name FROM supplier JOIN (SELECT p_partkey AS k, p_name AS name FROM part) n ON n.k = s_suppkey * 19"
-IMPORTS = "SELECT p_size AS file_id, p_name AS name, p_partkey AS candidate FROM part WHERE p_partkey % 23 = 0"
-RESOLUTION = f"""WITH refs AS ({REFS}), c AS (
-        SELECT r.id, i.candidate, 0 AS tier FROM refs r JOIN ({IMPORTS}) i ON i.file_id = r.file_id AND i.name = r.name
-        UNION ALL SELECT r.id, p_partkey, 1 FROM refs r JOIN part ON p_size = r.file_id AND p_name = r.name
-        UNION ALL SELECT r.id, p_partkey, 2 FROM refs r JOIN part ON p_name = r.name AND p_partkey % 5 = 0
-    ), low AS (SELECT id, min(tier) AS tier FROM c GROUP BY id),
-    f AS (SELECT c.id, c.tier, count(DISTINCT candidate) AS n, max(candidate) AS one FROM c JOIN low USING (id, tier) GROUP BY ALL)
-    SELECT refs.id, f.tier, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN one END AS target FROM refs LEFT JOIN f USING (id)"""
-
-
-def _resolution(t: Tables) -> DataFrame:
-    parts = t.part.select(F.col("p_partkey").alias("candidate"), F.col("p_size").cast("long").alias("file_id"), F.col("p_name").alias("name"))
-    refs = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50 + 1).alias("file_id"), (F.col("s_suppkey") * 19).alias("candidate")).join(parts.drop("file_id"), "candidate").select("id", "file_id", "name")
-    tiers = [refs.join(parts.filter("candidate % 23 = 0"), ["file_id", "name"]), refs.join(parts, ["file_id", "name"]), refs.drop("file_id").join(parts.filter("candidate % 5 = 0"), "name")]
-    return a.by_name(refs, tiers).select("id", "tier", "status", "target")
-
-
-@query(RESOLUTION)
-def join_component_by_name(t: Tables) -> DataFrame:
-    return _resolution(t)
-
-
-SURE = "CASE WHEN tier < 2 THEN 100 ELSE 75 END"
-
-
-@query(
-    f"""SELECT id, 'relationship' AS output, 'depends_on' AS kind, target, CAST({SURE} AS BIGINT) AS confidence_pct FROM ({RESOLUTION}) WHERE status = 'resolved'
-    UNION ALL SELECT id, 'diagnostic', 'ambiguous_injection_target', NULL, NULL FROM ({RESOLUTION}) WHERE status = 'ambiguous'"""
-)
-def arch_injections(t: Tables) -> DataFrame:
-    return a.injection_outputs(_resolution(t)).select("id", "output", "kind", "target", "confidence_pct")
-
-
-FIELD = "CASE id % 3 WHEN 0 THEN 'controllers' WHEN 1 THEN 'providers' ELSE 'imports' END"
-
-
-@query(
-    f"""SELECT id, 'relationship' AS output, CASE {FIELD} WHEN 'imports' THEN 'depends_on' ELSE 'contains' END AS kind, target, CAST({SURE} AS BIGINT) AS confidence_pct FROM ({RESOLUTION}) WHERE status = 'resolved'
-    UNION ALL SELECT id, 'diagnostic', status || '_module_reference', NULL, NULL FROM ({RESOLUTION}) WHERE status <> 'resolved'"""
-)
-def arch_modules(t: Tables) -> DataFrame:
-    n = F.col("id") % 3
-    references = _resolution(t).withColumn("field", F.when(n == 0, "controllers").when(n == 1, "providers").otherwise("imports"))
-    return a.module_outputs(references).select("id", "output", "kind", "target", "confidence_pct")
-
-
-#: Raw facts of methods and classes beside the analysed ones: decorators, some of them routes, call sites and injections.
-RAW = """SELECT l_orderkey * 100 + l_linenumber AS fact_id, CASE l_linenumber WHEN 1 THEN 'call_site' WHEN 2 THEN 'constructor_injection' ELSE 'decorator' END AS kind,
-    CASE l_suppkey % 4 WHEN 0 THEN 'Get' WHEN 1 THEN 'web.Post' WHEN 2 THEN 'Injectable' ELSE 'Getter' END AS name, CASE WHEN l_linenumber % 2 = 1 THEN 'method' ELSE 'class' END AS target_kind FROM {lineitem}"""
-
-
-@query(
-    f"""SELECT fact_id, kind FROM {{graph_facts}} WHERE kind <> 'architecture_relationship'
-    UNION ALL SELECT fact_id, kind FROM ({RAW.replace("{lineitem}", "lineitem")}) WHERE kind = 'decorator' AND target_kind = 'method' AND name IN ('Get', 'web.Post')
-    UNION ALL SELECT id, 'depends_on' FROM ({RESOLUTION}) WHERE status = 'resolved'
-    UNION ALL SELECT id, 'ambiguous_injection_target' FROM ({RESOLUTION}) WHERE status = 'ambiguous'"""
-)
-def arch_emit(t: Tables) -> DataFrame:
-    raw = t.spark.sql(RAW, lineitem=t.lineitem)
-    analysed = t.graph_facts.select("fact_id", "kind", "name", F.lit(None).cast("string").alias("target_kind"))
-    components = analysed.filter("kind = 'architecture_component'")
-    outputs = a.injection_outputs(_resolution(t)).select(F.col("id").alias("fact_id"), "kind")
-    return a.emitted(raw.unionByName(analysed), components, [outputs])
-
-
 @query("SELECT conv_id, list_sort(list(turn)) = range(0, count(*)) AS complete FROM conversations GROUP BY conv_id")
 def kg_step_check(t: Tables) -> DataFrame:
     return a.complete_steps(t.conversations, "conv_id", "turn")

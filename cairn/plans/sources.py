@@ -153,10 +153,18 @@ def src_git_refs(t: Tables) -> DataFrame:
     return git.refs(lines)
 
 
-@query("SELECT 'branch-7' AS default_branch, substr(md5('7') || md5('7'), 1, 40) AS head")
+@query(
+    """SELECT repository_id, arg_max(name, id) AS default_branch, arg_max(substr(head || head, 1, 40), id) AS head FROM {branches} WHERE id % 7 <> 0 GROUP BY 1
+    UNION ALL SELECT repository_id, NULL, NULL FROM {branches} GROUP BY 1 HAVING bool_and(id % 7 = 0)"""
+)
 def wr_remote_probe(t: Tables) -> DataFrame:
-    own = t.branches.filter("id = 7").select(F.col("name"), F.substring(F.concat(F.md5(F.lit("7")), F.md5(F.lit("7"))), 1, 40).alias("h"))
-    return git.remote_probe(own.select(F.explode(F.array(F.concat(F.lit("ref: refs/heads/"), F.col("name"), F.lit("\tHEAD")), F.concat(F.col("h"), F.lit("\tHEAD")), F.concat(F.col("h"), F.lit("\trefs/heads/x")))).alias("value")))
+    """The default branch of each repository, from the listing of its branches; one of seven branches can't be it."""
+    able = F.when(F.col("id") % 7 != 0, F.col("id"))
+    first = t.branches.groupBy("repository_id").agg(F.max(able).alias("first"))
+    head = F.substring(F.concat("head", "head"), 1, 40)
+    own = F.when(F.col("id") == F.col("first"), F.array(F.concat(F.lit("ref: refs/heads/"), F.col("name"), F.lit("\tHEAD")), F.concat(head, F.lit("\tHEAD")))).otherwise(F.array().cast("array<string>"))
+    lines = t.branches.join(first, "repository_id").select("repository_id", F.explode(F.concat(own, F.array(F.concat(head, F.lit("\trefs/heads/"), F.col("name"))))).alias("value"))
+    return git.remote_probe(lines, "repository_id")
 
 
 BLOB = "sha1('blob ' || CAST(strlen(html) AS VARCHAR) || chr(0) || html)"

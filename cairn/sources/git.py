@@ -32,11 +32,10 @@ def refs(lines: DataFrame) -> DataFrame:
     return own.filter((F.col("name") != "") & (F.col("head") != "")).select("name", "head").orderBy("name")
 
 
-def remote_probe(lines: DataFrame) -> DataFrame:
-    """default_branch and head of a symbolic listing: "ref: refs/heads/x<TAB>HEAD" and "object<TAB>HEAD"."""
-    return lines.agg(
-        F.max(F.nullif(F.regexp_extract("value", r"^ref: refs/heads/(\S+)\s+HEAD$", 1), F.lit(""))).alias("default_branch"), F.max(F.nullif(F.regexp_extract("value", r"^([0-9a-f]{40})\s+HEAD$", 1), F.lit(""))).alias("head")
-    )
+def remote_probe(lines: DataFrame, *keys: str) -> DataFrame:
+    """default_branch and head of symbolic listings, one for each of keys: "ref: refs/heads/x<TAB>HEAD" and "object<TAB>HEAD"."""
+    said = lambda pattern: F.max(F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")))
+    return lines.groupBy(*keys).agg(said(r"^ref: refs/heads/(\S+)\s+HEAD$").alias("default_branch"), said(r"^([0-9a-f]{40})\s+HEAD$").alias("head"))
 
 
 def repository_bytes(lines: DataFrame) -> DataFrame:

@@ -212,12 +212,14 @@ def test_last_part_of_a_decorator_counts_and_conflicts_are_told(spark):
     assert got == {1: (None, None, True), 2: ("service", 0.95, False), 3: ("configuration", 0.85, False), 4: (None, None, False)}
 
 
-def test_ambiguous_names_are_not_resolved(spark):
-    refs = spark.createDataFrame([(1,), (2,), (3,)], "id long")
-    first = spark.createDataFrame([(1, 10), (1, 10), (2, 20), (2, 21)], "id long, candidate long")
-    second = spark.createDataFrame([(1, 99), (2, 99)], "id long, candidate long")
-    got = {r["id"]: (r["status"], r["target"]) for r in analysis.by_name(refs, [first, second]).collect()}
-    assert got == {1: ("resolved", 10), 2: ("ambiguous", None), 3: ("unresolved", None)}
+def test_names_go_to_the_first_tier_that_has_any(spark):
+    from cairn.operators.calls import resolved_names
+
+    components = spark.createDataFrame([(1, 1, "A", "A"), (2, 1, "A", "ns.A"), (3, 2, "A", "A"), (4, 2, "B", "B"), (5, 3, "C", "C"), (6, 3, "C", "C")], "component long, file_id long, name string, qualified_name string")
+    imports = spark.createDataFrame([(9, "X", 4, None), (9, "ns", 1, None), (2, "A", 1, None), (2, "A", 3, None), (9, "Gone", 99, None)], "file_id long, local_name string, target_symbol long, target_file long")
+    refs = spark.createDataFrame([(1, 9, "X"), (2, 9, "ns.A.q"), (3, 1, "A"), (4, 1, "ns.A"), (5, 2, "A"), (6, 9, "B"), (7, 9, "C"), (8, 9, "Gone"), (9, 7, "ns.A")], "id long, file_id long, name string")
+    got = {r["id"]: (r["tier"], r["status"], r["target"]) for r in resolved_names(refs, components, imports).collect()}
+    assert got == {1: (0, "resolved", 4), 2: (0, "resolved", 1), 3: (1, "ambiguous", None), 4: (1, "resolved", 2), 5: (0, "ambiguous", None), 6: (2, "resolved", 4), 7: (2, "ambiguous", None), 8: (None, "unresolved", None), 9: (2, "resolved", 2)}
 
 
 def test_ties_of_confidence(spark):
