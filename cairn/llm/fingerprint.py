@@ -290,8 +290,8 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the last the first; a lone document follows itself. The edited text is the document's own first
     part with its last half (rounded down) replaced by as many leading code points of the next
     document, or all of it. Null texts are empty. Two texts without paragraphs have likeness 1.
-    Other columns are left out. One shuffle of the texts; a range of ids is streamed, one batch of
-    rows and one row more in memory.
+    Other columns are left out. An empty table gives an empty result. One shuffle of the texts; a range
+    of ids is streamed, one batch of rows and one row more in memory.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id_"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text_"))

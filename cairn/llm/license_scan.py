@@ -172,7 +172,7 @@ def license_scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc
     """One row per document: doc_id, n_words, and matches, an array of (label, base, start, coverage) by start.
 
     Words are counted from 0. Null and empty texts have no words and no matches. Repeated rows are
-    scanned one by one. Other columns are left out. Without an index, one is built with the document
+    scanned one by one. Other columns are left out. An empty table gives an empty result. Without an index, one is built with the document
     frequencies of docs (a first pass over all texts; a few hundred counts reach the driver).
     """
     index = index or build_index(docs, text_col=text_col)

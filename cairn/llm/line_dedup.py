@@ -66,6 +66,7 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", tex
     A line is what stands between line feeds; blank lines are kept and never counted. A removed line
     takes one line feed with it. Null texts stay null, with n_lines 0. Null sites count as one site.
     Repeated rows are cleaned alike. Columns of docs named n_lines or n_removed are replaced.
+    An empty table gives an empty result.
     """
     with scope(docs.sparkSession):
         bad = saved(boilerplate(docs, min_sites, text_col, site_col), keep=True)

@@ -190,7 +190,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, source, size, source_size, target (its source's), taken (words the mix takes, repeats counted).
 
     Null texts have size 0; a null source is a source, the last. A document without words is taken
-    0 times. Repeated rows are documents of their own. Other columns are left out.
+    0 times. Repeated rows are documents of their own. Other columns are left out. An empty table gives an
+    empty result.
     """
     mix = Mix(docs, id_col, text_col, source_col, **options)
     # k and start name a document that has words, even among repeated rows

@@ -369,7 +369,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shingle; a text without words, or null, has none and is linked with nothing. Rows without a doc_id
     are linked with nothing either: component_id is null and kept true. Ids should be unique: each row
     has the component of its own text, and of several texts with one id a link of one may count for
-    the others. Other columns are left out.
+    the others. Other columns are left out. An empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession)
     try:

@@ -264,7 +264,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, i
 
     A document's tokens are its ids and END_ID, so null and empty texts have one token. Each id lies
     in one piece; sequences hold at most window tokens, offsets run from 0 without gaps. Repeated
-    rows are packed one by one. Other columns are left out. Texts aren't shuffled; the tokenizer's
-    file must be at tokenizer_path on each executor.
+    rows are packed one by one. Other columns are left out. An empty table gives an empty
+    result. Texts aren't shuffled; the tokenizer's file must be at tokenizer_path on each executor.
     """
     return pack(saved(pieces(docs, tokenizer_path, window, id_col, text_col)), window)

@@ -220,7 +220,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Null texts count as empty and are scored. A null doc_id is in no fold: held_out is false, and its
     row is never learned from. Without any usable label all scores are the same. Repeated rows are
-    scored alike. Other columns are left out.
+    scored alike. Other columns are left out. An empty table gives an
+    empty result.
     """
     rated = score(docs, train(docs, labels, id_col, text_col, label_col), (), id_col, text_col)
     return rated.select(F.col("id__").alias("doc_id"), F.coalesce(fold("id__") == HELD_OUT, F.lit(False)).alias("held_out"), F.col("score__").alias("score"), F.col("predicted__").alias("predicted"))

@@ -269,7 +269,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """One row per document: doc_id and spans, an array of (kind, start, end) in code points, end exclusive, by start, then the rules' order.
 
     Null and empty texts have no spans. Repeated rows are scanned one by one. Other columns are left
-    out. No shuffle.
+    out. An empty table gives an empty result. No shuffle.
     """
 
     def scan(part: pa.RecordBatch) -> dict:

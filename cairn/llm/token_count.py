@@ -267,7 +267,7 @@ def piece_bpe(path: str) -> PieceBpe:
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_bytes, n_tokens, over_limit (more tokens than limit).
 
-    Null texts count as empty (0 tokens). Other columns are left out, so names can't clash. The model
+    Null texts count as empty (0 tokens). Other columns are left out, so names can't clash. An empty table gives an empty result. The model
     file must be at model_path on each executor. No shuffle.
     """
 

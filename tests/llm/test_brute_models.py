@@ -137,3 +137,49 @@ def test_links_against_all_pairs_of_a_table(spark, data):
     print(f"recall of {len(links)} links: {recall:.6f}")
     assert recall == 1.0 and {i: r["component_id"] for i, r in got.items()} == {i: find(i) for i in sets}
     assert all(r["n_shingles"] == len(sets[i]) for i, r in got.items())
+
+
+def slow_features(text):
+    """Each feature by itself, character by character."""
+    import math
+    import zlib
+    from collections import Counter
+    from itertools import groupby
+
+    from cairn.llm import quality as q
+
+    words = [w for w in text.replace(b"\x0b", b" ").replace(b"\x0c", b" ").replace(b"\r", b" ").replace(b"\n", b" ").replace(b"\t", b" ").split(b" ") if w]
+    out = dict.fromkeys(q.FEATURES, 0.0) | {"log_bytes": math.log1p(len(text))}
+    if not words:
+        return list(out.values())
+    n, solid = len(words), sum(len(w) for w in words)
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    count = lambda ok: sum(1 for b in text if ok(b)) / solid
+    runs = [(b, sum(1 for _ in g)) for b, g in groupby(text)]
+    ends, inside = 0, False
+    for b in text:
+        ends += b in b".!?" and not inside
+        inside = b in b".!?"
+    pairs = {(a, b) for a, b in zip(words, words[1:])}
+    mean = solid / n
+    upper = lambda w: any(65 <= b <= 90 for b in w) and not any(97 <= b <= 122 for b in w)
+    out |= {
+        "log_words": math.log1p(n), "mean_word": mean, "long_words": sum(len(w) > 12 for w in words) / n, "short_words": sum(len(w) <= 2 for w in words) / n, "distinct_words": len(set(words)) / n, "top_word": max(Counter(words).values()) / n,
+        "repeated_pairs": 1 - len(pairs) / max(1, n - 1), "lines": math.log1p(len(lines)), "words_a_line": n / max(1, len(lines)), "repeated_lines": 1 - len(set(lines)) / max(1, len(lines)), "sentences": ends / n,
+        "upper": count(lambda b: 65 <= b <= 90), "lower": count(lambda b: 97 <= b <= 122), "digits": count(lambda b: 48 <= b <= 57), "marks": count(lambda b: b in b"#$%&*@^~|<>{}[]=_+\\/"), "punctuation": count(lambda b: b in b".,;:!?'\"-()"), "beyond_ascii": count(lambda b: b > 127),
+        "exclamations": text.count(b"!") / n, "bars": text.count(b"|") / n, "capital_words": sum(65 <= w[0] <= 90 for w in words) / n, "upper_words": sum(upper(w) for w in words) / n, "number_words": sum(all(48 <= b <= 57 for b in w) for w in words) / n,
+        "runs": sum(k > 2 for _, k in runs) / n, "compression": len(zlib.compress(text, 1)) / len(text), "word_spread": math.sqrt(sum((len(w) - mean) ** 2 for w in words) / n),
+    }
+    return [out[f] for f in q.FEATURES]
+
+
+def test_features_equal_slow_ones():
+    import random
+
+    from cairn.llm import quality as q
+
+    draw = random.Random(2)
+    alphabet = "aab  cXY Z019.!?,;'|#é日\n\n\t\r\x0b-(){}"
+    texts = ["", " ", "\n\t", "A", "A1", "!!!", "aaa bbb aaa", "Das ist ÉCOLE. Ja?!", "x" * 5000] + ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 400))) for _ in range(300)]
+    for t in texts:
+        assert q.features(t.encode()) == pytest.approx(slow_features(t.encode()), abs=1e-9), t

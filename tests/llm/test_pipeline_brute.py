@@ -91,3 +91,28 @@ def test_mix_then_packing(spark, frames):
         assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(piece)}I", *piece))
         got[r["doc_id"]] += r["length"]
     assert got == {i: len(x) for i, x in ids.items()}
+
+
+def test_the_whole_run_against_brute_force_stages(spark, frames, tmp_path):
+    rows = corpus()
+    frames(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 150)) for r in rows], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    good = {r["doc_id"] for r in q.quality_scores(frames(rows), labels).collect() if r["predicted"] == 1}
+    clean = cleaned([r for r in rows if r[0] in good])
+    root = groups(clean)
+    single = [r for r in clean if root[r[0]] == r[0]]
+    # which words the mix takes is tested slot by slot; here, that the run goes on with just these
+    mixed = pipe.source_weights(spark, frames(single), "").collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r["doc_id"]: [*library.encode(r["text"], add_special_tokens=False).ids, 1] for r in mixed}
+    got, used = defaultdict(int), defaultdict(list)
+    for r in pipe.run(spark, str(tmp_path)).collect():
+        piece = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(piece)}I", *piece)) and r["doc_tokens"] == len(want[r["doc_id"]])
+        got[r["doc_id"]] += r["length"]
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == {i: len(x) for i, x in want.items()}
+    for pieces in used.values():
+        ends = [0, *(o + n for o, n in sorted(pieces))]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
