@@ -47,6 +47,15 @@ def covers(positions: list[tuple[int, str, float]], wanted: set[str]) -> float:
     return total
 
 
+def impact() -> Column:
+    """The covers of a term alone: its places by weight class (n_a, n_b, n_c)."""
+    return WEIGHTS["A"] * F.col("n_a") + WEIGHTS["B"] * F.col("n_b") + WEIGHTS["C"] * F.col("n_c")
+
+
+def rank_of(r: Column) -> Column:
+    return SCALE * r / (r + 1)
+
+
 def rank(postings: DataFrame, query: list[str]) -> DataFrame:
     """id and rank of the documents that hold all terms of the query, by their postings (id, term, n_a, n_b, n_c, positions) of these terms.
 
@@ -58,14 +67,13 @@ def rank(postings: DataFrame, query: list[str]) -> DataFrame:
         return postings.select("id", F.lit(0.0).alias("rank")).limit(0)
     own = postings.filter(F.col("term").isin(wanted))
     if len(wanted) == 1:
-        r = WEIGHTS["A"] * F.col("n_a") + WEIGHTS["B"] * F.col("n_b") + WEIGHTS["C"] * F.col("n_c")
-        return own.select("id", (SCALE * r / (r + 1)).alias("rank"))
+        return own.select("id", rank_of(impact()).alias("rank"))
     term = F.array_position(F.array(*[F.lit(x) for x in wanted]), F.col("term")).cast("int")
     weight = lambda x: F.when(x["weight"] == "A", WEIGHTS["A"]).when(x["weight"] == "B", WEIGHTS["B"]).otherwise(WEIGHTS["C"])
     places = F.flatten(F.collect_list(F.transform("positions", lambda x: F.struct(x["position"].cast("int").alias("position"), term.alias("term"), weight(x).alias("weight")))))
     hits = own.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.array_sort(places).alias("hits")).filter(F.col("terms") == len(wanted))
     r = covered(F.col("hits"), len(wanted))
-    return hits.select("id", r.alias("r_")).select("id", (SCALE * F.col("r_") / (F.col("r_") + 1)).alias("rank"))
+    return hits.select("id", r.alias("r_")).select("id", rank_of(F.col("r_")).alias("rank"))
 
 
 def covered(hits: Column, n: int) -> Column:

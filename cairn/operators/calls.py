@@ -11,11 +11,12 @@ and ambiguous if not, so no set is ever spelled out however many classes share a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.canonical import identity
 from cairn.operators.ingest import enclosing
+from cairn.operators.ranges import RANGE_ROWS, numbered
 from cairn.sources.store import scratch, stored
 
 # HTTP methods by the decorators that make a method a route; the longest path that is kept.
@@ -23,8 +24,6 @@ HTTP_METHODS = {"All": "ALL", "Delete": "DELETE", "Get": "GET", "Head": "HEAD",
 PATH_LIMIT = 512
 #: Classes above a class that are climbed at most.
 DEPTH = 8
-#: Rows of a range in which rows of one key are numbered.
-RANGE_ROWS = 500_000
 
 
 def said(c: str | Column) -> Column:
@@ -164,24 +163,6 @@ def call_outputs(resolved: DataFrame) -> DataFrame:
     return resolved.select("id", F.when(linked, "relationship").otherwise("diagnostic").alias("output"), kind.alias("kind"), F.when(linked, F.col("target_component")).alias("target")).filter("kind is not null")
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], name: str, n: int, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """rows (n of them) with name, their number (from 0) within key in an order without ties; a key of many rows is dealt over many tasks.
-
-    Rows are dealt into ranges of (key, order), numbered inside each, and moved on by how many rows of
-    the key lie in the ranges before: a row for each range and key.
-    """
-    ranges = max(1, -(-n // range_rows))
-    if ranges == 1:
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
-    dealt = stored(rows.repartitionByRange(ranges, key, *order).withColumn("range_", F.spark_partition_id()), "ranges")
-    inside = dealt.withColumn("nth_", F.row_number().over(Window.partitionBy("range_", key).orderBy(*order)) - 1)
-    sums = dealt.groupBy("range_", key).agg(F.count(F.lit(1)).alias("held_"))
-    ahead = Window.partitionBy(key).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("base_", F.coalesce(F.sum("held_").over(ahead), F.lit(0))).select("range_", F.col(key).alias("key_"), "base_")
-    met = inside.join(base, (inside["range_"] == base["range_"]) & inside[key].eqNullSafe(base["key_"])).drop(base["range_"])
-    return met.withColumn(name, (F.col("nth_") + F.col("base_")).cast("int")).drop("range_", "key_", "nth_", "base_")
-
-
 def workflows(decorators: DataFrame, components: DataFrame, calls: DataFrame, resolved: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Facts of the workflows of routes, kind workflow or workflow_step.
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.enums import SOURCE_TYPES, ordinal
-from cairn.functions.cover_density import rank, weighted_terms
+from cairn.functions.cover_density import impact, rank, rank_of, weighted_terms
 from cairn.functions.text import query_terms, round6, terms
+from cairn.operators.ranges import RANGE_ROWS, numbered
 from cairn.sources.store import delete, listed, mark
 
 # Weights of the exact signals, of relations, and the cap of the graph's part.
@@ -23,6 +24,8 @@ OUTGOING_WEIGHT, GRAPH_CAP = 2, 50
 GRAPH_SEEDS, NEIGHBOURS, CANDIDATES = 10, 5, 50
 #: Ids that segments have replaced or removed and that may be broadcast (some 24 bytes each); more are met by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Ids that may stand in the plan of a page.
+PINNED = 1_000
 
 
 def optional_filters(df: DataFrame, **wanted) -> DataFrame:
@@ -115,11 +118,27 @@ def with_needle(table: DataFrame, needle: str) -> DataFrame:
     return hits.select("id") if len(own) == 1 else hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits_")).filter(F.col("hits_") == len(own)).select("id")
 
 
+def impacts(table: DataFrame) -> DataFrame:
+    """search_index_id, term, impact, id of postings: what a term alone weighs in a document."""
+    return table.select("search_index_id", "term", impact().alias("impact"), "id")
+
+
+def tops(table: DataFrame, rows: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """search_index_id, term, nth, impact: of impacts (as many rows), those of a term's 1st, 2nd, 4th, 8th, ... document. So many documents of the term weigh no less."""
+    keyed = table.withColumn("key_", F.concat_ws(":", "search_index_id", "term")).withColumn("less_", -F.col("impact"))
+    own = numbered(keyed, "key_", ["less_", "id"], "at_", rows, range_rows).withColumn("nth", (F.col("at_") + 1).cast("long"))
+    return own.filter(F.col("nth").bitwiseAND(F.col("nth") - 1) == 0).select("search_index_id", "term", "nth", "impact")
+
+
 def write_sorted(table: DataFrame, path: str, order: tuple[str, ...]) -> None:
     ranged = table.repartitionByRange("search_index_id", *order).sortWithinPartitions("search_index_id", *order)
     ranged.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("search_index_id").parquet(path)
 
 
+#: What an index is made of; one that is written whole has impacts and tops besides.
+TABLES = ("heads", "postings", "keys", "grams")
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """What queries read of search documents: heads (all but the content), postings of terms, keys in their order, and grams of paths. Content is never scanned by a query."""
@@ -128,6 +147,8 @@ class SearchIndex:
     postings: DataFrame
     keys: DataFrame
     grams: DataFrame
+    impacts: DataFrame | None = None
+    tops: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame) -> SearchIndex:
@@ -148,14 +169,15 @@ class SearchIndex:
             table.write.mode("overwrite").parquet(f"{root}/unsorted")
             write_sorted(spark.read.parquet(f"{root}/unsorted"), f"{root}/{name}", order)
             delete(spark, f"{root}/unsorted")
+        own = impacts(spark.read.parquet(f"{root}/postings"))
+        write_sorted(own, f"{root}/impacts", ("term", "impact", "id"))
+        held = spark.read.parquet(f"{root}/impacts")
+        write_sorted(tops(held, held.count()), f"{root}/tops", ("term", "nth"))
         return cls.read(spark, root)
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> SearchIndex:
-        return cls(*[spark.read.parquet(f"{root}/{name}") for name in ("heads", "postings", "keys", "grams")])
-
-
-TABLES = ("heads", "postings", "keys", "grams")
+        return cls(*[spark.read.parquet(f"{root}/{name}") for name in (*TABLES, "impacts", "tops")])
 
 
 class SegmentedIndex:
@@ -259,13 +281,21 @@ def candidates(docs: DataFrame | SearchIndex, raw: str, **filters) -> DataFrame:
     """
     index = docs if isinstance(docs, SearchIndex) else SearchIndex.of(docs)
     heads, needle = optional_filters(index.heads, **filters), lowered(index.heads.sparkSession, raw)
-    ranks = rank(index.postings, query_terms(raw))
+    return _scored(index, heads, raw, needle, rank(index.postings, query_terms(raw)))
+
+
+def _exact_ids(index: SearchIndex, needle: str) -> DataFrame:
+    """id and signals of documents that may match by a field."""
+    inside = with_needle(index.grams, needle).withColumn("path_contains", F.lit(True))
+    return key_signals(index.keys, needle).join(inside, "id", "full_outer")
+
+
+def _scored(index: SearchIndex, heads: DataFrame, raw: str, needle: str, ranks: DataFrame) -> DataFrame:
     names = [name for name, _ in SIGNALS]
     if needle == "":  # is everywhere
         met = exact_signals(heads, raw).join(ranks, "id", "left")
     else:
-        inside = with_needle(index.grams, needle).withColumn("path_contains", F.lit(True))
-        ids = key_signals(index.keys, needle).join(inside, "id", "full_outer").join(ranks, "id", "full_outer")
+        ids = _exact_ids(index, needle).join(ranks, "id", "full_outer")
         met = heads.join(ids, "id")
         met = met.withColumns({n: F.coalesce(n, F.lit(False)) for n in names}).withColumn("path_contains", F.col("path_contains") & F.contains(F.lower(F.coalesce(F.col("path"), F.lit(""))), F.lit(needle)))
     found = met.withColumns({"lexical": F.col("rank").isNotNull(), "rank": F.coalesce("rank", F.lit(0.0)), "exact": exact_score()})
@@ -275,6 +305,28 @@ def candidates(docs: DataFrame | SearchIndex, raw: str, **filters) -> DataFrame:
     return found.filter(hit).withColumn("score", round6(F.col("exact") + F.col("rank")))
 
 
+def first_page(index: SearchIndex, raw: str, page_number: int = 1, limit: int = 20) -> DataFrame:
+    """The page of all candidates in page_order, for a query of one term by fewer postings of it.
+
+    As many documents as the pages up to this one hold weigh no less than the impact that tops has for them; what
+    weighs less, by more than scores are rounded, and matches by no field can't enter. Impacts are sorted, so
+    the bound reaches the scan. Documents that match by a field are asked for by their ids, if they are few.
+    """
+    spark, wanted, needle, most = index.heads.sparkSession, query_terms(raw), lowered(index.heads.sparkSession, raw), page_number * limit
+    whole = lambda: page(candidates(index, raw), page_order(), page_number, limit)
+    if len(wanted) != 1 or index.tops is None or not needle:
+        return whole()
+    bound = index.tops.filter((F.col("term") == wanted[0]) & (F.col("nth") >= most)).agg(F.max("impact").alias("impact")).first()["impact"]
+    exact = [r["id"] for r in _exact_ids(index, needle).select("id").limit(PINNED + 1).collect()]
+    if bound is None or len(exact) > PINNED:
+        return whole()
+    bound -= 1e-7 * (bound + 1) ** 2  # weighs in a score what rounding may hide, several times over
+    heavy = index.impacts.filter((F.col("term") == wanted[0]) & (F.col("impact") >= bound)).select("id", "impact")
+    named = index.postings.filter((F.col("term") == wanted[0]) & F.col("id").isin(exact)).select("id", impact().alias("impact"))
+    ranks = heavy.unionByName(named).groupBy("id").agg(F.max("impact").alias("impact")).select("id", rank_of(F.col("impact")).alias("rank"))
+    return page(_scored(index, index.heads, raw, needle, ranks), page_order(), page_number, limit)
+
+
 def page_order() -> list[Column]:
     return [F.desc("score"), ordinal("source_type", SOURCE_TYPES).asc(), F.asc("title"), F.asc("id")]
 

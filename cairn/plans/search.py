@@ -68,7 +68,7 @@ def sea_match_filter(t: Tables) -> DataFrame:
 
 @query(f"SELECT id, source_type, title, score FROM ({CANDIDATES}) ORDER BY score DESC, {TYPE_ORDER}, title, id LIMIT 20")
 def sea_order_page(t: Tables) -> DataFrame:
-    return s.page(s.candidates(t.search_index, Q), s.page_order()).select("id", "source_type", "title", "score")
+    return s.first_page(t.search_index, Q).select("id", "source_type", "title", "score")
 
 
 @query(f"SELECT CAST(2 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_limit, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM ({CANDIDATES})")
@@ -147,7 +147,7 @@ def join_edge_in(t: Tables) -> DataFrame:
 
 @query(f"SELECT id, source_type, CAST(row_number() OVER (ORDER BY score DESC, {TYPE_ORDER}, title, id) AS INTEGER) AS seed_order FROM ({CANDIDATES}) ORDER BY score DESC, {TYPE_ORDER}, title, id LIMIT 10")
 def gx_seeds(t: Tables) -> DataFrame:
-    first = s.page(s.candidates(t.search_index, Q), s.page_order(), 1, s.GRAPH_SEEDS)
+    first = s.first_page(t.search_index, Q, 1, s.GRAPH_SEEDS)
     rows = first.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("a"), F.array_position(F.array(*map(F.lit, ("file", "symbol", "knowledge_node"))), F.col("source_type")).alias("b"), "title", "id", "source_type"))).alias("x"))
     return rows.select(F.posexplode("x").alias("pos", "x")).select("x.id", "x.source_type", (F.col("pos") + 1).alias("seed_order"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.operators import calls as c
 from cairn.operators import knowledge as kn
 from cairn.operators.analysis import fact_violations, rule_text
+from cairn.operators.ranges import numbered
 from cairn.operators.rules import Limits, exceeded, measured
 from cairn.operators.states import state_facts
 from cairn.plans.packs import packed
@@ -69,7 +70,7 @@ def test_inherited_members_are_of_the_nearest_class_above(spark, code):
 @pytest.mark.parametrize("range_rows", [1_000, 7])
 def test_numbers_within_keys_over_ranges(spark, range_rows):
     rows = [("hot" if k % 2 else f"k{k % 5}", k * 7 % 101) for k in range(101)] + [(None, 500), (None, 501)]
-    got = c.numbered(spark.createDataFrame(rows, "key string, at int").repartition(3), "key", ["at"], "nth", len(rows), range_rows).collect()
+    got = numbered(spark.createDataFrame(rows, "key string, at int").repartition(3), "key", ["at"], "nth", len(rows), range_rows).collect()
     by = {}
     for r in got:
         by.setdefault(r["key"], []).append((r["nth"], r["at"]))
