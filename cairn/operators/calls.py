@@ -129,10 +129,10 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame, components: DataFrame,
     receivers resolve to nothing. With climb, a class also has the members of up to so many classes
     above it, of the nearest one that has them. A component's last injection of a parameter counts.
     """
-    home = homes(symbols, components)
+    # each of these is read several times
+    home = stored(homes(symbols, components), "homes")
     own = spans(members(symbols, components), ["component", "member"])
-    if climb:
-        own = inherited(own, lineage(extends, climb))
+    own = stored(inherited(own, lineage(extends, climb)) if climb else own, "members")
     asked = calls.select("id", "file_id", "symbol_id", said("receiver").alias("receiver"), said("member").alias("member")).join(home, "symbol_id", "left")
     inside, receiver, usable = F.col("component").isNotNull(), F.col("receiver"), asked.filter("member is not null")
     this = usable.filter(inside & (receiver == "this")).select("id", "component", "member")
@@ -142,7 +142,7 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame, components: DataFrame,
     given = typed.groupBy("component", "parameter").agg(F.max_by("type_", "ord").alias("name")).join(components.select("component", "file_id"), "component")
     by_field = usable.filter(inside & F.startswith(receiver, F.lit("this."))).select("id", "component", F.substr(receiver, F.lit(6)).alias("parameter"), "member").join(given, ["component", "parameter"]).select("id", "file_id", "name", "member")
     by_name = usable.filter(receiver.isNotNull() & ~F.contains(receiver, F.lit(".")) & ~(inside & receiver.isin("this", "super"))).select("id", "file_id", receiver.alias("name"), "member")
-    found = this.unionByName(above).join(own, ["component", "member"]).select("id", "low", "high").unionByName(named(by_field.unionByName(by_name), components, imports, own))
+    found = stored(this.unionByName(above).join(own, ["component", "member"]).select("id", "low", "high").unionByName(named(by_field.unionByName(by_name), components, imports, own)), "found")
     names = spans(symbols, ["file_id", "name"], "id")
     spaces = imports.filter("target_file is not null").select("file_id", F.col("local_name").alias("name"), "target_file").distinct()
     spaced = by_name.join(found.select("id"), "id", "left_anti").join(spaces, ["file_id", "name"]).join(names.select(F.col("file_id").alias("target_file"), F.col("name").alias("member"), "low", "high"), ["target_file", "member"]).select("id", "low", "high")

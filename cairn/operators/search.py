@@ -354,17 +354,39 @@ def _ways(outgoing: bool | None) -> list[tuple[str, str, str]]:
     return [x for x in (("source", "target", "outgoing"), ("target", "source", "incoming")) if outgoing is None or (x[2] == "outgoing") == outgoing]
 
 
-def _dependency_ways(deps: DataFrame, outgoing: bool | None) -> DataFrame:
+def _from(df: DataFrame, columns: dict[str, list[str]], starts: dict[str, list[int]] | None) -> DataFrame:
+    """The rows of df that may begin at one of the keys, by columns of each kind of key, where the keys are few; their values reach the scan."""
+    if starts is None:
+        return df
+    wanted = F.lit(False)
+    for kind, own in columns.items():
+        for c in own if starts.get(kind) else []:
+            wanted = wanted | F.col(c).isin(starts[kind])
+    return df.filter(wanted)
+
+
+def _starts(seeds: DataFrame) -> dict[str, list[int]] | None:
+    """Values of the seeds' keys by kind; None if they are too many for a plan. Seeds that are rows of the plan itself cost no job."""
+    rows = seeds.select("code_symbol_id", "indexed_file_id", "knowledge_node_id").limit(PINNED + 1).collect()
+    if len(rows) > PINNED:
+        return None
+    return {k: sorted({r[c] for r in rows if r[c] is not None}) for k, c in (("s", "code_symbol_id"), ("f", "indexed_file_id"), ("n", "knowledge_node_id"))}
+
+
+def _dependency_ways(deps: DataFrame, outgoing: bool | None, starts: dict[str, list[int]] | None) -> DataFrame:
     """A row for each way along a dependency: near, the key it starts from, and far, the key it leads to (the symbol, or else the file). One scan for all."""
     rows = []
     for near, far, way in _ways(outgoing):
         to = F.coalesce(_key("s", F.col(f"{far}_symbol_id")), _key("f", F.col(f"{far}_indexed_file_id"), F.col(f"{far}_file_hash_id")))
         for start in (_key("s", F.col(f"{near}_symbol_id")), _key("f", F.col(f"{near}_indexed_file_id"), F.col(f"{near}_file_hash_id"))):
             rows.append(F.when(start.isNotNull() & to.isNotNull(), F.struct(F.lit(way).alias("direction"), start.alias("near"), to.alias("far"))))
+    nears = [near for near, _, _ in _ways(outgoing)]
+    deps = _from(deps, {"s": [f"{x}_symbol_id" for x in nears], "f": [f"{x}_indexed_file_id" for x in nears]}, starts)
     return deps.select(F.lit("code_dependency").alias("graph_source"), "kind", "id", F.explode(F.array_compact(F.array(*rows))).alias("x"))
 
 
-def _edge_ways(edges: DataFrame, outgoing: bool | None) -> DataFrame:
+def _edge_ways(edges: DataFrame, outgoing: bool | None, starts: dict[str, list[int]] | None) -> DataFrame:
+    edges = _from(edges, {"n": [f"{near}_node_id" for near, _, _ in _ways(outgoing)]}, starts)
     rows = [F.struct(F.lit(way).alias("direction"), _key("n", F.col(f"{near}_node_id")).alias("near"), _key("n", F.col(f"{far}_node_id")).alias("far")) for near, far, way in _ways(outgoing)]
     return edges.select(F.lit("knowledge_edge").alias("graph_source"), "kind", "id", F.explode(F.array(*rows)).alias("x"))
 
@@ -386,16 +408,17 @@ def _relations(seeds: DataFrame, ways: DataFrame, docs: DataFrame) -> DataFrame:
 
 def dependency_relations(seeds: DataFrame, deps: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
     """Neighbours of seeds by code dependencies: of its symbol, or of its file where it has none."""
-    return _relations(seeds, _dependency_ways(deps, outgoing), docs)
+    return _relations(seeds, _dependency_ways(deps, outgoing, _starts(seeds)), docs)
 
 
 def edge_relations(seeds: DataFrame, edges: DataFrame, docs: DataFrame, outgoing: bool) -> DataFrame:
-    return _relations(seeds, _edge_ways(edges, outgoing), docs)
+    return _relations(seeds, _edge_ways(edges, outgoing, _starts(seeds)), docs)
 
 
 def relations(seeds: DataFrame, deps: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
     """Neighbours of all kinds and both directions: dependencies, edges and documents are each read once."""
-    return _relations(seeds, _dependency_ways(deps, None).unionByName(_edge_ways(edges, None)), docs)
+    starts = _starts(seeds)
+    return _relations(seeds, _dependency_ways(deps, None, starts).unionByName(_edge_ways(edges, None, starts)), docs)
 
 
 def deduplicated(rel: DataFrame) -> DataFrame:
