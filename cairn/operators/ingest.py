@@ -113,11 +113,39 @@ def enclosing(items: DataFrame, ranges: DataFrame, keys: list[str], range_id: st
     return met.groupBy(*keys).agg(F.min_by(range_id, F.struct(F.col("to_") - F.col("from_"), F.col(range_id))).alias(range_id))
 
 
+def _cover(low: str, high: str) -> Column:
+    """The aligned blocks of 2 ** level offsets that together are low to high, as structs of level and block: two of each level at most, none if high is less than low."""
+    levels = f"sequence(0, CAST(log2(greatest({high} - {low} + 1, 1)) AS INT) + 1)"
+    # of each level the first block when its number is odd, and the last when it is even; the others lie in larger blocks
+    first, end = f"shiftright({low} + shiftleft(1L, k) - 1, k)", f"shiftright({high} + 1, k)"
+    block = lambda at, odd: f"IF({first} < {end} AND ({odd}) & 1 = 1, array(named_struct('level_', k, 'block_', {at})), array())"
+    return F.expr(f"flatten(transform({levels}, k -> concat({block(first, first)}, {block(end + ' - 1', end)})))")
+
+
+def _blocks(at: str, deepest: int) -> Column:
+    """The block of each level that holds an offset."""
+    return F.expr(f"transform(sequence(0, {deepest}), k -> named_struct('level_', k, 'block_', shiftright({at}, k)))")
+
+
+def _deepest(ranges: DataFrame, low: str, high: str) -> int:
+    """The level of the largest blocks that ranges are made of."""
+    return max(1, ranges.agg(F.max(F.col(high) - F.col(low) + 1).cast("long").alias("n")).first()["n"] or 1).bit_length()
+
+
 def smallest_enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """points (id, file_id, at_offset) with the narrowest range (range_id) of the same file around them."""
-    own = ranges.select(F.col("indexed_file_id").alias("file_id"), F.col("id").alias("range_id"), "start_offset", "end_offset")
-    items = points.select("id", "file_id", F.col("at_offset").alias("start_offset"), F.col("at_offset").alias("end_offset"))
-    return points.join(enclosing(items, own, ["id"], "range_id"), "id", "left")
+    """points (id, file_id, at_offset) with the narrowest range (range_id) of the same file around them.
+
+    A range is the few blocks of its cover, and of each block's ranges only the narrowest is kept; a place
+    asks the block of each level that holds it. So rows grow with the logarithm of a range's length, however many ranges
+    lie around a place, and places that repeat ask once.
+    """
+    own = ranges.select(F.col("indexed_file_id").alias("file_id"), F.col("id").alias("range_id"), F.col("start_offset").cast("long").alias("from_"), F.col("end_offset").cast("long").alias("to_"))
+    own = own.groupBy("file_id", "from_", "to_").agg(F.min("range_id").alias("range_id"))
+    narrowest = own.select("file_id", F.struct(F.col("to_") - F.col("from_"), F.col("range_id").alias("range_id")).alias("best_"), F.explode(_cover("from_", "to_")).alias("x")).groupBy("file_id", "x.level_", "x.block_").agg(F.min("best_").alias("best_"))
+    places = points.select("file_id", "at_offset").distinct()
+    asked = places.select("file_id", "at_offset", F.explode(_blocks("CAST(at_offset AS BIGINT)", _deepest(own, "from_", "to_"))).alias("x")).select("file_id", "at_offset", "x.*")
+    found = asked.join(narrowest, ["file_id", "level_", "block_"]).groupBy("file_id", "at_offset").agg(F.min("best_").getField("range_id").alias("range_id"))
+    return points.join(found, ["file_id", "at_offset"], "left")
 
 
 def normalized_imports(imports: DataFrame) -> DataFrame:
