@@ -148,6 +148,27 @@ def smallest_enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return points.join(found, ["file_id", "at_offset"], "left")
 
 
+def members(symbols: DataFrame, prefix: int) -> DataFrame:
+    """component and method: pairs of different symbols (id, indexed_file_id, qualified_name, start_offset, end_offset) of a file, the method within the component's range, its qualified name beginning with the first characters (prefix of them) of the component's.
+
+    Pairs are found among ranges that differ, by the block of the component's cover that holds where the method
+    begins: a range meets only those that cover its beginning. Then both sides take the symbols of their range.
+    """
+    own = symbols.select("indexed_file_id", "id", F.col("start_offset").cast("long").alias("from_"), F.col("end_offset").cast("long").alias("to_"), F.substring("qualified_name", 1, prefix).alias("head_"))
+    keys = ["indexed_file_id", "from_", "to_", "head_"]
+    spans = own.select(*keys).distinct()
+    side = lambda p, rows: rows.select("indexed_file_id", *[F.col(c).alias(p + c) for c in keys[1:]], *[c for c in rows.columns if c not in keys])
+    outer = side("c_", spans.select(*keys, F.explode(_cover("from_", "to_")).alias("x")).select(*keys, "x.*"))
+    inner = side("m_", spans.filter("to_ >= from_").select(*keys, F.explode(_blocks("from_", _deepest(spans, "from_", "to_"))).alias("x")).select(*keys, "x.*"))
+    # a range that ends before it begins may lie in ranges that don't cover its beginning
+    odd = side("m_", spans.filter("to_ < from_"))
+    met = outer.join(inner, ["indexed_file_id", "level_", "block_"]).drop("level_", "block_").unionByName(side("c_", spans).join(odd, "indexed_file_id").filter("m_from_ >= c_from_"))
+    pairs = met.filter("m_to_ <= c_to_ AND startswith(m_head_, c_head_)")
+    held = lambda p, name: side(p, own.withColumnRenamed("id", name))
+    both = pairs.join(held("c_", "component"), ["indexed_file_id", "c_from_", "c_to_", "c_head_"]).join(held("m_", "method"), ["indexed_file_id", "m_from_", "m_to_", "m_head_"])
+    return both.filter("method <> component").select("component", "method")
+
+
 def normalized_imports(imports: DataFrame) -> DataFrame:
     """Dependency rows of imports (id, module, default_import, namespace_import, named: array of (imported, local)): a row for each binding, or a bare one."""
     row = lambda target, local: F.struct(target.alias("target_name"), local.alias("local_name"))

@@ -202,10 +202,7 @@ def join_containment(t: Tables) -> DataFrame:
 
 @query("SELECT c.id AS component, m.id AS method FROM {symbols} c JOIN {symbols} m ON m.indexed_file_id = c.indexed_file_id AND c.kind = 'class' AND m.kind = 'class' AND m.id <> c.id AND m.start_offset >= c.start_offset AND m.end_offset <= c.end_offset AND starts_with(m.qualified_name, substr(c.qualified_name, 1, 6))")
 def join_members(t: Tables) -> DataFrame:
-    classes = t.symbols.filter("kind = 'class'")
-    c = classes.select("indexed_file_id", F.col("id").alias("component"), F.col("start_offset").alias("a"), F.col("end_offset").alias("b"), F.substring("qualified_name", 1, 6).alias("prefix"))
-    m = classes.select("indexed_file_id", F.col("id").alias("method"), "start_offset", "end_offset", "qualified_name")
-    return c.join(m, "indexed_file_id").filter("method <> component AND start_offset >= a AND end_offset <= b AND startswith(qualified_name, prefix)").select("component", "method")
+    return g.members(t.symbols.filter("kind = 'class'"), 6)
 
 
 @query(

@@ -48,3 +48,18 @@ def test_a_file_of_many_ranges_makes_few_rows_for_each_place(spark):
     assert {r["id"]: r["range_id"] for r in rows} == {k: k for k in range(n)}
     # each range is around half of the places
     assert made < 30 * n
+
+
+def test_members_equal_brute_force(spark):
+    rows, symbols = _ranges(spark, 220, 2)
+    got = sorted((r["component"], r["method"]) for r in ingest.members(symbols, 6).collect())
+    want = [(c[0], m[0]) for c in rows for m in rows if c[1] is not None and c[1] == m[1] and c[0] != m[0] and m[3] >= c[3] and m[4] <= c[4] and m[2].startswith(c[2][:6])]
+    assert got == sorted(want) and want
+
+
+def test_classes_of_a_file_meet_by_where_they_lie(spark, data):
+    from cairn.plans import QUERIES
+
+    df = QUERIES["join_members"](spark, data)
+    df.collect()
+    assert "block_" in df._jdf.queryExecution().executedPlan().toString()
