@@ -80,20 +80,20 @@ def resolved_symbols(references: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Nothing for * or no name; for default the only default export; else the only symbol with that
     qualified name, else the only exported one with the last part as name, else the only one. What is
-    ambiguous stays null. One equi-join on the file and name, then counts per reference.
+    ambiguous stays null. Names of a file are resolved once, by one row of counts for each name and
+    qualified name, so symbols that share a name cost no row for each reference.
     """
     last = F.regexp_extract(F.col("target_name"), r"([^.]*)$", 1)
-    named = references.filter(F.col("target_name").isNotNull() & ~F.col("target_name").isin("*", "default", "")).withColumn("simple_", last)
-    own = symbols.select(F.col("indexed_file_id").alias("file_id"), F.col("name").alias("simple_"), F.col("id").alias("symbol_"), "qualified_name", "exported")
-    met = named.select("id", "file_id", "simple_", "target_name").join(own, ["file_id", "simple_"])
-    exact, out = F.col("qualified_name") == F.col("target_name"), F.col("exported")
-    tiers = met.groupBy("id").agg(
-        F.count_if(exact).alias("n1"), F.max(F.when(exact, F.col("symbol_"))).alias("s1"), F.count_if(out).alias("n2"), F.max(F.when(out, F.col("symbol_"))).alias("s2"), F.count(F.lit(1)).alias("n3"), F.max("symbol_").alias("s3")
-    )
-    chosen = tiers.select("id", F.when(F.col("n1") == 1, F.col("s1")).when(F.col("n2") == 1, F.col("s2")).when(F.col("n3") == 1, F.col("s3")).alias("by_name"))
-    defaults = symbols.filter("default_export").groupBy(F.col("indexed_file_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("only")).filter("n = 1").select("file_id", "only")
-    joined = references.join(chosen, "id", "left").join(defaults, "file_id", "left")
-    return joined.withColumn("target_symbol_id", F.when(F.col("target_name") == "default", F.col("only")).otherwise(F.col("by_name"))).drop("only", "by_name")
+    asked = references.select("file_id", "target_name").filter(F.col("target_name").isNotNull() & ~F.col("target_name").isin("*", "")).distinct().withColumn("simple_", F.when(F.col("target_name") != "default", last))
+    own = symbols.select(F.col("indexed_file_id").alias("file_id"), F.col("name").alias("simple_"), F.col("qualified_name").alias("target_name"), F.col("id").alias("symbol_"), "exported")
+    n, out = F.count(F.lit(1)), F.col("exported")
+    exact = own.groupBy("file_id", "simple_", "target_name").agg(n.alias("n1"), F.max("symbol_").alias("s1"))
+    named = own.groupBy("file_id", "simple_").agg(F.count_if(out).alias("n2"), F.max(F.when(out, F.col("symbol_"))).alias("s2"), n.alias("n3"), F.max("symbol_").alias("s3"))
+    defaults = symbols.filter("default_export").groupBy(F.col("indexed_file_id").alias("file_id")).agg(n.alias("n"), F.max("id").alias("only")).filter("n = 1").select("file_id", "only")
+    met = asked.join(named, ["file_id", "simple_"], "left").join(exact, ["file_id", "simple_", "target_name"], "left").join(defaults, "file_id", "left")
+    by_name = F.when(F.col("n1") == 1, F.col("s1")).when(F.col("n2") == 1, F.col("s2")).when(F.col("n3") == 1, F.col("s3"))
+    chosen = met.select("file_id", "target_name", F.when(F.col("target_name") == "default", F.col("only")).otherwise(by_name).alias("target_symbol_id"))
+    return references.join(chosen, ["file_id", "target_name"], "left")
 
 
 #: Width of the offset buckets by which ranges and what lies inside them meet.

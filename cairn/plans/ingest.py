@@ -168,9 +168,7 @@ RESOLVED = f"""SELECT x.id, x.file_id, x.target_name, CASE WHEN x.target_name =
 
 def _references(t: Tables) -> DataFrame:
     # a reference may repeat in this stand-in: its identity is all its columns
-    own = t.references_to.select("id", "file_id", "target_name").distinct()
-    key = F.xxhash64("id", "file_id", "target_name")
-    return g.resolved_symbols(own.select(key.alias("id"), F.col("id").alias("reference"), "file_id", "target_name"), t.symbols).withColumn("id", F.col("reference")).drop("reference")
+    return g.resolved_symbols(t.references_to.select("id", "file_id", "target_name").distinct(), t.symbols)
 
 
 @query(RESOLVED)

@@ -63,3 +63,14 @@ def test_classes_of_a_file_meet_by_where_they_lie(spark, data):
     df = QUERIES["join_members"](spark, data)
     df.collect()
     assert "block_" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_symbols_of_one_name_make_no_row_for_each_reference(spark):
+    n = 400
+    symbols = spark.createDataFrame([(k, 1, "a", f"Q{k}.a", False, k == 3) for k in range(n)], "id long, indexed_file_id long, name string, qualified_name string, exported boolean, default_export boolean")
+    names = ["a", "default", "*", "", None, "b", "x.default"]
+    refs = spark.createDataFrame([(k, 1, f"Q{k}.a" if k % 2 else names[k // 2 % len(names)]) for k in range(n)], "id long, file_id long, target_name string")
+    rows, made = joined_rows(spark, ingest.resolved_symbols(refs, symbols))
+    want = {k: k if k % 2 else 3 if names[k // 2 % len(names)] == "default" else None for k in range(n)}
+    assert {r["id"]: r["target_symbol_id"] for r in rows} == want and len(rows) == n
+    assert made < 10 * n
