@@ -74,3 +74,19 @@ def test_symbols_of_one_name_make_no_row_for_each_reference(spark):
     want = {k: k if k % 2 else 3 if names[k // 2 % len(names)] == "default" else None for k in range(n)}
     assert {r["id"]: r["target_symbol_id"] for r in rows} == want and len(rows) == n
     assert made < 10 * n
+
+
+def test_reading_sources_is_dealt_over_tasks(spark):
+    from cairn.sources.typescript import parsed
+
+    files = spark.createDataFrame([(k, f"p{k}.ts", f"export class C{k} {{}}") for k in range(64)], "id long, path string, text string").coalesce(1)
+    read = parsed(files, only=["symbols"], keep=["path"])
+    assert read.columns == ["id", "symbols", "path"] and read.rdd.getNumPartitions() > 4
+    assert sorted((r["id"], r["path"], r["symbols"][0]["name"]) for r in read.collect()) == [(k, f"p{k}.ts", f"C{k}") for k in range(64)]
+
+
+def test_facts_of_states_are_never_held_by_the_driver(spark, data):
+    from cairn.plans import QUERIES
+
+    plan = QUERIES["ana_state"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
