@@ -34,10 +34,10 @@ def state_facts(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     roles = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     seen = read.select(F.col("id").alias("file_id"), "path", F.posexplode("states").alias("nth_", "x")).select("file_id", "path", "nth_", "x.*").withColumn("identity_key", state_key(F.col("state_set"), F.col("state")))
     first = F.min_by(F.struct(F.col("state").alias("name"), F.col("state_set").alias("value")), "nth_").alias("f")
-    states = seen.groupBy("file_id", "path", "identity_key").agg(first, F.min("nth_").alias("nth_"), F.max("confidence_pct").alias("confidence_pct"))
-    states = states.select("file_id", "path", "identity_key", "f.*", (F.col("file_id") * (2 * MOST) + F.col("nth_")).alias("fact_id"), "confidence_pct", (F.col("confidence_pct") == 100).alias("deterministic"))
-    places = seen.groupBy("file_id", "identity_key", "offset", "end_offset", "how").agg(F.min("nth_").alias("nth_"))
-    places = places.join(states.select("file_id", "identity_key", "fact_id"), ["file_id", "identity_key"])
+    seen = seen.withColumn("first_", F.min("nth_").over(Window.partitionBy("file_id", "identity_key"))).withColumn("fact_id", F.col("file_id") * (2 * MOST) + F.col("first_"))
+    states = seen.groupBy("file_id", "identity_key", "path", "fact_id").agg(first, F.max("confidence_pct").alias("confidence_pct"))
+    states = states.select("path", "identity_key", "f.*", "fact_id", "confidence_pct", (F.col("confidence_pct") == 100).alias("deterministic"))
+    places = seen.groupBy("file_id", "identity_key", "fact_id", "offset", "end_offset", "how").agg(F.min("nth_").alias("nth_"))
     order = Window.partitionBy("fact_id").orderBy("nth_")
     backed = places.select("fact_id", (F.row_number().over(order) - 1).cast("long").alias("nth"), "file_id", F.col("offset").cast("long").alias("start_offset"), F.col("end_offset").cast("long").alias("end_offset"), roles[F.col("how")].alias("role"))
 
