@@ -233,15 +233,20 @@ SPANS = 1_000_000
 def first_offender(df: DataFrame, amount: str, key: str, limit: int, spans: int = SPANS) -> DataFrame:
     """The row (with running) at which the total in the order of an integer key first passes limit; empty if it never does.
 
-    Spans of keys are summed first, as many as spans at most, so the ordered window over all sees a row
-    per span, and only the span that passes the limit is looked at row by row.
+    Rows of one key count together, those without a key last; amounts may be negative or null. Spans of keys are summed
+    first, as many as spans at most, so the ordered window over all sees a row per span. Looked at row by row are the
+    first span that ends above the limit, and those before it whose positive amounts alone would pass it.
     """
     ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
     span = 1 if ends["low"] is None else max(4096, -(-(ends["high"] - ends["low"] + 1) // spans))
     bucket = F.floor(F.col(key) / span)
-    sums = df.groupBy(bucket.alias("span_")).agg(F.sum(amount).alias("sum_"))
-    before = F.sum("sum_").over(Window.orderBy("span_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum_")
-    crossing = sums.withColumn("before_", before).filter(F.col("before_") + F.col("sum_") > limit).orderBy("span_").limit(1).select("span_", "before_")
-    inside = df.withColumn("span_", bucket).join(F.broadcast(crossing), "span_")
-    running = F.col("before_") + F.sum(amount).over(Window.partitionBy("span_").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("running", running).filter(F.col("running") > limit).orderBy(key).limit(1).drop("span_", "before_")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = df.groupBy(bucket.alias("span_")).agg(zero(F.sum(amount)).alias("sum_"), zero(F.sum(F.greatest(F.col(amount), F.lit(0)))).alias("gain_"))
+    order = Window.orderBy(F.asc_nulls_last("span_")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.withColumn("before_", zero(F.sum("sum_").over(order)))
+    passed = ahead.withColumn("passed_", zero(F.sum((F.col("before_") + F.col("sum_") > limit).cast("int")).over(order)))
+    near = passed.filter((F.col("passed_") == 0) & (F.col("before_") + F.col("gain_") > limit)).select(F.col("span_").alias("near_"), "before_")
+    rows = df.withColumn("span_", bucket)
+    inside = rows.join(F.broadcast(near), rows["span_"].eqNullSafe(F.col("near_")))
+    running = F.col("before_") + F.sum(amount).over(Window.partitionBy("span_").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return inside.withColumn("running", running).filter(F.col("running") > limit).orderBy(F.asc_nulls_last(key)).limit(1).drop("span_", "near_", "before_")

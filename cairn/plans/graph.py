@@ -167,7 +167,7 @@ def agg_state_merge(t: Tables) -> DataFrame:
 def agg_budget(t: Tables) -> DataFrame:
     from cairn.operators.ingest import first_offender
 
-    own = t.orders.select(F.col("o_orderkey").alias("id"), F.round("o_totalprice").cast("long").alias("amount"))
+    own = t.orders.select(F.col("o_orderkey").alias("id"), F.rint("o_totalprice").cast("long").alias("amount"))
     return first_offender(own, "amount", "id", 1_000_000).select("id", "running")
 
 

@@ -90,3 +90,23 @@ def test_facts_of_states_are_never_held_by_the_driver(spark, data):
 
     plan = QUERIES["ana_state"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_budget_counts_keys_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from cairn.plans import ORACLE, QUERIES
+
+    con, cases = duckdb.connect(), {
+        "halves": [(1, 999999.0), (2, 0.5), (3, 0.5), (4, 1.5), (5, 7.0)],
+        "repeated": [(1, 400000.0), (2, 400000.0), (2, 400000.0), (2, 1.0), (3, 5.0)],
+        "falling": [(1, 900000.0), (2, 200000.0), (3, -500000.0), (90000, 900000.0)],
+        "without": [(None, 2.0), (1, 999999.0), (2, None), (None, 3.0)],
+        "below": [(1, 5.0)],
+    }
+    for name, rows in cases.items():
+        (tmp_path / name).mkdir()
+        path = f"{tmp_path}/{name}/orders.parquet"
+        con.execute(f"COPY (SELECT a::BIGINT AS o_orderkey, b::DOUBLE AS o_totalprice FROM (VALUES {', '.join(str(r).replace('None', 'NULL') for r in rows)}) v(a, b)) TO '{path}' (FORMAT parquet)")
+        con.execute(f"CREATE OR REPLACE VIEW orders AS SELECT * FROM read_parquet('{path}')")
+        assert [tuple(r) for r in QUERIES["agg_budget"](spark, f"{tmp_path}/{name}").collect()] == con.execute(ORACLE["agg_budget"]).fetchall(), name
