@@ -56,7 +56,7 @@ def _places() -> Column:
 
 def _evidence_of(facts: DataFrame, evidence: DataFrame, key: Column) -> DataFrame:
     """node_key and evidence: the distinct pieces of evidence of all facts with one key."""
-    own = facts.select("fact_id", key.alias("node_key")).join(evidence, "fact_id")
+    own = facts.select("fact_id", key.alias("node_key")).join(evidence.hint("merge"), "fact_id")
     return own.groupBy("node_key").agg(_places().alias("evidence"))
 
 
@@ -160,18 +160,18 @@ def states(facts: DataFrame, evidence: DataFrame) -> Projection:
     state_nodes = groups.join(_evidence_of(own, evidence, F.col("identity_key")).withColumnRenamed("node_key", "identity_key"), "identity_key").withColumn("kind", F.lit("state"))
     state_nodes = state_nodes.withColumn("fingerprint", _printed("kind", "identity_key", "name", "confidence_pct", "deterministic", "evidence"))
     moves = facts.filter("kind = 'state_transition'")
-    per_fact = evidence.groupBy("fact_id").agg(_places().alias("evidence"))
+    per_fact = evidence.groupBy("fact_id").agg(_places().alias("evidence")).hint("merge")
     move_nodes = moves.join(per_fact, "fact_id").withColumn("name", F.concat_ws(" ", F.col("name"), F.lit("→"), F.col("value"))).select(*NODE_COLUMNS)
     seen = marked(moves, own.select("identity_key").distinct(), "source_key", "target_key")
     lost = F.col("source_key").isNotNull() & ~F.col("source_key_known")
     to, whence, fine = seen.filter(~F.col("target_key_known")), seen.filter(lost), seen.filter(F.col("target_key_known") & ~lost)
     steps = fine.filter("source_key is not null").select(F.col("fact_id").alias("ord"), "fact_id", F.lit("transitions_to").alias("kind"), F.lit("state").alias("source_kind"), "source_key", F.lit("state").alias("target_kind"), "target_key", "confidence_pct", "deterministic")
-    met = around(evidence.filter("nth = 0").join(fine.select("fact_id", "identity_key", "confidence_pct", "deterministic"), "fact_id"), facts, evidence).filter("component is not null")
+    met = around(evidence.filter("nth = 0").join(fine.select("fact_id", "identity_key", "confidence_pct", "deterministic").hint("merge"), "fact_id"), facts, evidence).filter("component is not null")
     held = met.select(
         F.col("fact_id").alias("ord"), "fact_id", F.lit("enforces").alias("kind"), F.lit("architectural_component").alias("source_kind"), F.col("component").alias("source_key"), F.lit("state_transition").alias("target_kind"), F.col("identity_key").alias("target_key"),
         F.least("c_confidence", "confidence_pct").alias("confidence_pct"), (F.col("c_deterministic") & F.col("deterministic")).alias("deterministic"),
     )
-    edges = steps.unionByName(held).join(evidence.select("fact_id", "file_id", "start_offset", "end_offset", "role"), "fact_id")
+    edges = steps.unionByName(held).join(evidence.select("fact_id", "file_id", "start_offset", "end_offset", "role").hint("merge"), "fact_id")
     repeated = moves.groupBy("identity_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bad = _all(_violations("conflicting_state", groups.filter("conflict")), _violations("repeated_transition", repeated), _violations("unknown_target_state", to), _violations("unknown_source_state", whence))
     return Projection(_all(state_nodes.select(*NODE_COLUMNS), move_nodes), merged_edges(edges, "last"), bad)
