@@ -110,3 +110,12 @@ def test_budget_counts_keys_as_its_sql(spark, tmp_path):
         con.execute(f"COPY (SELECT a::BIGINT AS o_orderkey, b::DOUBLE AS o_totalprice FROM (VALUES {', '.join(str(r).replace('None', 'NULL') for r in rows)}) v(a, b)) TO '{path}' (FORMAT parquet)")
         con.execute(f"CREATE OR REPLACE VIEW orders AS SELECT * FROM read_parquet('{path}')")
         assert [tuple(r) for r in QUERIES["agg_budget"](spark, f"{tmp_path}/{name}").collect()] == con.execute(ORACLE["agg_budget"]).fetchall(), name
+
+
+def test_terms_of_an_index_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    from cairn.operators import search
+
+    docs, seen, made = spark.createDataFrame([(k, 1, f"n{k}", "title", f"alpha t{k}", f"p/{k}.ts", "ts", "class") for k in range(40)], "id long, search_index_id long, name string, title string, content string, path string, language string, kind string").coalesce(1), [], search.postings
+    monkeypatch.setattr(search, "postings", lambda d: seen.append(d.rdd.getNumPartitions()) or made(d))
+    index = search.SearchIndex.write(docs, str(tmp_path / "index"))
+    assert seen[0] > 4 and index.postings.filter("term = 'alpha'").count() == 40
