@@ -119,3 +119,43 @@ def test_terms_of_an_index_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search, "postings", lambda d: seen.append(d.rdd.getNumPartitions()) or made(d))
     index = search.SearchIndex.write(docs, str(tmp_path / "index"))
     assert seen[0] > 4 and index.postings.filter("term = 'alpha'").count() == 40
+
+
+def test_a_lookup_writes_the_tables_of_an_index_that_it_asks_for(spark, data, tmp_path):
+    import os
+
+    from cairn.operators import search
+    from cairn.plans.registry import Tables
+
+    assert not isinstance(Tables(spark, data).search_index, search.SearchIndex)
+    docs = spark.createDataFrame([(k, 1, "file", f"n{k}", "the title", f"alpha t{k}", f"p/{k}.ts", "ts", "class") for k in range(40)], "id long, search_index_id long, source_type string, name string, title string, content string, path string, language string, kind string")
+    index = search.IndexOnDemand(docs, str(tmp_path / "index"))
+    assert search.key_signals(index.keys, "the").count() == 40 and sorted(os.listdir(tmp_path / "index")) == ["heads", "keys"]
+    assert [r["id"] for r in search.first_page(index, "t7").collect()] == [7] and set(os.listdir(tmp_path / "index")) == set(search.WHOLE)
+
+
+def test_tops_are_rows_of_different_impacts(spark):
+    from cairn.operators import search
+
+    rows = [(1, "the", [0.2, 0.2, 1.4, 0.6][k % 4], k) for k in range(1_000)] + [(1, "rare", 0.2, 5), (2, "the", 1.0, 6)]
+    table = spark.createDataFrame(rows, "search_index_id long, term string, impact double, id long")
+    want, by = set(), {}
+    for scope, term, weight, _ in rows:
+        by.setdefault((scope, term), []).append(weight)
+    for key, weights in by.items():
+        weights.sort(reverse=True)
+        want |= {(*key, 1 << k, weights[(1 << k) - 1]) for k in range(len(weights).bit_length())}
+    assert {tuple(r) for r in search.tops(table).collect()} == want
+
+
+def test_terms_of_a_batch_are_made_a_few_documents_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from cairn.operators import search
+
+    monkeypatch.setattr(search, "CUT_BYTES", 100)
+    texts = ["x" * n for n in (250, 0, 40, 40, 40, 5, 300, 1)] + [None]
+    batch = pa.RecordBatch.from_pydict({"search_index_id": [1] * 9, "id": list(range(9)), "A": texts, "B": [""] * 9, "C": pa.nulls(9, pa.string())})
+    parts = list(search._cut(batch))
+    assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict() and len(parts) == 3
+    assert all(sum(len(x or "") for x in p.column(2).to_pylist()[1:]) < 100 for p in parts) and not list(search._cut(batch.slice(0, 0)))
