@@ -151,9 +151,11 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame, components: DataFrame,
     functions = spans(symbols.filter("kind = 'function'"), ["file_id", "name"], "id").withColumnRenamed("name", "member")
     free = bare.join(bound.unionByName(functions), ["file_id", "member"]).select("id", "low", "high")
     sets = found.unionByName(spaced).unionByName(free).groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # by the smallest candidate, as calls without a target would meet in one task
+    sets = sets.join(home.select(F.col("symbol_id").alias("low"), F.col("component").alias("component_")), "low", "left")
     one = F.col("low") == F.col("high")
-    out = asked.select("id", F.col("component").alias("source")).join(sets, "id", "left").withColumns({"status": F.when(one, "resolved").when(F.col("low").isNotNull(), "ambiguous").otherwise("unresolved"), "target": F.when(one, F.col("low"))})
-    return out.join(home.select(F.col("symbol_id").alias("target"), F.col("component").alias("target_component")), "target", "left").select("id", "source", "status", "target", "target_component")
+    out = asked.select("id", F.col("component").alias("source")).join(sets, "id", "left")
+    return out.select("id", "source", F.when(one, "resolved").when(F.col("low").isNotNull(), "ambiguous").otherwise("unresolved").alias("status"), F.when(one, F.col("low")).alias("target"), F.when(one, F.col("component_")).alias("target_component"))
 
 
 def call_outputs(resolved: DataFrame) -> DataFrame:

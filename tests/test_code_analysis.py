@@ -67,6 +67,24 @@ def test_inherited_members_are_of_the_nearest_class_above(spark, code):
     assert c.lineage(none).count() == 0 and c.resolved_calls(calls_of(spark), *code[:3], none, code[4], climb=4).filter("id = 2").first()["status"] == "unresolved"
 
 
+def test_calls_without_a_target_are_many_tasks(spark, code):
+    set_, held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}, {}
+    calls = calls_of(spark, [(k, 2, 14, "zz", "q", None) for k in range(400)] + [(400, 2, 14, "A", "load", None)])
+    try:
+        for k, v in set_.items():
+            held[k] = spark.conf.get(k)
+            spark.conf.set(k, v)
+        got = c.resolved_calls(calls, *code).select("id", "status", "target", "target_component", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    by = {}
+    for r in got:
+        by[r["task"]] = by.get(r["task"], 0) + 1
+    assert len(got) == 401 and max(by.values()) < 250
+    assert [(r["status"], r["target"], r["target_component"]) for r in sorted(got)[-1:]] == [("resolved", 11, 1)] and {r["target_component"] for r in got if r["id"] < 400} == {None}
+
+
 @pytest.mark.parametrize("range_rows", [1_000, 7])
 def test_numbers_within_keys_over_ranges(spark, range_rows):
     rows = [("hot" if k % 2 else f"k{k % 5}", k * 7 % 101) for k in range(101)] + [(None, 500), (None, 501)]
