@@ -133,7 +133,7 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame, components: DataFrame,
     home = stored(homes(symbols, components), "homes")
     own = spans(members(symbols, components), ["component", "member"])
     own = stored(inherited(own, lineage(extends, climb)) if climb else own, "members")
-    asked = calls.select("id", "file_id", "symbol_id", said("receiver").alias("receiver"), said("member").alias("member")).join(home, "symbol_id", "left")
+    asked = stored(calls.select("id", "file_id", "symbol_id", said("receiver").alias("receiver"), said("member").alias("member")).join(home, "symbol_id", "left"), "asked")
     inside, receiver, usable = F.col("component").isNotNull(), F.col("receiver"), asked.filter("member is not null")
     this = usable.filter(inside & (receiver == "this")).select("id", "component", "member")
     parents = extends.join(components.select(F.col("component").alias("parent")), "parent").select(F.col("child").alias("component"), "parent").distinct()
@@ -165,27 +165,45 @@ def call_outputs(resolved: DataFrame) -> DataFrame:
     return resolved.select("id", F.when(linked, "relationship").otherwise("diagnostic").alias("output"), kind.alias("kind"), F.when(linked, F.col("target_component")).alias("target")).filter("kind is not null")
 
 
-def workflows(decorators: DataFrame, components: DataFrame, calls: DataFrame, resolved: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Facts of the workflows of routes, kind workflow or workflow_step.
+def routes(decorators: DataFrame, components: DataFrame) -> DataFrame:
+    """The routes that lie in a controller: fact_id, symbol_id, component_key, http_method, route_path, handler, their range and workflow_key.
 
     decorators: fact_id, name, target_kind, target_name, path (the first argument, if it is a string),
-    symbol_id, file_id, start_offset, end_offset. components also have type, path and identity_key;
-    calls also identity_key, callee and start_offset. A route's workflow belongs to the narrowest
-    controller around it; its steps are the entry, 0, and its method's resolved calls in the order of
-    their offsets (calls without one last). It tells how many calls are unresolved and ambiguous.
+    symbol_id, file_id, start_offset, end_offset. components also have type, path and identity_key.
     """
     last = F.regexp_extract("name", r"([^.]*)$", 1)
     methods = F.create_map(*[F.lit(x) for pair in HTTP_METHODS.items() for x in pair])
-    routes = decorators.filter((F.col("target_kind") == "method") & last.isin(*HTTP_METHODS) & F.col("symbol_id").isNotNull() & F.col("start_offset").isNotNull())
+    own = decorators.filter((F.col("target_kind") == "method") & last.isin(*HTTP_METHODS) & F.col("symbol_id").isNotNull() & F.col("start_offset").isNotNull())
     controllers = components.filter("type = 'controller'").withColumns({"c_name": said("name"), "c_path": said("path")}).dropna(subset=["c_name", "c_path"]).select("identity_key", "file_id", "start_offset", "end_offset", "c_name", "c_path")
-    around = enclosing(routes.select("fact_id", "file_id", "start_offset", "end_offset"), controllers, ["fact_id"], "identity_key")
-    own = routes.join(around, "fact_id").join(controllers.select("identity_key", "c_name", "c_path"), "identity_key")
+    around = enclosing(own.select("fact_id", "file_id", "start_offset", "end_offset"), controllers, ["fact_id"], "identity_key")
+    own = own.join(around, "fact_id").join(controllers.select("identity_key", "c_name", "c_path"), "identity_key")
     handler = F.coalesce(said("target_name"), F.lit("<anonymous-route>"))
     path = F.when(F.length("path") <= PATH_LIMIT, F.col("path"))
-    own = own.select(
+    return own.select(
         "fact_id", "symbol_id", F.col("identity_key").alias("component_key"), methods[last].alias("http_method"), path.alias("route_path"), handler.alias("handler"), "file_id", "start_offset", "end_offset",
         identity("workflow", "c_path", "c_name", handler, methods[last], F.coalesce(path, F.lit(""))).alias("workflow_key"),
     )
+
+
+def sites(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """The calls in methods of routes: no other can be a step, so no other need be resolved for workflows."""
+    return calls.join(routes.select("symbol_id"), "symbol_id", "left_semi").select(*calls.columns)
+
+
+def workflows(decorators: DataFrame, components: DataFrame, calls: DataFrame, resolved: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Facts of the workflows of routes among decorators (see routes), from what all calls resolve to."""
+    return workflows_of(stored(routes(decorators, components), "routes"), components, calls, resolved, range_rows)
+
+
+def workflows_of(routes: DataFrame, components: DataFrame, calls: DataFrame, resolved: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Facts of the workflows of routes, kind workflow or workflow_step.
+
+    calls, those of routes at least, also have identity_key, callee and start_offset; resolved has a row
+    for each. A route's workflow belongs to the narrowest controller around it; its steps are the entry,
+    0, and its method's resolved calls in the order of their offsets (calls without one last). It tells
+    how many calls are unresolved and ambiguous.
+    """
+    own = routes
     sited = calls.select("id", "symbol_id", F.col("identity_key").alias("call_key"), "callee", F.col("file_id").alias("c_file"), F.col("start_offset").alias("at"), F.col("end_offset").alias("until")).join(resolved.select("id", "status", "target", "target_component"), "id")
     met = stored(own.select("fact_id", "symbol_id", "workflow_key").join(sited, "symbol_id"), "sites")  # counted, numbered and summed up
     counts = met.groupBy("fact_id").agg(F.count_if(F.col("status") == "resolved").alias("resolved_"), F.count_if(F.col("status") == "unresolved").cast("long").alias("unresolved"), F.count_if(F.col("status") == "ambiguous").cast("long").alias("ambiguous"))
@@ -195,16 +213,16 @@ def workflows(decorators: DataFrame, components: DataFrame, calls: DataFrame, re
     none = lambda kind: F.lit(None).cast(kind)
     heads = own.join(counts, "fact_id", "left").select(
         F.lit("workflow").alias("kind"), F.col("workflow_key").alias("identity_key"), F.concat("http_method", F.lit(" "), F.coalesce("route_path", F.lit("/")), F.lit(" → "), "handler").alias("name"), "workflow_key", none("int").alias("step"), none("string").alias("step_type"), "component_key",
-        F.col("symbol_id").alias("target"), (zero(F.col("resolved_")) + 1).alias("steps"), zero(F.col("unresolved")).alias("unresolved"), zero(F.col("ambiguous")).alias("ambiguous"), "fact_id", "file_id", "start_offset", "end_offset",
+        F.col("symbol_id").alias("target"), (zero(F.col("resolved_")) + 1).alias("steps"), zero(F.col("unresolved")).alias("unresolved"), zero(F.col("ambiguous")).alias("ambiguous"), "fact_id", "file_id", "start_offset", "end_offset", "handler",
     )
-    entry = heads.withColumns({"kind": F.lit("workflow_step"), "identity_key": identity("workflow_step", "workflow_key", F.lit("entry")), "step": F.lit(0), "step_type": F.lit("entrypoint"), "steps": none("long"), "unresolved": none("long"), "ambiguous": none("long")})
-    entry = entry.join(own.select("fact_id", "handler"), "fact_id").withColumn("name", F.col("handler")).drop("handler")
+    entry = heads.withColumns({"name": F.col("handler"), "kind": F.lit("workflow_step"), "identity_key": identity("workflow_step", "workflow_key", F.lit("entry")), "step": F.lit(0), "step_type": F.lit("entrypoint"), "steps": none("long"), "unresolved": none("long"), "ambiguous": none("long")})
+    heads, entry = heads.drop("handler"), entry.drop("handler")
     keys = components.select(F.col("component").alias("target_component"), F.col("identity_key").alias("component_key"))
     rest = steps.join(keys, "target_component", "left").select(
         F.lit("workflow_step").alias("kind"), identity("workflow_step", "workflow_key", "call_key").alias("identity_key"), F.coalesce(said("callee"), F.concat(F.lit("symbol:"), F.col("target").cast("string"))).alias("name"), "workflow_key", (F.col("nth") + 1).cast("int").alias("step"), F.lit("resolved_call").alias("step_type"), "component_key",
         "target", none("long").alias("steps"), none("long").alias("unresolved"), none("long").alias("ambiguous"), "fact_id", F.col("c_file").alias("file_id"), F.col("at").alias("start_offset"), F.col("until").alias("end_offset"),
     )
-    return heads.unionByName(entry.select(*heads.columns)).unionByName(rest)
+    return heads.unionByName(entry).unionByName(rest)
 
 
 def beyond_limits(facts: DataFrame, most_workflows: int, most_steps: int, most_each: int) -> DataFrame:

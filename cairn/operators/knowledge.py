@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.canonical import identity
 from cairn.operators.ingest import enclosing
+from cairn.sources.store import stored
 
 # Confidence of an anchor that stands in for a component, by whether its symbol is known.
 SYMBOL_ANCHOR, FILE_ANCHOR = 90, 75
@@ -217,16 +218,19 @@ def workflows(facts: DataFrame, components: DataFrame) -> Projection:
     an unknown workflow, and an unknown component are violations; a workflow with any of the first two has
     no edges between its steps.
     """
-    heads, steps = facts.filter("kind = 'workflow'"), facts.filter("kind = 'workflow_step'")
-    n = F.count(F.lit(1))
-    groups = heads.groupBy("workflow_key").agg(n.alias("heads_"), F.max("steps").alias("steps_"))
-    numbers = steps.groupBy("workflow_key").agg(n.alias("held_"), F.min("step").alias("low_"), F.max("step").alias("high_"), F.count_distinct("step").alias("own_"))
-    met = groups.join(numbers, "workflow_key", "full_outer")
+    head, part = F.col("kind") == "workflow", F.col("kind") == "workflow_step"
+    step = F.when(part, F.col("step"))
+    # facts without a workflow's key don't belong together
+    apart = F.when(F.col("workflow_key").isNull(), F.col("kind")).alias("apart_")
+    groups = facts.filter(head | part).groupBy("workflow_key", apart).agg(
+        F.count_if(head).alias("heads_"), F.max(F.when(head, F.col("steps"))).alias("steps_"), F.count_if(part).alias("held_"), F.min(step).alias("low_"), F.max(step).alias("high_"), F.count_distinct(step).alias("own_")
+    )
     whole = (F.col("held_") == F.col("steps_")) & (F.col("low_") == 0) & (F.col("high_") == F.col("held_") - 1) & (F.col("own_") == F.col("held_"))
-    state = F.when(F.col("heads_").isNull(), "orphan_step").when(F.col("heads_") > 1, "repeated_workflow").when(~F.coalesce(whole, F.lit(False)), "invalid_steps").otherwise("fine")
-    states_ = met.select("workflow_key", state.alias("state_"))
+    state = F.when(F.col("heads_") == 0, "orphan_step").when(F.col("heads_") > 1, "repeated_workflow").when(~F.coalesce(whole, F.lit(False)), "invalid_steps").otherwise("fine")
+    states_ = stored(groups.select("workflow_key", state.alias("state_")), "states")
     known = components.select(F.col("identity_key").alias("component_key")).distinct().withColumn("known_", F.lit(True))
-    every = facts.join(states_, "workflow_key").join(known, "component_key", "left")
+    # read once for each kind of edge, and for the steps after steps
+    every = stored(facts.join(states_, "workflow_key").join(known, "component_key", "left"), "marked")
     nodes = facts.withColumns({"confidence_pct": F.lit(100).cast("long"), "deterministic": F.lit(True), "evidence": F.lit(1).cast("long")})
     nodes = nodes.withColumn("fingerprint", _printed("kind", "identity_key", "name", "workflow_key", "step", "component_key")).select(*NODE_COLUMNS).distinct()
     fine = every.filter("state_ = 'fine'")

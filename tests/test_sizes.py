@@ -159,3 +159,54 @@ def test_terms_of_a_batch_are_made_a_few_documents_at_a_time(spark, monkeypatch)
     parts = list(search._cut(batch))
     assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict() and len(parts) == 3
     assert all(sum(len(x or "") for x in p.column(2).to_pylist()[1:]) < 100 for p in parts) and not list(search._cut(batch.slice(0, 0)))
+
+
+def _shuffled(spark) -> int:
+    """Bytes of shuffle files on the disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+
+
+def test_a_stored_table_leaves_nothing_that_was_shuffled_for_it(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from cairn.sources.store import stored
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key, None), _shuffled(spark)
+    rows = spark.range(300_000).withColumn("k", F.xxhash64("id"))
+    table = stored(rows.groupBy("k").agg(F.max("id").alias("id")), "grouped")
+    for _ in range(50):
+        if _shuffled(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffled(spark) <= before and spark.conf.get(key, None) == was and table.count() == 300_000
+
+
+def test_only_calls_of_routes_are_resolved_for_workflows(spark, data, monkeypatch):
+    from cairn.operators import calls as c
+    from cairn.plans import QUERIES
+    from cairn.plans.registry import Tables
+
+    asked, resolve = [], c.resolved_calls
+    monkeypatch.setattr(c, "resolved_calls", lambda calls, *rest: asked.append(calls) or resolve(calls, *rest))
+    made = QUERIES["wf_build"](spark, data).filter("kind = 'workflow'")
+    t = Tables(spark, data)
+    routes = {r["target"] for r in made.select("target").collect()}
+    want = {r["id"] for r in t.code_calls.select("id", "symbol_id").collect() if r["symbol_id"] in routes}
+    assert {r["id"] for r in asked[0].select("id").collect()} == want and 0 < len(want) < t.code_calls.count()
+
+
+def test_facts_of_workflows_meet_their_state_once(spark):
+    from cairn.operators import knowledge as kn
+
+    rows = [("workflow", "w", "w", "w", None, None, "c1", 2, 1, 0, 9), ("workflow_step", "w0", "e", "w", 0, "entrypoint", "c1", None, 1, 0, 9), ("workflow_step", "w1", "s", "w", 1, "resolved_call", "c1", None, 1, 3, 5)]
+    rows += [("workflow", "x", "x", None, None, None, "c1", 1, 1, 0, 9), ("workflow_step", "y", "y", None, 0, "entrypoint", "c1", None, 1, 0, 9), ("workflow_step", "z", "z", "gone", 0, "entrypoint", "c1", None, 1, 0, 9)]
+    facts = spark.createDataFrame(rows, "kind string, identity_key string, name string, workflow_key string, step int, step_type string, component_key string, steps long, file_id long, start_offset long, end_offset long")
+    p = kn.workflows(facts, spark.createDataFrame([("c1",)], "identity_key string"))
+    assert {tuple(r) for r in p.violations.collect()} == {("invalid_steps", None), ("orphan_step", None), ("orphan_step", "gone")}
+    assert sorted((r["kind"], r["source_key"], r["target_key"], r["evidence"]) for r in p.edges.collect()) == [("calls", "w1", "c1", 1), ("contains", "c1", "w", 1), ("contains", "w", "w0", 1), ("contains", "w", "w1", 1), ("precedes", "w0", "w1", 2)]
+    # the one join is that of steps and the steps after them
+    assert sum("Join" in n.nodeName() for n in _nodes(p.edges._jdf.queryExecution().sparkPlan())) == 1
